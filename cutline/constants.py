@@ -172,7 +172,7 @@ VENUE_COORDS = {
     "IND": (39.7601, -86.1639),
     "JAX": (30.3239, -81.6373),
     "KC": (39.0489, -94.4839),
-    "LA": (33.9535, -118.3392),
+    "LA": (34.0141, -118.2879),
     "LAC": (33.9535, -118.3392),
     "LAR": (33.9535, -118.3392),
     "LV": (36.0909, -115.1833),
@@ -239,5 +239,5 @@ REASON_BASELINE_UNAVAILABLE = "baseline_unavailable"
 MAX_CANDIDATE_ERRORS = 100
 EXCLUDED_SAMPLE = 10
 
-# Surrogate-key namespace (RFC 4122 URL namespace).
-URL_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
+# Surrogate-key namespace.
+KEY_NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
