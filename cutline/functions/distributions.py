@@ -25,10 +25,15 @@ def zil_at_least(p_zero: Column, mu: Column, sigma: Column, threshold: Column) -
     return F.when(usable, F.when(t <= 0, F.lit(1.0)).otherwise(tail))
 
 
-def zil_quantile(p_zero: Column, mu: Column, sigma: Column, q: float) -> Column:
+def zil_quantiles(p_zero: Column, mu: Column, sigma: Column, grid: tuple[float, ...] = K.QUANTILE_GRID) -> Column:
+    """Array of quantiles, one per grid point."""
     share = F.lit(1.0) - p_zero
-    inner = (F.lit(q) - p_zero) / F.when(share > 0, share)
-    return F.when(p_zero >= q, F.lit(0.0)).otherwise(F.exp(mu + sigma * normal_ppf(inner)))
+
+    def at(q: Column) -> Column:
+        inner = (q - p_zero) / F.when(share > 0, share)
+        return F.when(p_zero >= q, F.lit(0.0)).otherwise(F.exp(mu + sigma * normal_ppf(inner)))
+
+    return F.transform(F.lit(list(grid)), at)
 
 
 # --- negative binomial -------------------------------------------------------
@@ -96,7 +101,7 @@ def nb_at_least(r: Column, p: Column, threshold: Column) -> Column:
 
 
 def nb_quantiles(r: Column, p: Column, grid: tuple[float, ...] = K.QUANTILE_GRID) -> Column:
-    """Struct of quantiles, however far past a stored PMF they lie.
+    """Array of quantiles, however far past a stored PMF they lie.
 
     One-sided Chebyshev (Cantelli) puts the q-quantile at or below
     mean + sd * sqrt(q / (1 - q)), so the walk ends where it provably must have
@@ -111,11 +116,12 @@ def nb_quantiles(r: Column, p: Column, grid: tuple[float, ...] = K.QUANTILE_GRID
 
     def step(acc: Column, k: Column) -> Column:
         mass = _nb_next(acc["mass"], k, r, p)
+        reached = acc["reached"] + mass
         return F.struct(
             mass.alias("mass"),
-            (acc["reached"] + mass).alias("reached"),
+            reached.alias("reached"),
             *[
-                F.coalesce(acc[n], F.when(acc["reached"] + mass >= q, k.cast("double"))).alias(n)
+                F.coalesce(acc[n], F.when(reached >= q, k.cast("double"))).alias(n)
                 for q, n in zip(grid, names)
             ],
         )
@@ -124,7 +130,7 @@ def nb_quantiles(r: Column, p: Column, grid: tuple[float, ...] = K.QUANTILE_GRID
         F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
         F.struct(start.alias("mass"), start.alias("reached"), *first),
         step,
-        lambda acc: F.struct(*[acc[n].alias(n) for n in names]),
+        lambda acc: F.array(*[acc[n] for n in names]),
     )
     return F.when((r > 0) & (p > 0) & (p <= 1), walked)
 

@@ -58,31 +58,56 @@ def _poly(x: Column, ascending: tuple[float, ...]) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """``body(v)`` with ``value`` computed once, however often ``v`` is used.
+
+    Written out inline, nested rational functions repeat their argument at every
+    coefficient and outgrow a generated method; a bound lambda variable does not.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def _erfc_of(x: Column) -> Column:
+    def upper(y: Column) -> Column:
+        def tail(inverse: Column) -> Column:
+            ratio = _poly(inverse, TAIL_NUM) / _poly(inverse, TAIL_DEN)
+            return F.exp(-y * y) * (F.lit(INV_SQRT_PI) - inverse * ratio) / y
+
+        middle = F.exp(-y * y) * _poly(y, ERFC_NUM) / _poly(y, ERFC_DEN)
+        far = let(F.lit(1.0) / (y * y), tail)
+        return F.when(y <= 4.0, middle).when(y <= 27.0, far).otherwise(0.0)
+
+    small = let(x * x, lambda x2: F.lit(1.0) - x * _poly(x2, ERF_NUM) / _poly(x2, ERF_DEN))
+    signed = let(F.abs(x), upper)
+    return F.when(F.abs(x) <= 0.46875, small).otherwise(F.when(x < 0, F.lit(2.0) - signed).otherwise(signed))
+
+
 def erfc(x: Column) -> Column:
-    y = F.abs(x)
-    y2 = y * y
-    small = F.lit(1.0) - x * _poly(y2, ERF_NUM) / _poly(y2, ERF_DEN)
-    scale = F.exp(-y2)
-    middle = scale * _poly(y, ERFC_NUM) / _poly(y, ERFC_DEN)
-    inverse = F.lit(1.0) / F.when(y > 0.5, y2)
-    tail = scale * (F.lit(INV_SQRT_PI) - inverse * _poly(inverse, TAIL_NUM) / _poly(inverse, TAIL_DEN)) / F.when(y > 0.5, y)
-    upper = F.when(y <= 4.0, middle).when(y <= 27.0, tail).otherwise(0.0)
-    return F.when(y <= 0.46875, small).when(x < 0, F.lit(2.0) - upper).otherwise(upper)
+    return let(x, _erfc_of)
 
 
 def normal_cdf(z: Column) -> Column:
     return F.lit(0.5) * erfc(-z / SQRT2)
 
 
+def _ppf_of(p: Column) -> Column:
+    def central(q: Column) -> Column:
+        return let(F.lit(0.180625) - q * q, lambda r: q * _poly(r, PPND_A) / _poly(r, PPND_B))
+
+    def outer(r: Column) -> Column:
+        near = let(r - 1.6, lambda v: _poly(v, PPND_C) / _poly(v, PPND_D))
+        far = let(r - 5.0, lambda v: _poly(v, PPND_E) / _poly(v, PPND_F))
+        return F.when(r <= 5.0, near).otherwise(far)
+
+    size = let(F.sqrt(-F.log(F.least(p, F.lit(1.0) - p))), outer)
+    return (
+        F.when(~((p > 0.0) & (p < 1.0)), F.lit(None).cast("double"))
+        .when(F.abs(p - 0.5) <= 0.425, let(p - 0.5, central))
+        .when(p < 0.5, -size)
+        .otherwise(size)
+    )
+
+
 def normal_ppf(p: Column) -> Column:
     """Inverse of :func:`normal_cdf` on (0, 1); NULL outside it."""
-    inside = F.when((p > 0.0) & (p < 1.0), p)
-    q = inside - 0.5
-    r0 = F.lit(0.180625) - q * q
-    central = q * _poly(r0, PPND_A) / _poly(r0, PPND_B)
-    r = F.sqrt(-F.log(F.least(inside, F.lit(1.0) - inside)))
-    near, far = r - 1.6, r - 5.0
-    middle = _poly(near, PPND_C) / _poly(near, PPND_D)
-    tail = _poly(far, PPND_E) / _poly(far, PPND_F)
-    outer = F.when(r <= 5.0, middle).otherwise(tail)
-    return F.when(F.abs(q) <= 0.425, central).when(q < 0, -outer).otherwise(outer)
+    return let(p, _ppf_of)

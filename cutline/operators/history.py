@@ -84,73 +84,50 @@ def season_totals(
     return out.select("target_id", F.col("n").alias("season_n"), F.col("total").alias("season_total"))
 
 
-def _ages(window: Column) -> Column:
-    size = F.size(window)
-    return F.transform(
-        window,
-        lambda line, i: F.struct(
-            line["value"].alias("v"),
-            F.pow(F.lit(0.5), (size - 1 - i) / F.lit(K.HALF_LIFE_GAMES)).alias("w"),
-        ),
-    )
-
+def form_features(df: DataFrame) -> DataFrame:
+    """Weighted and plain summaries of ``window`` (NULL when it is empty).
 
-def _total(items: Column, f) -> Column:
-    return F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
+    Ages count eligible lines, newest 0. Sums run oldest first.
+    """
+    weight = f"pow(0.5D, (size(window) - 1 - i) / {K.HALF_LIFE_GAMES}D)"
+    floor = f"{K.SIGMA_FLOOR}D"
 
+    def total(items: str, term: str) -> str:
+        return f"aggregate({items}, 0D, (a, e) -> a + {term})"
 
-def form_features(df: DataFrame) -> DataFrame:
-    """Weighted and plain summaries of ``window`` (NULL when it is empty)."""
-    pairs = _ages(F.col("window"))
-    last = F.try_element_at(F.col("window"), F.lit(-1))
-    base = df.withColumns({
-        "__pairs": pairs,
-        "last_team": last["team"],
-        "last_valid_at": last["valid_at"],
-        "last_season": last["season"],
+    staged = df.withColumns({
+        "__x": F.expr(f"transform(window, (l, i) -> named_struct('v', l.value, 'w', {weight}))"),
+        "__g": F.expr(
+            f"transform(filter(transform(window, (l, i) -> named_struct('v', l.value, 'w', {weight})), e -> e.v > 0), "
+            "e -> named_struct('l', ln(e.v), 'w', e.w))"
+        ),
         "window_n": F.size("window"),
-        "crosses_season": F.size(F.array_distinct(F.transform("window", lambda x: x["season"]))) > 1,
+        "crosses_season": F.expr("size(array_distinct(transform(window, l -> l.season))) > 1"),
+        "last_team": F.expr("try_element_at(window, -1).team"),
+        "last_valid_at": F.expr("try_element_at(window, -1).valid_at"),
+        "last_season": F.expr("try_element_at(window, -1).season"),
+        "__recent": F.expr(f"slice(window, greatest(size(window) - {K.TRAILING_BASELINE - 1}, 1), {K.TRAILING_BASELINE})"),
     })
-    x = F.col("__pairs")
-    w_all = _total(x, lambda e: e["w"])
-    logs = F.transform(F.filter(x, lambda e: e["v"] > 0), lambda e: F.struct(F.log(e["v"]).alias("l"), e["w"].alias("w")))
-    base = base.withColumn("__logs", logs)
-    g = F.col("__logs")
-    n, n_pos = F.col("window_n"), F.size("__logs")
-    base = base.withColumns({
-        "weight_total": w_all,
-        "weighted_sum": _total(x, lambda e: e["w"] * e["v"]),
-        "zero_weight": _total(x, lambda e: F.when(e["v"] <= 0, e["w"]).otherwise(F.lit(0.0))),
-        "zeros": F.size(F.filter(x, lambda e: e["v"] == 0)),
-        "plain_sum": _total(x, lambda e: e["v"]),
-        "n_positive": n_pos,
-        "log_weight": _total(g, lambda e: e["w"]),
-        "log_weighted_sum": _total(g, lambda e: e["w"] * e["l"]),
-        "log_mean": _total(g, lambda e: e["l"]) / F.when(n_pos > 0, n_pos),
+    summed = staged.withColumns({
+        "__w": F.expr(total("__x", "e.w")),
+        "__gw": F.expr(total("__g", "e.w")),
+        "__n": F.expr("nullif(size(__x), 0)"),
+        "__k": F.expr("nullif(size(__g), 0)"),
+        "__mean": F.expr(f"{total('__x', 'e.v')} / nullif(size(__x), 0)"),
+        "__lmean": F.expr(f"{total('__g', 'e.l')} / nullif(size(__g), 0)"),
     })
-    mean = F.col("plain_sum") / F.when(n > 0, n)
-    base = base.withColumn("window_mean", mean)
-    log_ss = _total(g, lambda e: F.pow(e["l"] - F.col("log_mean"), 2))
-    plain_ss = _total(x, lambda e: F.pow(e["v"] - F.col("window_mean"), 2))
-    some = n > 0
-    sigma = F.when(F.col("n_positive") >= 2, F.sqrt(log_ss / F.when(F.col("n_positive") >= 2, F.col("n_positive") - 1)))
-    variance = F.when(n >= 2, plain_ss / F.when(n >= 2, n - 1)).otherwise(mean * K.COUNT_MIN_DISPERSION)
-    recent = F.slice("window", F.greatest(n - (K.TRAILING_BASELINE - 1), F.lit(1)), F.lit(K.TRAILING_BASELINE))
-    five = F.aggregate(recent, F.lit(0.0), lambda a, e: a + e["value"]) / F.when(some, F.size(recent))
-    return base.withColumns({
-        "ew_mean": F.when(some, F.col("weighted_sum") / F.col("weight_total")),
-        "ew_zero": F.when(some, F.col("zero_weight") / F.col("weight_total")),
-        "zero_rate": F.when(some, F.col("zeros") / n),
-        "ew_log_mean": F.when(
-            some, F.coalesce(F.col("log_weighted_sum") / F.when(F.col("log_weight") > 0, F.col("log_weight")), F.lit(0.0))
+    log_sd = f"sqrt({total('__g', 'pow(e.l - __lmean, 2)')} / nullif(__k - 1, 0))"
+    return summed.withColumns({
+        "ew_mean": F.expr(f"{total('__x', 'e.w * e.v')} / nullif(__w, 0D)"),
+        "ew_zero": F.expr(f"{total('__x', 'if(e.v <= 0, e.w, 0D)')} / nullif(__w, 0D)"),
+        "zero_rate": F.expr("size(filter(__x, e -> e.v = 0)) / __n"),
+        "ew_log_mean": F.expr(f"if(__n is null, null, coalesce({total('__g', 'e.w * e.l')} / nullif(__gw, 0D), 0D))"),
+        "log_sigma": F.expr(f"if(__n is null, null, greatest(coalesce({log_sd}, {floor}), {floor}))"),
+        "window_variance": F.expr(
+            f"coalesce({total('__x', 'pow(e.v - __mean, 2)')} / nullif(__n - 1, 0), __mean * {K.COUNT_MIN_DISPERSION}D)"
         ),
-        "log_sigma": F.when(some, F.greatest(F.coalesce(sigma, F.lit(K.SIGMA_FLOOR)), F.lit(K.SIGMA_FLOOR))),
-        "window_variance": F.when(some, variance),
-        "trailing_five": five,
-    }).drop(
-        "__pairs", "__logs", "weight_total", "weighted_sum", "zero_weight", "zeros", "plain_sum", "n_positive",
-        "log_weight", "log_weighted_sum", "log_mean",
-    )
+        "trailing_five": F.expr(f"{total('__recent', 'e.value')} / nullif(size(__recent), 0)"),
+    }).drop("__x", "__g", "__recent", "__w", "__gw", "__n", "__k", "__mean", "__lmean")
 
 
 def eligible_history(

@@ -47,12 +47,14 @@ def describe(df: DataFrame) -> DataFrame:
     cont, count = F.col("family") == K.CONTINUOUS, F.col("family") == K.COUNT
     zil = (F.col("p_zero"), F.col("mu"), F.col("sigma"))
     cap = F.coalesce(F.col("pmf_cap"), F.lit(K.DEFAULT_PMF_CAP))
-    named = F.struct(*[D.zil_quantile(*zil, q).alias(n) for q, n in zip(K.QUANTILE_GRID, K.QUANTILE_NAMES)])
+    named = F.lit(list(K.QUANTILE_NAMES))
     staged = df.withColumns({
         "distribution_kind": F.when(cont, K.KIND_ZIL).when(count, K.KIND_NB),
         "params": F.struct(*PARAMS),
         "projected_value": F.when(cont, D.zil_mean(*zil)).when(count, D.nb_mean(F.col("r"), F.col("p"))),
-        "quantiles": F.when(cont, named).when(count, D.nb_quantiles(F.col("r"), F.col("p"))),
+        "quantiles": F.map_from_arrays(
+            named, F.when(cont, D.zil_quantiles(*zil)).when(count, D.nb_quantiles(F.col("r"), F.col("p")))
+        ),
         "pmf": F.when(count, D.nb_pmf(F.col("r"), F.col("p"), cap)),
         "mass_below_zero": F.lit(0.0),
     })

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ def build_session(app: str = "cutline", cpus: str | int | None = None) -> SparkS
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("CUTLINE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
@@ -55,7 +57,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    For a stage that several branches read: each branch then prunes columns and
+    filters at the scan, the planner knows the size, and a lost executor costs a
+    re-read instead of the whole lineage.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there."""
+    """Checkpoint ``df`` to the shared folder: for iterative plans."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -8,6 +8,8 @@ cases: absent values, zeros, corrections, moved schedules.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from cutline.functions import numbers as N
 from cutline.functions import times
 from cutline.operators import bitemporal as B
 from cutline.operators import registry as R
-from cutline.session import use_utc
+from cutline.session import materialize, use_utc
 
 STATS = (
     R.StatType("price", K.CONTINUOUS, R.grid(24.5, 424.5, 50.0), None, 50.0),
@@ -24,11 +26,27 @@ STATS = (
 )
 
 
+# Declared, never inferred: a read costs no footer job and a drifted file fails.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    "events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    use_utc(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    stamps = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in stamps}) if stamps else df
+    return use_utc(spark).read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def every(key: str, n: int):
@@ -89,9 +107,9 @@ def stat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.to_long(lines_wide(spark, sf_dir), ids, {"price": "price", "lines": "lines"})
 
 
-def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corrections(lines: DataFrame) -> DataFrame:
     """One correction 45 days on for every 11th event, a second at 90 for every 22nd."""
-    changed = stat_lines(spark, sf_dir).where(every("event_id", 11))
+    changed = lines.where(every("event_id", 11))
     price = F.col("measure") == "price"
     first = changed.select(
         *B.LINE, F.lit(2).alias("version"), (F.col("valid_at") + days(45)).alias("known_at"),
@@ -107,7 +125,8 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.value_versions(stat_lines(spark, sf_dir), corrections(spark, sf_dir))
+    lines = stat_lines(spark, sf_dir)
+    return B.value_versions(lines, corrections(lines))
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +158,30 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("target_id", F.concat_ws(":", "event_id", "measure"))
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """The stored corpus: what an ingest run leaves behind for every reader."""
+
+    versions: DataFrame
+    targets: DataFrame
+
+
+_CORPORA: dict[tuple[str, str], Corpus] = {}
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Versions and targets, written once per application and read by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CORPORA:
+        _CORPORA[key] = Corpus(
+            materialize(versions(spark, sf_dir), "versions"), materialize(targets(spark, sf_dir), "targets")
+        )
+    return _CORPORA[key]
+
+
 def actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stat_lines(spark, sf_dir).select(
+    """The corrected line of each event; version_seq 0 is the current one."""
+    return corpus(spark, sf_dir).versions.where("version_seq = 0").select(
         *B.LINE, F.col("value").alias("actual"), every("event_id", 11).alias("correction_applied")
     )
 
