@@ -251,3 +251,28 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, *,
     kept = salted.withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= k).drop("__rn", "__salt")
     final = Window.partitionBy(*keys).orderBy(*order)
     return kept.withColumn("rank_in_key", F.row_number().over(final)).where(F.col("rank_in_key") <= k)
+
+
+def next_rows(
+    targets: DataFrame,
+    rows: DataFrame,
+    keys: list[str],
+    target_ts: str,
+    row_ts: str,
+    order: list[str],
+    limit: Column,
+    *,
+    bucket_seconds: int = DEFAULT_BUCKET_SECONDS,
+) -> DataFrame:
+    """Each target with the first ``limit`` rows after its instant, one per line.
+
+    Rows are numbered along their key, the target's position among them is an
+    as-of count, and the wanted numbers are joined by equality, so a key's rows
+    are never paired with all of its targets. Adds ``nth`` (1 = the next row).
+    """
+    numbered = running_totals(rows, keys, row_ts, order, {"__no": F.lit(1)}, bucket_seconds=bucket_seconds)
+    one = rows.select(*keys, F.col(row_ts).alias("__at"), F.lit(1).alias("__passed"))
+    placed = asof_totals(targets, one, keys, target_ts, "__at", ["__passed"], bucket_seconds=bucket_seconds)
+    steps = F.when(limit > 0, F.sequence(F.lit(1), limit.cast("int"))).otherwise(F.array().cast("array<int>"))
+    wanted = placed.withColumn("nth", F.explode(steps)).withColumn("__no", F.col("__passed") + F.col("nth")).drop("__passed")
+    return wanted.join(numbered, [*keys, "__no"]).drop("__no")
