@@ -115,11 +115,16 @@ def calibration_bins(thresholds: DataFrame, bins: int = K.CALIBRATION_BINS) -> D
     return plain.unionByName(liked).select(
         "stat_type", "season", "era", "population", "bin_index",
         (F.col("bin_index") / bins).alias("bin_low"), ((F.col("bin_index") + 1) / bins).alias("bin_high"),
-        F.bround("predicted_mean", 5).alias("predicted_mean"), F.bround("observed_rate", 5).alias("observed_rate"),
-        "threshold_observations", "projection_count", (F.col("threshold_observations") < K.REPORTING_FLOOR).alias("below_floor"),
+        "predicted_mean", "observed_rate", "threshold_observations", "projection_count",
+        (F.col("threshold_observations") < K.REPORTING_FLOOR).alias("below_floor"),
     )
 
 
+def stored_bins(bins: DataFrame) -> DataFrame:
+    """Bins at the precision they are stored and digested with."""
+    return bins.withColumns({c: F.bround(c, 5) for c in ("predicted_mean", "observed_rate")})
+
+
 BIN_ORDER = ["stat_type", "season", "era", "population", "bin_index"]
 
 
@@ -205,7 +210,7 @@ def promotion_gate(metrics: DataFrame, bins: DataFrame, continuous: list[str], *
 
 def contract_like_sensitivity(predictions: DataFrame, registry: DataFrame, multiples: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:
     """Contract-like counts at several multiples of the volume floors."""
-    floors = predictions.join(F.broadcast(registry.select("measure", F.col("floor"))), "measure")
+    floors = predictions.drop("floor").join(F.broadcast(registry.select("measure", F.col("floor"))), "measure")
     tall = floors.select("measure", "projected_value", "floor", F.explode(F.array(*[F.lit(m) for m in multiples])).alias("multiple"))
     hit = F.coalesce(F.col("projected_value") >= F.col("floor") * F.col("multiple"), F.lit(False))
     return tall.groupBy("measure", "multiple").agg(F.count_if(hit).alias("contract_like"), F.count("*").alias("predictions"))

@@ -25,7 +25,7 @@ def query(check: str | None = None):
 
 
 def rnd(column: str | Column, places: int, name: str | None = None) -> Column:
-    """Rounded double without a negative zero, as the checks round it."""
+    """Rounded as the checks round it: decimal ties go up, zero has no sign."""
     c = F.col(column) if isinstance(column, str) else column
-    out = F.round(c.cast("double"), places) + F.lit(0.0)
+    out = F.round(c.cast("double") + F.lit(1e-9), places) + F.lit(0.0)
     return out.alias(name or column) if isinstance(column, str) or name else out

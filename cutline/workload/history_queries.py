@@ -155,12 +155,12 @@ def travel_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GAMES = """,
-weeks as (select distinct date_trunc('week', o_orderdate) as week_start from orders),
+months as (select distinct date_trunc('month', o_orderdate) as month_start from orders),
 games as (
-  select n.n_nationkey * 100000 + date_diff('day', date '1990-01-01', w.week_start::date) as event_id, year(w.week_start)::int as season,
+  select n.n_nationkey * 100000 + date_diff('day', date '1990-01-01', w.month_start::date) as event_id, year(w.month_start)::int as season,
          n.n_nationkey as home_team, (n.n_nationkey + 7) % 25 as away_team,
-         w.week_start + interval '17 hours' as valid_at, w.week_start + interval '15 hours 30 minutes' as cutoff
-  from nation n cross join weeks w)"""
+         w.month_start + interval '17 hours' as valid_at, w.month_start + interval '15 hours 30 minutes' as cutoff
+  from nation n cross join months w)"""
 
 
 @query(S.with_(S.LINES) + _GAMES + """,
@@ -186,11 +186,11 @@ last_seen as (
 select g.event_id, l.entity_id, l.l.team as last_team
 from games g join last_seen l on l.cutoff = g.cutoff and l.l.team in (g.home_team, g.away_team) and l.l.season in (g.season, g.season - 1)""")
 def candidate_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who was, as of each weekly fixture's cutoff, last seen with one of its teams."""
+    """Who was, as of each monthly fixture's cutoff, last seen with one of its teams."""
     c = T.corpus(spark, sf_dir)
-    weeks = T.table(spark, sf_dir, "orders").select(F.date_trunc("week", "o_orderdate").alias("w")).distinct()
+    months = T.table(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").alias("w")).distinct()
     # 25 nations: a fixed dimension.
-    games = weeks.join(F.broadcast(T.table(spark, sf_dir, "nation")), how="cross").select(
+    games = months.join(F.broadcast(T.table(spark, sf_dir, "nation")), how="cross").select(
         (F.col("n_nationkey") * 100000 + F.datediff("w", F.lit("1990-01-01").cast("date"))).cast("long").alias("event_id"),
         F.year("w").alias("season"), F.col("n_nationkey").alias("home_team"), ((F.col("n_nationkey") + 7) % 25).alias("away_team"),
         (F.col("w") + T.hours(17)).alias("valid_at"), (F.col("w") + F.expr("INTERVAL '15:30' HOUR TO MINUTE")).alias("cutoff"),

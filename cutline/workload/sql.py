@@ -12,8 +12,8 @@ def published(ts: str) -> str:
 
 
 def rnd(expr: str, places: int) -> str:
-    """Rounded double without a negative zero."""
-    return f"(round(({expr})::double, {places}) + 0.0)"
+    """Rounded double; the nudge sends decimal ties up on both engines."""
+    return f"(round(({expr})::double + 1e-9, {places}) + 0.0)"
 
 
 ORDERS = f"""
