@@ -53,10 +53,18 @@ def grid_probabilities(predictions: DataFrame, registry: DataFrame, at: float |
     )
 
 
-def latest_visible(targets: DataFrame, observations: DataFrame, keys: list[str]) -> DataFrame:
-    """The newest record per target and source that its cutoff could see."""
-    seen = observations.join(targets.select("target_id", *keys, "cutoff"), keys).where(F.col("known_at") <= F.col("cutoff"))
-    return TL.latest_per_key(seen.select("target_id", "source", "value", "known_at"), ["target_id", "source"], ["known_at", "value"])
+def latest_visible(targets: DataFrame, observations: DataFrame, keys: list[str], sources: list[str],
+                   bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """The newest record per target and source that its cutoff could see.
+
+    ``sources`` is the short fixed list of sources, so a target asks once per
+    source; sources it saw nothing of have no row.
+    """
+    asked = targets.select("target_id", *keys, "cutoff", F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"))
+    right = observations.select(*keys, "source", "known_at", "value").withColumn("value_known_at", F.col("known_at"))
+    out = TL.asof_latest(asked, right, [*keys, "source"], "cutoff", "known_at", ["value", "value_known_at"], right_order=["value"],
+                         bucket_seconds=bucket_seconds)
+    return out.where(F.col("value_known_at").isNotNull()).select("target_id", "source", "value", F.col("value_known_at").alias("known_at"))
 
 
 def hidden_records(targets: DataFrame, facts: DataFrame, context: DataFrame, limit: int = K.EXCLUDED_SAMPLE,

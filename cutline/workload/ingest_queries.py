@@ -41,7 +41,7 @@ def null_vs_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 select o_orderkey, {S.published("o_orderdate + to_hours((o_orderkey % 24)::int)")} as published_at,
-  ((o_orderdate::date + to_minutes((o_orderkey % 1440)::int)) at time zone 'America/New_York') at time zone 'UTC' as kickoff_utc,
+  ((o_orderdate + to_minutes((o_orderkey % 1440)::int)) at time zone 'America/New_York') at time zone 'UTC' as kickoff_utc,
   make_timestamp(year(o_orderdate), 8, 1, 12, 0, 0) as season_release, o_orderdate - interval '5 days' as postseason_release,
   case when year(o_orderdate) >= 1998 then o_orderdate - interval '12 hours' else o_orderdate - interval '24 hours' end as weather_known_at
 from orders""")
@@ -146,14 +146,11 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with x as (select doc_id, split_part(text, '.', 1) as raw from documents)
-select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(raw)), '[.''’-]', ' ', 'g'), '\\b(jr|sr|ii|iii|iv|v)\\b', '', 'g'), '\\s+', ' ', 'g')) as normal
-from x where regexp_matches(raw, '^[A-Za-zÀ-ÖØ-öø-ÿ ]*$') and not regexp_matches(raw, '[æøåßðþÆØÅÐÞ]')""")
+select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '[.''’-]', ' ', 'g'), '\\b(jr|sr|ii|iii|iv|v)\\b', '', 'g'), '\\s+', ' ', 'g')) as normal
+from documents""")
 def market_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accent-stripping name form over document openings written in Latin letters."""
-    d = T.table(spark, sf_dir, "documents").select("doc_id", F.split("text", r"\.")[0].alias("raw"))
-    latin = F.col("raw").rlike("^[A-Za-zÀ-ÖØ-öø-ÿ ]*$") & ~F.col("raw").rlike("[æøåßðþÆØÅÐÞ]")
-    return d.where(latin).select("doc_id", TX.market_name(F.col("raw")).alias("normal"))
+    """The accent-stripping name form, over every document's whole text."""
+    return T.table(spark, sf_dir, "documents").select("doc_id", TX.market_name(F.col("text")).alias("normal"))
 
 
 _MARKETS = """markets as (
