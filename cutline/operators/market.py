@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline import constants as K
@@ -146,24 +146,10 @@ def rank_slate(df: DataFrame) -> DataFrame:
 
 
 def slate_places(df: DataFrame, unique: list[str]) -> DataFrame:
-    """``slate_rank`` of every row in the ranking order, ties broken by ``unique``.
-
-    A window over the whole frame would put it in one task. Rows are ranked
-    inside their (adjusted, raw) edge pair, whose counts are accumulated over
-    coarse edge bands first, so the widest task holds one band.
-    """
-    keyed = df.withColumns({
-        "__band": F.coalesce(F.floor(-F.col("adjusted_edge")), F.lit(1_000_000)).cast("long"),
-        "__a": F.coalesce(-F.col("adjusted_edge"), F.lit(float("inf"))),
-        "__e": F.coalesce(-F.col("edge_points"), F.lit(float("inf"))),
-    })
-    # Edges lie within [-100, 100] points: at most a few hundred bands.
-    bands = keyed.groupBy("__band").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bands.select("__band", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("__band").orderBy("__a", "__e", *unique)
-    placed = keyed.join(F.broadcast(starts), "__band").withColumn("slate_rank", F.row_number().over(inside) + F.col("__start"))
-    return placed.drop("__band", "__a", "__e", "__start")
+    """``slate_rank`` of every row in the ranking order, ties broken by ``unique``."""
+    far = F.lit(float("inf"))
+    keyed = df.withColumns({"__a": F.coalesce(-F.col("adjusted_edge"), far), "__e": F.coalesce(-F.col("edge_points"), far)})
+    return TL.global_rank(keyed, ["__a", "__e", *unique], "slate_rank").drop("__a", "__e")
 
 
 def slate(contracts: DataFrame, events: DataFrame, projections: DataFrame, prices: DataFrame, latest_facts: DataFrame,

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cutline.session import materialize
+
 DEFAULT_BUCKET_SECONDS = 30 * 86400
 
 
@@ -276,3 +278,21 @@ def next_rows(
     steps = F.when(limit > 0, F.sequence(F.lit(1), limit.cast("int"))).otherwise(F.array().cast("array<int>"))
     wanted = placed.withColumn("nth", F.explode(steps)).withColumn("__no", F.col("__passed") + F.col("nth")).drop("__passed")
     return wanted.join(numbered, [*keys, "__no"]).drop("__no")
+
+
+def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Position of every row in a total order, without one window over them all.
+
+    Rows are range-partitioned on the whole order, so equal leading values are
+    split too, and stored with their partition number; each row's place is its
+    number inside the partition plus the sizes of the partitions before it.
+    Storing fixes the partition numbers, which a recomputation could move.
+    """
+    stored = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")
+    sizes = stored.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per shuffle partition.
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    placed = stored.join(F.broadcast(starts), "__part").withColumn(name, F.row_number().over(inside) + F.col("__start"))
+    return placed.drop("__part", "__start")

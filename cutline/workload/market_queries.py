@@ -77,12 +77,12 @@ def price_change_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STATES = """states as (
-  select user_id as contract_id, ts as at, event_id as seq, value > 60 as is_recommended, case when event_id % 3 = 0 then 'no' when event_id % 7 = 0 then null else 'yes' end as side from events)"""
+  select user_id as contract_id, ts as "at", event_id as seq, value > 60 as is_recommended, case when event_id % 3 = 0 then 'no' when event_id % 7 = 0 then null else 'yes' end as side from events)"""
 TRANSITIONS = f"""
 with {_STATES},
 x as (select *, lag(is_recommended) over w as prec, lag(side) over w as pside,
-       coalesce(max(is_recommended::int) over (partition by contract_id order by at, seq rows between unbounded preceding and 1 preceding), 0) as seen
-      from states window w as (partition by contract_id order by at, seq))
+       coalesce(max(is_recommended::int) over (partition by contract_id order by "at", seq rows between unbounded preceding and 1 preceding), 0) as seen
+      from states window w as (partition by contract_id order by "at", seq))
 select contract_id, seq, is_recommended, side, case when seen = 0 then 'appeared' else 'state_changed' end as trigger
 from x where (seen = 0 and is_recommended) or (seen = 1 and (is_recommended <> prec or (is_recommended and side is distinct from pside)))"""
 
@@ -125,11 +125,7 @@ r as (select *, floor(best * 100 + 0.5) / 100 as edge_points, floor(best * case
 with {_EDGE} select event_id, side, {S.rnd('edge_points', 2)} as edge_points, {S.rnd('adjusted_edge', 2)} as adjusted_edge, coalesce(adjusted_edge >= 5, false) as is_recommended,
   row_number() over (order by adjusted_edge desc nulls last, edge_points desc nulls last, event_id) as slate_rank from r""")
 def edge_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edge against the better side's ask, and each row's place in the slate.
-
-    Places are counted from the distinct edge values' cumulative sizes, so no
-    global window holds every row.
-    """
+    """Edge against the better side's ask, and each row's place in the slate."""
     e = T.table(spark, sf_dir, "events")
     labels = F.array(*[F.lit(x) for x in ("high", "medium", "low", None)])
     rows = e.select("event_id", (F.col("value") / 500.0).alias("p"), labels[(F.col("event_id") % 4).cast("int")].alias("confidence"),

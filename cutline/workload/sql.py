@@ -7,7 +7,7 @@ from cutline.functions import normal as NC
 
 
 def published(ts: str) -> str:
-    local = f"(({ts} at time zone 'UTC') at time zone 'America/New_York')"
+    local = f"((({ts}) at time zone 'UTC') at time zone 'America/New_York')"
     return f"((({local}::date + interval '1 day' + interval '9 hours') at time zone 'America/New_York') at time zone 'UTC')"
 
 
