@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cutline import constants as K
 from cutline.functions import distributions as D
 from cutline.operators import timeline as TL
+from cutline.operators.scalars import with_row
 
 SORTS = {"err": "abs_error", "proj": "projected_value", "wk": "week", "n": "n_eff"}
 
@@ -30,20 +31,20 @@ def top_predictions(predictions: DataFrame, *, cohort: str | None = None, entity
     matching = filtered(predictions, cohort=cohort, entity=entity)
     shown = matching.orderBy(F.desc(SORTS.get(sort, "abs_error")), F.asc("prediction_id")).limit(limit)
     counts = matching.agg(F.count("*").alias("filtered"))
-    return shown.join(F.broadcast(counts), how="cross").join(F.broadcast(total), how="cross")
+    return with_row(with_row(shown, counts), total)
 
 
 def exclusion_examples(exclusions: DataFrame, reason: str, limit: int = 12) -> DataFrame:
     matching = exclusions.where(F.col("reason") == reason)
     counts = matching.agg(F.count("*").alias("examples_total"))
     shown = matching.orderBy("event_id", "entity_id", "measure").limit(limit)
-    return shown.join(F.broadcast(counts), how="cross")
+    return with_row(shown, counts)
 
 
 def grid_probabilities(predictions: DataFrame, registry: DataFrame, at: float | None = None) -> DataFrame:
     """P(X >= t) from stored parameters alone, on the grid or at one threshold."""
     joined = predictions.select("prediction_id", "measure", "distribution_kind", "params").join(
-        F.broadcast(registry.select("measure", "thresholds")), "measure"
+        registry.select("measure", "thresholds"), "measure"
     )
     wanted = F.array(F.lit(float(at))) if at is not None else F.col("thresholds")
     tall = joined.select("*", F.explode(wanted).alias("threshold"))

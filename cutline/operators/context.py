@@ -118,13 +118,13 @@ def weather_rows(events: DataFrame, coords: DataFrame, readings: DataFrame) -> D
     """Weather per event: classified, with measures only where observed.
 
     ``events``: event_id, season, kickoff_at, is_dome, is_neutral_site, home_team.
-    ``coords``: team, latitude, longitude (one row per team: broadcast).
+    ``coords``: team, latitude, longitude.
     ``readings``: event_id, reading_source, temperature_c, wind_kph, precipitation_mm.
     """
     from cutline.functions import rows as RW
 
     era = times.weather_era(F.col("season"))
-    joined = events.join(F.broadcast(coords), events.home_team == coords.team, "left").drop("team").join(readings, "event_id", "left")
+    joined = events.join(coords, events.home_team == coords.team, "left").drop("team").join(readings, "event_id", "left")
     status = RW.weather_status(F.col("is_dome"), F.col("is_neutral_site"), F.col("latitude"), F.col("reading_source"))
     out = joined.withColumns({"era": era, "status": status})
     seen = F.col("status") == "observed"
@@ -157,12 +157,12 @@ def travel(previous: DataFrame, coords: DataFrame, home: Column) -> DataFrame:
     """Rest days and kilometres into the target from its entity's previous venue.
 
     ``previous`` is the output of ``bitemporal.previous_event``; ``coords`` has
-    one row per venue and is broadcast.
+    one row per venue.
     """
     here = coords.select(F.col("team").alias("__here"), F.col("latitude").alias("__lat1"), F.col("longitude").alias("__lon1"))
     there = coords.select(F.col("team").alias("__there"), F.col("latitude").alias("__lat0"), F.col("longitude").alias("__lon0"))
-    joined = previous.withColumn("__home", home).join(F.broadcast(here), F.col("__home") == F.col("__here"), "left").join(
-        F.broadcast(there), F.col("prev_venue") == F.col("__there"), "left"
+    joined = previous.withColumn("__home", home).join(here, F.col("__home") == F.col("__here"), "left").join(
+        there, F.col("prev_venue") == F.col("__there"), "left"
     )
     km = N.haversine_km(F.col("__lat0"), F.col("__lon0"), F.col("__lat1"), F.col("__lon1"))
     return joined.withColumns({

@@ -29,25 +29,41 @@ def _key(tokens: Column) -> Column:
 
 
 def _counted(index: DataFrame, keys: list[str]) -> DataFrame:
-    """Matches per key. Candidate lists hold the namesakes of one exact name."""
-    return index.groupBy(*keys).agg(F.array_sort(F.collect_set("entity_id")).alias("ids"))
+    """Matches per key as partial aggregates: how many, one of them, and an
+    order-free hash of them all. Namesakes are never gathered into a list."""
+    distinct = index.select(*keys, "entity_id").distinct()
+    return distinct.groupBy(*keys).agg(
+        F.count("*").alias("__n"), F.min("entity_id").alias("__one"),
+        F.sum(F.xxhash64("entity_id").cast("decimal(20,0)")).alias("__hash"),
+    )
 
 
 def _status(df: DataFrame) -> DataFrame:
-    n = F.coalesce(F.size("ids"), F.lit(0))
+    n = F.coalesce("__n", F.lit(0))
     return df.withColumns({
         "status": F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("unresolved"),
-        "entity_id": F.when(n == 1, F.col("ids")[0]),
-        "candidate_ids": F.when(n > 1, F.col("ids")),
-    }).drop("ids")
+        "entity_id": F.when(n == 1, F.col("__one")),
+        "candidate_count": n,
+        "candidate_hash": F.when(n > 1, F.col("__hash").cast("string")),
+    }).drop("__n", "__one", "__hash")
 
 
-def resolve_names(names: DataFrame, players: DataFrame, name: str = "name") -> DataFrame:
-    """Names with status, entity and, if ambiguous, the sorted candidates."""
+def _keyed(names: DataFrame, name: str) -> DataFrame:
     keyed = names.withColumn("__t", TX.ingest_name_tokens(F.col(name))).withColumn("__k", _key(F.col("__t")))
-    keyed = keyed.withColumns({"form": F.col("__k")["form"], "name_key": F.col("__k")["name_key"]}).drop("__k", "__t")
+    return keyed.withColumns({"form": F.col("__k")["form"], "name_key": F.col("__k")["name_key"]}).drop("__k", "__t")
+
+
+def resolve_names(names: DataFrame, players: DataFrame, name: str = "name") -> DataFrame:
+    """Names with status, entity if single, and how many candidates there were."""
     matches = _counted(name_index(players), ["form", "name_key"])
-    return _status(keyed.join(matches, ["form", "name_key"], "left")).drop("form", "name_key")
+    return _status(_keyed(names, name).join(matches, ["form", "name_key"], "left")).drop("form", "name_key")
+
+
+def ambiguous_candidates(names: DataFrame, players: DataFrame, name: str = "name") -> DataFrame:
+    """One row per candidate of each ambiguous name, for whoever decides."""
+    index = name_index(players)
+    several = _counted(index, ["form", "name_key"]).where(F.col("__n") > 1).select("form", "name_key")
+    return _keyed(names, name).join(several, ["form", "name_key"], "left_semi").join(index, ["form", "name_key"]).drop("form", "name_key")
 
 
 def crosswalk_identities(players: DataFrame, sources: dict[str, str]) -> DataFrame:
@@ -63,7 +79,7 @@ IDENTITY_KEY = ["source", "external_id", "external_name"]
 def identity_upsert(current: DataFrame, incoming: DataFrame) -> Merge:
     """Never overwrites a manual override."""
     return upsert_if_distinct(
-        current, incoming, IDENTITY_KEY, ["entity_id", "status", "candidate_ids"],
+        current, incoming, IDENTITY_KEY, ["entity_id", "status", "candidate_count", "candidate_hash"],
         protect=F.col("__cur")["status"] == "manual_override",
     )
 
@@ -118,9 +134,9 @@ def resolve_contracts(parsed: DataFrame, events: DataFrame, players: DataFrame,
     index = _counted(players.select("entity_id", TX.market_name(F.col("full_name")).alias("wanted")).where("wanted <> ''"), ["wanted"])
     dated = match_events(parsed, events)
     staged = dated.join(settled, "player_name", "left").withColumn("wanted", TX.market_name(F.col("player_name"))).join(index, "wanted", "left")
-    n = F.coalesce(F.size("ids"), F.lit(0))
+    n = F.coalesce("__n", F.lit(0))
     mapped, named = F.col("mapped_id").isNotNull(), F.col("player_name").isNotNull()
-    entity = F.when(mapped, F.col("mapped_id")).when(named & (n == 1), F.col("ids")[0])
+    entity = F.when(mapped, F.col("mapped_id")).when(named & (n == 1), F.col("__one"))
     person = F.when(mapped, F.col("mapped_status")).when(named & (n == 1), "resolved").when(named & (n > 1), "ambiguous").otherwise("unresolved")
     staged = staged.withColumns({"entity_id": entity, "__person": person})
     full = F.col("entity_id").isNotNull() & F.col("event_id").isNotNull() & F.col("stat_type").isNotNull() & F.col("threshold").isNotNull()
@@ -143,7 +159,7 @@ def resolve_contracts(parsed: DataFrame, events: DataFrame, players: DataFrame,
         ).when(~mapped & (n == 0), F.format_string('Market name "%s" matched 0 players.', F.col("player_name"))),
     )
     return staged.withColumns({"resolution_status": status, "resolution_note": F.nullif(note, F.lit(""))}).drop(
-        "__person", "wanted", "ids", "mapped_id", "mapped_status"
+        "__person", "wanted", "__n", "__one", "__hash", "mapped_id", "mapped_status"
     )
 
 
@@ -154,7 +170,7 @@ def new_mappings(resolved: DataFrame, players: DataFrame, source: str = "market"
     out = names.withColumn("wanted", TX.market_name(F.col("player_name"))).join(index, "wanted", "left")
     return _status(out.drop("wanted")).select(
         F.lit(source).alias("source"), F.col("player_name").alias("external_id"), F.col("player_name").alias("external_name"),
-        "entity_id", "status", "candidate_ids",
+        "entity_id", "status", "candidate_count", "candidate_hash",
     )
 
 

@@ -11,7 +11,7 @@ from cutline.functions import market as M
 from cutline.functions import rows as RW
 from cutline.functions import times
 from cutline.operators import timeline as TL
-from cutline.session import cut_lineage
+from cutline.session import cut_lineage, materialize
 
 SIDES = ["yes_bid", "yes_ask", "no_bid", "no_ask"]
 STATE = ["is_recommended", "side"]
@@ -49,7 +49,7 @@ def compact_prices(book: DataFrame, heartbeat_minutes: float = K.PRICE_HEARTBEAT
         marked, ["contract_id"], "observed_at", ["observation_id"],
         {"run_no": F.when(F.col("changed"), 1).otherwise(0)}, bucket_seconds=bucket_seconds,
     )
-    narrow = runs.select("contract_id", "run_no", "observation_id", "observed_at", "changed")
+    narrow = materialize(runs.select("contract_id", "run_no", "observation_id", "observed_at", "changed"), "book-runs")
     gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(heartbeat_minutes * 60).cast("decimal(18,6)"))
     after = narrow.select("contract_id", "run_no", "observation_id", (F.col("observed_at") + gap).alias("due_at"))
     rows = narrow.select("contract_id", "run_no", F.col("observed_at").alias("at"), F.col("observation_id").alias("next_id"))

@@ -221,10 +221,9 @@ def delist(contracts: DataFrame, seen: DataFrame, sync: DataFrame, series: tuple
     delists nothing.
     """
     governed = F.col("series").isin(*series) if series else F.lit(True)
-    # One-row aggregate of the run: fixed size.
-    gate = sync.agg(((F.max("failures") == 0) & (F.max("discovered") > 0)).alias("complete"))
+    complete = sync.agg(((F.max("failures") == 0) & (F.max("discovered") > 0)).alias("complete")).scalar()
     absent = contracts.where((F.col("status") == "active") & governed).join(seen.select("ticker").distinct(), "ticker", "left_anti")
-    return absent.join(F.broadcast(gate.where("complete")), F.lit(True), "left_semi").withColumn("status", F.lit("delisted"))
+    return absent.where(complete).withColumn("status", F.lit("delisted"))
 
 
 def pipeline_start(log: DataFrame, requested: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutline import constants as K
+from cutline.operators.scalars import with_row
 
 EXACT = "decimal(28,9)"
 AXES = [("stat_type", "measure"), ("season", "season"), ("era", "era")]
@@ -145,7 +146,7 @@ def worst_bin(bins: DataFrame) -> DataFrame:
 
 def population_totals(graded: DataFrame, thresholds_per_stat: DataFrame) -> DataFrame:
     """Candidates by outcome, and the threshold observations they make."""
-    sized = graded.join(F.broadcast(thresholds_per_stat.select("measure", F.size("thresholds").alias("__t"))), "measure", "left")
+    sized = graded.join(thresholds_per_stat.select("measure", F.size("thresholds").alias("__t")), "measure", "left")
     is_ = lambda o: F.col("outcome") == o
     return sized.agg(
         F.count("*").alias("candidates"),
@@ -163,8 +164,7 @@ def exclusion_breakdown(exclusions: DataFrame, candidates: DataFrame) -> DataFra
     per = exclusions.groupBy("reason").agg(F.count("*").alias("rows"))
     removal = F.col("reason") != K.REASON_BASELINE_UNAVAILABLE
     pct = F.when(removal, F.col("rows") * 100.0 / F.greatest(F.col("candidates"), F.lit(1)))
-    # One-row total: fixed size.
-    return per.join(F.broadcast(total), how="cross").select(
+    return with_row(per, total).select(
         "reason", "rows", removal.alias("is_removal"), pct.alias("pct_of_candidates")
     )
 
@@ -172,7 +172,7 @@ def exclusion_breakdown(exclusions: DataFrame, candidates: DataFrame) -> DataFra
 def disclosures(predictions: DataFrame, exclusions: DataFrame) -> DataFrame:
     late = exclusions.agg(F.count_if(F.col("reason") == K.REASON_CUTOFF_AFTER_KICKOFF).alias("cutoff_after_kickoff_count"))
     corrected = predictions.agg(F.count_if("correction_applied").alias("correction_applied_count"))
-    return late.join(F.broadcast(corrected), how="cross")
+    return with_row(late, corrected)
 
 
 def best_series(metrics: DataFrame) -> DataFrame:
@@ -204,13 +204,13 @@ def promotion_gate(metrics: DataFrame, bins: DataFrame, continuous: list[str], *
     off = bins.agg(
         F.coalesce(F.max(~F.col("below_floor") & (F.abs(F.col("predicted_mean") - F.col("observed_rate")) > gap)), F.lit(False)).alias("bin_off")
     )
-    out = rules.join(F.broadcast(off), how="cross").withColumn("calibrated", ~F.col("bin_off")).drop("bin_off")
+    out = with_row(rules, off).withColumn("calibrated", ~F.col("bin_off")).drop("bin_off")
     return out.withColumn("promote", F.col("overall") & F.col("enough_stats") & F.col("every_era") & F.col("calibrated"))
 
 
 def contract_like_sensitivity(predictions: DataFrame, registry: DataFrame, multiples: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:
     """Contract-like counts at several multiples of the volume floors."""
-    floors = predictions.drop("floor").join(F.broadcast(registry.select("measure", F.col("floor"))), "measure")
+    floors = predictions.drop("floor").join(registry.select("measure", F.col("floor")), "measure")
     tall = floors.select("measure", "projected_value", "floor", F.explode(F.array(*[F.lit(m) for m in multiples])).alias("multiple"))
     hit = F.coalesce(F.col("projected_value") >= F.col("floor") * F.col("multiple"), F.lit(False))
     return tall.groupBy("measure", "multiple").agg(F.count_if(hit).alias("contract_like"), F.count("*").alias("predictions"))

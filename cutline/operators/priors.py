@@ -63,9 +63,10 @@ def fitted(df: DataFrame) -> DataFrame:
 def walk_forward_priors(versions: DataFrame, requests: DataFrame) -> DataFrame:
     """Fit every requested prior in one aggregation.
 
-    The requests are one row per (season, stat type, position): a few hundred,
-    whatever the data. Evidence is joined to them by broadcast and summed before
-    any shuffle, so a position holding most rows costs no more than its scan.
+    The requests are one row per (season, stat type, position). Pass them as a
+    stored table: the planner then sees that they are small and broadcasts them,
+    so the evidence is summed before any shuffle and a position holding most
+    rows costs no more than its scan. Were they large, the same join shuffles.
     """
     asked = requests.select(
         F.col("season").alias("for_season"), "measure", "position", "prior_cutoff"
@@ -73,7 +74,7 @@ def walk_forward_priors(versions: DataFrame, requests: DataFrame) -> DataFrame:
     evidence = versions.where(F.col("value").isNotNull()).select(
         "entity_id", "measure", "position", F.col("season").alias("seen_season"), "value", "visible_from", "visible_to"
     )
-    joined = evidence.join(F.broadcast(asked), ["measure", "position"]).where(
+    joined = evidence.join(asked, ["measure", "position"]).where(
         (F.col("seen_season") < F.col("for_season"))
         & (F.col("visible_from") <= F.col("prior_cutoff"))
         & (F.col("visible_to").isNull() | (F.col("visible_to") > F.col("prior_cutoff")))

@@ -110,10 +110,8 @@ def project(candidates: DataFrame, priors: DataFrame, registry: DataFrame, *, wi
         "season", "measure", "position", "sample_games", "sample_players", "fitted_from_seasons",
         *[F.col(c).alias(f"prior_{c}") for c in ("p_zero", "mu", "sigma", "mean", "variance")],
     )
-    # Both are one row per stat type (and season and position): fixed size.
-    joined = candidates.join(F.broadcast(registry), "measure").join(
-        F.broadcast(prior_cols), ["season", "measure", "position"], "left"
-    )
+    # Stored priors and the registry are small; the planner checks that itself.
+    joined = candidates.join(registry, "measure").join(prior_cols, ["season", "measure", "position"], "left")
     usable = (F.col("n_eff") >= K.MIN_ELIGIBLE_GAMES) & F.col("sample_games").isNotNull()
     ready = joined.withColumn("n_eff", F.coalesce("n_eff", F.lit(0)))
     gated = ready.withColumn("family_gate", F.when(usable, F.col("family")))

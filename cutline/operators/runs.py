@@ -10,6 +10,7 @@ from cutline.functions import market as M
 from cutline.functions import rows as RW
 from cutline.functions import times
 from cutline.operators import timeline as TL
+from cutline.operators.scalars import with_row
 
 
 def list_runs(runs: DataFrame, *, model_version: str | None = None, evaluation_window: str | None = None, limit: int | None = None) -> DataFrame:
@@ -71,8 +72,7 @@ def health_signals(attempts: DataFrame, events: DataFrame, now: Column) -> DataF
         F.max(F.when(F.col("status") == "succeeded", F.col("finished_at"))).alias("last_success_at"),
     )
     cadence = F.when(F.col("gameday"), K.PRICE_GAMEDAY_CADENCE_MINUTES).otherwise(K.PRICE_IN_WEEK_CADENCE_MINUTES)
-    # Three signals and one expectations row: fixed size on both sides.
-    joined = late.join(F.broadcast(expectations(events, now)), how="cross").join(per, "category", "left")
+    joined = with_row(late, expectations(events, now)).join(per, "category", "left")
     joined = joined.withColumn("late_after", F.coalesce("late_after", cadence * K.PRICE_LATE_CADENCE_MULTIPLIER))
     state = M.signal_state(F.col("expected"), F.col("a")["status"], F.col("a")["started_at"], F.col("last_success_at"), F.col("late_after"), now)
     return joined.select(

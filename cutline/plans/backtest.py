@@ -15,6 +15,7 @@ from cutline.operators import history as H
 from cutline.operators import priors as P
 from cutline.operators import projection as PJ
 from cutline.operators import timeline as TL
+from cutline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -43,8 +44,8 @@ def graded_candidates(
     """
     timely = targets.where(F.col("cutoff") < F.col("valid_at"))
     features = H.eligible_history(timely, versions, bucket_seconds).drop("entity_id", "measure", "valid_at", "cutoff")
-    requests = P.prior_requests(timely)
-    priors = P.walk_forward_priors(versions, requests)
+    requests = materialize(P.prior_requests(timely), "prior-requests")
+    priors = materialize(P.walk_forward_priors(versions, requests), "priors")
     candidates = targets.join(features, "target_id", "left")
     projected = PJ.project(candidates, priors, registry, with_drivers=with_drivers)
     graded = projected.join(actuals, ["entity_id", "event_id", "measure"], "left")

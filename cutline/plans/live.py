@@ -14,6 +14,7 @@ from cutline.operators import merges as MG
 from cutline.operators import priors as P
 from cutline.operators import projection as PJ
 from cutline.operators import runs as R
+from cutline.session import materialize
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,8 @@ def live_projection(contracts: DataFrame, events: DataFrame, entities: DataFrame
     )
     skipped = asked.where(F.col("cutoff") >= F.col("valid_at"))
     timely = asked.where(F.col("cutoff") < F.col("valid_at"))
-    priors = P.walk_forward_priors(versions, P.prior_requests(timely))
+    requests = materialize(P.prior_requests(timely), "prior-requests")
+    priors = materialize(P.walk_forward_priors(versions, requests), "priors")
     features = H.eligible_history(timely, versions).drop("entity_id", "measure", "valid_at", "cutoff")
     projected = PJ.project(timely.join(features, "target_id", "left"), priors, registry).withColumn("computed_at", now)
     reason = F.when(F.col("sample_games").isNull(), K.REASON_NO_PRIOR).when(F.col("n_eff") < K.MIN_ELIGIBLE_GAMES, K.REASON_INSUFFICIENT_HISTORY)

@@ -13,6 +13,7 @@ from cutline.functions import rows as RW
 from cutline.operators import identity as ID
 from cutline.operators import market as MK
 from cutline.operators import merges as MG
+from cutline.operators.scalars import with_row
 
 
 @dataclass(frozen=True)
@@ -45,9 +46,7 @@ def market_sync(markets: DataFrame, failures: DataFrame, contracts: DataFrame, l
         F.try_to_timestamp("close_time").alias("close_time"),
     )
     merged = MG.contract_merge(contracts, incoming.drop("series"), observed_at).current
-    counted = failures.agg(F.count("*").alias("failures")).join(
-        F.broadcast(markets.agg(F.count("*").alias("discovered"))), how="cross"
-    )
+    counted = with_row(failures.agg(F.count("*").alias("failures")), markets.agg(F.count("*").alias("discovered")))
     gone = MG.delist(contracts, markets, counted) if "series" in contracts.columns else MG.delist(contracts.withColumn("series", F.lit("")), markets, counted)
     final = merged.join(gone.select("ticker", F.lit(True).alias("__gone")), "ticker", "left").withColumn(
         "status", F.when(F.col("__gone"), "delisted").otherwise(F.col("status"))

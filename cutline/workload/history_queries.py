@@ -10,6 +10,7 @@ from cutline.operators import bitemporal as B
 from cutline.operators import context as CX
 from cutline.operators import history as H
 from cutline.operators import priors as P
+from cutline.session import materialize
 from cutline.workload import sql as S
 from cutline.workload import tables as T
 from cutline.workload.catalog import query, rnd
@@ -189,8 +190,7 @@ def candidate_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who was, as of each monthly fixture's cutoff, last seen with one of its teams."""
     c = T.corpus(spark, sf_dir)
     months = T.table(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").alias("w")).distinct()
-    # 25 nations: a fixed dimension.
-    games = months.join(F.broadcast(T.table(spark, sf_dir, "nation")), how="cross").select(
+    games = months.withColumn("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(24)))).select(
         (F.col("n_nationkey") * 100000 + F.datediff("w", F.lit("1990-01-01").cast("date"))).cast("long").alias("event_id"),
         F.year("w").alias("season"), F.col("n_nationkey").alias("home_team"), ((F.col("n_nationkey") + 7) % 25).alias("away_team"),
         (F.col("w") + T.hours(17)).alias("valid_at"), (F.col("w") + F.expr("INTERVAL '15:30' HOUR TO MINUTE")).alias("cutoff"),
@@ -208,7 +208,7 @@ select season, measure, position, sample_games, sample_players, {S.rnd('p_zero',
 def walk_forward_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population priors per (season, measure, segment) from earlier seasons only."""
     c = T.corpus(spark, sf_dir)
-    requests = P.prior_requests(c.targets.where(F.col("cutoff") < F.col("valid_at")))
+    requests = materialize(P.prior_requests(c.targets.where(F.col("cutoff") < F.col("valid_at"))), "prior-requests")
     out = P.walk_forward_priors(c.versions, requests)
     return out.select(
         "season", "measure", "position", "sample_games", "sample_players", rnd("p_zero", 6), rnd("mu", 5), rnd("sigma", 5),

@@ -41,12 +41,16 @@ def null_vs_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 select o_orderkey, {S.published("o_orderdate + to_hours((o_orderkey % 24)::int)")} as published_at,
-  ((o_orderdate + to_minutes((o_orderkey % 1440)::int)) at time zone 'America/New_York') at time zone 'UTC' as kickoff_utc,
+  ((o_orderdate + to_minutes((o_orderkey % 1440)::int)) at time zone 'America/New_York') at time zone 'UTC' - repeated_hour as kickoff_utc,
   make_timestamp(year(o_orderdate), 8, 1, 12, 0, 0) as season_release, o_orderdate - interval '5 days' as postseason_release,
   case when year(o_orderdate) >= 1998 then o_orderdate - interval '12 hours' else o_orderdate - interval '24 hours' end as weather_known_at
-from orders""")
+from (select *, case when o_orderdate in (timestamp '1995-10-29', timestamp '1996-10-27', timestamp '1997-10-26', timestamp '1998-10-25', timestamp '1999-10-31', timestamp '2000-10-29')
+  and (o_orderkey % 1440) // 60 = 1 then interval '1 hour' else interval '0 hours' end as repeated_hour from orders)""")
 def clock_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publication, kickoff parsing and availability bounds, across DST changes."""
+    """Publication, kickoff parsing and availability bounds, across DST changes.
+
+    A wall-clock hour that occurs twice is read as its first occurrence.
+    """
     o = T.table(spark, sf_dir, "orders")
     minute = F.col("o_orderkey") % 1440
     clock = F.concat(F.lpad(F.floor(minute / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((minute % 60).cast("string"), 2, "0"))
@@ -128,8 +132,7 @@ asked_n as (select s_suppkey, name, list_filter(string_split_regex(trim(regexp_r
 hits as (select a.s_suppkey, a.name, k.entity_id from asked_n a left join keyed k on
    case when len(a.t) >= 2 and len(a.t[1]) = 1 then substr(k.t[1], 1, 1) = a.t[1] and k.t[-1] = a.t[-1] else array_to_string(k.t, ' ') = array_to_string(a.t, ' ') end)
 select s_suppkey, name, case count(entity_id) when 0 then 'unresolved' when 1 then 'resolved' else 'ambiguous' end as status,
-       case when count(entity_id) = 1 then max(entity_id) end as entity_id,
-       case when count(entity_id) > 1 then array_to_string(list_sort(list(entity_id)), ',') end as candidate_ids
+       case when count(entity_id) = 1 then max(entity_id) end as entity_id, count(entity_id) as candidate_count
 from hits group by 1, 2""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full or initial-and-surname names against all people; ties stay ambiguous."""
@@ -139,10 +142,19 @@ def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         T.every("s_suppkey", 2), F.concat(F.upper(F.substring("full_name", 1, 1)), F.lit(". "), F.split("full_name", " ")[1])
     ).otherwise(F.concat(F.upper("full_name"), F.when(T.every("s_suppkey", 9), " III").otherwise("")))
     asked = s.join(folk, "entity_id").select("s_suppkey", name.alias("name"))
-    out = ID.resolve_names(asked, folk)
-    return out.select("s_suppkey", "name", "status", "entity_id", F.concat_ws(",", F.col("candidate_ids").cast("array<string>")).alias("c")).withColumn(
-        "candidate_ids", F.nullif("c", F.lit(""))
-    ).drop("c")
+    return ID.resolve_names(asked, folk).select("s_suppkey", "name", "status", "entity_id", "candidate_count")
+
+
+@query("""
+with p as (select s_suppkey as entity_id, p_name as full_name from supplier join part on p_partkey = s_suppkey)
+select a.n_nationkey, p.entity_id from (select n_nationkey, p_name as name from nation join part on p_partkey = n_nationkey) a
+join p on p.full_name = a.name where (select count(*) from p q where q.full_name = a.name) > 1""")
+def name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of each ambiguous name, one per row."""
+    part = T.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    folk = T.table(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("entity_id"), F.col("p_name").alias("full_name"))
+    asked = T.table(spark, sf_dir, "nation").join(part, F.col("p_partkey") == F.col("n_nationkey")).select("n_nationkey", F.col("p_name").alias("name"))
+    return ID.ambiguous_candidates(asked, folk).select("n_nationkey", "entity_id")
 
 
 @query("""
@@ -385,4 +397,4 @@ def two_sided_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("n_nationkey").alias("event_id"), F.lit(None).cast("timestamp").alias("kickoff_at"))
     sides = CX.events_by_side(games).groupBy(F.col("season").alias("n_regionkey")).agg(F.count("*").alias("sides"))
     r = T.table(spark, sf_dir, "region")
-    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).join(sides, "n_regionkey").select("n_nationkey", "n_name", "r_name", "sides")
+    return n.join(r, n.n_regionkey == r.r_regionkey).join(sides, "n_regionkey").select("n_nationkey", "n_name", "r_name", "sides")

@@ -276,12 +276,12 @@ def disclosure_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(S.with_(*RUN) + f""",
 top as (select event_id, entity_id, measure, abs_error, row_number() over (order by abs_error desc) as rn from predictions)
-select event_id, entity_id, measure, {S.rnd('abs_error', 2)} as abs_error, (select count(*) from predictions) as filtered, (select count(*) from predictions) as total
+select event_id, entity_id, measure, {S.rnd('abs_error', 4)} as abs_error, (select count(*) from predictions) as filtered, (select count(*) from predictions) as total
 from top where rn <= 50""")
 def topk_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's fifty largest errors, with how many matched and exist."""
     top = A.top_predictions(stored_run(spark, sf_dir)["predictions"], sort="err", limit=50)
-    return top.select("event_id", "entity_id", "measure", rnd("abs_error", 2), "filtered", "total")
+    return top.select("event_id", "entity_id", "measure", rnd("abs_error", 4), "filtered", "total")
 
 
 @query(S.with_(*RUN) + """
