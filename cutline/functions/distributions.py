@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutline import constants as K
 from cutline.functions.normal import SQRT2, erfc, normal_ppf
@@ -135,6 +138,64 @@ def nb_quantiles(r: Column, p: Column, grid: tuple[float, ...] = K.QUANTILE_GRID
     return F.when((r > 0) & (p > 0) & (p <= 1), walked)
 
 
+_TABLE_SCHEMA = T.StructType([
+    T.StructField("pmf", T.ArrayType(T.DoubleType())),
+    T.StructField("quantiles", T.ArrayType(T.DoubleType())),
+])
+_WALK_LIMIT = 1_000_000
+
+
+@F.pandas_udf(_TABLE_SCHEMA)
+def nb_table(r: pd.Series, p: pd.Series, cap: pd.Series) -> pd.DataFrame:
+    """PMF 0..cap and grid quantiles of a batch of count distributions.
+
+    The same recurrence as :func:`nb_pmf` and :func:`nb_quantiles`, run across
+    an Arrow batch at once. A recurrence has no built-in that carries state
+    compiled: the higher-order form costs some hundred microseconds a row here,
+    this one a few. Rows leave the walk as they reach the last quantile.
+    """
+    rr, pp = r.to_numpy("float64", na_value=np.nan), p.to_numpy("float64", na_value=np.nan)
+    caps = cap.fillna(0).to_numpy("int64")
+    usable = (rr > 0) & (pp > 0) & (pp <= 1)
+    width = int(caps.max(initial=0)) + 1
+    grid = np.array(K.QUANTILE_GRID)
+    rows = np.flatnonzero(usable)
+    shape, fail = rr[rows], 1.0 - pp[rows]
+    mass = pp[rows] ** shape
+    pmf = np.empty((len(rows), width))
+    pmf[:, 0] = mass
+    quantiles = np.where(mass[:, None] >= grid, 0.0, np.nan)
+    reached = mass.copy()
+    live = np.arange(len(rows))
+    k = 0
+    while k + 1 < width or len(live):
+        k += 1
+        if k > _WALK_LIMIT:
+            raise ValueError(f"quantile walk did not converge within {_WALK_LIMIT} terms")
+        if k < width:
+            mass = mass * (shape + k - 1.0) / k * fail
+            pmf[:, k] = mass
+            current = mass[live]
+        else:
+            if k == width:
+                tail = mass[live]
+            tail = tail * (shape[live] + k - 1.0) / k * fail[live]
+            current = tail
+        reached[live] += current
+        hit = (reached[live][:, None] >= grid) & np.isnan(quantiles[live])
+        quantiles[live] = np.where(hit, float(k), quantiles[live])
+        going = np.isnan(quantiles[live][:, -1])
+        if k >= width:
+            tail = tail[going]
+        live = live[going]
+    out_pmf: list = [None] * len(rr)
+    out_q: list = [None] * len(rr)
+    for i, row in enumerate(rows):
+        out_pmf[row] = pmf[i, : caps[row] + 1]
+        out_q[row] = quantiles[i]
+    return pd.DataFrame({"pmf": pd.Series(out_pmf, dtype=object), "quantiles": pd.Series(out_q, dtype=object)})
+
+
 # --- any stored projection ---------------------------------------------------
 
 

@@ -48,16 +48,17 @@ def describe(df: DataFrame) -> DataFrame:
     zil = (F.col("p_zero"), F.col("mu"), F.col("sigma"))
     cap = F.coalesce(F.col("pmf_cap"), F.lit(K.DEFAULT_PMF_CAP))
     named = F.lit(list(K.QUANTILE_NAMES))
-    staged = df.withColumns({
+    counted = df.withColumn("__nb", D.nb_table(F.col("r"), F.col("p"), F.when(count, cap)))
+    staged = counted.withColumns({
         "distribution_kind": F.when(cont, K.KIND_ZIL).when(count, K.KIND_NB),
         "params": F.struct(*PARAMS),
         "projected_value": F.when(cont, D.zil_mean(*zil)).when(count, D.nb_mean(F.col("r"), F.col("p"))),
         "quantiles": F.map_from_arrays(
-            named, F.when(cont, D.zil_quantiles(*zil)).when(count, D.nb_quantiles(F.col("r"), F.col("p")))
+            named, F.when(cont, D.zil_quantiles(*zil)).when(count, F.col("__nb")["quantiles"])
         ),
-        "pmf": F.when(count, D.nb_pmf(F.col("r"), F.col("p"), cap)),
+        "pmf": F.when(count, F.col("__nb")["pmf"]),
         "mass_below_zero": F.lit(0.0),
-    })
+    }).drop("__nb")
     q = F.col("quantiles")
     staged = staged.withColumns({
         "projected_median": q["q50"],
