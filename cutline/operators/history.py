@@ -134,6 +134,13 @@ def eligible_history(
     targets: DataFrame, versions: DataFrame, bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS
 ) -> DataFrame:
     """Targets with window features, n_eff and both naive baselines."""
+    return eligible_history_rows(targets, versions, bucket_seconds).drop("window")
+
+
+def eligible_history_rows(
+    targets: DataFrame, versions: DataFrame, bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS
+) -> DataFrame:
+    """:func:`eligible_history` with the window's own lines kept."""
     windows = form_features(trailing_window(targets, versions, bucket_seconds=bucket_seconds))
     seasons = season_totals(targets, versions, bucket_seconds)
     average = F.when(F.col("season_n") > 0, F.col("season_total").cast("double") / F.col("season_n"))
