@@ -90,3 +90,19 @@ def hidden_records(targets: DataFrame, facts: DataFrame, context: DataFrame, lim
     stats = after(facts, "fact", F.lit(limit), base)
     rest = after(context, "context", F.col("room"), left)
     return stats.unionByName(rest)
+
+
+def explain(prediction_id: str, predictions: DataFrame, registry: DataFrame, observations: DataFrame, sources: list[str],
+            facts: DataFrame, context: DataFrame) -> dict[str, DataFrame]:
+    """Everything the explain report shows of one prediction, as frames.
+
+    ``observations``: entity_id, event_id, source, known_at, value.
+    """
+    row = predictions.where(F.col("prediction_id") == prediction_id)
+    asked = row.select(F.col("prediction_id").alias("target_id"), "entity_id", "event_id", "cutoff")
+    return {
+        "row": row.withColumn("cutoff_at_or_after_kickoff", F.col("cutoff") >= F.col("valid_at")),
+        "grid": grid_probabilities(row, registry),
+        "visible": latest_visible(asked, observations, ["entity_id", "event_id"], sources),
+        "hidden": hidden_records(asked.drop("event_id"), facts, context),
+    }

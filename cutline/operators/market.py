@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cutline import constants as K
 from cutline.functions import distributions as D
 from cutline.functions import market as M
+from cutline.functions import numbers as N
 from cutline.functions import rows as RW
 from cutline.functions import times
 from cutline.operators import timeline as TL
@@ -180,6 +181,16 @@ def slate(contracts: DataFrame, events: DataFrame, projections: DataFrame, price
     return rank_slate(rows), open_events.join(book, "contract_id", "left")
 
 
+def contract_detail(rows: DataFrame, projections: DataFrame, drivers: DataFrame, contract_id) -> tuple[DataFrame, DataFrame]:
+    """One slate row with its projection's quantiles, interval and mid price, and
+    that projection's drivers in rank order."""
+    row = rows.where(F.col("contract_id") == contract_id)
+    extra = projections.select("projection_id", "quantiles", "projected_value", "projected_median", "interval_low", "interval_high", "n_eff")
+    detail = row.join(extra, "projection_id", "left").withColumn("yes_mid", N.mid_price(F.col("yes_bid"), F.col("yes_ask")))
+    told = drivers.join(row.select("projection_id"), "projection_id", "left_semi").orderBy("rank")
+    return detail, told
+
+
 def final_snapshots(contracts: DataFrame, events: DataFrame, stored: DataFrame, projections: DataFrame, prices: DataFrame,
                     now: Column, minutes: int = K.FINAL_SNAPSHOT_WINDOW_MINUTES) -> DataFrame:
     """One frozen row per resolved contract inside the final window, once ever."""

@@ -27,6 +27,13 @@ class Backtest:
     priors: DataFrame
 
 
+def events_in_scope(events: DataFrame, first: int, last: int, season_types: tuple[str, ...] = ("REG",), limit: int | None = None) -> DataFrame:
+    """Events of the asked seasons. ``limit`` is the caller's recorded bound on a
+    run: the first events by kickoff, ids breaking ties."""
+    scope = events.where(F.col("season").between(first, last) & F.col("season_type").isin(*season_types))
+    return scope if limit is None else scope.orderBy("valid_at", "event_id").limit(limit)
+
+
 def graded_candidates(
     targets: DataFrame,
     versions: DataFrame,
