@@ -111,8 +111,10 @@ def project(candidates: DataFrame, priors: DataFrame, registry: DataFrame, *, wi
         "season", "measure", "position", "sample_games", "sample_players", "fitted_from_seasons",
         *[F.col(c).alias(f"prior_{c}") for c in ("p_zero", "mu", "sigma", "mean", "variance")],
     )
-    # Stored priors and the registry are small; the planner checks that itself.
-    joined = candidates.join(registry, "measure").join(prior_cols, ["season", "measure", "position"], "left")
+    # The registry has one row per stat type. The hint matters when a caller's
+    # stat type is a constant: the equality then folds away and an unhinted join
+    # would become a cartesian product. Stored priors are sized by the planner.
+    joined = candidates.join(F.broadcast(registry), "measure").join(prior_cols, ["season", "measure", "position"], "left")
     usable = (F.col("n_eff") >= K.MIN_ELIGIBLE_GAMES) & F.col("sample_games").isNotNull()
     ready = joined.withColumn("n_eff", F.coalesce("n_eff", F.lit(0)))
     gated = ready.withColumn("family_gate", F.when(usable, F.col("family")))
