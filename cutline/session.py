@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,33 @@ def build_session(app: str = "cutline", cpus: str | int | None = None) -> SparkS
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once for each session: they unpickle functions by module name."""
+    if spark.conf.get("cutline.shipped", None):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "cutline.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set("cutline.shipped", "1")
+
+
+def shipped(fn):
+    """The query ``fn(spark, ...)``, whose workers can import this package."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *args):
+        ship(spark)
+        return fn(spark, *args)
+
+    return run
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     """Every clock in this library is UTC; zone names are always explicit."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
