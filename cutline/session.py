@@ -29,6 +29,7 @@ def build_session(app: str = "cutline", cpus: str | int | None = None) -> SparkS
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
