@@ -66,9 +66,9 @@ def by_slice(columns: dict[str, pa.DataType], work: Callable, text: str = "text"
     return run
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Beginning and end of each word, and the first word of each text (one more than texts)."""
-    solid = ~SPACE[raw]
+    solid = ~space[raw]
     edge = np.empty(len(raw) + 1, bool)
     edge[0], edge[-1] = (len(raw) > 0 and solid[0]), False
     edge[1:-1] = solid[1:] & ~solid[:-1]

@@ -39,3 +39,31 @@ def op2_byte_bpe(spark, sf_dir):
     from cutline.llm import bpe
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def op3_language_divergence(spark, sf_dir):
+    """Base rules and distances to the language references of every document."""
+    from cutline.llm import divergence
+
+    return divergence.quality(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_toxicity_ftrl(spark, sf_dir):
+    """Scores of all documents by a model that never saw the held-out third."""
+    from cutline.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op6_simhash_ball(spark, sf_dir):
+    """Components of fingerprints within four bits."""
+    from cutline.llm import simhash
+
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
