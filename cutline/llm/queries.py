@@ -67,3 +67,101 @@ def op6_simhash_ball(spark, sf_dir):
     from cutline.llm import simhash
 
     return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_repeated_passages(spark, sf_dir):
+    """What is left of every document without its repeated 100-byte strings."""
+    from cutline.llm import suffix
+
+    return suffix.digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_id_shards(spark, sf_dir):
+    """Every document's ids, read back from their shards by key."""
+    from cutline.llm import idfile
+
+    return idfile.stored(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "word", 2)
+
+
+@query()
+def op9_configuration_packing(spark, sf_dir):
+    """Every document's pieces in sequences of 1024 tokens."""
+    from cutline.llm import packing
+
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query()
+def op4_posting_lists(spark, sf_dir):
+    """Five nearest vectors of every fiftieth."""
+    from cutline.llm import posting
+
+    return posting.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query()
+def op10_secret_scan(spark, sf_dir):
+    """Secrets in every document, by shape and by entropy."""
+    from cutline.llm import secrets
+
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+_PAIRS = """
+turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p
+  from conversations where conv_id is not null),
+replies as (select conv_id, max(p) as p from turns where role = 'assistant' group by conv_id),
+swaps as (select r.conv_id, r.p, t.text from replies r join turns t on t.conv_id = r.conv_id and t.p = r.p),
+sides as (
+  select conv_id, 'chosen' as side, role, text, p from turns
+  union all
+  select t.conv_id, 'rejected', t.role, t.text, t.p from turns t left join replies r on t.conv_id = r.conv_id where t.p < coalesce(r.p, 9223372036854775807)
+  union all
+  select a.conv_id, 'rejected', 'assistant', b.text, a.p from swaps a join swaps b on b.conv_id = xor(a.conv_id, 1)),
+placed as (select conv_id, side, role, text, row_number() over (partition by conv_id, side order by p) as p from sides),
+"""
+
+_OP1 = f"""
+with {_PAIRS}
+counted as (select conv_id, count(*) filter (side = 'chosen') as chosen_turns, count(*) filter (side = 'rejected') as rejected_turns from placed group by conv_id),
+same as (
+  select a.conv_id, a.p, a.p - row_number() over (partition by a.conv_id order by a.p) as gap
+  from placed a join placed b on a.conv_id = b.conv_id and a.p = b.p and a.side = 'chosen' and b.side = 'rejected' and a.role = b.role and a.text = b.text),
+common as (select c.conv_id, c.chosen_turns, c.rejected_turns, count(s.p) as prompt_turns from counted c left join same s on s.conv_id = c.conv_id and s.gap = 0 group by all),
+shown as (
+  select p.*, c.prompt_turns, '<|' || role || '|>' || chr(10) as head, text || '<|end|>' as body, p.p <= c.prompt_turns as is_prompt
+  from placed p join common c using (conv_id)),
+lengths as (
+  select *, sum(length(head) + length(body) + 1) over (partition by conv_id, side, is_prompt order by p) - length(body) - 1 as begins from shown)
+select c.conv_id, c.chosen_turns, c.rejected_turns, c.prompt_turns,
+  coalesce(string_agg(head || body || chr(10), '' order by p) filter (is_prompt and side = 'chosen'), '') as prompt,
+  coalesce(string_agg(head || body || chr(10), '' order by p) filter (not is_prompt and side = 'chosen'), '') as chosen,
+  coalesce(string_agg(begins::bigint || ':' || (begins + length(body))::bigint, ',' order by p) filter (not is_prompt and side = 'chosen' and role = 'assistant'), '') as chosen_spans,
+  coalesce(string_agg(head || body || chr(10), '' order by p) filter (not is_prompt and side = 'rejected'), '') as rejected,
+  coalesce(string_agg(begins::bigint || ':' || (begins + length(body))::bigint, ',' order by p) filter (not is_prompt and side = 'rejected' and role = 'assistant'), '') as rejected_spans
+from common c join lengths l using (conv_id) group by all
+"""
+
+
+@query(_OP1)
+def op1_preference_pairs(spark, sf_dir):
+    """Each conversation against itself with the last reply of its sibling (the id with its last bit flipped)."""
+    from pyspark.sql import Window
+
+    from cutline.llm import chat
+
+    turns = table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
+    turns = turns.withColumn("p", place.cast("long"))
+    last = F.max(F.when(F.col("role") == "assistant", F.struct("p", "text")))
+    replies = turns.groupBy("conv_id").agg(last.alias("last"))
+    sibling = replies.where("last is not null").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("other"))
+    swaps = replies.where("last is not null").join(sibling, "conv_id").select("conv_id", F.col("last.p").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    chosen = turns.select("conv_id", F.lit("chosen").alias("side"), F.col("p").alias("turn"), "role", "text")
+    before = turns.join(replies, "conv_id").where(F.col("last").isNull() | (F.col("p") < F.col("last.p"))).select("conv_id", F.lit("rejected").alias("side"), F.col("p").alias("turn"), "role", "text")
+    swapped = swaps.select("conv_id", F.lit("rejected").alias("side"), "turn", "role", "text")
+    return chat.preference(chosen.unionByName(before).unionByName(swapped), "conv_id")
