@@ -54,14 +54,15 @@ def grid_probabilities(predictions: DataFrame, registry: DataFrame, at: float |
     )
 
 
-def latest_visible(targets: DataFrame, observations: DataFrame, keys: list[str], sources: list[str],
+def latest_visible(targets: DataFrame, observations: DataFrame, keys: list[str],
                    bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """The newest record per target and source that its cutoff could see.
 
-    ``sources`` is the short fixed list of sources, so a target asks once per
-    source; sources it saw nothing of have no row.
+    A target asks once for each source that its keys have any record of;
+    sources it saw nothing of have no row.
     """
-    asked = targets.select("target_id", *keys, "cutoff", F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"))
+    held = observations.select(*keys, "source").distinct()
+    asked = targets.select("target_id", *keys, "cutoff").join(held, keys)
     right = observations.select(*keys, "source", "known_at", "value").withColumn("value_known_at", F.col("known_at"))
     out = TL.asof_latest(asked, right, [*keys, "source"], "cutoff", "known_at", ["value", "value_known_at"], right_order=["value"],
                          bucket_seconds=bucket_seconds)
@@ -92,7 +93,7 @@ def hidden_records(targets: DataFrame, facts: DataFrame, context: DataFrame, lim
     return stats.unionByName(rest)
 
 
-def explain(prediction_id: str, predictions: DataFrame, registry: DataFrame, observations: DataFrame, sources: list[str],
+def explain(prediction_id: str, predictions: DataFrame, registry: DataFrame, observations: DataFrame,
             facts: DataFrame, context: DataFrame) -> dict[str, DataFrame]:
     """Everything the explain report shows of one prediction, as frames.
 
@@ -103,6 +104,6 @@ def explain(prediction_id: str, predictions: DataFrame, registry: DataFrame, obs
     return {
         "row": row.withColumn("cutoff_at_or_after_kickoff", F.col("cutoff") >= F.col("valid_at")),
         "grid": grid_probabilities(row, registry),
-        "visible": latest_visible(asked, observations, ["entity_id", "event_id"], sources),
+        "visible": latest_visible(asked, observations, ["entity_id", "event_id"]),
         "hidden": hidden_records(asked.drop("event_id"), facts, context),
     }

@@ -15,7 +15,7 @@ def crosswalk(players: DataFrame, external: str, internal: str) -> DataFrame:
     """External id to entity id, incomplete pairs dropped."""
     return players.where(F.col(external).isNotNull() & F.col(internal).isNotNull() & (F.col(external) != "") & (F.col(internal) != "")).select(
         F.col(external), F.col(internal).alias("entity_key")
-    ).dropDuplicates([external])
+    ).groupBy(external).agg(F.min("entity_key").alias("entity_key"))
 
 
 def events_by_side(events: DataFrame) -> DataFrame:

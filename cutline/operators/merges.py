@@ -120,10 +120,15 @@ class UnknownTeam(ValueError):
 
 
 def require_known_teams(schedule: DataFrame, teams: DataFrame, code: str = "team_code") -> None:
+    found = unknown_teams(schedule, teams, code).agg(F.count("*").alias("n"), F.min(code).alias("first")).first()
+    if found.n:
+        raise UnknownTeam(f"{found.n} unknown team codes in schedule, first {found['first']}; unknown_teams lists them")
+
+
+def unknown_teams(schedule: DataFrame, teams: DataFrame, code: str = "team_code") -> DataFrame:
+    """Every code that the schedule names and the dimension does not hold."""
     used = schedule.select(F.explode(F.array("home_team", "away_team")).alias(code)).distinct()
-    missing = [r[0] for r in used.join(teams.select(code), code, "left_anti").limit(20).collect()]
-    if missing:
-        raise UnknownTeam(f"unknown team code in schedule: {', '.join(sorted(missing))}")
+    return used.join(teams.select(code), code, "left_anti")
 
 
 def schedule_merge(current: DataFrame, incoming: DataFrame, revision_known_at: Column) -> Merge:
@@ -161,9 +166,9 @@ def schedule_merge(current: DataFrame, incoming: DataFrame, revision_known_at: C
     return Merge(merged, log, staged.select("event_id", "action").unionByName(undated))
 
 
-def append_if_new(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> Merge:
-    """Rows whose key is neither stored nor repeated within the batch."""
-    first = TL.earliest_per_key(incoming, keys, order) if order else incoming.dropDuplicates(keys)
+def append_if_new(current: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> Merge:
+    """Rows whose key is neither stored nor repeated within the batch; of repeats the first by ``order``."""
+    first = TL.earliest_per_key(incoming, keys, order)
     fresh = first.join(current.select(*keys), keys, "left_anti")
     actions = fresh.select(*keys, F.lit("inserted").alias("action"))
     return Merge(current.unionByName(fresh, allowMissingColumns=True), fresh, actions)

@@ -1,79 +1,118 @@
-"""Deduplicated and correcting ingest over streams."""
+"""Streams into tables whose content does not depend on the order of arrival.
+
+No watermark stands in front of a sink, so a row is never too late. Two sinks:
+``append_batch`` appends rows whose key is new; ``rederive_batch`` stores every row
+and works out the touched keys anew by a batch rule, so that a late row changes
+the answer the way it would have, had it come in time.
+
+A replayed micro-batch rewrites its own partitions and nothing else.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cutline.operators import merges as MG
 from cutline.operators import timeline as TL
 
 OBSERVATION_KEY = ["entity_id", "event_id", "context_type", "known_at", "source"]
+INVOCATION_KEY = ["category", "invocation_id"]
 
 
-def dedup_invocations(ticks: DataFrame, started: str = "started_at", within: str = "7 days") -> DataFrame:
-    """A re-delivered (category, invocation) tick is a no-op."""
-    return ticks.withWatermark(started, within).dropDuplicatesWithinWatermark(["category", "invocation_id"])
-
-
-def dedup_observations(observations: DataFrame, within: str = "30 days") -> DataFrame:
-    """Append-only observations by their five-part key. A new known_at is a new
-    observation; a replay inside the watermark is dropped, one past it is caught
-    by the key anti-join of :func:`append_batch`."""
-    return observations.withWatermark("known_at", within).dropDuplicatesWithinWatermark(OBSERVATION_KEY)
-
-
-def _stored(spark: SparkSession, root: str, schema: str, before: int) -> DataFrame:
-    """Rows of earlier batches of a table partitioned by batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    rows = spark.read.schema(f"{schema}, batch long").parquet(root)
-    return rows.where(F.col("batch") < before).drop("batch")
+def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table partitioned by batch; empty where nothing was written yet."""
+    try:
+        return spark.read.schema(f"{schema}, batch long").parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], f"{schema}, batch long")
 
 
 def _append(df: DataFrame, root: str, batch_id: int) -> None:
-    """A replayed batch rewrites its own partition and nothing else."""
     df.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 
 def append_batch(root: str, schema: str, keys: list[str], order: list[str] | None = None):
-    """foreachBatch sink appending only rows whose key is new."""
+    """foreachBatch sink appending only rows whose key is new, however late.
+
+    Of the rows of one batch with one key the first by ``order`` stays (by default
+    the order of all other columns).
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, root, schema, batch_id)
-        _append(MG.append_if_new(stored, batch, keys, order).log, root, batch_id)
+        stored = _rows(batch.sparkSession, root, schema).where(F.col("batch") < batch_id).drop("batch")
+        by = order or [c for c in batch.columns if c not in keys] or keys
+        _append(MG.append_if_new(stored, batch, keys, by).log, root, batch_id)
 
     return sink
 
 
-def correction_batch(root: str, schema: str, measures: list[str], arrived_at: str = "arrived_at"):
-    """foreachBatch sink: late facts become logged corrections.
+def rederive_batch(root: str, schema: str, keys: list[str], derive: Callable[[DataFrame], DataFrame]):
+    """foreachBatch sink that stores all rows and derives the touched keys from all of theirs.
 
-    A fact arriving after its line was stored is not dropped by any watermark.
-    It goes through the correction merge, dated by its own arrival, so no as-of
-    read at an earlier cutoff can change. Versions are appended under
-    ``<root>/current`` and corrections under ``<root>/log``; only the lines the
-    batch touches are read back.
+    ``<root>/rows`` holds what came, ``<root>/derived`` the results of each batch and
+    ``<root>/touched`` the keys they replace. Read the current state with ``derived``.
+    A micro-batch reads the stored rows of the keys it touches and no others.
     """
-    keys = ["entity_id", "event_id"]
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        incoming = MG.last_wins(batch, keys, arrived_at)
-        touched = _stored(spark, f"{root}/current", schema, batch_id).join(incoming.select(*keys), keys, "left_semi")
-        merged = MG.correction_merge(TL.latest_per_key(touched, keys, ["version"]), incoming.drop(arrived_at), measures, F.lit(None).cast("timestamp"))
-        arrivals = incoming.select(*keys, F.col(arrived_at).alias("__arrived"))
-        acted = merged.actions.where(F.col("action").isin("inserted", "corrected"))
-        rows = merged.current.join(acted.select(*keys), keys, "left_semi").join(arrivals, keys)
-        rows = rows.withColumn("known_at", F.coalesce("known_at", "__arrived")).drop("__arrived")
-        log = merged.log.join(arrivals, keys).withColumn("known_at", F.col("__arrived")).drop("__arrived")
-        _append(log, f"{root}/log", batch_id)
-        _append(rows, f"{root}/current", batch_id)
+        _append(batch, f"{root}/rows", batch_id)
+        rows = _rows(spark, f"{root}/rows", schema).where(F.col("batch") <= batch_id).drop("batch")
+        touched = batch.select(*keys).distinct()
+        _append(touched, f"{root}/touched", batch_id)
+        _append(derive(rows.join(touched, keys, "left_semi")), f"{root}/derived", batch_id)
 
     return sink
 
 
+def derived(spark: SparkSession, root: str, schema: str, keys: list[str], key_schema: str) -> DataFrame:
+    """The current results: those of the last batch that touched their key."""
+    last = _rows(spark, f"{root}/touched", key_schema).groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return _rows(spark, f"{root}/derived", schema).join(last, [*keys, "batch"]).drop("batch")
+
+
+def arrival_versions(arrivals: DataFrame, measures: list[str], arrived_at: str = "arrived_at", keys: tuple[str, str] = ("entity_id", "event_id")) -> DataFrame:
+    """Every version of each line: its first arrival, then each arrival that differs from the one before it.
+
+    The first is known from its publication, a correction from its own arrival, so
+    no as-of read at an earlier cutoff can change. Keeps both snapshots of a correction.
+    A window spans one line.
+    """
+    from cutline.functions import times
+
+    line = Window.partitionBy(*keys).orderBy(arrived_at, *measures)
+    rows = arrivals.withColumn("__nth", F.row_number().over(line)).withColumn("__prev", F.lag(F.struct(*measures)).over(line))
+    differs = F.lit(False)
+    for m in measures:
+        differs = differs | ~F.col(m).eqNullSafe(F.col("__prev")[m])
+    first = F.col("__nth") == 1
+    kept = rows.where(first | differs)
+    snapshot = lambda side: F.create_map(*[x for m in measures for x in (F.lit(m), side(m).cast("double"))])
+    return kept.select(
+        *keys, "team", *measures, F.row_number().over(line).alias("version"), "valid_at",
+        F.when(first, times.published_at(F.col("valid_at"))).otherwise(F.col(arrived_at)).alias("known_at"),
+        F.when(~first, snapshot(lambda m: F.col("__prev")[m])).alias("prior_values"),
+        F.when(~first, snapshot(F.col)).alias("corrected_values"),
+    )
+
+
+def correction_batch(root: str, schema: str, measures: list[str], arrived_at: str = "arrived_at"):
+    """foreachBatch sink for late facts: every arrival of a touched line, in the order of arrival, whatever the micro-batches."""
+    return rederive_batch(root, schema, ["entity_id", "event_id"], lambda rows: arrival_versions(rows, measures, arrived_at))
+
+
+def current_lines(versions: DataFrame) -> DataFrame:
+    return TL.latest_per_key(versions, ["entity_id", "event_id"], ["version"]).drop("prior_values", "corrected_values")
+
+
+def correction_log(versions: DataFrame) -> DataFrame:
+    return versions.where("prior_values is not null").select("entity_id", "event_id", "version", "prior_values", "corrected_values", "known_at")
+
+
 def run_available(stream: DataFrame, sink, checkpoint: str) -> None:
     """Drive a foreachBatch stream over what is there now, then stop."""
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

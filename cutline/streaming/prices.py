@@ -1,109 +1,52 @@
-"""Stateful price and recommendation rules over streams.
+"""Price and recommendation rules over streams.
 
-State per key is a few scalars. A micro-batch's rows for a key are ordered
-before the rule runs, so size micro-batches with the source's rate limit
-(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``); whole histories go through
-the batch twins in ``operators.market``, which split a hot key.
-Rows at or before a key's last handled instant are replays and change nothing.
+Each rule is the batch operator of ``operators.market`` behind a sink that
+stores every row: a micro-batch re-derives the contracts it touches, so rows may
+come in any order and no row is too late. The batch operators split a hot
+contract by time, which a state per contract could not.
 """
 
 from __future__ import annotations
 
-from typing import Any, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cutline import constants as K
 from cutline.functions import times
-from cutline.operators.market import SIDES
+from cutline.operators import market as MK
+from cutline.operators import timeline as TL
+from cutline.streaming.ingest import rederive_batch
 
 BOOK_SCHEMA = "contract_id long, observation_id long, observed_at timestamp, yes_bid int, yes_ask int, no_bid int, no_ask int"
-_BOOK_STATE = "last_seen_us long, last_kept_us long, yes_bid int, yes_ask int, no_bid int, no_ask int"
+STATE_SCHEMA = "contract_id long, at timestamp, seq long, is_recommended boolean, side string"
 TRANSITION_SCHEMA = "contract_id long, at timestamp, seq long, is_recommended boolean, side string, trigger string"
-_TRANSITION_STATE = "last_seen_us long, last_seq long, written boolean, is_recommended boolean, side string"
-
-
-def _micros(column: pd.Series) -> list[int]:
-    return column.astype("datetime64[us]").astype("int64").tolist()
-
+_DAY = 86_400
 
-def _side(value: Any) -> int | None:
-    return None if pd.isna(value) else int(value)
 
+def compaction_batch(root: str, heartbeat_minutes: float = K.PRICE_HEARTBEAT_MINUTES, bucket_seconds: int = 7 * _DAY):
+    """Sink keeping the books that changed or are a heartbeat past the last kept one."""
 
-def _ordered(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(chunks), ignore_index=True).sort_values(by, kind="stable", ignore_index=True)
+    def kept(book: DataFrame) -> DataFrame:
+        unique = TL.earliest_per_key(book, ["contract_id", "observation_id"], ["observed_at", *MK.SIDES])
+        return MK.compact_prices(unique, heartbeat_minutes, bucket_seconds).select(*[c.split()[0] for c in BOOK_SCHEMA.split(", ")])
 
+    return rederive_batch(root, BOOK_SCHEMA, ["contract_id"], kept)
 
-def compact_stream(book: DataFrame, heartbeat_minutes: float = K.PRICE_HEARTBEAT_MINUTES) -> DataFrame:
-    """Emit a book that changed or is a heartbeat past the last emitted one."""
-    gap = int(heartbeat_minutes * 60_000_000)
 
-    def rule(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(chunks, ["observed_at", "observation_id"])
-        seen, kept, *sides = state.get if state.exists else (None, None, None, None, None, None)
-        keep = []
-        for i, (at, *values) in enumerate(zip(_micros(rows["observed_at"]), *[rows[s] for s in SIDES])):
-            if seen is not None and at < seen:
-                continue
-            now = [_side(v) for v in values]
-            if kept is None or now != sides or at - kept >= gap:
-                keep.append(i)
-                kept, sides = at, now
-            seen = at
-        state.update((seen, kept, *sides))
-        out = rows.iloc[keep][["contract_id", "observation_id", "observed_at", *SIDES]].copy()
-        for s in SIDES:
-            out[s] = out[s].astype("Int32")
-        yield out
+def transition_batch(root: str, bucket_seconds: int = 7 * _DAY):
+    """Sink writing ``appeared`` and ``state_changed`` rows of slate states.
 
-    grouped = book.select("contract_id", "observation_id", "observed_at", *SIDES).groupBy("contract_id")
-    return grouped.applyInPandasWithState(rule, BOOK_SCHEMA, _BOOK_STATE, "append", GroupStateTimeout.NoTimeout)
+    It sees only its own writes; snapshots of other triggers belong to the batch operator.
+    """
 
+    def written(states: DataFrame) -> DataFrame:
+        unique = TL.earliest_per_key(states, ["contract_id", "at", "seq"], ["is_recommended", "side"])
+        return MK.transitions(unique, bucket_seconds=bucket_seconds).select(*[c.split()[0] for c in TRANSITION_SCHEMA.split(", ")])
 
-def transition_stream(states: DataFrame) -> DataFrame:
-    """``appeared`` and ``state_changed`` rows from a stream of slate states.
+    return rederive_batch(root, STATE_SCHEMA, ["contract_id"], written)
 
-    The stream sees only its own writes; snapshots of other triggers belong to
-    the batch twin.
-    """
 
-    def rule(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _ordered(chunks, ["at", "seq"])
-        seen, last_seq, written, rec, side = state.get if state.exists else (None, None, False, False, None)
-        keep, triggers = [], []
-        for i, (at, seq, now_rec, now_side) in enumerate(
-            zip(_micros(rows["at"]), rows["seq"], rows["is_recommended"], rows["side"])
-        ):
-            if seen is not None and (at, seq) <= (seen, last_seq):
-                continue
-            seen, last_seq = at, int(seq)
-            now_side = None if pd.isna(now_side) else now_side
-            trigger = None
-            if not written:
-                trigger = "appeared" if now_rec else None
-            elif bool(now_rec) != rec or (now_rec and now_side != side):
-                trigger = "state_changed"
-            if trigger:
-                keep.append(i)
-                triggers.append(trigger)
-                written, rec, side = True, bool(now_rec), now_side
-        state.update((seen, last_seq, written, rec, side))
-        out = rows.iloc[keep][["contract_id", "at", "seq", "is_recommended", "side"]].copy()
-        out["trigger"] = triggers
-        yield out
-
-    grouped = states.select("contract_id", "at", "seq", "is_recommended", "side").groupBy("contract_id")
-    return grouped.applyInPandasWithState(rule, TRANSITION_SCHEMA, _TRANSITION_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def final_capture(states: DataFrame, kickoff: str = "kickoff_at", at: str = "at", minutes: int = K.FINAL_SNAPSHOT_WINDOW_MINUTES) -> DataFrame:
-    """The first state of each contract inside its final window, exactly once.
-
-    State is one flag per contract, because a contract is captured once ever.
-    """
+def final_capture_batch(root: str, schema: str, kickoff: str = "kickoff_at", at: str = "at", order: tuple[str, ...] = (), minutes: int = K.FINAL_SNAPSHOT_WINDOW_MINUTES):
+    """Sink capturing the first state of each contract inside its final window, as a whole row."""
     inside = times.kicks_off_within(F.col(kickoff), F.col(at), minutes=minutes)
-    return states.where(inside).dropDuplicates(["contract_id"])
+    return rederive_batch(root, schema, ["contract_id"], lambda rows: TL.earliest_per_key(rows.where(inside), ["contract_id"], [at, *order]))

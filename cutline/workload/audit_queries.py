@@ -42,13 +42,13 @@ def leakage_hidden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 with asked as (select user_id, min(ts) + interval '15 days' as cutoff from events group by 1),
 obs as (select user_id, event_type as source, ts as known_at, json_extract_string(props, '$.k') as value from events)
 select a.user_id as target_id, o.source, arg_max(o.value, (o.known_at, o.value)) as value, max(o.known_at) as known_at
-from asked a join obs o on o.user_id = a.user_id and o.known_at <= a.cutoff where o.source in ('click', 'view', 'error', 'purchase') group by 1, 2""")
+from asked a join obs o on o.user_id = a.user_id and o.known_at <= a.cutoff group by 1, 2""")
 def latest_visible_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest record per source that a cutoff could see."""
     e = T.table(spark, sf_dir, "events")
     obs = e.select("user_id", F.col("event_type").alias("source"), F.col("ts").alias("known_at"), F.get_json_object("props", "$.k").alias("value"))
     asked = e.groupBy("user_id").agg((F.min("ts") + T.days(15)).alias("cutoff")).withColumn("target_id", F.col("user_id"))
-    return A.latest_visible(asked, obs, ["user_id"], ["click", "view", "error", "purchase"], bucket_seconds=7 * 86400)
+    return A.latest_visible(asked, obs, ["user_id"], bucket_seconds=7 * 86400)
 
 
 _RUNS = """runs as (

@@ -1,4 +1,8 @@
-"""Structured Streaming over the events table, run to completion."""
+"""Structured Streaming over the events table, run to completion.
+
+Events are dealt to micro-batches by a hash of their id, so that every batch
+holds rows older than those of the batches before it.
+"""
 
 from __future__ import annotations
 
@@ -14,60 +18,130 @@ from cutline.workload import market_queries as MQ
 from cutline.workload import tables as T
 from cutline.workload.catalog import query
 
+BATCHES = 3
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    use_utc(spark)
-    return spark.readStream.schema(T.SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
+def new_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
-def drained(stream: DataFrame) -> DataFrame:
-    """Run a stream over what is there into the shared folder and read it back."""
-    spark = stream.sparkSession
-    root = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    run = (
-        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
-        .trigger(availableNow=True).start()
+
+def streamed(spark: SparkSession, sf_dir: str, rows, sink, root: str) -> None:
+    """All events through ``rows`` into ``sink``, one file for each micro-batch, out of order."""
+    use_utc(spark)
+    dealt = T.table(spark, sf_dir, "events").withColumn("dealt", F.pmod(F.hash("event_id"), F.lit(BATCHES)))
+    for k in range(BATCHES):
+        dealt.where(F.col("dealt") == k).drop("dealt").coalesce(1).write.parquet(f"{root}/in/{k}")
+    stream = (
+        spark.readStream.schema(T.SCHEMAS["events"]).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.parquet").parquet(f"{root}/in")
     )
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    SI.run_available(rows(stream), sink, f"{root}/state")
+
+
+def stored(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch long").parquet(root).drop("batch")
 
 
 @query(MQ.COMPACTION)
 def stream_price_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change-or-heartbeat compaction as a stateful stream."""
-    book = MQ.coarse_book(event_stream(spark, sf_dir))
-    return drained(SP.compact_stream(book, MQ.HEARTBEAT_MINUTES)).select("contract_id", "observation_id")
+    """Change-or-heartbeat compaction of books that arrive in any order."""
+    root = new_root(spark)
+    streamed(spark, sf_dir, MQ.coarse_book, SP.compaction_batch(f"{root}/out", MQ.HEARTBEAT_MINUTES), root)
+    return SI.derived(spark, f"{root}/out", SP.BOOK_SCHEMA, ["contract_id"], "contract_id long").select("contract_id", "observation_id")
+
+
+@query(f"with w as ({MQ.COMPACTION}) select w.contract_id, w.observation_id, e.ts as observed_at, (floor(e.value / 200) * 20 + 5)::int as yes_ask from w join events e on e.event_id = w.observation_id")
+def stream_late_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept books as whole rows, most of which came after later ones."""
+    root = new_root(spark)
+    streamed(spark, sf_dir, MQ.coarse_book, SP.compaction_batch(f"{root}/out", MQ.HEARTBEAT_MINUTES), root)
+    return SI.derived(spark, f"{root}/out", SP.BOOK_SCHEMA, ["contract_id"], "contract_id long").select("contract_id", "observation_id", "observed_at", "yes_ask")
 
 
 @query(MQ.TRANSITIONS)
 def stream_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recommendation transitions as a stateful stream."""
-    out = SP.transition_stream(MQ.slate_states(event_stream(spark, sf_dir)))
-    return drained(out).select("contract_id", "seq", "is_recommended", "side", "trigger")
+    """Recommendation transitions of states that arrive in any order."""
+    root = new_root(spark)
+    streamed(spark, sf_dir, MQ.slate_states, SP.transition_batch(f"{root}/out"), root)
+    out = SI.derived(spark, f"{root}/out", SP.TRANSITION_SCHEMA, ["contract_id"], "contract_id long")
+    return out.select("contract_id", "seq", "is_recommended", "side", "trigger")
 
 
 @query("select distinct event_type || (user_id % 7) as category, date_trunc('hour', ts) as invocation_id from events")
 def stream_invocation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Re-delivered invocations dropped within the watermark."""
-    ticks = event_stream(spark, sf_dir).select(
-        F.concat("event_type", F.col("user_id") % 7).alias("category"), F.date_trunc("hour", "ts").alias("invocation_id"), F.col("ts").alias("started_at")
+    """Re-delivered invocations dropped, however late."""
+    root = new_root(spark)
+    schema = "category string, invocation_id timestamp, started_at timestamp"
+
+    def ticks(events: DataFrame) -> DataFrame:
+        return events.select(F.concat("event_type", F.col("user_id") % 7).alias("category"), F.date_trunc("hour", "ts").alias("invocation_id"), F.col("ts").alias("started_at"))
+
+    streamed(spark, sf_dir, ticks, SI.append_batch(f"{root}/out", schema, SI.INVOCATION_KEY, ["started_at"]), root)
+    return stored(spark, f"{root}/out", schema).select("category", "invocation_id")
+
+
+def _observations(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.col("user_id").alias("entity_id"), F.lit(0).cast("long").alias("event_id"), F.col("event_type").alias("context_type"),
+        F.date_trunc("day", "ts").alias("known_at"), F.lit("s").alias("source"),
     )
-    return drained(SI.dedup_invocations(ticks)).select("category", "invocation_id")
+
+
+_OBSERVATION_SCHEMA = "entity_id long, event_id long, context_type string, known_at timestamp, source string"
 
 
 @query("select distinct user_id as entity_id, event_type as context_type, date_trunc('day', ts) as known_at from events")
 def stream_observation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only observations by their key; only a new known_at is new."""
-    obs = event_stream(spark, sf_dir).select(
-        F.col("user_id").alias("entity_id"), F.lit(0).alias("event_id"), F.col("event_type").alias("context_type"),
-        F.date_trunc("day", "ts").alias("known_at"), F.lit("s").alias("source"),
-    )
-    return drained(SI.dedup_observations(obs)).select("entity_id", "context_type", "known_at")
+    root = new_root(spark)
+    streamed(spark, sf_dir, _observations, SI.append_batch(f"{root}/out", _OBSERVATION_SCHEMA, SI.OBSERVATION_KEY), root)
+    return stored(spark, f"{root}/out", _OBSERVATION_SCHEMA).select("entity_id", "context_type", "known_at")
+
+
+@query("select user_id as entity_id, 0::bigint as event_id, event_type as context_type, date_trunc('day', ts) as known_at, 's' as source, count(*) as stored from (select distinct user_id, event_type, date_trunc('day', ts) as ts from events) group by all")
+def stream_late_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole observations with how often each is stored: once, though months may lie between it and rows stored before it."""
+    root = new_root(spark)
+    streamed(spark, sf_dir, _observations, SI.append_batch(f"{root}/out", _OBSERVATION_SCHEMA, SI.OBSERVATION_KEY), root)
+    return stored(spark, f"{root}/out", _OBSERVATION_SCHEMA).groupBy(*SI.OBSERVATION_KEY).agg(F.count("*").alias("stored"))
+
+
+_FACT_SCHEMA = "entity_id long, event_id long, team string, yards double, valid_at timestamp, arrived_at timestamp, seq long"
 
 
-@query("select distinct user_id as contract_id from events where value * 60 between 1 and 2700")
+@query("""
+with a as (select user_id as entity_id, user_id % 5 as event_id, event_type as team, floor(value / 100) * 1.0 as yards, ts as arrived_at, event_id as seq from events),
+p as (select *, lag(yards) over w as prev, row_number() over w as nth from a window w as (partition by entity_id, event_id order by arrived_at, yards, seq))
+select entity_id, event_id, yards::double as yards, case when nth > 1 then prev::double end as prior_yards, arrived_at,
+       row_number() over (partition by entity_id, event_id order by arrived_at, yards, seq) as version
+from p where nth = 1 or yards is distinct from prev""")
+def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of each line, though its arrivals are spread over micro-batches at random."""
+    root = new_root(spark)
+
+    def facts(events: DataFrame) -> DataFrame:
+        return events.select(
+            F.col("user_id").alias("entity_id"), (F.col("user_id") % 5).alias("event_id"), F.col("event_type").alias("team"),
+            F.floor(F.col("value") / 100).cast("double").alias("yards"), F.col("ts").alias("valid_at"), F.col("ts").alias("arrived_at"), F.col("event_id").alias("seq"),
+        )
+
+    streamed(spark, sf_dir, facts, SI.correction_batch(f"{root}/out", _FACT_SCHEMA, ["yards"]), root)
+    schema = "entity_id long, event_id long, team string, yards double, version int, valid_at timestamp, known_at timestamp, prior_values map<string,double>, corrected_values map<string,double>"
+    out = SI.derived(spark, f"{root}/out", schema, ["entity_id", "event_id"], "entity_id long, event_id long")
+    return out.select("entity_id", "event_id", "yards", F.col("prior_values")["yards"].alias("prior_yards"), F.col("valid_at").alias("arrived_at"), "version")
+
+
+@query("""
+select user_id as contract_id, ts as "at", event_id as seq, value from events where value * 60 between 1 and 2700
+qualify row_number() over (partition by user_id order by ts, event_id) = 1""")
 def stream_final_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each contract captured once, inside the window before its kickoff."""
-    wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("value") * 60).cast("decimal(18,6)"))
-    states = event_stream(spark, sf_dir).select(F.col("user_id").alias("contract_id"), F.col("ts").alias("at"), (F.col("ts") + wait).alias("kickoff_at"))
-    return drained(SP.final_capture(states)).select("contract_id")
+    """Each contract's first state inside the window before its kickoff, as a whole row."""
+    root = new_root(spark)
+    schema = "contract_id long, at timestamp, kickoff_at timestamp, seq long, value double"
+
+    def states(events: DataFrame) -> DataFrame:
+        wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("value") * 60).cast("decimal(18,6)"))
+        return events.select(F.col("user_id").alias("contract_id"), F.col("ts").alias("at"), (F.col("ts") + wait).alias("kickoff_at"), F.col("event_id").alias("seq"), F.col("value").cast("double").alias("value"))
+
+    streamed(spark, sf_dir, states, SP.final_capture_batch(f"{root}/out", schema, order=("seq",)), root)
+    return SI.derived(spark, f"{root}/out", schema, ["contract_id"], "contract_id long").select("contract_id", "at", "seq", "value")

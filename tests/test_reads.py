@@ -61,11 +61,11 @@ def test_explain_and_detail(spark):
                                 "entity_id int, event_id int, source string, known_at timestamp, value string")
     facts = spark.createDataFrame([(1, i, NOW + dt.timedelta(days=i - 3), "x") for i in range(15)], "entity_id int, record_id int, known_at timestamp, detail string")
     notes = spark.createDataFrame([(1, 90, NOW + dt.timedelta(days=1), "n")], "entity_id int, record_id int, known_at timestamp, detail string")
-    out = A.explain("p1", pred, RG.registry(spark), obs, ["injury", "weather"], facts, notes)
+    out = A.explain("p1", pred, RG.registry(spark), obs, facts, notes)
     assert not out["row"].first().cutoff_at_or_after_kickoff
     assert [(r.source, r.value) for r in out["visible"].collect()] == [("injury", "Out")]
     assert sorted(r.record_id for r in out["hidden"].collect()) == list(range(4, 14))
-    few = A.explain("p1", pred, RG.registry(spark), obs, ["injury"], facts.where("record_id < 6"), notes)["hidden"].collect()
+    few = A.explain("p1", pred, RG.registry(spark), obs, facts.where("record_id < 6"), notes)["hidden"].collect()
     assert sorted((r.kind, r.record_id) for r in few) == [("context", 90), ("fact", 4), ("fact", 5)]
     grid = out["grid"].orderBy("threshold").collect()
     assert [g.threshold for g in grid] == [1.5 + i for i in range(8)] and all(a.probability >= b.probability for a, b in zip(grid, grid[1:])) and all(g.in_grid for g in grid)
