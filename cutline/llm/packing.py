@@ -6,7 +6,8 @@ solved by multiplicative weights: every round prices a length by how far it is
 covered, finds the dearest configuration by a knapsack over the capacity, and
 adds it. The solution is rounded down to whole multiplicities that the histogram
 allows; what is left is a new histogram, solved again while that helps, and at
-last filled longest first. All this works on at most ``size`` counts, whatever
+last filled by best fit. Should best fit alone need fewer sequences (where pieces over
+half a sequence prevail), its plan is taken. All this works on at most ``size`` counts, whatever
 the number of documents.
 
 The pieces themselves never meet: each gets its rank among those of its length (the
@@ -32,7 +33,8 @@ from cutline.llm.batches import slices
 from cutline.llm.vocab import library
 from cutline.session import materialize
 
-ROUNDS, PHASES, ETA = 300, 6, 3.0
+#: Rounds of one phase at most, steps in which the bound is covered, phases, learning rate, worth of long pieces.
+ROUNDS, STEPS, PHASES, ETA, LONG = 1024, 256, 3, 0.0005, 0.1
 
 
 def knapsack(prices: np.ndarray, lengths: np.ndarray, size: int) -> list[int]:
@@ -57,52 +59,75 @@ def knapsack(prices: np.ndarray, lengths: np.ndarray, size: int) -> list[int]:
 
 
 def weighted(counts: np.ndarray, size: int, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], float]]:
-    """Configurations and fractional multiplicities that nearly cover ``counts`` (by length)."""
+    """Configurations and fractional multiplicities that nearly cover ``counts`` (by length).
+
+    A length's price is the length times its weight, which falls as it is covered and ends
+    when it is, and a little more for long pieces, which fit fewest places: a full sequence is
+    worth most, of full ones that with the longest pieces, of these that with the least covered.
+    """
     lengths = np.flatnonzero(counts)
     n = counts[lengths].astype(float)
-    bound = max(1.0, float((lengths * n).sum()) / size)
+    step = max(1.0, float((lengths * n).sum()) / size / STEPS)
     cover, found = np.zeros(len(lengths)), {}
     for _ in range(rounds):
-        prices = lengths * np.exp(-ETA * cover)
-        chosen = tuple(sorted(knapsack(prices, lengths, size), reverse=True))
-        found[chosen] = found.get(chosen, 0.0) + bound / rounds
-        np.add.at(cover, np.searchsorted(lengths, chosen), bound / rounds / n[np.searchsorted(lengths, chosen)])
-    return sorted(found.items(), key=lambda x: (-x[1], x[0]))
+        open_ = np.flatnonzero(cover < 1 - 1e-9)
+        if not len(open_):
+            break
+        prices = (lengths + LONG * lengths**2 / size) * np.exp(-ETA * cover)
+        chosen = tuple(sorted(knapsack(prices[open_], lengths[open_], size), reverse=True))
+        kinds, times = np.unique(chosen, return_counts=True)
+        at = np.searchsorted(lengths, kinds)
+        share = min(step, max(1.0, float(((1 - cover[at]) * n[at] / times).min())))
+        found[chosen] = found.get(chosen, 0.0) + share
+        cover[at] += share * times / n[at]
+    return sorted(found.items(), key=lambda x: (-sum(x[0]), -x[1], x[0]))
+
+
+def best_fit(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first into the fullest sequences with room, like ones at once: at most two groups for each length."""
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for length in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[length])
+        while left:
+            room = min((r for r in groups if r >= length), default=None)
+            if room is None:
+                each = size // length
+                if left >= each:
+                    groups.setdefault(size - each * length, []).append(((length,) * each, left // each))
+                left %= each
+                if left:
+                    groups.setdefault(size - left * length, []).append(((length,) * left, 1))
+                break
+            chosen, many = groups[room].pop()
+            used = min(left, many)
+            if many > used:
+                groups[room].append((chosen, many - used))
+            if not groups[room]:
+                del groups[room]
+            groups.setdefault(room - length, []).append(((*chosen, length), used))
+            left -= used
+    return [x for held in groups.values() for x in held]
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """Configurations and whole multiplicities that hold ``counts[length]`` pieces of each length, exactly."""
     left, out = counts.astype(np.int64).copy(), []
-
-    def use(chosen, most):
-        kinds, times = np.unique(chosen, return_counts=True)
-        many = int(min(most, (left[kinds] // times).min()))
-        if many > 0:
-            left[kinds] -= many * times
-            out.append((tuple(chosen), many))
-
-    if left[size]:
-        use((size,), int(left[size]))
-    for _ in range(PHASES):
+    for phase in range(PHASES):
         total = int(left.sum())
         if total < 64:
             break
         for chosen, share in weighted(left, size):
-            use(chosen, round(share))
+            if sum(chosen) < size - phase:  # wasteful ones wait for the best fit
+                continue
+            kinds, times = np.unique(chosen, return_counts=True)
+            many = int(min(max(1, round(share)), (left[kinds] // times).min()))
+            if many > 0:
+                left[kinds] -= many * times
+                out.append((chosen, many))
         if left.sum() > 0.9 * total:
             break
-    while left.any():
-        chosen, room = [], size
-        spare = left.copy()
-        while True:
-            fits = np.flatnonzero(spare[: room + 1])
-            if not len(fits):
-                break
-            chosen.append(int(fits[-1]))
-            spare[chosen[-1]] -= 1
-            room -= chosen[-1]
-        use(chosen, 1 << 62)
-    return out
+    out, plain = out + best_fit(left, size), best_fit(counts, size)
+    return min(out, plain, key=lambda made: sum(many for _, many in made))
 
 
 def pieces(docs: DataFrame, path: str, kind: str, end: int, size: int) -> DataFrame:

@@ -103,16 +103,25 @@ def _high(candidate: Column, limit: float) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), start, slide, last)
 
 
+def _class_spans(candidates: Column, kind: str, of_class: bool, limit: float) -> Column:
+    """Spans of high entropy in the candidates that are (or are not) all hex digits."""
+    order = KINDS.index(kind)
+    mine = F.filter(candidates, lambda x: F.rlike(x["value"], F.lit(CLASSES[0][1])) == F.lit(of_class))
+    place = lambda x: lambda y: F.struct((x["a"] + y["a"]).alias("a"), F.lit(order).alias("kind"), (x["a"] + y["b"]).alias("b"))
+    return F.flatten(F.transform(mine, lambda x: F.transform(_high(x, limit), place(x))))
+
+
 def _entropy(candidates: Column) -> list[Column]:
     """Spans of each class over the candidates that the allow list doesn't name."""
-    allowed = lambda x: F.rlike(x["value"], F.lit("|".join(f"(?:{p})" if "\\1" not in p else p for p in ALLOW[:-1]))) | F.rlike(x["value"], F.lit(ALLOW[-1]))
-    out, rest = [], F.filter(candidates, lambda x: ~allowed(x))
-    hex_ = CLASSES[0][1]
-    for kind, own, limit in CLASSES:
-        mine = F.filter(rest, lambda x, own=own: F.rlike(x["value"], F.lit(hex_)) == F.lit(own is not None))
-        spans = F.flatten(F.transform(mine, lambda x, limit=limit, kind=kind: F.transform(_high(x, limit), lambda y: F.struct((x["a"] + y["a"]).alias("a"), F.lit(KINDS.index(kind)).alias("kind"), (x["a"] + y["b"]).alias("b")))))
-        out.append(spans)
-    return out
+
+    def allowed(x):
+        out = F.lit(False)
+        for pattern in ALLOW:
+            out = out | F.rlike(x["value"], F.lit(pattern))
+        return out
+
+    rest = F.filter(candidates, lambda x: ~allowed(x))
+    return [_class_spans(rest, kind, own is not None, limit) for kind, own, limit in CLASSES]
 
 
 def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -135,7 +144,8 @@ def _joined(spans: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     found = scanned(docs.select("doc_id", "text"))
-    counts = [F.size(F.filter("base_spans_", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, (kind, _, _) in enumerate(SHAPES)]
+    of = lambda k: lambda x: x["kind"] == k
+    counts = [F.size(F.filter("base_spans_", of(k))).cast("long").alias(f"n_{kind}") for k, (kind, _, _) in enumerate(SHAPES)]
     return found.select("doc_id", *counts, F.sha2(_joined("base_spans_").cast("binary"), 256).alias("base_sha256"), _joined("all_spans_").alias("spans"))
 
 

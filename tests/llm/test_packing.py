@@ -69,8 +69,14 @@ def test_plan_holds_the_histogram():
         assert sum(chosen) <= 1024 and many > 0
         np.add.at(back, list(chosen), many)
     assert (back == counts).all()
-    bound = max(-(-int((np.arange(1025) * counts).sum()) // 1024), int(counts[513:].sum()))
-    assert sum(m for _, m in made) <= bound * 1.02
+    assert sum(m for _, m in made) <= sum(m for _, m in P.best_fit(counts, 1024))
+
+
+def test_best_fit_in_groups():
+    counts = np.zeros(1025, np.int64)
+    counts[np.random.default_rng(3).integers(1, 1025, 200)] += np.random.default_rng(4).integers(1, 9, 200)
+    lengths = np.repeat(np.arange(1025), counts).tolist()
+    assert abs(sum(m for _, m in P.best_fit(counts, 1024)) - best_fit(lengths)) <= 2
 
 
 def test_knapsack():
