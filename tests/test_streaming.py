@@ -8,7 +8,7 @@ from cutline.streaming import prices as SP
 from tests.test_market import BOOK, NOW, books, keep
 
 FACTS = "entity_id long, event_id long, team string, yards double, valid_at timestamp, arrived_at timestamp"
-CURRENT = "entity_id long, event_id long, team string, yards double, version int, valid_at timestamp, known_at timestamp"
+VERSIONS = "entity_id long, event_id long, team string, yards double, version int, valid_at timestamp, known_at timestamp, prior_values map<string,double>, corrected_values map<string,double>"
 
 
 def feed(spark, rows, schema, path, name):
@@ -19,39 +19,53 @@ def stream(spark, schema, path):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(path))
 
 
-def test_compaction_over_two_micro_batches_and_a_restart(spark, tmp_path):
+def run(spark, schema, src, sink, checkpoint):
+    SI.run_available(stream(spark, schema, src), sink, str(checkpoint))
+
+
+def test_compaction_over_micro_batches_in_any_order(spark, tmp_path):
     rows = sorted(books(8, 160), key=lambda r: (r[2], r[1]))
-    out, state, src = tmp_path / "out", tmp_path / "state", tmp_path / "in"
+    src, root = tmp_path / "in", str(tmp_path / "out")
+    sink = SP.compaction_batch(root, 60)
+    feed(spark, rows[1::2], BOOK, src, "a")
+    run(spark, BOOK, src, sink, tmp_path / "cp")
+    feed(spark, rows[::2], BOOK, src, "b")  # every row of it is late
+    run(spark, BOOK, src, sink, tmp_path / "cp")
+    sink(spark.read.schema(BOOK).parquet(f"{src}/b"), 1)  # replayed
+    kept = SI.derived(spark, root, SP.BOOK_SCHEMA, ["contract_id"], "contract_id long")
+    assert sorted(r.observation_id for r in kept.collect()) == keep(rows, 60)
 
-    def run():
-        q = SP.compact_stream(stream(spark, BOOK, src), 60).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(state)).trigger(availableNow=True).start()
-        q.awaitTermination()
 
-    feed(spark, rows[:80], BOOK, src, "a")
-    run()
-    feed(spark, rows[80:], BOOK, src, "b")
-    run()
-    assert sorted(r.observation_id for r in spark.read.parquet(str(out)).collect()) == keep(rows, 60)
+def test_a_late_transition_is_written(spark, tmp_path):
+    src, root = tmp_path / "in", str(tmp_path / "out")
+    sink = SP.transition_batch(root)
+    day = lambda d: NOW + dt.timedelta(days=d)
+    feed(spark, [(1, day(0), 1, True, "yes"), (1, day(9), 3, True, "yes"), (2, day(1), 7, False, None)], SP.STATE_SCHEMA, src, "a")
+    run(spark, SP.STATE_SCHEMA, src, sink, tmp_path / "cp")
+    feed(spark, [(1, day(3), 2, False, None)], SP.STATE_SCHEMA, src, "b")
+    run(spark, SP.STATE_SCHEMA, src, sink, tmp_path / "cp")
+    found = SI.derived(spark, root, SP.TRANSITION_SCHEMA, ["contract_id"], "contract_id long").orderBy("seq").collect()
+    assert [(r.seq, r.trigger) for r in found] == [(1, "appeared"), (2, "state_changed"), (3, "state_changed")]
 
 
 def test_late_facts_become_corrections_and_leave_earlier_answers(spark, tmp_path):
     at = dt.datetime(2023, 9, 10, 17)
     src, root = tmp_path / "in", str(tmp_path / "table")
-    sink = SI.correction_batch(root, CURRENT, ["yards"])
-    feed(spark, [(1, 1, "KC", 50.0, at, at + dt.timedelta(days=1)), (2, 1, "DET", 9.0, at, at + dt.timedelta(days=1))], FACTS, src, "a")
-    SI.run_available(stream(spark, FACTS, src), sink, str(tmp_path / "cp"))
-    fixed_at = at + dt.timedelta(days=30)
+    sink = SI.correction_batch(root, FACTS, ["yards"])
+    fixed_at, later = at + dt.timedelta(days=30), at + dt.timedelta(days=40)
+    feed(spark, [(1, 1, "KC", 50.0, at, at + dt.timedelta(days=1)), (2, 1, "DET", 9.0, at, at + dt.timedelta(days=1)), (1, 1, "KC", 60.0, at, later)], FACTS, src, "a")
+    run(spark, FACTS, src, sink, tmp_path / "cp")
     feed(spark, [(1, 1, "KC", 55.0, at, fixed_at), (2, 1, "DET", 9.0, at, fixed_at)], FACTS, src, "b")
-    SI.run_available(stream(spark, FACTS, src), sink, str(tmp_path / "cp"))
-    log = spark.read.parquet(f"{root}/log").where("version is not null").collect()
-    assert [(r.entity_id, r.version, r.prior_values, r.known_at) for r in log] == [(1, 2, {"yards": 50.0}, fixed_at)]
-    rows = spark.read.parquet(f"{root}/current")
-    latest = {r.entity_id: (r.yards, r.version) for r in rows.orderBy("version").collect()}
-    assert latest == {1: (55.0, 2), 2: (9.0, 1)}
-    # Replaying the same batch rewrites its own partition only.
-    batch = spark.read.parquet(f"{src}/b")
-    sink(batch, 1)
-    assert spark.read.parquet(f"{root}/log").count() == 1
+    run(spark, FACTS, src, sink, tmp_path / "cp")
+
+    def versions():
+        return SI.derived(spark, root, VERSIONS, ["entity_id", "event_id"], "entity_id long, event_id long")
+
+    log = sorted((r.entity_id, r.version, r.prior_values["yards"], r.known_at) for r in SI.correction_log(versions()).collect())
+    assert log == [(1, 2, 50.0, fixed_at), (1, 3, 55.0, later)]
+    assert {r.entity_id: (r.yards, r.version) for r in SI.current_lines(versions()).collect()} == {1: (60.0, 3), 2: (9.0, 1)}
+    sink(spark.read.schema(FACTS).parquet(f"{src}/b"), 1)  # a replay changes nothing
+    assert SI.correction_log(versions()).count() == 2
     line = spark.createDataFrame([(1, 1, "m", 2023, "KC", "WR", at, at + dt.timedelta(hours=20), 55.0)],
                                  "entity_id long, event_id long, measure string, season int, team string, position string, valid_at timestamp, published_at timestamp, value double")
     corr = spark.createDataFrame([(1, 1, "m", 2, fixed_at, True, 50.0)], "entity_id long, event_id long, measure string, version int, known_at timestamp, has_prior boolean, prior_value double")
@@ -60,6 +74,27 @@ def test_late_facts_become_corrections_and_leave_earlier_answers(spark, tmp_path
     assert read(0) == [] and read(5) == [50.0] and read(31) == [55.0]
 
 
+def test_an_observation_is_never_too_late(spark, tmp_path):
+    schema = "entity_id long, event_id long, context_type string, known_at timestamp, source string"
+    src, root = tmp_path / "in", str(tmp_path / "t")
+    sink = SI.append_batch(root, schema, SI.OBSERVATION_KEY)
+    for k, days in enumerate((0, 1, -40)):
+        feed(spark, [(1, 1, "injury", NOW + dt.timedelta(days=days), "s"), (1, 1, "injury", NOW, "s")], schema, src, f"f{k}")
+        run(spark, schema, src, sink, tmp_path / "cp")
+    assert spark.read.parquet(root).count() == 3
+
+
+def test_the_first_state_in_the_window_is_captured_whole(spark, tmp_path):
+    schema = "contract_id long, at timestamp, kickoff_at timestamp, seq long"
+    src, root, minute = tmp_path / "in", str(tmp_path / "t"), dt.timedelta(minutes=1)
+    sink = SP.final_capture_batch(root, schema, order=("seq",))
+    feed(spark, [(1, NOW - 20 * minute, NOW, 2), (1, NOW - 300 * minute, NOW, 1), (2, NOW + minute, NOW, 9)], schema, src, "a")
+    run(spark, schema, src, sink, tmp_path / "cp")
+    feed(spark, [(1, NOW - 30 * minute, NOW, 3)], schema, src, "b")
+    run(spark, schema, src, sink, tmp_path / "cp")
+    assert [(r.contract_id, r.seq) for r in SI.derived(spark, root, schema, ["contract_id"], "contract_id long").collect()] == [(1, 3)]
+
+
 def test_append_batch_only_adds_new_keys(spark, tmp_path):
     schema = "entity_id long, known_at timestamp"
     sink = SI.append_batch(str(tmp_path / "t"), schema, ["entity_id", "known_at"])
