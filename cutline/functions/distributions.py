@@ -53,147 +53,138 @@ def nb_mean(r: Column, p: Column) -> Column:
     return r * (F.lit(1.0) - p) / F.when(p > 0, p)
 
 
-def _nb_next(mass: Column, k: Column, r: Column, p: Column) -> Column:
-    return mass * (r + k - 1.0) / k * (F.lit(1.0) - p)
+#: Beyond these a row's masses are laid out around its mode in logarithms.
+_LOG_ZERO, _FAR, _TERMS = -600.0, 5_000.0, 20_000_000
 
 
-def nb_zero_mass(r: Column, p: Column) -> Column:
-    return F.pow(p, r)
+def _around_mode(r: float, p: float) -> tuple[int, np.ndarray] | None:
+    """First count and masses of all counts that matter, from sums of logarithms.
 
-
-def nb_pmf(r: Column, p: Column, cap: Column) -> Column:
-    """P(X = k) for k = 0..cap, by recurrence."""
-    start = nb_zero_mass(r, p)
-    return F.aggregate(
-        F.sequence(F.lit(1), cap),
-        F.struct(F.array(start).alias("pmf"), start.alias("mass")),
-        lambda acc, k: F.struct(
-            F.concat(acc["pmf"], F.array(_nb_next(acc["mass"], k, r, p))).alias("pmf"),
-            _nb_next(acc["mass"], k, r, p).alias("mass"),
-        ),
-        lambda acc: acc["pmf"],
-    )
-
-
-def mass_sum(pmf: Column) -> Column:
-    return F.aggregate(pmf, F.lit(0.0), lambda a, x: a + x)
-
-
-def nb_tail_mass(pmf: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.lit(1.0) - mass_sum(pmf))
-
-
-def nb_at_least(r: Column, p: Column, threshold: Column) -> Column:
-    """P(X >= threshold), by recurrence to the threshold itself, so exact past
-    any stored PMF."""
-    k = F.ceil(threshold.cast("double")).cast("int")
-    start = nb_zero_mass(r, p)
-    steps = F.when(k >= 2, F.sequence(F.lit(1), k - 1)).otherwise(F.array().cast("array<int>"))
-    below = F.aggregate(
-        steps,
-        F.struct(start.alias("mass"), start.alias("below")),
-        lambda acc, j: F.struct(
-            _nb_next(acc["mass"], j, r, p).alias("mass"),
-            (acc["below"] + _nb_next(acc["mass"], j, r, p)).alias("below"),
-        ),
-        lambda acc: acc["below"],
-    )
-    tail = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - below))
-    usable = (r > 0) & (p > 0) & (p <= 1)
-    return F.when(usable, F.when(k <= 0, F.lit(1.0)).otherwise(tail))
-
-
-def nb_quantiles(r: Column, p: Column, grid: tuple[float, ...] = K.QUANTILE_GRID) -> Column:
-    """Array of quantiles, however far past a stored PMF they lie.
-
-    One-sided Chebyshev (Cantelli) puts the q-quantile at or below
-    mean + sd * sqrt(q / (1 - q)), so the walk ends where it provably must have
-    passed the largest q asked for; no cap and no fallback is needed.
+    Nothing underflows however large the mean. The masses are scaled to sum to one.
+    None where over ``_TERMS`` counts matter: such a row has no answer of its own.
     """
-    names = [f"q{round(q * 100):02d}" for q in grid]
-    widest = max(grid)
-    sd = F.sqrt(r * (F.lit(1.0) - p)) / p
-    last = (F.ceil(nb_mean(r, p) + sd * (widest / (1 - widest)) ** 0.5) + 2).cast("int")
-    start = nb_zero_mass(r, p)
-    first = [F.when(start >= q, F.lit(0.0)).alias(n) for q, n in zip(grid, names)]
-
-    def step(acc: Column, k: Column) -> Column:
-        mass = _nb_next(acc["mass"], k, r, p)
-        reached = acc["reached"] + mass
-        return F.struct(
-            mass.alias("mass"),
-            reached.alias("reached"),
-            *[
-                F.coalesce(acc[n], F.when(reached >= q, k.cast("double"))).alias(n)
-                for q, n in zip(grid, names)
-            ],
-        )
-
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-        F.struct(start.alias("mass"), start.alias("reached"), *first),
-        step,
-        lambda acc: F.array(*[acc[n] for n in names]),
-    )
-    return F.when((r > 0) & (p > 0) & (p <= 1), walked)
+    mean, sd = r * (1 - p) / p, np.sqrt(r * (1 - p)) / p
+    low, high = max(0, int(mean - 12 * sd)), int(mean + 12 * sd + 40 / p) + 2
+    if not high - low < _TERMS:
+        return None
+    k = np.arange(low + 1, high + 1, dtype=float)
+    logs = np.append(0.0, np.cumsum(np.log((r + k - 1) / k) + np.log1p(-p)))
+    mass = np.exp(logs - logs.max())
+    return low, mass / mass.sum()
+
+
+def _split(r: pd.Series, p: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """r, p, the rows of small counts, and the other usable rows."""
+    rr, pp = r.to_numpy("float64", na_value=np.nan), p.to_numpy("float64", na_value=np.nan)
+    usable = (rr > 0) & (pp > 0) & (pp <= 1) & np.isfinite(rr)
+    with np.errstate(all="ignore"):
+        far = usable & ((rr * np.log(pp) < _LOG_ZERO) | (rr * (1 - pp) / pp + 12 * np.sqrt(rr * (1 - pp)) / pp > _FAR))
+    return rr, pp, np.flatnonzero(usable & ~far), np.flatnonzero(far)
 
 
 _TABLE_SCHEMA = T.StructType([
     T.StructField("pmf", T.ArrayType(T.DoubleType())),
     T.StructField("quantiles", T.ArrayType(T.DoubleType())),
 ])
-_WALK_LIMIT = 1_000_000
 
 
 @F.pandas_udf(_TABLE_SCHEMA)
 def nb_table(r: pd.Series, p: pd.Series, cap: pd.Series) -> pd.DataFrame:
-    """PMF 0..cap and grid quantiles of a batch of count distributions.
+    """PMF 0..cap and grid quantiles of a batch of count distributions; NULL for a row that is no distribution.
 
-    The same recurrence as :func:`nb_pmf` and :func:`nb_quantiles`, run across
-    an Arrow batch at once. A recurrence has no built-in that carries state
-    compiled: the higher-order form costs some hundred microseconds a row here,
-    this one a few. Rows leave the walk as they reach the last quantile.
+    Small counts run the recurrence across all rows of like cap at once, and leave
+    it as they reach the last quantile; large ones are laid out one by one.
     """
-    rr, pp = r.to_numpy("float64", na_value=np.nan), p.to_numpy("float64", na_value=np.nan)
+    rr, pp, near, far = _split(r, p)
     caps = cap.fillna(0).to_numpy("int64")
-    usable = (rr > 0) & (pp > 0) & (pp <= 1)
-    width = int(caps.max(initial=0)) + 1
     grid = np.array(K.QUANTILE_GRID)
-    rows = np.flatnonzero(usable)
-    shape, fail = rr[rows], 1.0 - pp[rows]
-    mass = pp[rows] ** shape
-    pmf = np.empty((len(rows), width))
+    out_pmf: list = [None] * len(rr)
+    out_q: list = [None] * len(rr)
+    for width in np.unique(caps[near]):
+        rows = near[caps[near] == width]
+        pmf, quantiles = _walked(rr[rows], pp[rows], int(width) + 1, grid)
+        for i, row in enumerate(rows):
+            out_pmf[row], out_q[row] = pmf[i], quantiles[i]
+    for row in far:
+        found = _around_mode(rr[row], pp[row])
+        if found is not None:
+            low, mass = found
+            pmf = np.zeros(caps[row] + 1)
+            inside = mass[: max(0, caps[row] + 1 - low)]
+            pmf[low : low + len(inside)] = inside
+            out_pmf[row] = pmf
+            out_q[row] = low + np.searchsorted(np.cumsum(mass), grid).astype(float)
+    return pd.DataFrame({"pmf": pd.Series(out_pmf, dtype=object), "quantiles": pd.Series(out_q, dtype=object)})
+
+
+def _walked(shape: np.ndarray, p: np.ndarray, width: int, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    fail, mass = 1.0 - p, p**shape
+    pmf = np.empty((len(shape), width))
     pmf[:, 0] = mass
     quantiles = np.where(mass[:, None] >= grid, 0.0, np.nan)
-    reached = mass.copy()
-    live = np.arange(len(rows))
-    k = 0
+    reached, live, k = mass.copy(), np.arange(len(shape)), 0
     while k + 1 < width or len(live):
         k += 1
-        if k > _WALK_LIMIT:
-            raise ValueError(f"quantile walk did not converge within {_WALK_LIMIT} terms")
+        rows = slice(None) if k < width else live
+        mass[rows] = mass[rows] * (shape[rows] + k - 1.0) / k * fail[rows]
         if k < width:
-            mass = mass * (shape + k - 1.0) / k * fail
             pmf[:, k] = mass
-            current = mass[live]
-        else:
-            if k == width:
-                tail = mass[live]
-            tail = tail * (shape[live] + k - 1.0) / k * fail[live]
-            current = tail
-        reached[live] += current
-        hit = (reached[live][:, None] >= grid) & np.isnan(quantiles[live])
-        quantiles[live] = np.where(hit, float(k), quantiles[live])
-        going = np.isnan(quantiles[live][:, -1])
-        if k >= width:
-            tail = tail[going]
-        live = live[going]
-    out_pmf: list = [None] * len(rr)
-    out_q: list = [None] * len(rr)
-    for i, row in enumerate(rows):
-        out_pmf[row] = pmf[i, : caps[row] + 1]
-        out_q[row] = quantiles[i]
-    return pd.DataFrame({"pmf": pd.Series(out_pmf, dtype=object), "quantiles": pd.Series(out_q, dtype=object)})
+        reached[live] += mass[live]
+        quantiles[live] = np.where((reached[live][:, None] >= grid) & np.isnan(quantiles[live]), float(k), quantiles[live])
+        live = live[np.isnan(quantiles[live][:, -1])]
+        if k > 4 * _FAR:  # rounding keeps a sum just under the last quantile
+            quantiles[live] = np.where(np.isnan(quantiles[live]), float(k), quantiles[live])
+            live = live[:0]
+    return pmf, quantiles
+
+
+@F.pandas_udf(T.DoubleType())
+def _nb_tail(r: pd.Series, p: pd.Series, threshold: pd.Series) -> pd.Series:
+    """P(X >= threshold) of a batch, each row by as many terms as its threshold asks for."""
+    rr, pp, near, far = _split(r, p)
+    k = np.ceil(threshold.to_numpy("float64", na_value=np.nan))
+    out = np.full(len(rr), np.nan)
+    near, far = near[~np.isnan(k[near])], far[~np.isnan(k[far])]
+    out[near] = 1.0
+    order = near[np.argsort(-k[near], kind="stable")]
+    order = order[k[order] > 0]
+    mass, shape, fail, last = pp[order] ** rr[order], rr[order], 1.0 - pp[order], np.minimum(k[order], 4 * _FAR)
+    below, step, n = mass.copy(), 1, int((last > 1).sum())
+    while n:  # the rows whose threshold lies beyond this count come first
+        mass[:n] = mass[:n] * (shape[:n] + step - 1.0) / step * fail[:n]
+        below[:n] += mass[:n]
+        step += 1
+        n = int(np.searchsorted(-last, -step))
+    out[order] = np.clip(1.0 - below, 0.0, 1.0)
+    for row in far:
+        found = _around_mode(rr[row], pp[row])
+        if found is not None:
+            low, masses = found
+            out[row] = 1.0 if k[row] <= low else float(masses[int(min(k[row] - low, len(masses))) :].sum())
+    return pd.Series(out)
+
+
+def nb_pmf(r: Column, p: Column, cap: Column) -> Column:
+    """P(X = k) for k = 0..cap."""
+    return nb_table(r, p, cap)["pmf"]
+
+
+def nb_quantiles(r: Column, p: Column) -> Column:
+    """Array of quantiles, one per grid point, however far past a stored PMF they lie."""
+    return nb_table(r, p, F.lit(0))["quantiles"]
+
+
+def nb_at_least(r: Column, p: Column, threshold: Column) -> Column:
+    """P(X >= threshold), exact past any stored PMF; NULL where the parameters cannot be a distribution."""
+    return _nb_tail(r, p, threshold.cast("double"))
+
+
+def mass_sum(pmf: Column) -> Column:
+    return F.aggregate(pmf, F.lit(0.0), lambda a, x: a + x)
+
+
+def nb_tail_mass(pmf: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - mass_sum(pmf))
 
 
 # --- any stored projection ---------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +11,21 @@ from cutline import constants as K
 
 _SUFFIX_PATTERN = "|".join(K.NAME_SUFFIXES)
 
-# Latin letters with a canonical base letter, as (accented, base).
-_ACCENTED = (
-    "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-)
-_PLAIN = (
-    "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
-)
+def _decomposed_letters() -> tuple[str, str]:
+    """Every precomposed lower-case letter whose canonical decomposition is one letter and marks, and that letter."""
+    pairs = []
+    for code in range(0x80, 0x2000):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and chr(code).islower() and all(unicodedata.combining(x) for x in parts[1:]):
+            pairs.append((chr(code), parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _decomposed_letters()
 
 
 def strip_accents(text: Column) -> Column:
-    """Drop combining marks and map precomposed Latin letters to their base."""
+    """Drop combining marks and map precomposed letters to their base."""
     lowered = F.lower(text)
     bare = F.regexp_replace(lowered, r"[̀-ͯ]", "")
     return F.translate(bare, _ACCENTED, _PLAIN)
@@ -118,5 +124,6 @@ def redact_error(text: Column, secrets: tuple[str, ...] = (), limit: int | None
     return F.left(out, F.lit(limit)) if limit else out
 
 
-def redact_urls(text: Column, limit: int = 500) -> Column:
-    return F.left(F.regexp_replace(text, r"https?://\S+", "[url]"), F.lit(limit))
+def redact_urls(text: Column, limit: int | None = None) -> Column:
+    out = F.regexp_replace(text, r"https?://\S+", "[url]")
+    return F.left(out, F.lit(limit)) if limit else out

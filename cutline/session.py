@@ -68,23 +68,21 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage.
+    """The shared folder for cut lineage, which the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``. A private folder is made
-    only where that is unset, which is the case in tests.
+    A private folder is made only for a local master that names none, as in tests;
+    on a cluster a missing name is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if named:
-        if not jsc.getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    current = jsc.getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    named, set_ = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("cutline.shared", None)
+    if named is None and set_ is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder = named or set_
+    if folder != set_:
+        spark.sparkContext.setCheckpointDir(folder)
+        spark.conf.set("cutline.shared", folder)
+    return folder
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -104,13 +104,14 @@ def surrogate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PEOPLE = """people as (
   select c_custkey as entity_id, split_part(p.p_name, ' ', 1) || case when c_custkey % 5 = 0 then '''' else '' end || ' ' || split_part(p.p_name, ' ', 2)
          || (c_custkey % 400)::varchar || case when c_custkey % 6 = 0 then ' Jr.' else '' end as full_name
-  from customer join part p on p.p_partkey = c_custkey % 50)"""
+  from customer join part p on p.p_partkey = c_custkey % (select count(*) from part))"""
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with person-like names, suffixes and namesakes."""
     p = T.table(spark, sf_dir, "part").select(F.col("p_partkey"), F.split("p_name", " ").alias("w"))
-    c = T.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 50).alias("p_partkey"))
+    parts = T.table(spark, sf_dir, "part").count()
+    c = T.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % parts).alias("p_partkey"))
     joined = c.join(p, "p_partkey")
     quote = F.when(T.every("c_custkey", 5), "'").otherwise("")
     suffix = F.when(T.every("c_custkey", 6), " Jr.").otherwise("")
@@ -122,27 +123,26 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {_PEOPLE},
-asked as (select s_suppkey, case when s_suppkey % 2 = 0 then upper(substr(full_name, 1, 1)) || '. ' || split_part(full_name, ' ', 2)
-                                 else upper(full_name) || case when s_suppkey % 9 = 0 then ' III' else '' end end as name
-          from supplier join people on entity_id = s_suppkey * 7 % 1499),
+asked as (select entity_id as asked_id, case when entity_id % 2 = 0 then upper(substr(full_name, 1, 1)) || '. ' || split_part(full_name, ' ', 2)
+                                 else upper(full_name) || case when entity_id % 9 = 0 then ' III' else '' end end as name
+          from people),
 norm as (select entity_id, regexp_replace(regexp_replace(lower(full_name), '''', '', 'g'), '[.,/-]', ' ', 'g') as n from people),
 keyed as (select entity_id, list_filter(string_split_regex(trim(regexp_replace(n, '\\s(jr|sr|ii|iii|iv|v)\\s*$', '')), '\\s+'), lambda t: t <> '') as t from norm),
-asked_n as (select s_suppkey, name, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '''', '', 'g'), '[.,/-]', ' ', 'g'),
+asked_n as (select asked_id, name, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '''', '', 'g'), '[.,/-]', ' ', 'g'),
            '\\s(jr|sr|ii|iii|iv|v)\\s*$', '')), '\\s+'), lambda t: t <> '') as t from asked),
-hits as (select a.s_suppkey, a.name, k.entity_id from asked_n a left join keyed k on
+hits as (select a.asked_id, a.name, k.entity_id from asked_n a left join keyed k on
    case when len(a.t) >= 2 and len(a.t[1]) = 1 then substr(k.t[1], 1, 1) = a.t[1] and k.t[-1] = a.t[-1] else array_to_string(k.t, ' ') = array_to_string(a.t, ' ') end)
-select s_suppkey, name, case count(entity_id) when 0 then 'unresolved' when 1 then 'resolved' else 'ambiguous' end as status,
+select asked_id, name, case count(entity_id) when 0 then 'unresolved' when 1 then 'resolved' else 'ambiguous' end as status,
        case when count(entity_id) = 1 then max(entity_id) end as entity_id, count(entity_id) as candidate_count
 from hits group by 1, 2""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full or initial-and-surname names against all people; ties stay ambiguous."""
+    """Every person's full or initial-and-surname name against all people; ties stay ambiguous."""
     folk = people(spark, sf_dir)
-    s = T.table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 7 % 1499).alias("entity_id"))
     name = F.when(
-        T.every("s_suppkey", 2), F.concat(F.upper(F.substring("full_name", 1, 1)), F.lit(". "), F.split("full_name", " ")[1])
-    ).otherwise(F.concat(F.upper("full_name"), F.when(T.every("s_suppkey", 9), " III").otherwise("")))
-    asked = s.join(folk, "entity_id").select("s_suppkey", name.alias("name"))
-    return ID.resolve_names(asked, folk).select("s_suppkey", "name", "status", "entity_id", "candidate_count")
+        T.every("entity_id", 2), F.concat(F.upper(F.substring("full_name", 1, 1)), F.lit(". "), F.split("full_name", " ")[1])
+    ).otherwise(F.concat(F.upper("full_name"), F.when(T.every("entity_id", 9), " III").otherwise("")))
+    asked = folk.select(F.col("entity_id").alias("asked_id"), name.alias("name"))
+    return ID.resolve_names(asked, folk).select("asked_id", "name", "status", "entity_id", "candidate_count")
 
 
 @query("""

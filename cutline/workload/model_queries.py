@@ -101,6 +101,21 @@ def nb_threshold_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("p_partkey", F.col("q")[3].alias("q50"), F.col("q")[6].alias("q95"), rnd(D.nb_at_least(F.col("r"), F.col("p"), F.col("t")), 6, "prob"))
 
 
+@query("""
+with fit as (
+  select s_suppkey, (1 + s_suppkey * 977 % 100000)::double as m, (1 + s_suppkey * 977 % 100000) * (1.05 + s_suppkey % 4)::double as v from supplier),
+nb as (select s_suppkey, m, m / v as p, m * m / (v - m) as r, sqrt(v) as sd from fit),
+terms as (select s_suppkey, m, r, p, unnest(range(greatest(0, floor(m - 12 * sd))::bigint, ceil(m + 12 * sd + 40 / p)::bigint)) as k from nb)
+select s_suppkey, round(sum(case when k >= m + 3 then exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(p) + k * ln(1 - p)) else 0 end), 6) + 0.0 as prob
+from terms group by 1""")
+def nb_large_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P(X >= mean + 3) for means up to a hundred thousand, where the mass at zero underflows."""
+    m = (1 + F.col("s_suppkey") * 977 % 100000).cast("double")
+    fit = D.nb_fit(F.col("m"), F.col("v"))
+    rows = T.table(spark, sf_dir, "supplier").select("s_suppkey", m.alias("m"), (m * (1.05 + (F.col("s_suppkey") % 4))).alias("v"))
+    return rows.select("s_suppkey", rnd(D.nb_at_least(fit["r"], fit["p"], F.col("m") + 3), 6, "prob"))
+
+
 @query(S.with_(*RUN) + f"""
 select target_id, {S.rnd('p_zero', 6)} as p_zero, {S.rnd('mu', 6)} as mu, {S.rnd('sigma', 6)} as sigma, {S.rnd('p', 6)} as p from outcomes
 where reason is distinct from 'no_prior_evidence' and n_eff >= 1""")

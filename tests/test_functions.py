@@ -154,3 +154,23 @@ def test_hourly_reading(spark):
     df = spark.createDataFrame([(["2023-10-01T17:00", "2023-10-01T18:00"], [7.0, 8.0], dt.datetime(2023, 10, 1, 18, 25))], "h array<string>, v array<double>, k timestamp")
     assert df.select(RW.hourly_reading(F.col("h"), F.col("v"), F.col("k"))).first()[0] == 8.0
     assert df.select(RW.hourly_reading(F.col("h"), F.col("v"), F.col("k") + F.expr("INTERVAL 3 HOURS"))).first()[0] is None
+
+
+def test_large_and_bad_counts(spark):
+    """Means far past underflow against lgamma; rows that are no distribution are NULL and end nothing."""
+    import math
+
+    def mass(k, r, p):
+        return math.exp(math.lgamma(k + r) - math.lgamma(r) - math.lgamma(k + 1) + r * math.log(p) + k * math.log1p(-p))
+
+    rows = [(800.0 / 0.05, 1 / 1.05, 801.0), (1e5 / 4.0, 1 / 5.0, 1e5 + 700), (0.5, 1e-4, 9e3), (2.0, 0.4, 3.0), (-1.0, 0.5, 1.0), (None, 0.5, 1.0), (3.0, 1.5, 1.0)]
+    base = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, r double, p double, t double").repartition(2)
+    found = {x.i: x for x in base.select("i", D.nb_at_least(F.col("r"), F.col("p"), F.col("t")).alias("tail"), D.nb_table(F.col("r"), F.col("p"), F.lit(900)).alias("nb")).collect()}
+    for i, (r, p, t) in enumerate(rows[:4]):
+        want = 1 - sum(mass(k, r, p) for k in range(int(t))) if t < 2e4 else sum(mass(k, r, p) for k in range(int(t), int(t) + 40_000))
+        assert abs(found[i].tail - want) < 1e-7
+        assert abs(found[i].nb.pmf[800] - mass(800, r, p)) < 1e-9
+        q50 = found[i].nb.quantiles[3]
+        assert q50 == int(q50) and abs(q50 - r * (1 - p) / p) < 2 * math.sqrt(r * (1 - p)) / p + 1
+    for i in (4, 5, 6):
+        assert found[i].tail is None and found[i].nb.pmf is None
