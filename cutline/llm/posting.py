@@ -5,7 +5,7 @@ rows at the sample's share of all vectors; the parts' means are the centroids. T
 at most ``max_lists``, so that they and a neighbour graph over them fit every task. Each
 vector goes to its nearest list and, where it lies at a boundary, to others whose
 centroid is nearly as near. A query walks the graph for its nearest centroids and
-reads the lists whose distance is within a ratio of the least.
+reads the lists whose distance is within a ratio of the least, and a few at any rate.
 
 Equal vectors are one entry: no more than the ``k + 1`` smallest ids of a vector can
 ever be among the nearest, so the rest are counted out exactly, before the shuffle.
@@ -39,11 +39,12 @@ class Index:
     list_rows: int = 64
     max_lists: int = 8_192
     sample_rows: int = 32_768
-    replicas: int = 6
-    boundary: float = 1.10
-    probes: int = 32
-    probe_ratio: float = 1.35
-    beam: int = 48
+    replicas: int = 8
+    boundary: float = 1.15
+    least_probes: int = 24
+    probes: int = 96
+    probe_ratio: float = 1.30
+    beam: int = 112
     degree: int = 24
     block_rows: int = 4_096
     seed: int = 7
@@ -133,7 +134,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _routed(graph: Graph, beam: int, most: int, ratio: float, blocks: dict[int, int] | None):
+def _routed(graph: Graph, beam: int, least: int, most: int, ratio: float, blocks: dict[int, int] | None):
     """Rows (list, block, entry, vec): each vector at its lists. Given the blocks of each list, a row goes to all of them."""
 
     def run(batches):
@@ -142,8 +143,10 @@ def _routed(graph: Graph, beam: int, most: int, ratio: float, blocks: dict[int,
                 part = batch.slice(i, 1024)
                 x = _matrix(part.column("vec"))
                 ids, far = graph.nearest(unit(x), max(beam, most))
-                chosen = (ids >= 0) & (far <= ratio * far[:, :1] + 1e-6)
+                chosen = far <= ratio * far[:, :1] + 1e-6
+                chosen[:, :least] = True
                 chosen[:, most:] = False
+                chosen &= ids >= 0
                 row, k = np.nonzero(chosen)
                 lists = ids[row, k]
                 entry = part.column("entry").to_numpy()[row]
@@ -172,10 +175,12 @@ def _scored(k: int):
             names = entries["entry"].to_numpy()
             for i in range(0, len(queries), 512):
                 q = np.stack(queries["vec"].iloc[i : i + 512].to_numpy())
-                score = (q / np.sqrt((q * q).sum(1, keepdims=True))) @ v.T
-                order = np.lexsort((np.broadcast_to(names, score.shape), -score), axis=1)[:, :k]
+                q = q / np.sqrt((q * q).sum(1, keepdims=True))
+                like = q @ v.T
+                order = np.lexsort((np.broadcast_to(names, like.shape), -like), axis=1)[:, :k]
+                score = (q[:, None, :] * v[order]).sum(2)  # summed alike in every block
                 rows = np.repeat(queries["entry"].iloc[i : i + 512].to_numpy(), order.shape[1])
-                out.append(pd.DataFrame({"query": rows, "entry": names[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()}))
+                out.append(pd.DataFrame({"query": rows, "entry": names[order].ravel(), "score": score.ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "entry": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
     return run
@@ -192,12 +197,12 @@ def _of_length(entries: DataFrame, queries: DataFrame, k: int, settings: Index)
         x = unit(_matrix(entries.select("vec").limit(1).toArrow().column("vec").combine_chunks()))
     lists = int(min(settings.max_lists, max(1, n // settings.list_rows), len(x)))
     graph = Graph(balanced(x[np.lexsort(x.T)], lists, rng), settings.degree, rng)
-    placed = materialize(entries.mapInArrow(_routed(graph, 16, settings.replicas, settings.boundary, None), _ROUTED), "postings")
+    placed = materialize(entries.mapInArrow(_routed(graph, 16, 1, settings.replicas, settings.boundary, None), _ROUTED), "postings")
     sizes = {r.list: -(-r["count"] // settings.block_rows) for r in placed.groupBy("list").count().collect()}  # at most max_lists rows
     many = F.create_map(*[F.lit(x) for pair in sizes.items() if pair[1] > 1 for x in pair]) if any(b > 1 for b in sizes.values()) else None
     if many is not None:
         placed = placed.withColumn("block", F.pmod(F.xxhash64("entry"), F.coalesce(many[F.col("list")], F.lit(1))).cast("int"))
-    asked = queries.mapInArrow(_routed(graph, settings.beam, settings.probes, settings.probe_ratio, sizes), _ROUTED)
+    asked = queries.mapInArrow(_routed(graph, settings.beam, settings.least_probes, settings.probes, settings.probe_ratio, sizes), _ROUTED)
     return placed.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInPandas(_scored(k + 1), "query long, entry long, score double")
 
 
@@ -217,7 +222,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    nearest = found.distinct().join(entries.select("entry", "ids"), "entry").select("query", F.explode("ids").alias("vec_id"), "score")
+    nearest = found.groupBy("query", "entry").agg(F.max("score").alias("score")).join(entries.select("entry", "ids"), "entry").select("query", F.explode("ids").alias("vec_id"), "score")
     order = [F.desc("score"), F.asc("vec_id")]
     nearest = nearest.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("nth") <= k + 1).drop("nth")
     own = named.join(nearest, "query").where("query_id <> vec_id")
