@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cutline.llm import toxicity
-from tests.llm import test_packing, test_secrets, test_simhash
+from tests.llm import test_packing as packing_test
+from tests.llm import test_secrets as secrets_test
+from tests.llm import test_simhash as simhash_test
 from tests.llm.test_suffix import brute as without_repeats
 
 SF = "/root/testdata/sf0.001"
@@ -36,7 +38,7 @@ def test_toxicity(spark, kept):
 
 
 def test_near_copies(kept):
-    groups = test_simhash.brute(list(rows(kept["toxicity"]).items()))
+    groups = simhash_test.brute(list(rows(kept["toxicity"]).items()))
     assert set(rows(kept["simhash_near_dedup"])) == {c for _, _, c in groups}
 
 
@@ -50,10 +52,10 @@ def test_repeats(kept):
     assert sum(gone.values()) > 0
 
 
-def test_secrets(kept):
+def test_masked_secrets(kept):
     before, after = rows(kept["suffix_array_dedup"]), rows(kept["secret_scan"])
     for i in before:
-        found = test_secrets.base(before[i]) + test_secrets.entropy(before[i])
+        found = secrets_test.base(before[i]) + secrets_test.entropy(before[i])
         assert ("[SECRET]" in after[i]) == bool(found) or "[SECRET]" in before[i]
     assert {r.doc_id: r.n_chars for r in kept["secret_scan"].collect()} == {i: len(t) for i, t in after.items()}
 
@@ -61,7 +63,7 @@ def test_secrets(kept):
 def test_packing_and_run(spark, kept):
     docs = kept["secret_scan"]
     found = STAGES["best_fit_packing"](spark, docs, SF).collect()
-    test_packing.check(found, list(rows(docs).items()))
+    packing_test.check(found, list(rows(docs).items()))
     again = corpus_pipeline.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect()
     assert sorted(map(tuple, again)) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in found)
 
