@@ -71,36 +71,48 @@ def _spans(kind: str, found: Column) -> Column:
     return F.transform(found, lambda x: F.struct(x["a"].alias("a"), F.lit(order).alias("kind"), x["b"].alias("b")))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once: a lambda's variable is bound, an expression is repeated."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _high(candidate: Column, limit: float) -> Column:
     """Array of (a, b), within the candidate, of joined windows whose entropy is at least ``limit``."""
     table = F.array(*[F.lit(_size(c)).cast("long") for c in range(WINDOW + 2)])
     most = math.floor((math.log2(WINDOW) - limit) * WINDOW * SCALE)
-    chars, n = F.split(candidate["value"], ""), F.length(candidate["value"])
     pair = "array<struct<a:int,b:int>>"
+    grown = lambda n: F.get(table, n + 1) - F.get(table, n)
     count = lambda among, x: F.size(F.filter(among, lambda y: y == x))
 
-    def slide(state, i):
-        """The window ends before place ``i`` (from 1) becomes part of it."""
-        came = F.get(chars, i - 1)
-        inside = F.slice(chars, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i - 1, F.lit(WINDOW - 1)))
-        now = count(inside, came)
-        added = F.get(table, now + 1) - F.get(table, now)
-        went = F.get(chars, i - WINDOW - 1)
-        before = count(inside, went)
-        lost = F.when(i > WINDOW, F.get(table, before + 1) - F.get(table, before)).otherwise(F.lit(0).cast("long"))
-        sum_ = state["sum"] - lost + added
-        high = (i >= WINDOW) & (sum_ <= most)
-        joins = high & (state["b"] >= i - WINDOW)
-        return F.struct(
-            sum_.alias("sum"),
-            F.when(high & ~joins, i - WINDOW).otherwise(state["a"]).cast("int").alias("a"),
-            F.when(high, i).otherwise(state["b"]).cast("int").alias("b"),
-            F.when(high & ~joins & (state["b"] > 0), F.array_append(state["done"], F.struct(state["a"].alias("a"), state["b"].alias("b")))).otherwise(state["done"]).alias("done"),
-        )
+    def slide(chars):
+        def step(state, i):
+            """The window ends before place ``i`` (from 1) becomes part of it."""
+            inside = F.slice(chars, F.greatest(i - WINDOW + 1, F.lit(1)), F.least(i - 1, F.lit(WINDOW - 1)))
+
+            def moved(kept):
+                came, went = F.get(chars, i - 1), F.get(chars, i - WINDOW - 1)
+                lost = F.when(i > WINDOW, grown(count(kept, went))).otherwise(F.lit(0).cast("long"))
+                return state["sum"] - lost + grown(count(kept, came))
+
+            def told(sum_):
+                high = (i >= WINDOW) & (sum_ <= most)
+                joins = high & (state["b"] >= i - WINDOW)
+                ended = F.array_append(state["done"], F.struct(state["a"].alias("a"), state["b"].alias("b")))
+                return F.struct(
+                    sum_.alias("sum"),
+                    F.when(high & ~joins, i - WINDOW).otherwise(state["a"]).cast("int").alias("a"),
+                    F.when(high, i).otherwise(state["b"]).cast("int").alias("b"),
+                    F.when(high & ~joins & (state["b"] > 0), ended).otherwise(state["done"]).alias("done"),
+                )
+
+            return _once(_once(inside, moved), told)
+
+        return step
 
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("a"), F.lit(-1).alias("b"), F.array().cast(pair).alias("done"))
     last = lambda s: F.when(s["b"] > 0, F.array_append(s["done"], F.struct(s["a"].alias("a"), s["b"].alias("b")))).otherwise(s["done"])
-    return F.aggregate(F.sequence(F.lit(1), n), start, slide, last)
+    places = F.sequence(F.lit(1), F.length(candidate["value"]))
+    return _once(F.split(candidate["value"], ""), lambda chars: F.aggregate(places, start, slide(chars), last))
 
 
 def _class_spans(candidates: Column, kind: str, of_class: bool, limit: float) -> Column:
