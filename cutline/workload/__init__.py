@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("history_queries", "model_queries", "ingest_queries", "market_queries", "audit_queries", "stream_queries")
+MODULES = ("history_queries", "model_queries", "ingest_queries", "market_queries", "audit_queries", "stream_queries", "storage_queries")
 
 
 def _load():

@@ -257,13 +257,18 @@ select case when c.k is null then 'inserted' when i.k is null then 'kept' when c
        count(*) as rows from current_ c full join incoming i on i.k = c.k group by 1""")
 def upsert_if_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Insert, update or leave each row, NULLs compared as values."""
+    current, incoming = upsert_sides(spark, sf_dir)
+    return MG.upsert_if_distinct(current, incoming, ["k"], ["name", "segment"]).counters()
+
+
+def upsert_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = T.table(spark, sf_dir, "customer")
     name = [F.col("c_custkey").alias("k"), F.col("c_name").alias("name")]
     moved = F.when(T.every("c_custkey", 10), None).when(T.every("c_custkey", 4), "MOVED").otherwise(F.col("c_mktsegment"))
     fresh = T.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 10000000).alias("k"), F.col("s_name").alias("name"), F.lit("NEW").alias("segment"))
     incoming = c.where(~T.every("c_custkey", 9)).select(*name, moved.alias("segment")).unionByName(fresh)
     current = c.select(*name, F.when(~T.every("c_custkey", 20), F.col("c_mktsegment")).alias("segment"))
-    return MG.upsert_if_distinct(current, incoming, ["k"], ["name", "segment"]).counters()
+    return current, incoming
 
 
 @query(S.with_(S.LINES) + """,
@@ -274,13 +279,17 @@ from now_ n group by 1
 union all select 'kept', count(*), count(*) from lines_wide where event_id % 6 = 1 and event_id % 3 <> 2""")
 def correction_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries of the stat lines: new, equal and corrected ones, versioned."""
+    merged = two_deliveries(spark, sf_dir)
+    joined = merged.actions.join(merged.current.select("entity_id", "event_id", "version"), ["entity_id", "event_id"])
+    return joined.groupBy("action").agg(F.count("*").alias("rows"), F.sum(F.col("version").cast("long")).alias("versions"))
+
+
+def two_deliveries(spark: SparkSession, sf_dir: str) -> MG.Merge:
     w = T.lines_wide(spark, sf_dir)
     current = w.where(F.col("event_id") % 3 != 2).withColumns({"version": F.lit(1), "known_at": F.col("published_at")})
     changed = F.when(T.every("event_id", 8), F.col("price") + 5).when(T.every("event_id", 12), None).otherwise(F.col("price"))
     incoming = w.where(F.col("event_id") % 6 != 1).withColumn("price", changed)
-    merged = MG.correction_merge(current, incoming, ["price", "lines"], F.lit("2002-01-01").cast("timestamp"))
-    joined = merged.actions.join(merged.current.select("entity_id", "event_id", "version"), ["entity_id", "event_id"])
-    return joined.groupBy("action").agg(F.count("*").alias("rows"), F.sum(F.col("version").cast("long")).alias("versions"))
+    return MG.correction_merge(current, incoming, ["price", "lines"], F.lit("2002-01-01").cast("timestamp"))
 
 
 @query(S.with_(S.ORDERS) + """,
