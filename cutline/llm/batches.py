@@ -1,7 +1,8 @@
 """Arrow batches as flat byte buffers, so that text work inside a task is vectorised.
 
 Every helper works on slices of bounded size: ``slices`` cuts a batch into runs
-of rows of about four megabytes of text (one longer text makes a slice alone).
+of rows of about one megabyte of text (one longer text makes a slice alone). What
+a task holds beside its batch is some ten times a slice.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Where distinct units are looked up: a longer slice has fewer of them for its size.
+ENCODE_BYTES = 4 << 20
 
 #: The separators of words: blank, and tab to carriage return.
 SPACE = np.zeros(256, bool)
@@ -45,7 +48,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         row = stop
 
 
-def by_slice(columns: dict[str, pa.DataType], work: Callable, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> Callable:
+def by_slice(columns: dict[str, pa.DataType], work: Callable, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = SLICE_BYTES) -> Callable:
     """A ``mapInArrow`` function: ``work(bytes, beginnings, rows)`` gives the new columns of each slice.
 
     ``rows`` holds the other columns of the slice. The columns in ``keep`` come first in the result.
@@ -54,7 +57,7 @@ def by_slice(columns: dict[str, pa.DataType], work: Callable, text: str = "text"
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for row, stop, raw, at in slices(table.column(text)):
+            for row, stop, raw, at in slices(table.column(text), limit):
                 rows = table.slice(row, stop - row)
                 made = work(raw, at, rows)
                 if made is None:

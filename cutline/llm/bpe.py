@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from cutline.llm.batches import UnitCache, by_slice, ranges
+from cutline.llm.batches import ENCODE_BYTES, UnitCache, by_slice, ranges
 
 LONG = 256
 CELLS = 1 << 20
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         return {"ids": _lists(ids.astype(np.int32), ends, pa.int32())}
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(by_slice({"ids": pa.list_(pa.int32())}, work, text_col, (id_col,)), f"`{id_col}` {kind}, ids array<int>")
+    return docs.select(id_col, text_col).mapInArrow(by_slice({"ids": pa.list_(pa.int32())}, work, text_col, (id_col,), ENCODE_BYTES), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -248,4 +248,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     columns = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(by_slice(columns, work), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(by_slice(columns, work, limit=ENCODE_BYTES), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

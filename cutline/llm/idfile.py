@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutline.llm.batches import slices
+from cutline.llm.batches import ENCODE_BYTES, slices
 from cutline.llm.vocab import library
 from cutline.session import checkpoint_dir, materialize
 
@@ -172,7 +172,7 @@ def write(docs: DataFrame, path: str, kind: str, end: int, folder: str, shards:
                 keys = batch.column("doc_id")
                 nulls += keys.null_count
                 docs_.append(keys.drop_null().to_numpy(zero_copy_only=False))
-                for _, _, raw, at in slices(batch.column("text")):
+                for _, _, raw, at in slices(batch.column("text"), ENCODE_BYTES):
                     ids, first = held.with_end(raw, at, end)
                     out.write(ids.astype(f"<u{item}").tobytes())
                     sizes.append(np.diff(first))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cutline.llm.batches import slices
+from cutline.llm.batches import ENCODE_BYTES, slices
 from cutline.llm.vocab import library
 from cutline.session import materialize
 
@@ -137,7 +137,7 @@ def pieces(docs: DataFrame, path: str, kind: str, end: int, size: int) -> DataFr
     def run(batches):
         held, task, seen = library(path, kind), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
-            for row, stop, raw, at in slices(batch.column("text")):
+            for row, stop, raw, at in slices(batch.column("text"), ENCODE_BYTES):
                 ids, first = held.with_end(raw, at, end)
                 total = np.diff(first)
                 parts = -(-total // size)

@@ -42,7 +42,7 @@ from cutline.llm.rows import numbered
 from cutline.session import materialize
 
 WIDTH, GRAM = 100, 24
-SEGMENT = 8 << 20
+SEGMENT = 2 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -58,7 +58,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     held = _POWERS.get(int(base))
     if held is None or len(held) < n:
-        steps = np.full(max(n, 1 << 20), base)
+        steps = np.full(max(n, 1 << 18), base)
         steps[0] = 1
         held = _POWERS[int(base)] = np.multiply.accumulate(steps)
     return held[:n]
@@ -250,7 +250,7 @@ def _around(batches):
         none = pa.nulls(n, pa.binary())
         return pa.record_batch([pa.array(high), pa.array(low), pa.array([d for _, d, _ in strings], pa.int64()), pa.array([s for _, _, s in strings], pa.int64()), none, none, pa.array(np.where(again, AGAIN, STRING).astype(np.int8))], names=names)
 
-    for batch in batches:
+    for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
         strings = []
         for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("found").to_pylist()):
             out = []
