@@ -346,8 +346,8 @@ def run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 with hashed as (select o_orderstatus, sha256(concat_ws(chr(31), 'o_custkey', o_custkey::varchar, 'o_orderkey', o_orderkey::varchar,
                   'o_orderpriority', o_orderpriority, 'o_orderstatus', o_orderstatus)) as h from orders),
 limbs as (select o_orderstatus, count(*) as row_count,
-  sum(('0x' || substr(h, 1, 15))::bigint)::hugeint as s0, sum(('0x' || substr(h, 16, 15))::bigint)::hugeint as s1,
-  sum(('0x' || substr(h, 31, 15))::bigint)::hugeint as s2, sum(('0x' || substr(h, 46, 15))::bigint)::hugeint as s3 from hashed group by 1)
+  sum(('0x' || substr(h, 1, 16))::ubigint::hugeint)::hugeint as s0, sum(('0x' || substr(h, 17, 16))::ubigint::hugeint)::hugeint as s1,
+  sum(('0x' || substr(h, 33, 16))::ubigint::hugeint)::hugeint as s2, sum(('0x' || substr(h, 49, 16))::ubigint::hugeint)::hugeint as s3 from hashed group by 1)
 select o_orderstatus, row_count, sha256(concat_ws(':', row_count::varchar, s0::varchar, s1::varchar, s2::varchar, s3::varchar)) as digest from limbs""")
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-free digest of the orders of each status."""
