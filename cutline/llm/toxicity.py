@@ -40,10 +40,10 @@ class Settings:
     bits: int = 20
     sample_rows: int = 16_000
     epochs: int = 3
-    toxic_weight: float = 3.0
-    alpha: float = 0.5
+    toxic_weight: float = 5.0
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 8.0
+    l1: float = 12.0
     l2: float = 1.0
     threshold: float = 0.7
 
