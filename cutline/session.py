@@ -33,9 +33,12 @@ def build_session(app: str = "cutline", cpus: str | int | None = None) -> SparkS
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once for each session: they unpickle functions by module name."""
-    if spark.conf.get("cutline.shipped", None):
+    """Give the Python workers this package, once for each application: they unpickle functions by module name."""
+    if spark.sparkContext.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "cutline.zip")
@@ -46,7 +49,7 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
-    spark.conf.set("cutline.shipped", "1")
+    _SHIPPED.add(spark.sparkContext.applicationId)
 
 
 def shipped(fn):
