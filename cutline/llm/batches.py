@@ -177,7 +177,7 @@ class Spans:
 class UnitCache:
     """Ids by unit for one Python worker; emptied when it holds ``most`` units, which changes no result."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 600_000, dtype=np.uint32):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 250_000, dtype=np.uint32):
         self.encode, self.most, self.dtype = encode, most, dtype
         self.known: dict[bytes, int] = {}
         self.spans = Spans(dtype)
