@@ -52,12 +52,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
+BATCH_ROWS = 1_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than Spark's default, for whole texts may be long; a smaller setting is left alone."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shipped(fn):
     """The query ``fn(spark, ...)``, whose workers can import this package."""
 
     @functools.wraps(fn)
     def run(spark: SparkSession, *args):
         ship(spark)
+        bound_batches(spark)
         return fn(spark, *args)
 
     return run
