@@ -47,7 +47,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The remaining texts as pieces in sequences of 1024 tokens."""
-    return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), added=True)
 
 
 def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ counted, so a lost executor leaves at most orphans.
 Edge cases: a null or empty text is stored as its end id alone; rows that share an
 id stay together in the order of their texts and the key leads to all of them; rows
 with a null id are stored last, reached by place only; an empty table makes an
-empty manifest; ids must be integral; other columns are not read.
+empty manifest; ids must be integral; other columns are not read. With ``added`` the
+strings of added tokens in a text become those tokens, as in a plain library call.
 """
 
 from __future__ import annotations
@@ -153,7 +154,7 @@ class Shard:
 _MANIFEST = "shard int, name string, docs long, ids long, first_doc long, last_doc long"
 
 
-def write(docs: DataFrame, path: str, kind: str, end: int, folder: str, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, path: str, kind: str, end: int, folder: str, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """Encodes all texts and writes the shards to ``folder``; returns the manifest, stored there as well."""
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{id_col} must be integral")
@@ -161,7 +162,7 @@ def write(docs: DataFrame, path: str, kind: str, end: int, folder: str, shards:
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        held = library(path, kind)
+        held = library(path, kind, added)
         item = 2 if max(held.size, end + 1) <= 1 << 16 else 4
         fs, root = _folder(folder)
         fs.create_dir(root, recursive=True)
@@ -222,7 +223,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     return based.repartition(shards, "name").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def stored(docs: DataFrame, path: str, kind: str, end: int) -> DataFrame:
+def stored(docs: DataFrame, path: str, kind: str, end: int, added: bool = False) -> DataFrame:
     """Writes the shards to a new folder in the shared one and reads them back."""
     folder = f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/ids-{uuid.uuid4().hex}"
-    return read(write(docs, path, kind, end, folder), folder)
+    return read(write(docs, path, kind, end, folder, added=added), folder)

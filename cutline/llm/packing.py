@@ -16,7 +16,8 @@ ranks which sequences and offset they take.
 
 Edge cases: a null or empty text is its end id alone; documents over ``size`` ids
 are cut so that only their first piece is shorter; repeated rows and null ids are
-packed like any others; an empty table gives no rows; other columns are not read.
+packed like any others; an empty table gives no rows; other columns are not read. With
+``added`` the strings of added tokens in a text become those tokens, as in a plain library call.
 """
 
 from __future__ import annotations
@@ -130,12 +131,12 @@ def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     return min(out, plain, key=lambda made: sum(many for _, many in made))
 
 
-def pieces(docs: DataFrame, path: str, kind: str, end: int, size: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, kind: str, end: int, size: int, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, with the task and the rank among its pieces of that length."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]
 
     def run(batches):
-        held, task, seen = library(path, kind), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        held, task, seen = library(path, kind, added), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             for row, stop, raw, at in slices(batch.column("text"), ENCODE_BYTES):
                 ids, first = held.with_end(raw, at, end)
@@ -162,9 +163,9 @@ def pieces(docs: DataFrame, path: str, kind: str, end: int, size: int) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind_}, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def packed(docs: DataFrame, path: str, kind: str = "byte", end: int = 2, size: int = 1024) -> DataFrame:
+def packed(docs: DataFrame, path: str, kind: str = "byte", end: int = 2, size: int = 1024, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    cut = materialize(pieces(docs, path, kind, end, size), "pieces")
+    cut = materialize(pieces(docs, path, kind, end, size, added), "pieces")
     by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
     by_task = materialize(by_task.select("task", "length", F.coalesce(before, F.lit(0)).alias("before"), "n"), "counts")

@@ -82,7 +82,7 @@ def op8_id_shards(spark, sf_dir):
     """Every document's ids, read back from their shards by key."""
     from cutline.llm import idfile
 
-    return idfile.stored(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "word", 2)
+    return idfile.stored(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "word", 2, added=True)
 
 
 @query()
@@ -90,7 +90,7 @@ def op9_configuration_packing(spark, sf_dir):
     """Every document's pieces in sequences of 1024 tokens."""
     from cutline.llm import packing
 
-    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), added=True)
 
 
 @query()

@@ -14,14 +14,24 @@ TOGETHER = 256
 
 
 class Library:
-    """A tokenizer file; ``kind`` says what may stand between units ("byte": byte-level, "word": white space dropped)."""
+    """A tokenizer file; ``kind`` says what may stand between units ("byte": byte-level, "word": white space dropped).
 
-    def __init__(self, path: str, kind: str):
+    With ``added`` the content of an added token in a text is that token, as in a plain call of the
+    library; without, the strings of special tokens are ordinary text.
+    """
+
+    def __init__(self, path: str, kind: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.marks = []
+        if added:
+            tokens = self.tokenizer.get_added_tokens_decoder().values()
+            if any(x.normalized for x in tokens):
+                raise ValueError(f"an added token of {path} is met in the normalized text only")
+            self.marks = [x.content.encode() for x in tokens]
+        self.tokenizer.encode_special_tokens = True  # in units; the texts that hold a mark are encoded whole
         self.size = self.tokenizer.get_vocab_size()
         self.between, self.mark = BETWEEN[kind], BETWEEN[kind].strip() or BETWEEN[kind]
         ids = self.tokenizer.encode(self.between, add_special_tokens=False).ids
@@ -51,17 +61,39 @@ class Library:
             out[k] = ids
         return np.concatenate(out) if out else np.zeros(0, np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 
+    def _whole(self, raw: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` and ``first`` with the texts that hold an added token encoded whole: white space before one is cut otherwise there."""
+        data, held = raw.tobytes() if self.marks else b"", set()
+        for mark in self.marks:
+            place = data.find(mark)
+            while place >= 0:
+                k = int(np.searchsorted(at, place, side="right")) - 1
+                inside = place + len(mark) <= at[k + 1]
+                held |= {k} if inside else set()
+                place = data.find(mark, int(at[k + 1]) if inside else place + 1)
+        if not held:
+            return ids, first
+        parts, length, done = [], np.diff(first), 0
+        self.tokenizer.encode_special_tokens = False
+        for k in sorted(held):
+            (own,) = self._each([data[at[k] : at[k + 1]].decode()])
+            parts += [ids[first[done] : first[k]], own]
+            length[k], done = len(own), k + 1
+        self.tokenizer.encode_special_tokens = True
+        return np.concatenate([*parts, ids[first[done] :]]), np.append(0, np.cumsum(length))
+
     def with_end(self, raw: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, ``end`` behind each, and where each text's begin."""
         ids, first = self.cache.ids(raw, at)
+        ids, first = self._whole(raw, at, ids, first)
         ids = np.insert(ids, first[1:], end) if len(first) > 1 else ids
         return ids.astype(np.uint32), first + np.arange(len(first))
 
 
-_LOADED: dict[tuple[str, str], Library] = {}
+_LOADED: dict[tuple[str, str, bool], Library] = {}
 
 
-def library(path: str, kind: str) -> Library:
-    if (path, kind) not in _LOADED:
-        _LOADED[path, kind] = Library(path, kind)
-    return _LOADED[path, kind]
+def library(path: str, kind: str, added: bool = False) -> Library:
+    if (path, kind, added) not in _LOADED:
+        _LOADED[path, kind, added] = Library(path, kind, added)
+    return _LOADED[path, kind, added]
