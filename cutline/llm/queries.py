@@ -106,7 +106,7 @@ def op10_secret_scan(spark, sf_dir):
     """Secrets in every document, by shape and by entropy."""
     from cutline.llm import secrets
 
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.report(table(spark, sf_dir, "documents"), letters=True)
 
 
 _PAIRS = """

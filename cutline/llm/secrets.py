@@ -7,11 +7,12 @@ their place first, which changes no position.
 
 Fixed shapes are assignments of secrets, access keys and long hex strings. Beside
 them, runs of key-like characters with a digit are candidates of the class hex or
-base64. A window of ``WINDOW`` characters slides over each candidate; the sum of
+base64, and with ``letters`` those without a digit but with letters of both cases. A window of ``WINDOW`` characters slides over each candidate; the sum of
 c * log2(c) over its character counts changes only by the counts of the character that
 comes and the one that goes, so each step costs the same. Windows whose Shannon entropy
-reaches the class's limit are joined to spans. Candidates that match the allow list
-are left out; it never touches the fixed shapes.
+reaches the class's limit are joined to spans. Windows that overlap a match of the
+allow list are left out, the others of that candidate are not; it never touches the
+fixed shapes. Its patterns are met one after the other, each in what is left.
 
 Edge cases: a null text is empty and has no spans; repeated rows give repeated
 results; an empty table gives no rows; other columns are not read unless kept.
@@ -35,9 +36,11 @@ SHAPES = (
 WINDOW = 20
 #: Class of candidates, pattern of the whole candidate, least entropy of a window in bits.
 CLASSES = (("entropy_hex", r"^[0-9a-fA-F]+$", 2.9), ("entropy_base64", None, 3.8))
-CANDIDATE = r"()((?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+={0,2})"
-#: Candidates that are no secrets: examples, alphabets, UUIDs, one character over and over.
-ALLOW = (r"(?i)example|sample|dummy|placeholder|changeme", r"(?i)abcdefghij|0123456789", r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"(.)\1{7}")
+_DIGIT = r"(?=[A-Za-z+/_-]*[0-9])"
+_BOTH_CASES = r"(?=[a-z+/_-]*[A-Z])(?=[A-Z+/_-]*[a-z])"
+CANDIDATE, LETTERS = (rf"()((?<![A-Za-z0-9+/_-])(?:{x})[A-Za-z0-9+/_-]{{20,}}+={{0,2}})" for x in (_DIGIT, f"{_DIGIT}|{_BOTH_CASES}"))
+#: What is no secret: UUIDs, examples, alphabets, one character over and over.
+ALLOW = (r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"(?i)example|sample|dummy|placeholder|changeme", r"(?i)abcdefghij|0123456789", r"([^\x02])\1{7,}")
 SCALE = 1_000_000_000
 KINDS = [kind for kind, _, _ in SHAPES] + [kind for kind, _, _ in CLASSES]
 
@@ -76,8 +79,27 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _high(candidate: Column, limit: float) -> Column:
-    """Array of (a, b), within the candidate, of joined windows whose entropy is at least ``limit``."""
+def _shown(value: Column) -> Column:
+    """A candidate with ``VALUE`` in the place of each character that the allow list matches."""
+
+    def hidden(pattern):
+        def use(x):
+            parts = F.split(F.regexp_replace(x, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]")
+            return F.array_join(F.transform(parts, lambda part, i: F.when(i % 2 == 1, F.repeat(F.lit(VALUE), F.length(part))).otherwise(part)), "")
+
+        return use
+
+    out = value
+    for pattern in ALLOW:
+        out = _once(out, hidden(pattern))
+    named = F.lit(False)
+    for pattern in ALLOW:
+        named = named | F.rlike(value, F.lit(pattern))
+    return F.when(named, out).otherwise(value)
+
+
+def _high(shown: Column, limit: float) -> Column:
+    """Array of (a, b), within the candidate, of joined windows whose entropy is at least ``limit`` and that hold no ``VALUE``."""
     table = F.array(*[F.lit(_size(c)).cast("long") for c in range(WINDOW + 2)])
     most = math.floor((math.log2(WINDOW) - limit) * WINDOW * SCALE)
     pair = "array<struct<a:int,b:int>>"
@@ -95,7 +117,8 @@ def _high(candidate: Column, limit: float) -> Column:
                 return state["sum"] - lost + grown(count(kept, came))
 
             def told(sum_):
-                high = (i >= WINDOW) & (sum_ <= most)
+                hides = F.when(F.get(chars, i - 1) == VALUE, i).otherwise(state["hides"])
+                high = (i - hides >= WINDOW) & (sum_ <= most)
                 joins = high & (state["b"] >= i - WINDOW)
                 ended = F.array_append(state["done"], F.struct(state["a"].alias("a"), state["b"].alias("b")))
                 return F.struct(
@@ -103,16 +126,17 @@ def _high(candidate: Column, limit: float) -> Column:
                     F.when(high & ~joins, i - WINDOW).otherwise(state["a"]).cast("int").alias("a"),
                     F.when(high, i).otherwise(state["b"]).cast("int").alias("b"),
                     F.when(high & ~joins & (state["b"] > 0), ended).otherwise(state["done"]).alias("done"),
+                    hides.alias("hides"),
                 )
 
             return _once(_once(inside, moved), told)
 
         return step
 
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("a"), F.lit(-1).alias("b"), F.array().cast(pair).alias("done"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("a"), F.lit(-1).alias("b"), F.array().cast(pair).alias("done"), F.lit(0).alias("hides"))
     last = lambda s: F.when(s["b"] > 0, F.array_append(s["done"], F.struct(s["a"].alias("a"), s["b"].alias("b")))).otherwise(s["done"])
-    places = F.sequence(F.lit(1), F.length(candidate["value"]))
-    return _once(F.split(candidate["value"], ""), lambda chars: F.aggregate(places, start, slide(chars), last))
+    places = F.sequence(F.lit(1), F.length(shown))
+    return _once(F.split(shown, ""), lambda chars: F.aggregate(places, start, slide(chars), last))
 
 
 def _class_spans(candidates: Column, kind: str, of_class: bool, limit: float) -> Column:
@@ -120,28 +144,23 @@ def _class_spans(candidates: Column, kind: str, of_class: bool, limit: float) ->
     order = KINDS.index(kind)
     mine = F.filter(candidates, lambda x: F.rlike(x["value"], F.lit(CLASSES[0][1])) == F.lit(of_class))
     place = lambda x: lambda y: F.struct((x["a"] + y["a"]).alias("a"), F.lit(order).alias("kind"), (x["a"] + y["b"]).alias("b"))
-    return F.flatten(F.transform(mine, lambda x: F.transform(_high(x, limit), place(x))))
+    window = F.lit(f"[^{VALUE}]{{{WINDOW}}}")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    high = lambda x: _once(_shown(x["value"]), lambda s: F.when(F.rlike(s, window), _high(s, limit)).otherwise(none))
+    return F.flatten(F.transform(mine, lambda x: F.transform(high(x), place(x))))
 
 
 def _entropy(candidates: Column) -> list[Column]:
-    """Spans of each class over the candidates that the allow list doesn't name."""
-
-    def allowed(x):
-        out = F.lit(False)
-        for pattern in ALLOW:
-            out = out | F.rlike(x["value"], F.lit(pattern))
-        return out
-
-    rest = F.filter(candidates, lambda x: ~allowed(x))
-    return [_class_spans(rest, kind, own is not None, limit) for kind, own, limit in CLASSES]
+    """Spans of each class over the candidates, without what the allow list names."""
+    return [_class_spans(candidates, kind, own is not None, limit) for kind, own, limit in CLASSES]
 
 
-def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, text_col: str = "text", letters: bool = False) -> DataFrame:
     """``docs`` with ``base_spans_`` and ``all_spans_``: sorted arrays of (a, kind, b)."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + VALUE + CLOSE, OTHER * 3)
     marked = docs.withColumn("scan_", text)
     shapes = [_matches(F.col("scan_"), pattern, least) for _, pattern, least in SHAPES]
-    found = marked.select("*", *[x.alias(f"found_{kind}_") for x, (kind, _, _) in zip(shapes, SHAPES)], _matches(F.col("scan_"), CANDIDATE, WINDOW).alias("candidates_"))
+    found = marked.select("*", *[x.alias(f"found_{kind}_") for x, (kind, _, _) in zip(shapes, SHAPES)], _matches(F.col("scan_"), LETTERS if letters else CANDIDATE, WINDOW).alias("candidates_"))
     base = F.array_sort(F.concat(*[_spans(kind, F.col(f"found_{kind}_")) for kind, _, _ in SHAPES]))
     more = F.when(F.size("candidates_") > 0, F.concat(*_entropy(F.col("candidates_")))).otherwise(F.array().cast("array<struct<a:int,kind:int,b:int>>"))
     found = found.withColumn("base_spans_", base).withColumn("all_spans_", F.array_sort(F.concat("base_spans_", more)))
@@ -153,17 +172,17 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(F.col(spans), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["a"], x["b"])), ",")
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, letters: bool = False) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    found = scanned(docs.select("doc_id", "text"))
+    found = scanned(docs.select("doc_id", "text"), letters=letters)
     of = lambda k: lambda x: x["kind"] == k
     counts = [F.size(F.filter("base_spans_", of(k))).cast("long").alias(f"n_{kind}") for k, (kind, _, _) in enumerate(SHAPES)]
     return found.select("doc_id", *counts, F.sha2(_joined("base_spans_").cast("binary"), 256).alias("base_sha256"), _joined("all_spans_").alias("spans"))
 
 
-def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, mask: str = "[SECRET]", letters: bool = False) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mask``; overlapping spans by one."""
-    found = scanned(docs)
+    found = scanned(docs, letters=letters)
 
     def merge(state, x):
         last = F.element_at(state, -1)
