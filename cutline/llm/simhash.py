@@ -10,7 +10,8 @@ the same variants meet.
 
 All fingerprints at one variant are within the radius of each other, so they are
 linked to the least of them, never in all pairs; each link is checked by its
-distance. A task reduces its links to a spanning forest, and the forests are
+distance. With an odd radius the variants reach to its greater half, and the least is
+taken among the members within the lesser half. A task reduces its links to a spanning forest, and the forests are
 joined to components.
 
 A prefix that gathers over ``hot_rows`` rows is split by the variants' next
@@ -92,7 +93,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _linker(radius: int):
     """Reads rows (group, fp, bits, left) sorted by group; gives links between fingerprints that share a variant."""
-    tables = {(bits, left): _masks(64 - bits, left) for bits in (PREFIX, PREFIX + NEXT) for left in range(radius // 2 + 1)}
+    tables = {(bits, left): _masks(64 - bits, left) for bits in (PREFIX, PREFIX + NEXT) for left in range((radius + 1) // 2 + 1)}
 
     def stars(fps, flips, bits, left, parts, part):
         """Links of one run of whole groups, or of the part of its variants with the given remainder."""
@@ -121,7 +122,16 @@ def _linker(radius: int):
         size = np.diff(np.append(lead, len(v)))
         lead, size = lead[size > 1], size[size > 1]
         inner = who[ranges(lead, size)]
-        least = np.repeat(np.minimum.reduceat(inner, np.cumsum(size) - size), size)
+        if radius % 2:  # only members within the lesser half are within the radius of all others
+            core = np.bitwise_count(inner ^ v[ranges(lead, size)]) <= radius // 2
+            some = np.repeat(np.logical_or.reduceat(core, np.cumsum(size) - size), size)
+            inner, core, size = inner[some], core[some], size[some[np.cumsum(size) - size]]
+            if not len(size):
+                return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            middle = np.where(core, inner, np.uint64(2**64 - 1))
+        else:
+            middle = inner
+        least = np.repeat(np.minimum.reduceat(middle, np.cumsum(size) - size), size)
         near = np.bitwise_count(inner ^ least) <= radius
         return _forest(inner[near], least[near])
 
@@ -172,7 +182,7 @@ def links(distinct: DataFrame, radius: int = 4, hot_rows: int = 20_000) -> DataF
 
     Every step was checked by its distance; the links of one task are a forest over its steps.
     """
-    half = radius // 2
+    half = (radius + 1) // 2
     if half > 2:
         raise ValueError("variants within more than two bits are not emitted")
     lit = lambda masks: F.array(*[F.lit(int(m)).cast("long") for m in masks])
