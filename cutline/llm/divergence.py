@@ -6,10 +6,10 @@ language's common words, all other words being one bin. The references are
 counts over all documents of a language.
 
 Guards: a document shorter than ``min_chars`` code points or ``min_words`` words
-gets no verdict from that histogram and passes it, and so does a document whose
-language holds under ``min_share`` of all words or under ``min_reference`` words.
-At most 1 / min_share languages have a reference, which bounds what each task is
-given.
+gets no verdict from that histogram and passes it. Languages that hold under
+``min_share`` of all words or under ``min_reference`` words are judged by one pooled
+reference, counted over all their documents. So at most 1 / min_share languages have
+a reference of their own, which bounds what each task is given.
 
 Edge cases: a null text has no words, fails the base rules and is not kept; a
 null language is a language of its own; repeated rows count as often as they
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cutline.llm.batches import SPACE, by_slice, coded, number, per_text, pieces, slices, words
+from cutline.session import materialize
 
 CLASSES = ("lower", "upper", "digit", "blank", "break", "stop", "symbol", "control", "latin", "two bytes", "three bytes", "four bytes")
 _CLASS = np.full(256, 255, np.uint8)
@@ -99,16 +100,22 @@ def _counted(batches):
             yield pa.record_batch([pa.array(names.tolist(), pa.string()), pa.nulls(len(names), pa.string()), pa.array(np.bincount(np.repeat(lang, np.diff(first)), minlength=len(names)), pa.int64()), pa.array(sums.tolist(), pa.list_(pa.int64()))], names=["lang", "word", "n", "classes"])
 
 
-def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[int], dict[str, int], list[int]]]:
+def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str | None, tuple[list[int], dict[str, int], list[int]]]:
     """By language: class counts, the bins of the common words, and the counts of those bins (the last: other words).
 
-    One pass over all texts counts both; words are summed before they are shuffled.
+    The pool of the small languages is under None. One pass over all texts counts both; words are summed before they are shuffled.
     """
     counted = docs.select("lang", "text").mapInArrow(_counted, "lang string, word string, n long, classes array<long>")
     summed = (
         counted.groupBy("lang", "word")
         .agg(F.sum("n").alias("n"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES))])
     )
+    sums = ["n", *[f"c{i}" for i in range(len(CLASSES))]]
+    summed = materialize(summed, "words")
+    totals = summed.where("word is null").select("lang", "n", F.sum("n").over(Window.partitionBy()).alias("whole"))  # a row for each language
+    large = [r.lang for r in totals.where((F.col("n") >= rules.min_reference) & (F.col("n") >= rules.min_share * F.col("whole"))).collect()]
+    pool = summed.where(~F.col("lang").isin(large)).groupBy("word").agg(*[F.sum(c).alias(c) for c in sums])
+    summed = summed.where(F.col("lang").isin(large)).unionByName(pool.withColumn("lang", F.lit(None).cast("string")))
     first = Window.partitionBy("lang").orderBy(F.col("word").isNull().desc(), F.desc("n"), "word")
     top = summed.withColumn("place", F.row_number().over(first)).where(F.col("place") <= rules.common + 1)
     found = top.groupBy("lang").agg(
@@ -116,10 +123,8 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[
         F.max(F.when(F.col("word").isNull(), F.array(*[f"c{i}" for i in range(len(CLASSES))]))).alias("classes"),
         F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("place", "word", "n")))).alias("words"),
     )
-    whole = F.sum("total").over(Window.partitionBy())
-    kept = found.withColumn("whole", whole).where((F.col("total") >= rules.min_reference) & (F.col("total") >= rules.min_share * F.col("whole")))
     out = {}
-    for row in kept.collect():
+    for row in found.collect():
         n = [w.n for w in row.words]
         out[row.lang] = (list(row.classes), {w.word: i for i, w in enumerate(row.words)}, [*n, row.total - sum(n)])
     return out
@@ -183,6 +188,7 @@ def measured(docs: DataFrame, reference: dict, rules: Rules = Rules()) -> DataFr
         class_apart, word_apart = np.zeros(texts), np.zeros(texts)
         of_word = np.repeat(np.arange(texts), n_words)
         for k, name in enumerate(known):
+            name = name if name in reference else None
             if name not in reference:
                 class_apart[lang == k] = word_apart[lang == k] = np.nan
                 continue
