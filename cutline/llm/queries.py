@@ -165,3 +165,75 @@ def op1_preference_pairs(spark, sf_dir):
     before = turns.join(replies, "conv_id").where(F.col("last").isNull() | (F.col("p") < F.col("last.p"))).select("conv_id", F.lit("rejected").alias("side"), F.col("p").alias("turn"), "role", "text")
     swapped = swaps.select("conv_id", F.lit("rejected").alias("side"), "turn", "role", "text")
     return chat.preference(chosen.unionByName(before).unionByName(swapped), "conv_id")
+
+
+_OP11 = r"""
+with tok as (
+  select rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as rid, doc_id, text from documents)),
+post as (select rid, doc_id, term, count(*)::bigint as tf from tok group by all),
+lens as (select rid, sum(tf)::bigint as n from post group by rid),
+total as (select count(*)::bigint as nn, sum(n)::bigint as ll from lens),
+freq as (select term, count(*)::bigint as df from post group by term),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+scored as (
+  select a.item_id, p.rid, p.doc_id, sum(floor(1000 * ln((2.0::double * nn + 2) / (2.0::double * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))))::bigint as score
+  from asked a join post p using (term) join lens using (rid) join freq using (term) cross join total group by all)
+select item_id, rank::int as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
+"""
+
+
+@query(_OP11)
+def op11_impact_search(spark, sf_dir):
+    """Ten documents of the highest score for each benchmark item."""
+    from cutline.llm import lexical
+
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_VALID = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null"
+
+_OP12 = f"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where label is not null and {_VALID}),
+s as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 100 = 0),
+pos as (select * from (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as r from s where same) where r <= 5)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as rank
+  from pos p join s n on n.anchor_id = p.anchor_id and not n.same and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+where rank <= 5
+"""
+
+
+@query(_OP12)
+def op12_vertical_negatives(spark, sf_dir):
+    """Five hard negatives for each of five positives of every hundredth vector."""
+    from cutline.llm import bond
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return bond.mine(vectors, F.col("id") % 100 == 0)
+
+
+_OP13 = f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings where {_VALID})
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (
+    select a.vec_id as query_id, b.vec_id, list_inner_product(a.e, b.e)::bigint as score
+    from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 100 = 0))
+where rank <= 10
+"""
+
+
+@query(_OP13)
+def op13_norm_buckets(spark, sf_dir):
+    """Ten highest products of every hundredth vector."""
+    from cutline.llm import normed
+
+    return normed.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
