@@ -147,65 +147,80 @@ def eligible_history_rows(
     return windows.join(seasons, "target_id", "left").withColumn("season_average", average)
 
 
-def last_team_stretches(versions: DataFrame, bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """Intervals over which an entity may last have been seen with (team, season).
-
-    Steady lines give exact stretches, merged while (team, season) stays the
-    same. A line whose presence depends on the cutoff adds a stretch of its own,
-    up to the next steady line. The result covers every instant's true last
-    team; :func:`with_last_team` removes what the volatile lines added too much.
+def last_line_pieces(versions: DataFrame, bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """Over which interval of knowledge each line is its stream's last visible one.
+
+    Returns entity_id, measure, team, season, since, until (NULL = for good). The pieces
+    of a stream don't overlap: at any instant at most one holds, and it is exact. A
+    steady line is last from its publication to that of the next steady line, unless a
+    line between the two is visible whose presence depends on the cutoff. Lines are
+    numbered by steady lines, so that each such slot holds one steady line and the
+    loose ones after it, and only slots with loose lines are swept.
     """
-    steady = versions.where((F.col("version_seq") == 0) & F.col("steady")).select(
-        *STREAM, "event_id", "valid_at", "published_at", "team", "season"
+    opens = (F.col("version_seq") == 0) & F.col("steady")
+    rows = versions.where(F.col("value").isNotNull() & (opens | ~F.col("steady"))).select(
+        *STREAM, "event_id", "valid_at", "team", "season", "version_seq", opens.alias("opens"),
+        F.when(opens, F.col("published_at")).otherwise(F.col("visible_from")).alias("since"),
+        F.when(~opens, F.col("visible_to")).alias("until"),
     )
-    moved = TL.previous_row(
-        steady, STREAM, "published_at", ["valid_at", "event_id"], ["team", "season"], bucket_seconds=bucket_seconds
-    ).where(~(F.col("prev_team").eqNullSafe(F.col("team")) & F.col("prev_season").eqNullSafe(F.col("season"))))
-    starts = moved.select(*STREAM, "team", "season", F.col("published_at").alias("since"))
-
-    def until_next(rows: DataFrame, followers: DataFrame) -> DataFrame:
-        nxt = followers.select(*STREAM, F.col("since").alias("next_since")).withColumn("until", F.col("next_since"))
-        return TL.asof_next(rows, nxt, STREAM, "since", "next_since", ["until"], bucket_seconds=bucket_seconds)
-
-    loose = versions.where(~F.col("steady") & F.col("value").isNotNull()).select(
-        *STREAM, "team", "season", F.col("visible_from").alias("since"), F.col("visible_to").alias("hidden_at")
+    numbered = TL.running_totals(
+        rows, STREAM, "valid_at", ["event_id", "version_seq"], {"slot": F.when(F.col("opens"), 1).otherwise(0)}, bucket_seconds=bucket_seconds
+    )
+    line = F.struct("valid_at", "event_id", "team", "season", "since", "until")
+    placed = numbered.select(*STREAM, "opens", line.alias("line"), F.explode(F.when(F.col("opens"), F.array(F.col("slot") - 1, F.col("slot"))).otherwise(F.array("slot"))).alias("at"), "slot")
+    slots = placed.groupBy(*STREAM, "at").agg(
+        F.max(F.when(F.col("opens") & (F.col("slot") == F.col("at")), F.col("line"))).alias("first"),
+        F.min(F.when(F.col("opens") & (F.col("slot") > F.col("at")), F.col("line.since"))).alias("closes"),
+        F.collect_list(F.when(~F.col("opens"), F.col("line"))).alias("loose"),
     )
-    publications = steady.select(*STREAM, F.col("published_at").alias("since"))
-    extra = until_next(loose, publications).withColumn("until", F.least("until", "hidden_at")).drop("hidden_at")
-    return until_next(starts, starts).unionByName(extra)
+    plain = F.array(F.struct(F.col("first.team").alias("team"), F.col("first.season").alias("season"), F.col("first.since").alias("since"), F.col("closes").alias("until")))
+    edges = F.expr("""
+        array_sort(array_distinct(filter(concat(array(first.since), transform(loose, l -> l.since), transform(loose, l -> l.until)),
+                                         b -> b is not null and (closes is null or b < closes))))""")
+    last = "array_max(filter(concat(array(if(first.since <= b, first, null)), transform(loose, l -> if(l.since <= b and (l.until is null or l.until > b), l, null))), l -> l is not null))"
+    swept = F.expr(f"""
+        filter(transform(edges, (b, i) -> transform(array({last}), l -> named_struct('found', l is not null, 'team', l.team, 'season', l.season, 'since', b,
+                                                    'until', coalesce(try_element_at(edges, i + 2), closes)))[0]), p -> p.found)""")
+    steady = slots.where((F.size("loose") == 0) & F.col("first").isNotNull()).select(*STREAM, F.explode(plain).alias("p"))
+    loose = slots.where(F.size("loose") > 0).withColumn("edges", edges).select(*STREAM, F.explode(swept).alias("p"))
+    columns = [*STREAM, "p.team", "p.season", "p.since", "p.until"]
+    pieces = steady.select(*columns).unionByName(loose.select(*columns))
+    return pieces.where(F.col("until").isNull() | (F.col("since") < F.col("until")))
+
+
+#: Events and pieces meet in stretches of four weeks, and a team's entities in so many shares.
+FIXTURE_SECONDS = 28 * 86400
+SHARES = 8
 
 
 def candidate_universe(events: DataFrame, versions: DataFrame, bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """(event, entity, measure): entities last seen with one of the event's teams.
+    """Every event with the entities and measures that, as of its cutoff, were last seen with one of its teams.
+
+    Candidates come from what was visible at the cutoff, never from who turned out to
+    play. The last visible line must be of the event's season or the one before; a line
+    without a team suits any event. Returns the events' columns with entity_id, measure and last_team.
+    ``events``: event_id, season, cutoff, home_team, away_team, and whatever is to be kept.
 
-    Candidates come from what was visible at the cutoff, never from who turned
-    out to play. An entity needs a visible line in the event's season or the one
-    before; its last visible line is then of one of those seasons, so this is an
-    equi-join on (team, season) against merged stretches, not events x entities.
-    ``events``: event_id, season, cutoff, valid_at, home_team, away_team.
+    The pieces of :func:`last_line_pieces` are cut at the edges of time buckets and meet
+    the events of their bucket by (team, season, bucket, share of entities), so a team that holds
+    a third of all entities is dealt to many tasks, and nearly every pair that meets is a result.
     """
-    stretches = last_team_stretches(versions, bucket_seconds)
+    kept = F.struct(*events.columns)
     sides = events.select(
-        "event_id", F.col("season").alias("event_season"), "cutoff", "valid_at", "home_team", "away_team",
-        F.explode(F.array_distinct(F.array("home_team", "away_team"))).alias("team"),
-    ).select("*", F.explode(F.array(F.col("event_season"), F.col("event_season") - 1)).alias("season"))
-    inside = (F.col("since") <= F.col("cutoff")) & (F.col("until").isNull() | (F.col("until") > F.col("cutoff")))
-    return (
-        sides.join(stretches, ["team", "season"])
-        .where(inside)
-        .select(
-            "event_id", "entity_id", "measure", F.col("event_season").alias("season"),
-            "valid_at", "cutoff", "home_team", "away_team",
-        )
-        .distinct()
+        kept.alias("event"), F.col("cutoff"), F.explode(F.array_distinct(F.array("home_team", "away_team", F.lit(None)))).alias("team"), F.col("season").alias("own"),
+    ).select("event", "cutoff", F.struct("team").alias("side"), F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("season"))
+    # One row a season: when the events that may ask for its lines have their cutoffs.
+    asked = sides.groupBy("season").agg(F.min("cutoff").alias("opens"), F.max("cutoff").alias("closes"))
+    bucket = lambda c: TL.bucket(c, FIXTURE_SECONDS)
+    pieces = last_line_pieces(versions, bucket_seconds).join(F.broadcast(asked), "season").where(
+        (F.col("since") <= F.col("closes")) & (F.col("until").isNull() | (F.col("until") > F.col("opens")))
     )
-
-
-def with_last_team(candidates: DataFrame) -> DataFrame:
-    """Candidates whose last visible line is with one of the event's teams and of
-    its season or the one before. Needs the features of :func:`form_features`."""
-    return candidates.where(
-        (F.col("n_eff") > 0)
-        & (F.col("last_team").isNull() | F.col("last_team").isin(F.col("home_team"), F.col("away_team")))
-        & F.col("last_season").isin(F.col("season"), F.col("season") - 1)
+    spread = pieces.select(
+        "entity_id", "measure", "season", F.struct("team").alias("side"), "since", "until", F.pmod(F.xxhash64("entity_id"), F.lit(SHARES)).cast("int").alias("share"),
+        F.explode(F.sequence(bucket(F.greatest("since", "opens")), bucket(F.least("until", "closes")))).alias("bucket"),
     )
+    dealt = sides.select("event", "cutoff", "side", "season", bucket(F.col("cutoff")).alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    keys = ["side", "season", "bucket", "share"]
+    met = dealt.join(spread, keys)
+    inside = (F.col("since") <= F.col("cutoff")) & (F.col("until").isNull() | (F.col("until") > F.col("cutoff")))
+    return met.where(inside).select("event.*", "entity_id", "measure", F.col("side.team").alias("last_team"))

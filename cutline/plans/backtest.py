@@ -11,6 +11,8 @@ from cutline import constants as K
 from cutline.functions import distributions as D
 from cutline.functions import keys
 from cutline.functions import numbers as N
+from cutline.operators import bitemporal as B
+from cutline.operators import context as CX
 from cutline.operators import history as H
 from cutline.operators import priors as P
 from cutline.operators import projection as PJ
@@ -34,6 +36,40 @@ def events_in_scope(events: DataFrame, first: int, last: int, season_types: tupl
     return scope if limit is None else scope.orderBy("valid_at", "event_id").limit(limit)
 
 
+@dataclass(frozen=True)
+class Scope:
+    """Which events and measures a run covers, recorded with the run."""
+
+    first: int
+    last: int
+    measures: tuple[str, ...]
+    season_types: tuple[str, ...] = ("REG",)
+    limit_events: int | None = None
+
+
+def targets_from_events(
+    events: DataFrame, revisions: DataFrame, versions: DataFrame, entities: DataFrame, weather: DataFrame, scope: Scope,
+    *, bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS,
+) -> DataFrame:
+    """Every candidate of every event in scope, found from what was known at its cutoff.
+
+    ``events``: event_id, season, week, season_type, valid_at, home_team, away_team;
+    ``revisions`` as for :func:`bitemporal.event_cutoffs`; ``entities``: entity_id,
+    position; ``weather``: event_id, era, known_at. An event whose cutoff isn't before its start
+    has no candidates but one row for each measure, without an entity, so that it is counted.
+    """
+    inside = events_in_scope(events, scope.first, scope.last, scope.season_types, scope.limit_events)
+    clock = B.event_cutoffs(inside, revisions, bucket_seconds).drop("known_kickoff_at")
+    # One row an event, read by three branches.
+    clock = materialize(CX.era_label(clock, weather), "event-clock")
+    timely = F.col("cutoff") < F.col("valid_at")
+    found = H.candidate_universe(clock.where(timely), versions.where(F.col("measure").isin(*scope.measures)), bucket_seconds).drop("last_team")
+    found = found.join(entities.select("entity_id", "position"), "entity_id", "left")
+    late = clock.where(~timely).withColumn("measure", F.explode(F.array(*[F.lit(m) for m in scope.measures])))
+    rows = found.unionByName(late, allowMissingColumns=True)
+    return rows.withColumn("target_id", F.concat_ws(":", "event_id", F.coalesce(F.col("entity_id").cast("string"), F.lit("")), "measure"))
+
+
 def graded_candidates(
     targets: DataFrame,
     versions: DataFrame,
@@ -107,16 +143,27 @@ def prediction_rows(graded: DataFrame) -> DataFrame:
         "baseline_season_avg_abs_error", "baseline_trailing5_abs_error", "in_comparison_population",
         "correction_applied", "contract_like", "cohorts", "thresholds",
     ]
-    keep += [c for c in ("drivers", "era_source", "week", "season_type") if c in flat.columns]
+    keep += [c for c in ("drivers", "era_source", "week", "season_type", "last_team") if c in flat.columns]
     return N.quantise(flat.select(*keep))
 
 
+def exclusion_detail(reason: Column) -> Column:
+    """What the reason means for this row; NULL where it says all. Reads season, measure and position."""
+    position = F.coalesce(F.col("position"), F.lit("unknown"))
+    return (
+        F.when(reason == K.REASON_CUTOFF_AFTER_KICKOFF, "the cutoff is not before the start")
+        .when(reason == K.REASON_NO_PRIOR, F.format_string("%s of position %s: nothing published from before season %d", F.col("measure"), position, F.col("season")))
+        .when(reason == K.REASON_BASELINE_UNAVAILABLE, "no line of the season was known at the cutoff")
+    )
+
+
 def exclusion_rows(graded: DataFrame) -> DataFrame:
     """One row per removal, plus one per projection lacking a baseline."""
     ids = ["event_id", "entity_id", "measure"]
 
     def rows(df: DataFrame, stage: Column, reason: Column, prediction: Column) -> DataFrame:
-        return df.select(*ids, stage.alias("stage"), reason.alias("reason"), prediction.alias("prediction_id"))
+        rows = df.select(*ids, "season", "position", stage.alias("stage"), reason.alias("reason"), prediction.alias("prediction_id"))
+        return rows.withColumn("detail", exclusion_detail(F.col("reason"))).drop("season", "position")
 
     removed = graded.where(F.col("outcome") != "projected")
     stage = F.when(F.col("outcome") == "unprojectable", "engine").otherwise("harness")
@@ -127,6 +174,20 @@ def exclusion_rows(graded: DataFrame) -> DataFrame:
     )
 
 
+def backtest_from_events(
+    events: DataFrame, revisions: DataFrame, versions: DataFrame, actuals: DataFrame, entities: DataFrame, weather: DataFrame, registry: DataFrame, scope: Scope,
+    *, bucket_seconds: int | None = None, with_drivers: bool = True,
+) -> Backtest:
+    """The whole run from events: cutoffs, candidates, histories, priors, projections, grading.
+
+    Without ``bucket_seconds`` the width of the time buckets is sized by the hottest stream.
+    Candidates are stored once; whoever was a candidate and has no line is excluded by name.
+    """
+    width = bucket_seconds or TL.suggest_bucket_seconds(versions, H.STREAM, "valid_at")
+    targets = materialize(targets_from_events(events, revisions, versions, entities, weather, scope, bucket_seconds=width), "targets")
+    return backtest(targets, versions, actuals, registry, bucket_seconds=width, with_drivers=with_drivers)
+
+
 def backtest(targets: DataFrame, versions: DataFrame, actuals: DataFrame, registry: DataFrame, **options) -> Backtest:
     graded, priors = graded_candidates(targets, versions, actuals, registry, **options)
     predictions = prediction_rows(graded)

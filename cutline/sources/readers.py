@@ -121,7 +121,9 @@ def read_dataset(spark: SparkSession, root: str, dataset: str, schema: T.StructT
     """An artefact dataset; a run that never wrote it reads as empty."""
     try:
         return spark.read.schema(schema).parquet(f"{root}/{dataset}")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

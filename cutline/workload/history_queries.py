@@ -166,25 +166,24 @@ games as (
 
 @query(S.with_(S.LINES) + _GAMES + """,
 prices as (
-  select l.*, c1.known_at as k1, c1.prior_value as p1, c2.known_at as k2, c2.prior_value as p2
+  select l.*, c1.known_at as k1, c1.has_prior as h1, c1.prior_value as p1, c2.known_at as k2, c2.prior_value as p2
   from stat_lines l
   left join corrections c1 on c1.event_id = l.event_id and c1.measure = l.measure and c1.version = 2
-  left join corrections c2 on c2.event_id = l.event_id and c2.measure = l.measure and c2.version = 3
-  where l.measure = 'price'),
+  left join corrections c2 on c2.event_id = l.event_id and c2.measure = l.measure and c2.version = 3),
 shown as (
-  select entity_id, event_id, season, team, valid_at, published_at as since, coalesce(k1, timestamp '9999-01-01') as until,
-         case when k1 is null then value else p1 end as v from prices
+  select entity_id, measure, event_id, season, team, valid_at, published_at as since, coalesce(k1, timestamp '9999-01-01') as until,
+         case when k1 is null or not h1 then value else p1 end as v from prices
   union all
-  select entity_id, event_id, season, team, valid_at, k1, coalesce(k2, timestamp '9999-01-01'), case when k2 is null then value else p2 end
+  select entity_id, measure, event_id, season, team, valid_at, k1, coalesce(k2, timestamp '9999-01-01'), case when k2 is null then value else p2 end
   from prices where k1 is not null
   union all
-  select entity_id, event_id, season, team, valid_at, k2, timestamp '9999-01-01', value from prices where k2 is not null),
+  select entity_id, measure, event_id, season, team, valid_at, k2, timestamp '9999-01-01', value from prices where k2 is not null),
 visible as (select * from shown where v is not null),
 times_ as (select distinct cutoff from games),
 last_seen as (
-  select t.cutoff, s.entity_id, arg_max({'team': s.team, 'season': s.season}, (s.valid_at, s.event_id)) as l
-  from times_ t join visible s on s.since <= t.cutoff and s.until > t.cutoff group by 1, 2)
-select g.event_id, l.entity_id, l.l.team as last_team
+  select t.cutoff, s.entity_id, s.measure, arg_max({'team': s.team, 'season': s.season}, (s.valid_at, s.event_id)) as l
+  from times_ t join visible s on s.since <= t.cutoff and s.until > t.cutoff group by 1, 2, 3)
+select g.event_id, l.entity_id, l.measure, l.l.team as last_team
 from games g join last_seen l on l.cutoff = g.cutoff and l.l.team in (g.home_team, g.away_team) and l.l.season in (g.season, g.season - 1)""")
 def candidate_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who was, as of each monthly fixture's cutoff, last seen with one of its teams."""
@@ -195,10 +194,7 @@ def candidate_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.year("w").alias("season"), F.col("n_nationkey").alias("home_team"), ((F.col("n_nationkey") + 7) % 25).alias("away_team"),
         (F.col("w") + T.hours(17)).alias("valid_at"), (F.col("w") + F.expr("INTERVAL '15:30' HOUR TO MINUTE")).alias("cutoff"),
     )
-    prices = c.versions.where("measure = 'price'")
-    found = H.candidate_universe(games, prices).withColumn("target_id", F.concat_ws(":", "event_id", "entity_id"))
-    confirmed = H.form_features(H.trailing_window(found, prices, size=1)).drop("entity_id", "measure", "valid_at", "cutoff")
-    return H.with_last_team(found.join(confirmed, "target_id")).select("event_id", "entity_id", "last_team")
+    return H.candidate_universe(games, c.versions).select("event_id", "entity_id", "measure", "last_team")
 
 
 @query(S.with_(S.LINES, S.CLOCK, S.PRIORS) + f"""

@@ -139,6 +139,48 @@ def backtest_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              ("relative_width", 4), ("abs_error", 3))])
 
 
+FOUND = (S.FIXTURES, S.HISTORY, S.PRIORS, S.FIT_PARAMS, S.FOUND)
+_FOUND: dict[tuple[str, str], DataFrame] = {}
+
+
+def found_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graded candidates of a run that starts from events, all columns, stored once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FOUND:
+        c = T.fixture_corpus(spark, sf_dir)
+        scope = BT.Scope(1900, 2100, ("price", "lines"), ("REG", "POST"))
+        run = BT.backtest_from_events(c.events, T.fixture_revisions(c.events), c.versions, T.fixture_actuals(spark, sf_dir), T.customers(spark, sf_dir),
+                                      T.fixture_weather(c.events), T.registry(spark), scope)
+        _FOUND[key] = materialize(run.candidates, "found-graded")
+    return _FOUND[key]
+
+
+@query(S.with_(*FOUND) + f"""
+select event_id, entity_id, measure, era, era_source, n_eff, last_team, reason,
+       case when reason is null then 'projected' when reason = 'insufficient_history' then 'unprojectable' else 'excluded' end as outcome,
+       {S.rnd('season_average', 4)} as season_average, {S.rnd('trailing_five', 4)} as trailing_five, {S.rnd('projected_value', 3)} as projected_value,
+       {S.rnd('actual', 4)} as actual, reason is null and in_comparison as in_comparison from found""")
+def backtest_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that finds its own candidates: every one with its cutoff's knowledge, projection and outcome."""
+    g = found_run(spark, sf_dir)
+    return g.select("event_id", "entity_id", "measure", "era", "era_source", "n_eff", "last_team", "reason", "outcome",
+                    *[rnd(c, n) for c, n in (("season_average", 4), ("trailing_five", 4), ("projected_value", 3), ("actual", 4))],
+                    ((F.col("outcome") == "projected") & F.col("in_comparison_population")).alias("in_comparison"))
+
+
+@query(S.with_(*FOUND) + """
+select event_id, entity_id, measure, case when reason = 'insufficient_history' then 'engine' else 'harness' end as stage, reason,
+       case when reason = 'no_prior_evidence' then measure || ' of position ' || coalesce(position, 'unknown') || ': nothing published from before season ' || season end as detail,
+       false as has_prediction
+from found where reason is not null
+union all
+select event_id, entity_id, measure, 'harness', 'baseline_unavailable', 'no line of the season was known at the cutoff', true from found where reason is null and not in_comparison""")
+def exclusions_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every removal of a run that finds its candidates, with its reason spelled out; who did not play is here by name."""
+    rows = BT.exclusion_rows(found_run(spark, sf_dir))
+    return rows.select("event_id", "entity_id", "measure", "stage", "reason", "detail", F.col("prediction_id").isNotNull().alias("has_prediction"))
+
+
 @query(S.with_(*RUN) + """
 select season, measure, coalesce(reason, 'projected') as outcome, count(*) as candidates from outcomes group by 1, 2, 3""")
 def outcome_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,7 +77,7 @@ pairs as (
     on h.entity_id = t.entity_id and h.measure = t.measure and h.valid_at < t.valid_at and h.published_at <= t.cutoff),
 rolled as (
   select p.target_id, p.event_id, arg_min({'has': c.has_prior, 'val': c.prior_value}, c.known_at) as first_after
-  from pairs p join corrections c on c.event_id = p.event_id and c.measure = p.measure and c.known_at > p.cutoff
+  from pairs p join corrections c on c.event_id = p.event_id and c.entity_id = p.entity_id and c.measure = p.measure and c.known_at > p.cutoff
   group by 1, 2),
 history as (
   select * from (
@@ -124,10 +124,10 @@ evidence as (
   from prior_requests q
   join stat_lines h on h.measure = q.measure and h.position = q.position and h.season < q.season and h.published_at <= q.prior_cutoff
   left join (
-    select q.season, c.event_id, c.measure, arg_min({'has': c.has_prior, 'val': c.prior_value}, c.known_at) as first_after
+    select q.season, c.event_id, c.entity_id, c.measure, arg_min({'has': c.has_prior, 'val': c.prior_value}, c.known_at) as first_after
     from prior_requests q join stat_lines h on h.measure = q.measure and h.position = q.position
-    join corrections c on c.event_id = h.event_id and c.measure = h.measure and c.known_at > q.prior_cutoff
-    group by 1, 2, 3) r on r.season = q.season and r.event_id = h.event_id and r.measure = h.measure),
+    join corrections c on c.event_id = h.event_id and c.entity_id = h.entity_id and c.measure = h.measure and c.known_at > q.prior_cutoff
+    group by 1, 2, 3, 4) r on r.season = q.season and r.event_id = h.event_id and r.entity_id = h.entity_id and r.measure = h.measure),
 priors as (
   select for_season as season, measure, position, count(*) as sample_games, count(distinct entity_id) as sample_players,
          list_sort(list(distinct seen_season)) as fitted_from_seasons,
@@ -184,7 +184,7 @@ def nb_pmf(k: str) -> str:
     return f"exp(lgamma({k} + r) - lgamma(r) - lgamma({k} + 1.0) + r * ln(p) + {k} * ln(1.0 - p))"
 
 
-FIT = f""",
+FIT_PARAMS = """,
 fitted as (
   select f.*, q.sample_games, q.sample_players, q.fitted_from_seasons,
          case when measure = 'price' then least(greatest((n_eff * ew_zero + 4.0 * q.p_zero) / (n_eff + 4.0), 0.0), 1.0) end as p_zero,
@@ -196,7 +196,9 @@ fitted as (
   where f.n_eff >= 1 and f.cutoff < f.valid_at),
 params as (
   select *, nb_mean / nb_var as p, nb_mean * nb_mean / (nb_var - nb_mean) as r
-  from (select *, greatest(nb_var0, nb_mean * 1.05) as nb_var from fitted)),
+  from (select *, greatest(nb_var0, nb_mean * 1.05) as nb_var from fitted))"""
+
+FIT = FIT_PARAMS + f""",
 nb_terms as (
   select target_id, k, sum(pmf) over (partition by target_id order by k) as reached, pmf
   from (select target_id, k, {nb_pmf("k::double")} as pmf
@@ -224,6 +226,81 @@ labelled as (
                  else 'medium' end as confidence
   from scored)"""
 
+FIXTURES = f"""
+order_lines as (
+  select o_orderkey as k, o_custkey as entity_id, date_trunc('quarter', o_orderdate) as q,
+         (c_nationkey + case when o_orderkey % 5 = 0 then 1 else 0 end) % 25 as team,
+         case when o_orderkey % 13 = 0 then null when o_orderkey % 17 = 0 then 0 else o_totalprice end::decimal(12,2) as price,
+         case when o_orderkey % 19 <> 0 then coalesce(i.n, 0) end as lines
+  from orders join customer on c_custkey = o_custkey left join (select l_orderkey, count(*) as n from lineitem group by 1) i on l_orderkey = o_orderkey),
+entities as (select c_custkey as entity_id, case when c_custkey % 29 <> 0 then c_mktsegment end as position from customer),
+fixtures as (
+  select n_nationkey * 100000 + date_diff('day', date '1990-01-01', q::date) as event_id, year(q)::int as season, quarter(q)::int as week,
+         case when quarter(q) = 4 then 'POST' else 'REG' end as season_type, n_nationkey as home_team, (n_nationkey + 7) % 25 as away_team,
+         q + interval '80 days' + interval '17 hours' as valid_at, q
+  from nation cross join (select distinct date_trunc('quarter', o_orderdate) as q from orders)),
+lines_wide as (
+  select l.entity_id, f.event_id, f.season, e.position, l.team, f.valid_at, {published("f.valid_at")} as published_at,
+         sum(l.price)::double / 1000.0::double as price, sum(l.lines)::double as lines
+  from order_lines l join fixtures f on f.home_team = l.team and f.q = l.q join entities e using (entity_id) group by all),
+stat_lines as (
+  select entity_id, event_id, season, position, team, valid_at, published_at, 'price' as measure, price as value from lines_wide
+  union all
+  select entity_id, event_id, season, position, team, valid_at, published_at, 'lines', lines from lines_wide),
+corrections as (
+  select entity_id, event_id, measure, 2 as version, valid_at + interval '45 days' as known_at,
+         (measure = 'price' or (event_id + entity_id) % 33 <> 0) as has_prior,
+         case when measure = 'price' then coalesce(value * 0.9::double, 100.0) else coalesce(value + 1, 2.0) end as prior_value
+  from stat_lines where (event_id + entity_id) % 11 = 0
+  union all
+  select entity_id, event_id, measure, 3, valid_at + interval '90 days', true,
+         case when measure = 'price' then value * 0.95::double when (event_id + entity_id) % 44 <> 0 then value + 2 end
+  from stat_lines where (event_id + entity_id) % 22 = 0),
+revisions as (
+  select event_id, valid_at + case when event_id % 21 = 0 then interval '5 hours' when event_id % 7 = 0 then interval '-2 hours' else interval '0 hours' end as kickoff_at,
+         valid_at - interval '60 days' as known_at, 1 as revision_seq from fixtures
+  union all
+  select event_id, valid_at, valid_at - interval '3 days', 2 from fixtures where event_id % 7 = 0),
+event_clock as (
+  select f.*, least(f.valid_at, k.known_kickoff) - interval '90 minutes' as cutoff
+  from fixtures f left join (
+    select f.event_id, arg_max(r.kickoff_at, (r.known_at, r.revision_seq)) as known_kickoff
+    from fixtures f join revisions r on r.event_id = f.event_id and r.known_at <= f.valid_at - interval '7 days' group by 1) k using (event_id)),
+shown as (
+  select l.*, c1.known_at as k1, c1.has_prior as h1, c1.prior_value as p1, c2.known_at as k2, c2.prior_value as p2
+  from stat_lines l
+  left join corrections c1 on c1.event_id = l.event_id and c1.entity_id = l.entity_id and c1.measure = l.measure and c1.version = 2
+  left join corrections c2 on c2.event_id = l.event_id and c2.entity_id = l.entity_id and c2.measure = l.measure and c2.version = 3),
+visible as (
+  select * from (
+    select entity_id, measure, event_id, season, team, valid_at, published_at as since, coalesce(k1, timestamp '9999-01-01') as until,
+           case when k1 is null or not h1 then value else p1 end as v from shown
+    union all
+    select entity_id, measure, event_id, season, team, valid_at, k1, coalesce(k2, timestamp '9999-01-01'), case when k2 is null then value else p2 end from shown where k1 is not null
+    union all
+    select entity_id, measure, event_id, season, team, valid_at, k2, timestamp '9999-01-01', value from shown where k2 is not null)
+  where v is not null),
+last_seen as (
+  select t.cutoff, s.entity_id, s.measure, arg_max({{'team': s.team, 'season': s.season}}, (s.valid_at, s.event_id)) as l
+  from (select distinct cutoff from event_clock) t join visible s on s.since <= t.cutoff and s.until > t.cutoff group by 1, 2, 3),
+targets as (
+  select c.event_id || ':' || l.entity_id || ':' || l.measure as target_id, l.entity_id, c.event_id, c.season, e.position, c.valid_at, c.cutoff, l.measure,
+         case when c.event_id % 3 = 0 and c.event_id % 2 <> 0 then 'archived_forecast' else 'reanalysis' end as era,
+         case when c.event_id % 3 = 0 and c.event_id % 2 <> 0 then 'weather_row' else 'season_rule' end as era_source
+  from event_clock c join last_seen l on l.cutoff = c.cutoff and l.l.team in (c.home_team, c.away_team) and l.l.season in (c.season, c.season - 1)
+  left join entities e using (entity_id))"""
+
+FOUND = """,
+found as (
+  select t.target_id, t.event_id, t.entity_id, t.measure, t.season, t.position, t.era, t.era_source, f.n_eff, f.last_team, f.season_average, f.trailing_five, a.value as actual,
+         case when t.measure = 'price' then (1.0 - p.p_zero) * exp(p.mu + p.sigma * p.sigma / 2.0) else p.nb_mean end as projected_value,
+         f.season_average is not null and f.trailing_five is not null as in_comparison,
+         case when q.sample_games is null then 'no_prior_evidence' when f.n_eff < 1 then 'insufficient_history' when a.value is null then 'no_actual_stat_line' end as reason
+  from targets t join features f using (target_id)
+  left join priors q on q.season = t.season and q.measure = t.measure and q.position = t.position
+  left join params p on p.target_id = t.target_id
+  left join stat_lines a on a.event_id = t.event_id and a.entity_id = t.entity_id and a.measure = t.measure)"""
+
 OUTCOMES = """,
 outcomes as (
   select t.target_id, t.event_id, t.entity_id, t.season, t.measure, t.era, t.position, t.cutoff, t.valid_at,

@@ -19,6 +19,8 @@ from cutline.workload import tables as T
 from cutline.workload.catalog import query
 
 BATCHES = 3
+#: Files of a micro-batch.
+FILES = 4
 
 
 def new_root(spark: SparkSession) -> str:
@@ -26,20 +28,20 @@ def new_root(spark: SparkSession) -> str:
 
 
 def streamed(spark: SparkSession, sf_dir: str, rows, sink, root: str) -> None:
-    """All events through ``rows`` into ``sink``, one file for each micro-batch, out of order."""
+    """All events through ``rows`` into ``sink``, a third in each micro-batch, out of order."""
     use_utc(spark)
     dealt = T.table(spark, sf_dir, "events").withColumn("dealt", F.pmod(F.hash("event_id"), F.lit(BATCHES)))
     for k in range(BATCHES):
-        dealt.where(F.col("dealt") == k).drop("dealt").coalesce(1).write.parquet(f"{root}/in/{k}")
+        dealt.where(F.col("dealt") == k).drop("dealt").repartition(FILES).write.parquet(f"{root}/in/{k}")
     stream = (
-        spark.readStream.schema(T.SCHEMAS["events"]).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+        spark.readStream.schema(T.SCHEMAS["events"]).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.parquet").parquet(f"{root}/in")
     )
     SI.run_available(rows(stream), sink, f"{root}/state")
 
 
-def stored(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, batch long").parquet(root).drop("batch")
+def kept_books(spark: SparkSession, root: str) -> DataFrame:
+    return SI.derived(spark, root, SP.BOOK_SCHEMA, ["contract_id"], "contract_id long", SP.BOOK_CLOCK)
 
 
 @query(MQ.COMPACTION)
@@ -47,7 +49,7 @@ def stream_price_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change-or-heartbeat compaction of books that arrive in any order."""
     root = new_root(spark)
     streamed(spark, sf_dir, MQ.coarse_book, SP.compaction_batch(f"{root}/out", MQ.HEARTBEAT_MINUTES), root)
-    return SI.derived(spark, f"{root}/out", SP.BOOK_SCHEMA, ["contract_id"], "contract_id long").select("contract_id", "observation_id")
+    return kept_books(spark, f"{root}/out").select("contract_id", "observation_id")
 
 
 @query(f"with w as ({MQ.COMPACTION}) select w.contract_id, w.observation_id, e.ts as observed_at, (floor(e.value / 200) * 20 + 5)::int as yes_ask from w join events e on e.event_id = w.observation_id")
@@ -55,7 +57,7 @@ def stream_late_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept books as whole rows, most of which came after later ones."""
     root = new_root(spark)
     streamed(spark, sf_dir, MQ.coarse_book, SP.compaction_batch(f"{root}/out", MQ.HEARTBEAT_MINUTES), root)
-    return SI.derived(spark, f"{root}/out", SP.BOOK_SCHEMA, ["contract_id"], "contract_id long").select("contract_id", "observation_id", "observed_at", "yes_ask")
+    return kept_books(spark, f"{root}/out").select("contract_id", "observation_id", "observed_at", "yes_ask")
 
 
 @query(MQ.TRANSITIONS)
@@ -77,7 +79,7 @@ def stream_invocation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         return events.select(F.concat("event_type", F.col("user_id") % 7).alias("category"), F.date_trunc("hour", "ts").alias("invocation_id"), F.col("ts").alias("started_at"))
 
     streamed(spark, sf_dir, ticks, SI.append_batch(f"{root}/out", schema, SI.INVOCATION_KEY, ["started_at"]), root)
-    return stored(spark, f"{root}/out", schema).select("category", "invocation_id")
+    return SI.appended(spark, f"{root}/out", schema, SI.INVOCATION_KEY).select("category", "invocation_id")
 
 
 def _observations(events: DataFrame) -> DataFrame:
@@ -95,7 +97,7 @@ def stream_observation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only observations by their key; only a new known_at is new."""
     root = new_root(spark)
     streamed(spark, sf_dir, _observations, SI.append_batch(f"{root}/out", _OBSERVATION_SCHEMA, SI.OBSERVATION_KEY), root)
-    return stored(spark, f"{root}/out", _OBSERVATION_SCHEMA).select("entity_id", "context_type", "known_at")
+    return SI.appended(spark, f"{root}/out", _OBSERVATION_SCHEMA, SI.OBSERVATION_KEY).select("entity_id", "context_type", "known_at")
 
 
 @query("select user_id as entity_id, 0::bigint as event_id, event_type as context_type, date_trunc('day', ts) as known_at, 's' as source, count(*) as stored from (select distinct user_id, event_type, date_trunc('day', ts) as ts from events) group by all")
@@ -103,7 +105,7 @@ def stream_late_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole observations with how often each is stored: once, though months may lie between it and rows stored before it."""
     root = new_root(spark)
     streamed(spark, sf_dir, _observations, SI.append_batch(f"{root}/out", _OBSERVATION_SCHEMA, SI.OBSERVATION_KEY), root)
-    return stored(spark, f"{root}/out", _OBSERVATION_SCHEMA).groupBy(*SI.OBSERVATION_KEY).agg(F.count("*").alias("stored"))
+    return SI.appended(spark, f"{root}/out", _OBSERVATION_SCHEMA, SI.OBSERVATION_KEY).groupBy(*SI.OBSERVATION_KEY).agg(F.count("*").alias("stored"))
 
 
 _FACT_SCHEMA = "entity_id long, event_id long, team string, yards double, valid_at timestamp, arrived_at timestamp, seq long"

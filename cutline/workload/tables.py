@@ -107,19 +107,19 @@ def stat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.to_long(lines_wide(spark, sf_dir), ids, {"price": "price", "lines": "lines"})
 
 
-def corrections(lines: DataFrame) -> DataFrame:
-    """One correction 45 days on for every 11th event, a second at 90 for every 22nd."""
-    changed = lines.where(every("event_id", 11))
+def corrections(lines: DataFrame, key: str = "event_id") -> DataFrame:
+    """One correction 45 days on for every 11th ``key``, a second at 90 for every 22nd."""
+    changed = lines.where(every(key, 11))
     price = F.col("measure") == "price"
     first = changed.select(
         *B.LINE, F.lit(2).alias("version"), (F.col("valid_at") + days(45)).alias("known_at"),
-        (price | ~every("event_id", 33)).alias("has_prior"),
+        (price | ~every(key, 33)).alias("has_prior"),
         F.when(price, F.coalesce(F.col("value") * 0.9, F.lit(100.0))).otherwise(F.coalesce(F.col("value") + 1, F.lit(2.0))).alias("prior_value"),
     )
-    second = changed.where(every("event_id", 22)).select(
+    second = changed.where(every(key, 22)).select(
         *B.LINE, F.lit(3).alias("version"), (F.col("valid_at") + days(90)).alias("known_at"),
         F.lit(True).alias("has_prior"),
-        F.when(price, F.col("value") * 0.95).otherwise(F.when(~every("event_id", 44), F.col("value") + 2)).alias("prior_value"),
+        F.when(price, F.col("value") * 0.95).otherwise(F.when(~every(key, 44), F.col("value") + 2)).alias("prior_value"),
     )
     return first.unionByName(second)
 
@@ -158,6 +158,70 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("target_id", F.concat_ws(":", "event_id", "measure"))
 
 
+def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event a quarter for each nation as home team, near the quarter's end."""
+    quarters = table(spark, sf_dir, "orders").select(F.date_trunc("quarter", "o_orderdate").alias("q")).distinct()
+    n = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select("n_nationkey").crossJoin(quarters).select(
+        (n * 100000 + F.datediff("q", F.lit("1990-01-01").cast("date"))).cast("long").alias("event_id"), F.year("q").alias("season"), F.quarter("q").alias("week"),
+        F.when(F.quarter("q") == 4, "POST").otherwise("REG").alias("season_type"), n.alias("home_team"), ((n + 7) % 25).alias("away_team"),
+        (F.col("q") + days(80) + hours(17)).alias("valid_at"), "q",
+    )
+
+
+def fixture_lines(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """A customer's orders of a quarter as its line of its team's fixture; many entities share an event."""
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("entity_id"), F.date_trunc("quarter", "o_orderdate").alias("q"), "o_totalprice")
+    rows = o.join(customers(spark, sf_dir), "entity_id").join(items, "k", "left")
+    price = F.when(every("k", 13), None).when(every("k", 17), 0.0).otherwise(F.col("o_totalprice")).cast("decimal(12,2)")
+    rows = rows.select("entity_id", "position", "q", ((F.col("home_nation") + F.when(every("k", 5), 1).otherwise(0)) % 25).alias("team"), price.alias("price"),
+                       F.when(~every("k", 19), F.coalesce("n", F.lit(0))).alias("lines"))
+    summed = rows.groupBy("entity_id", "position", "q", "team").agg((F.sum("price").cast("double") / 1000.0).alias("price"), F.sum("lines").cast("double").alias("lines"))
+    placed = summed.join(events.select("event_id", "season", "valid_at", "q", F.col("home_team").alias("team")), ["q", "team"])
+    placed = placed.withColumn("published_at", times.published_at(F.col("valid_at")))
+    return B.to_long(placed, ["entity_id", "event_id", "season", "position", "team", "valid_at", "published_at"], {"price": "price", "lines": "lines"})
+
+
+def fixture_revisions(events: DataFrame) -> DataFrame:
+    shift = F.when(every("event_id", 21), hours(5)).when(every("event_id", 7), hours(-2)).otherwise(hours(0))
+    first = events.select("event_id", (F.col("valid_at") + shift).alias("kickoff_at"), (F.col("valid_at") - days(60)).alias("known_at"), F.lit(1).alias("revision_seq"))
+    return first.unionByName(events.where(every("event_id", 7)).select("event_id", F.col("valid_at").alias("kickoff_at"), (F.col("valid_at") - days(3)).alias("known_at"), F.lit(2).alias("revision_seq")))
+
+
+def fixture_weather(events: DataFrame) -> DataFrame:
+    """A reading for every third event; for the even ones it is known too late."""
+    known = F.col("valid_at") - F.when(every("event_id", 2), hours(1)).otherwise(hours(12))
+    return events.where(every("event_id", 3)).select("event_id", F.lit("archived_forecast").alias("era"), known.alias("known_at"))
+
+
+@dataclass(frozen=True)
+class FixtureCorpus:
+    """Events shared by many entities, with all their lines."""
+
+    events: DataFrame
+    versions: DataFrame
+
+
+_FIXTURES: dict[tuple[str, str], FixtureCorpus] = {}
+
+
+def fixture_corpus(spark: SparkSession, sf_dir: str) -> FixtureCorpus:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FIXTURES:
+        events = materialize(fixtures(spark, sf_dir), "fixtures")
+        lines = materialize(fixture_lines(spark, sf_dir, events), "fixture-lines")
+        tagged = lines.withColumn("tag", F.col("event_id") + F.col("entity_id"))
+        _FIXTURES[key] = FixtureCorpus(events, materialize(B.value_versions(lines, corrections(tagged, "tag")), "fixture-versions"))
+    return _FIXTURES[key]
+
+
+def fixture_actuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture_corpus(spark, sf_dir).versions.where("version_seq = 0").select(
+        *B.LINE, F.col("value").alias("actual"), ((F.col("event_id") + F.col("entity_id")) % 11 == 0).alias("correction_applied")
+    )
+
+
 @dataclass(frozen=True)
 class Corpus:
     """The stored corpus: what an ingest run leaves behind for every reader."""

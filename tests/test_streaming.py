@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cutline.operators import bitemporal as B
@@ -32,7 +34,7 @@ def test_compaction_over_micro_batches_in_any_order(spark, tmp_path):
     feed(spark, rows[::2], BOOK, src, "b")  # every row of it is late
     run(spark, BOOK, src, sink, tmp_path / "cp")
     sink(spark.read.schema(BOOK).parquet(f"{src}/b"), 1)  # replayed
-    kept = SI.derived(spark, root, SP.BOOK_SCHEMA, ["contract_id"], "contract_id long")
+    kept = SI.derived(spark, root, SP.BOOK_SCHEMA, ["contract_id"], "contract_id long", SP.BOOK_CLOCK)
     assert sorted(r.observation_id for r in kept.collect()) == keep(rows, 60)
 
 
@@ -81,7 +83,7 @@ def test_an_observation_is_never_too_late(spark, tmp_path):
     for k, days in enumerate((0, 1, -40)):
         feed(spark, [(1, 1, "injury", NOW + dt.timedelta(days=days), "s"), (1, 1, "injury", NOW, "s")], schema, src, f"f{k}")
         run(spark, schema, src, sink, tmp_path / "cp")
-    assert spark.read.parquet(root).count() == 3
+    assert SI.appended(spark, root, schema, SI.OBSERVATION_KEY).count() == 3
 
 
 def test_the_first_state_in_the_window_is_captured_whole(spark, tmp_path):
@@ -103,4 +105,53 @@ def test_append_batch_only_adds_new_keys(spark, tmp_path):
     sink(one, 0)
     sink(two, 1)
     sink(two, 1)
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+    assert SI.appended(spark, str(tmp_path / "t"), schema, ["entity_id", "known_at"]).count() == 2
+
+
+def test_a_micro_batch_reads_the_parts_it_touches(spark, tmp_path):
+    """Twenty micro-batches: the last lists its own parts only, as one base and the batches since; the answer is the batch rule's."""
+    root, minute = str(tmp_path / "t"), dt.timedelta(minutes=1)
+    sink = SP.compaction_batch(root, 60, parts=16, compact_after=4)
+    rows, batches = [], []
+    for b in range(20):
+        own = [(c, 100 * b + c, NOW + 40 * b * minute, 40 + (b // 3) % 2, 42, 50, 52) for c in ((1, 2, 3) if b % 2 else (1, 4))]
+        if b == 13:
+            own.append((1, 9_999, NOW + 100 * minute, 77, 78, 50, 52))  # long after its time
+        rows += own
+        batches.append(own)
+        sink(spark.createDataFrame(own, BOOK), b)
+    last = spark.createDataFrame(batches[-1], BOOK)
+    parts = sink.rows.parts_of(last)
+    assert 0 < len(parts) <= 3
+    files = sink.rows.read(spark, parts, before=20).inputFiles()
+    assert {f.split("/part=")[1].split("/")[0] for f in files} <= {str(p) for p in parts}
+    upto = sink.rows.compacted(spark, parts)
+    assert all(u >= 12 for u in upto.values())
+    scanned = sink.rows.read(spark, parts, before=20)
+    assert {(r.part, r.batch) for r in scanned.select("part", "batch").distinct().collect()} <= {(p, b) for p in parts for b in range(upto[p], 20)}
+    assert scanned.drop("part", "batch").count() == sum(r[0] in (1, 2, 3, 4) and r[0] in {x.contract_id for x in scanned.select("contract_id").distinct().collect()} for r in rows)
+    kept = SI.derived(spark, root, SP.BOOK_SCHEMA, ["contract_id"], "contract_id long", SP.BOOK_CLOCK, parts=16)
+    assert sorted(r.observation_id for r in kept.collect()) == keep(rows, 60)
+
+
+def test_results_count_once_they_are_complete(spark, tmp_path):
+    """A batch that stops before its last write changes nothing; its replay does."""
+    schema = "contract_id long, at timestamp, kickoff_at timestamp, seq long"
+    root, minute = str(tmp_path / "t"), dt.timedelta(minutes=1)
+    sink = SP.final_capture_batch(root, schema, order=("seq",))
+    sink(spark.createDataFrame([(1, NOW - 20 * minute, NOW, 2)], schema), 0)
+    late = spark.createDataFrame([(1, NOW - 30 * minute, NOW, 1)], schema)
+    sink.state.results.write(late, 1)  # as if the job had ended here
+    read = lambda: [r.seq for r in SI.derived(spark, root, schema, ["contract_id"], "contract_id long").collect()]
+    assert read() == [2]
+    sink(late, 1)
+    assert read() == [1]
+
+
+def test_a_broken_table_is_an_error(spark, tmp_path):
+    table = SI.KeyedTable(str(tmp_path / "t"), "k long", ("k",))
+    assert table.read(spark).count() == 0
+    (tmp_path / "t" / "rows" / "part=0" / "batch=0").mkdir(parents=True)
+    (tmp_path / "t" / "rows" / "part=0" / "batch=0" / "x.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        table.read(spark).collect()
