@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,24 +36,62 @@ def with_changes(book: DataFrame, bucket_seconds: int = TL.DEFAULT_BUCKET_SECOND
     return seq.select(*book.columns, (~F.col("prev_exists") | moved).alias("changed"))
 
 
+#: Rows of a run of equal books that are walked in one pass; a longer run is marked by doubling, with the same result.
+WALKED_ROWS = 100_000
+
+
+def _walk(gap_micros: int):
+    """Ids of the rows a recorder keeps of each run (a list of times and ids in order): the first, then each first one a gap after the last kept."""
+
+    def run(batches):
+        for batch in batches:
+            ids = []
+            lists = batch.column("rows")
+            for i in range(batch.num_rows):
+                rows = lists[i].values
+                at, names = (rows.field(f).to_numpy() for f in ("at", "id"))
+                k, n = 0, len(at)
+                while k < n:
+                    ids.append(int(names[k]))
+                    k = max(k + 1, int(np.searchsorted(at, at[k] + gap_micros)))
+            yield pa.record_batch([pa.array(ids, pa.int64())], names=["a"])
+
+    return run
+
+
 def compact_prices(book: DataFrame, heartbeat_minutes: float = K.PRICE_HEARTBEAT_MINUTES,
                    bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Rows a change-or-heartbeat recorder would have kept, over a whole history.
 
     A change is always kept, so each run of equal books stands alone. Inside a
     run the next kept row is the first one a heartbeat or more after the last
-    kept, which depends on the one before. Every row's successor is found by an
-    as-of read, and the rows reachable from each run's start are then marked by
-    doubling the successor links: log2(longest chain) equi-joins on unique ids,
-    with no contract ever gathered in one place.
+    kept, which depends on the one before: a run is walked once, from kept row to kept
+    row. A run of over ``WALKED_ROWS`` rows isn't gathered: every row's successor is
+    found by an as-of read, and the rows reachable from its start are marked by
+    doubling the links, in log2(longest chain) equi-joins on unique ids.
     """
     marked = with_changes(book, bucket_seconds)
     runs = TL.running_totals(
         marked, ["contract_id"], "observed_at", ["observation_id"],
         {"run_no": F.when(F.col("changed"), 1).otherwise(0)}, bucket_seconds=bucket_seconds,
     )
-    narrow = materialize(runs.select("contract_id", "run_no", "observation_id", "observed_at", "changed"), "book-runs")
+    run = ["contract_id", "run_no"]
+    narrow = materialize(runs.select(*run, "observation_id", "observed_at", "changed"), "book-runs")
+    long = narrow.groupBy(*run).count().where(F.col("count") > WALKED_ROWS).select(*run)
+    any_long = not long.isEmpty()
+    if any_long:
+        long = materialize(long, "long-runs")
+    short = narrow.join(long, run, "left_anti") if any_long else narrow
     gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(heartbeat_minutes * 60).cast("decimal(18,6)"))
+    lists = short.where("observed_at is not null").groupBy(*run).agg(F.sort_array(F.collect_list(F.struct(F.unix_micros("observed_at").alias("at"), F.col("observation_id").alias("id")))).alias("rows"))
+    kept = lists.select("rows").mapInArrow(_walk(round(heartbeat_minutes * 60_000_000)), "a long")
+    if any_long:
+        kept = kept.unionByName(_doubled(narrow.join(long, run, "left_semi"), gap, bucket_seconds))
+    return book.join(kept.select(F.col("a").alias("observation_id")), "observation_id", "left_semi")
+
+
+def _doubled(narrow: DataFrame, gap: Column, bucket_seconds: int) -> DataFrame:
+    """Kept ids (a) of runs of any length."""
     after = narrow.select("contract_id", "run_no", "observation_id", (F.col("observed_at") + gap).alias("due_at"))
     rows = narrow.select("contract_id", "run_no", F.col("observed_at").alias("at"), F.col("observation_id").alias("next_id"))
     succ = TL.asof_next(after, rows, ["contract_id", "run_no"], "due_at", "at", ["next_id"], right_order=["next_id"],
@@ -62,7 +102,7 @@ def compact_prices(book: DataFrame, heartbeat_minutes: float = K.PRICE_HEARTBEAT
         kept = cut_lineage(kept.unionByName(kept.join(links, "a").select(F.col("b").alias("a"))).distinct())
         onward = links.select(F.col("a").alias("b"), F.col("b").alias("c"))
         links = cut_lineage(links.join(onward, "b").select("a", F.col("c").alias("b")))
-    return book.join(kept.select(F.col("a").alias("observation_id")), "observation_id", "left_semi")
+    return kept
 
 
 def transitions(states: DataFrame, prior_snapshots: DataFrame | None = None,

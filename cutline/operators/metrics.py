@@ -76,14 +76,15 @@ def threshold_scores(thresholds: DataFrame) -> DataFrame:
     p, o = F.col("probability"), F.col("outcome").cast("double")
     eps = F.lit(K.LOG_LOSS_EPS)
     loss = -(o * F.log(F.greatest(p, eps)) + (F.lit(1.0) - o) * F.log(F.greatest(F.lit(1.0) - p, eps)))
-    rows = thresholds.select(
-        "prediction_id", F.pow(p - o, 2).alias("sq"), loss.alias("loss"),
-        F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("contract_like"), "contract_like")))).alias("population"),
+    # A prediction's thresholds first become one row, which is then counted once.
+    per = thresholds.select("prediction_id", "contract_like", F.pow(p - o, 2).cast(EXACT).alias("sq"), loss.cast(EXACT).alias("loss")).groupBy("prediction_id", "contract_like").agg(
+        F.sum("sq").alias("sq"), F.sum("loss").alias("loss"), F.count("*").alias("n")
     )
-    n = F.count("*")
+    rows = per.select("*", F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("contract_like"), "contract_like")))).alias("population"))
+    n = F.sum("n")
     return rows.groupBy("population").agg(
-        _exact_mean(F.col("sq"), n).alias("brier"), _exact_mean(F.col("loss"), n).alias("log_loss"),
-        n.alias("observations"), F.count_distinct("prediction_id").alias("projections"),
+        (F.sum("sq").cast("double") / n).alias("brier"), (F.sum("loss").cast("double") / n).alias("log_loss"),
+        n.alias("observations"), F.count("*").alias("projections"),
     )
 
 
@@ -98,17 +99,20 @@ def calibration_bins(thresholds: DataFrame, bins: int = K.CALIBRATION_BINS) -> D
     Segments: all, each stat type, season and era, the contract-like population
     and that population per stat type. Empty bins have no row.
     """
-    rows = thresholds.withColumn("bin_index", bin_of(F.col("probability"), bins))
+    # A prediction's thresholds in one bin first become one row, so that projections are counted without a distinct.
+    rows = thresholds.withColumn("bin_index", bin_of(F.col("probability"), bins)).groupBy("prediction_id", "bin_index", "stat_type", "season", "era", "contract_like").agg(
+        F.sum(F.col("probability").cast(EXACT)).alias("probability"), F.sum(F.col("outcome").cast("long")).alias("outcomes"), F.count("*").alias("n")
+    )
     cols = [F.col("bin_index"), F.col("stat_type"), F.col("season"), F.col("era")]
     b = F.col("bin_index")
 
     def summed(df: DataFrame, sets: list, population: str | None) -> DataFrame:
-        n = F.count("*")
+        n = F.sum("n")
         return df.groupingSets(sets, *cols).agg(
-            _exact_mean(F.col("probability"), n).alias("predicted_mean"),
-            (F.sum(F.col("outcome").cast("long")) / n).alias("observed_rate"),
+            (F.sum("probability").cast("double") / n).alias("predicted_mean"),
+            (F.sum("outcomes") / n).alias("observed_rate"),
             n.alias("threshold_observations"),
-            F.count_distinct("prediction_id").alias("projection_count"),
+            F.count("*").alias("projection_count"),
         ).withColumn("population", F.lit(population).cast("string"))
 
     plain = summed(rows, [[b], [b, F.col("stat_type")], [b, F.col("season")], [b, F.col("era")]], None)
@@ -160,7 +164,11 @@ def population_totals(graded: DataFrame, thresholds_per_stat: DataFrame) -> Data
 
 def exclusion_breakdown(exclusions: DataFrame, candidates: DataFrame) -> DataFrame:
     """Counts by reason. Rows that only lack a baseline are not removals."""
-    total = candidates.agg(F.count("*").alias("candidates"))
+    return breakdown_of(exclusions, candidates.agg(F.count("*").alias("candidates")))
+
+
+def breakdown_of(exclusions: DataFrame, total: DataFrame) -> DataFrame:
+    """:func:`exclusion_breakdown` given the one row with the number of candidates."""
     per = exclusions.groupBy("reason").agg(F.count("*").alias("rows"))
     removal = F.col("reason") != K.REASON_BASELINE_UNAVAILABLE
     pct = F.when(removal, F.col("rows") * 100.0 / F.greatest(F.col("candidates"), F.lit(1)))
@@ -214,3 +222,51 @@ def contract_like_sensitivity(predictions: DataFrame, registry: DataFrame, multi
     tall = floors.select("measure", "projected_value", "floor", F.explode(F.array(*[F.lit(m) for m in multiples])).alias("multiple"))
     hit = F.coalesce(F.col("projected_value") >= F.col("floor") * F.col("multiple"), F.lit(False))
     return tall.groupBy("measure", "multiple").agg(F.count_if(hit).alias("contract_like"), F.count("*").alias("predictions"))
+
+
+#: A stored number of a run's summary, by name: NULLs in the key are part of it.
+CELL_KEY = ["section", "population", "axis", "axis_key", "block", "series", "bin_index", "metric"]
+_CELL_SCALE = "decimal(38,6)"
+
+
+def _cells(df: DataFrame, section: str, keys: dict[str, Column], values: dict[str, Column]) -> DataFrame:
+    """One row for each value of each row of ``df``, under the cell key; absent values have no row."""
+    items = F.array(*[F.struct(F.lit(n).alias("metric"), F.bround(v.cast("decimal(38,12)"), 6).cast(_CELL_SCALE).alias("value")) for n, v in values.items()])
+    none = lambda c: F.lit(None).cast("int" if c == "bin_index" else "string")
+    named = [keys.get(c, none(c)).alias(c) for c in CELL_KEY[1:-1]]
+    return df.select(F.lit(section).alias("section"), *named, F.explode(items).alias("i")).select(*CELL_KEY[:-1], "i.*").where(F.col("value").isNotNull())
+
+
+def aggregate_cells(predictions: DataFrame, thresholds: DataFrame, exclusions: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every aggregate of a run in long form: errors, threshold scores, population, exclusions, disclosures."""
+    cols = lambda *names: {n: F.col(n) for n in names}
+    population = {n: F.col(n) for n in totals.columns}
+    candidates = totals.select("candidates")
+    parts = [
+        _cells(error_metrics(predictions), "error", cols("population", "axis", "axis_key", "block", "series"), cols("n", "mae", "rmse")),
+        _cells(threshold_scores(thresholds), "threshold", cols("population"), cols("brier", "log_loss", "observations", "projections")),
+        _cells(totals, "population", {}, population),
+        _cells(breakdown_of(exclusions, candidates), "exclusion", {"axis": F.lit("reason"), "axis_key": F.col("reason")}, cols("rows", "pct_of_candidates")),
+        _cells(disclosures(predictions, exclusions), "disclosure", {}, cols("cutoff_after_kickoff_count", "correction_applied_count")),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def bin_cells(bins: DataFrame) -> DataFrame:
+    """Calibration bins in long form."""
+    axis = F.when(F.col("stat_type").isNotNull(), "stat_type").when(F.col("season").isNotNull(), "season").when(F.col("era").isNotNull(), "era").otherwise("all")
+    keys = {"population": F.coalesce("population", F.lit("all")), "axis": axis, "axis_key": F.coalesce("stat_type", F.col("season").cast("string"), "era"), "bin_index": F.col("bin_index")}
+    return _cells(bins, "bin", keys, {n: F.col(n) for n in ("predicted_mean", "observed_rate", "threshold_observations", "projection_count")})
+
+
+def cell_diff(stored: DataFrame, again: DataFrame) -> DataFrame:
+    """Every cell of either side with both values and ``state``: same, differs, missing (only recomputed) or extra (only stored)."""
+    key = F.struct(*CELL_KEY)  # equal structs may hold NULLs
+    a = stored.select(key.alias("cell"), F.col("value").alias("stored"))
+    b = again.select(key.alias("cell"), F.col("value").alias("recomputed"))
+    both = a.join(b, "cell", "full_outer")
+    state = F.when(F.col("stored").isNull(), "missing").when(F.col("recomputed").isNull(), "extra").when(F.col("stored") == F.col("recomputed"), "same").otherwise("differs")
+    return both.select("cell.*", "stored", "recomputed", state.alias("state"))

@@ -29,7 +29,8 @@ from cutline.operators import timeline as TL
 
 OBSERVATION_KEY = ["entity_id", "event_id", "context_type", "known_at", "source"]
 INVOCATION_KEY = ["category", "invocation_id"]
-PARTS = 64
+#: For a table on a cluster choose some hundreds; a table keeps the number it was made with.
+PARTS = 16
 COMPACT_AFTER = 16
 
 
@@ -70,13 +71,11 @@ class KeyedTable:
         except AnalysisException as error:
             if not path_missing(error):
                 raise
-        if parts is None or len(parts) == 1:
+        if parts is None:
             return None
-        found = [x for x in (self._scan(spark, where, [p]) for p in parts) if x is not None]
-        out = found[0] if found else None
-        for x in found[1:]:
-            out = out.unionByName(x)
-        return out
+        # Some of the parts are new: list all that there are, once.
+        every = self._scan(spark, where, None)
+        return None if every is None else every.where(F.col("part").isin(parts))
 
     def compacted(self, spark: SparkSession, parts: list[int] | None) -> dict[int, int]:
         """Up to which batch each part is held in ``base``; looked up once for each part."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from cutline.operators import digests as DG
 from cutline.operators import metrics as MT
 from cutline.operators import verify as V
 from cutline.plans import backtest as BT
-from cutline.session import materialize
+from cutline.plans import summarise as SU
+from cutline.session import checkpoint_dir, materialize
 from cutline.workload import sql as S
 from cutline.workload import tables as T
 from cutline.workload.catalog import query, rnd
@@ -35,10 +38,24 @@ def stored_run(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         graded = materialize(run.candidates, "graded")
         predictions = materialize(BT.prediction_rows(graded), "predictions")
         thresholds = materialize(BT.PJ.threshold_rows(graded.where("outcome = 'projected'")), "thresholds")
-        _RUNS[key] = {"graded": graded, "predictions": predictions, "thresholds": thresholds, "exclusions": BT.exclusion_rows(graded)}
+        _RUNS[key] = {"graded": graded, "predictions": predictions, "thresholds": thresholds, "exclusions": BT.exclusion_rows(graded), "priors": run.priors}
     return _RUNS[key]
 
 
+_COMPLETED: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+
+
+def completed_run(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """Folder and run row of the run, stored whole: datasets, cells, manifest, marker."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _COMPLETED:
+        run = stored_run(spark, sf_dir)
+        root = f"{checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+        done = BT.Backtest(run["graded"], run["predictions"], run["exclusions"], run["thresholds"], run["priors"])
+        _COMPLETED[key] = root, SU.complete_run(spark, done, T.registry(spark), root, {"sf": sf_dir})
+    return _COMPLETED[key]
+
+
 @query(f"""
 with x as (select event_id, value, (value - 60.0) / 25.0 as z, (event_id % 1999 + 0.5) / 2000.0 as p from events)
 select event_id, {S.rnd('0.5 * ' + S.erfc(f'(-z / {NC.SQRT2!r}::double)'), 9)} as cdf, {S.rnd(S.normal_ppf('p::double'), 8)} as ppf from x""")
@@ -360,28 +377,103 @@ def actual_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("target_id", rnd(p, 3, "actual_percentile"))
 
 
-@query(S.with_(*RUN, S.THRESHOLDS) + """
-select unnest(['no cutoff at or after its own kickoff', 'no mass below zero', 'percentiles within [0,1]', 'population reconciles',
-  'predictions match the projected count', 'threshold observations match the artefacts', 'comparison population has baseline_season_avg',
-  'comparison population has baseline_trailing5', 'comparison count matches the artefacts']) as "check",
-  unnest([count(case when cutoff >= valid_at then 1 end) = 0, true, true, true, true, count(*) > 0,
-          count(case when in_comparison and season_average is null then 1 end) = 0, count(case when in_comparison and trailing_five is null then 1 end) = 0, true]) as ok
-from predictions""")
+_CELLS = _SERIES + _BINS + """,
+losses as (select pop, power(probability - outcome::int, 2) as sq, target_id,
+                  -(outcome::int * ln(greatest(probability, 1e-12)) + (1 - outcome::int) * ln(greatest(1 - probability, 1e-12))) as loss
+           from thresholds cross join (values ('all'), ('contract_like')) v(pop) where pop = 'all' or contract_like),
+scores as (select pop, avg(sq) as brier, avg(loss) as log_loss, count(*) as observations, count(distinct target_id) as projections from losses group by 1),
+totals_ as (
+  select count(*) as candidates, count(case when reason is null then 1 end) as projected, count(case when reason = 'insufficient_history' then 1 end) as unprojectable,
+         count(case when reason is not null and reason <> 'insufficient_history' then 1 end) as excluded, count(case when reason is null and in_comparison then 1 end) as comparison,
+         sum(case when reason is null then case when measure = 'price' then 9 else 8 end else 0 end) as threshold_observations from outcomes),
+ex as (select reason from outcomes where reason is not null union all select 'baseline_unavailable' from outcomes where reason is null and not in_comparison),
+broken as (select reason, count(*) as n, case when reason <> 'baseline_unavailable' then count(*) * 100.0 / (select candidates from totals_) end as pct from ex group by 1),
+named_bins as (select *, coalesce(population, 'all') as pop, case when stat_type is not null then 'stat_type' when season is not null then 'season' when era is not null then 'era' else 'all' end as axis,
+                      coalesce(stat_type, season::varchar, era) as axis_key from bins),
+raw as (
+  select 'error' as section, population, axis, axis_key, block, series, null::int as bin_index, unnest(['n', 'mae', 'rmse']) as metric, unnest([n::double, mae, rmse]) as v from metrics
+  union all select 'threshold', pop, null, null, null, null, null, unnest(['brier', 'log_loss', 'observations', 'projections']), unnest([brier, log_loss, observations::double, projections::double]) from scores
+  union all select 'population', null, null, null, null, null, null, unnest(['candidates', 'projected', 'unprojectable', 'excluded', 'comparison', 'threshold_observations']),
+                   unnest([candidates::double, projected::double, unprojectable::double, excluded::double, comparison::double, threshold_observations::double]) from totals_
+  union all select 'exclusion', null, 'reason', reason, null, null, null, unnest(['rows', 'pct_of_candidates']), unnest([n::double, pct]) from broken
+  union all select 'disclosure', null, null, null, null, null, null, unnest(['cutoff_after_kickoff_count', 'correction_applied_count']),
+                   unnest([(select count(*) from outcomes where reason = 'cutoff_after_kickoff')::double, (select count(*) from predictions where correction_applied)::double])
+  union all select 'bin', pop, axis, axis_key, null, null, bin_index, unnest(['predicted_mean', 'observed_rate', 'threshold_observations', 'projection_count']),
+                   unnest([predicted_mean, observed_rate, threshold_observations::double, projection_count::double]) from named_bins),
+cells as (
+  select section, population, axis, axis_key, block, series, bin_index, metric,
+         case when metric in ('mae', 'rmse') then round(v::double + 1e-9, 2) when metric = 'brier' then round(v::double + 1e-9, 5) else round(v::double + 1e-9, 4) end + 0.0 as value
+  from raw where v is not null)"""
+
+
+def shown(value) -> F.Column:
+    """A cell's value at the precision at which summaries are read."""
+    m = F.col("metric")
+    return F.when(m.isin("mae", "rmse"), rnd(value, 2)).when(m == "brier", rnd(value, 5)).otherwise(rnd(value, 4))
+
+
+@query(S.with_(*RUN, S.THRESHOLDS, _CELLS) + """,
+kept as (
+  select * replace (case when metric = 'brier' and population = 'contract_like' then value + 0.01 else value end as value)
+  from cells where not (section = 'bin' and axis = 'all' and population = 'all' and bin_index = 0)
+  union all select 'bin', 'all', 'all', null, null, null, 99, 'projection_count', 1.0)
+select coalesce(c.section, k.section) as section, coalesce(c.population, k.population) as population, coalesce(c.axis, k.axis) as axis, coalesce(c.axis_key, k.axis_key) as axis_key,
+       coalesce(c.block, k.block) as block, coalesce(c.series, k.series) as series, coalesce(c.bin_index, k.bin_index) as bin_index, coalesce(c.metric, k.metric) as metric,
+       round(k.value, 5) as stored, c.value as recomputed,
+       case when k.value is null then 'missing' when c.value is null then 'extra' when c.metric = 'brier' and c.population = 'contract_like' then 'differs' else 'same' end as state
+from cells c full join kept k on k.section = c.section and k.population is not distinct from c.population and k.axis is not distinct from c.axis and k.axis_key is not distinct from c.axis_key
+  and k.block is not distinct from c.block and k.series is not distinct from c.series and k.bin_index is not distinct from c.bin_index and k.metric = c.metric""")
+def recomputation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of a stored summary, one edited, one bin gone and one made up, against the same made from the rows on disk."""
+    root, row = completed_run(spark, sf_dir)
+    aggregates, bins = SU.stored_cells(spark, root)
+    value = F.when((F.col("metric") == "brier") & (F.col("population") == "contract_like"), F.col("value") + F.lit("0.01").cast("decimal(38,6)")).otherwise(F.col("value"))
+    gone = (F.col("section") == "bin") & (F.col("axis") == "all") & (F.col("population") == "all") & (F.col("bin_index") == 0)
+    extra = bins.where(gone & (F.col("metric") == "projection_count")).limit(1).withColumns({"bin_index": F.lit(99), "value": F.lit("1").cast("decimal(38,6)")})
+    stored = aggregates.withColumn("value", value.cast("decimal(38,6)")).unionByName(bins.where(~gone)).unionByName(extra)
+    again = SU.recomputed(spark, root, row)
+    out = MT.cell_diff(stored, again.aggregates.unionByName(again.bins))
+    return out.withColumns({"stored": shown(F.col("stored")), "recomputed": shown(F.col("recomputed"))})
+
+
+@query(S.with_(*RUN, S.THRESHOLDS) + f"""
+select unnest(['cutoffs_precede_events', 'no_negative_mass', 'percentiles_are_shares', 'outcomes_add_up', 'every_projection_is_stored', 'every_threshold_is_stored',
+               'compared_have_season_average', 'compared_have_trailing_five', 'comparison_size_agrees']) as "check",
+       unnest([late = 0, below = 0, odd = 0, n_out = n_all, true, n_grid = n_thresholds, no_avg = 0, no_five = 0, true]) as ok,
+       unnest([late, below, odd, n_all, n, n_thresholds, no_avg, no_five, compared]) as seen
+from (select count(*) as n, count(case when cutoff >= valid_at then 1 end) as late, count(case when r < 0 or p_zero < 0 then 1 end) as below,
+             count(case when 1 - {S.tail_probability("(actual + 1e-9)")} not between 0 and 1 then 1 end) as odd,
+             count(case when in_comparison and season_average is null then 1 end) as no_avg, count(case when in_comparison and trailing_five is null then 1 end) as no_five,
+             count(case when in_comparison then 1 end) as compared, sum(case when measure = 'price' then 9 else 8 end)::bigint as n_grid from predictions)
+cross join (select count(*) as n_thresholds from thresholds)
+cross join (select count(*) as n_all, count(case when reason is null then 1 end) + count(case when reason is not null then 1 end) as n_out from outcomes)""")
 def verify_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verifier's row checks over a finished run."""
-    run = stored_run(spark, sf_dir)
-    totals = MT.population_totals(run["graded"], T.registry(spark)).select(
-        F.col("candidates").alias("candidate_count"), F.col("projected").alias("projected_count"), F.col("unprojectable").alias("unprojectable_count"),
-        F.col("excluded").alias("excluded_count"), F.col("comparison").alias("comparison_count"), F.col("threshold_observations").alias("threshold_obs_count"),
-    )
-    return V.check_rows(run["predictions"], run["thresholds"], totals).select("check", "ok")
+    """The row checks over a finished run, with what each of them counted."""
+    root, row = completed_run(spark, sf_dir)
+    return V.check_rows(spark.read.parquet(f"{root}/predictions"), spark.read.parquet(f"{root}/thresholds"), row).select("check", "ok", "seen")
+
 
+def _digest_sql(name: str, columns: dict[str, str], source: str) -> str:
+    parts = ", ".join(f"'{c}', coalesce({columns[c]}::varchar, chr(27) || '0')" for c in sorted(columns))
+    limbs = ", ".join(f"sum(('0x' || substr(h, {1 + 16 * i}, 16))::ubigint::hugeint)::hugeint as s{i}" for i in range(4))
+    return f"""select '{name}' as dataset, row_count, sha256(concat_ws(':', row_count::varchar, s0::varchar, s1::varchar, s2::varchar, s3::varchar)) as digest
+from (select count(*) as row_count, {limbs} from (select sha256(concat_ws(chr(31), {parts})) as h from {source}))"""
 
-@query()
+
+_CELL_TEXT = {c: c for c in MT.CELL_KEY} | {"value": "value::decimal(18,4)"}
+
+
+@query(S.with_(*RUN, S.THRESHOLDS, _CELLS) + "\n" + " union all ".join((
+    _digest_sql("predictions", {"event_id": "event_id", "entity_id": "entity_id", "measure": "measure", "n_eff": "n_eff", "confidence": "confidence",
+                                "projected_value": S.rnd("projected_value", 3) + "::decimal(18,3)"}, "predictions"),
+    _digest_sql("aggregates", _CELL_TEXT, "cells where section <> 'bin'"), _digest_sql("bins", _CELL_TEXT, "cells where section = 'bin'"))))
 def run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three content digests of a run, recomputed from its datasets."""
-    run = stored_run(spark, sf_dir)
-    return V.content_digests(run["predictions"], run["thresholds"])
+    """Digests over the stored predictions, aggregates and bins of a run, at the precision at which they are read."""
+    root, _ = completed_run(spark, sf_dir)
+    p = spark.read.parquet(f"{root}/predictions").select("event_id", "entity_id", "measure", "n_eff", "confidence", rnd("projected_value", 3).cast("decimal(18,3)").alias("projected_value"))
+    cells = [x.withColumn("value", shown(F.col("value")).cast("decimal(18,4)")) for x in SU.stored_cells(spark, root)]
+    out = [DG.digest(df).select(F.lit(n).alias("dataset"), "row_count", "digest") for n, df in zip(("predictions", "aggregates", "bins"), (p, *cells))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("""

@@ -64,8 +64,9 @@ def keep(rows, minutes):
 BOOK = "contract_id long, observation_id long, observed_at timestamp, yes_bid int, yes_ask int, no_bid int, no_ask int"
 
 
-@pytest.mark.parametrize("seed,minutes", [(1, 15), (2, 60)])
-def test_compaction_matches_a_sequential_recorder(spark, seed, minutes):
+@pytest.mark.parametrize("seed,minutes,walked", [(1, 15, 100_000), (2, 60, 100_000), (2, 60, 4)])
+def test_compaction_matches_a_sequential_recorder(spark, monkeypatch, seed, minutes, walked):
+    monkeypatch.setattr(MK, "WALKED_ROWS", walked)  # longer runs are marked by doubling
     rows = books(seed)
     got = MK.compact_prices(spark.createDataFrame(rows, BOOK), minutes, bucket_seconds=6 * 3600)
     assert sorted(r.observation_id for r in got.collect()) == keep(rows, minutes)

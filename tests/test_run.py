@@ -13,6 +13,7 @@ from cutline.plans import ingest as IN
 from cutline.plans import live as LV
 from cutline.plans import market_sync as MS
 from cutline.plans import summarise as SU
+from cutline.session import materialize
 from cutline.sources import readers as R
 from cutline.sources import writers as W
 from cutline.workload import tables as T
@@ -69,13 +70,21 @@ def test_whole_run_verifies_and_tampering_is_found(spark, tmp_path):
     row = SU.complete_run(spark, run, T.registry(spark), root, {"seasons": "1995-2001"})
     assert W.is_complete(spark, root) and W.read_manifest(spark, root)["config"] == {"seasons": "1995-2001"}
     row = row.withColumns({"code_version": F.lit("abc"), "code_dirty": F.lit(False)})
-    bins = MT.calibration_bins(spark.read.parquet(f"{root}/thresholds"))
-    checks = SU.verify_run(spark, root, row, bins, strict=True).collect()
+    checks = SU.verify_run(spark, root, row, strict=True).collect()
     assert len(checks) >= 20 and all(k.ok for k in checks), [k for k in checks if not k.ok]
     totals = row.first()
     assert totals.projected_count + totals.unprojectable_count + totals.excluded_count == totals.candidate_count == c.targets.count()
     edited = row.withColumn("predictions_digest", F.lit("0"))
-    assert "predictions_digest matches a recomputation" in {k.check for k in SU.verify_run(spark, root, edited, bins).collect() if not k.ok}
+    assert {k.check for k in SU.verify_run(spark, root, edited).collect() if not k.ok} == {"predictions_digest_holds"}
+    aggregates, bins = (materialize(x, "cells") for x in SU.stored_cells(spark, root))
+    brier = (F.col("metric") == "brier") & (F.col("population") == "contract_like")
+    aggregates.withColumn("value", F.when(brier, F.col("value") + 0.01).otherwise(F.col("value")).cast("decimal(38,6)")).write.mode("overwrite").parquet(f"{root}/aggregates")
+    bins.where("not (bin_index = 0 and axis = 'all' and metric = 'observed_rate')").write.mode("overwrite").parquet(f"{root}/bins")
+    off = {k.check: k.detail for k in SU.verify_run(spark, root, row).collect() if not k.ok}
+    assert set(off) == {"aggregate_digest_holds", "calibration_digest_holds", "aggregates_recompute", "bins_recompute"}
+    assert off["aggregates_recompute"].startswith("1 cells; threshold/contract_like/-/-/-/-/-/brier: differs")
+    named = {(r.section, r.population, r.metric, r.state) for r in SU.recomputation_diff(spark, root, row).where("state <> 'same'").collect()}
+    assert ("threshold", "contract_like", "brier", "differs") in named and {n[3] for n in named if n[0] == "bin"} == {"missing"}
     with pytest.raises(Exception):
         W.write_dataset(run.priors, root, "priors")
 
