@@ -286,6 +286,50 @@ def record_decisions(requests: DataFrame, contracts: DataFrame, events: DataFram
     return frozen, judged.where(F.col("refusal").isNotNull()).select(*ids, "refusal")
 
 
+FROZEN = ["projection_id", "observation_id", "model_probability", "side", "ask_cents", "edge_points", "adjusted_edge", "confidence",
+          "is_recommended", "computed_at", "information_cutoff", "observed_at"]
+
+
+def decision_log(requests: DataFrame, contracts: DataFrame, events: DataFrame, stored: DataFrame, projections: DataFrame, prices: DataFrame,
+                 bucket_seconds: int = TL.DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """Every request with its ``outcome``; recorded ones freeze what was known at their own instant.
+
+    ``requests`` and ``stored``: decision_id, contract_id, disposition, decided_at. Outcomes: recorded,
+    unchanged (the disposition already stands), no_such_contract, event_closed (it has started or isn't scheduled),
+    market_closed (no event, and the market is inactive or past its close). The
+    projection and the price are those known at ``decided_at``, by as-of reads, so a
+    log written late or in one batch holds what a log written at once would have held.
+    A recorded row names the decision it replaces; stored rows take part in that and aren't returned.
+    """
+    games = events.select("event_id", "kickoff_at", F.col("status").alias("__event_status"))
+    asked = requests.join(contracts.select("contract_id", "entity_id", "event_id", "stat_type", "threshold", F.col("status").alias("__status"), "close_time"), "contract_id", "left").join(games, "event_id", "left")
+    started = (F.col("kickoff_at") <= F.col("decided_at")) | (F.col("__event_status") != "scheduled")
+    ended = (F.col("__status") != "active") | F.coalesce(F.col("close_time") <= F.col("decided_at"), F.lit(False))
+    refusal = (
+        F.when(F.col("__status").isNull(), "no_such_contract")
+        .when(F.col("kickoff_at").isNotNull() & started, "event_closed")
+        .when(F.col("kickoff_at").isNull() & ended, "market_closed")
+    )
+    judged = materialize(asked.withColumn("refusal", refusal).drop("__status", "__event_status", "close_time", "kickoff_at"), "judged")
+    ids = ["decision_id", "contract_id", "disposition", "decided_at"]
+    open_ = judged.where("refusal is null")
+    chain = supersede(stored.select(*ids).unionByName(open_.select(*ids)), bucket_seconds)
+    fresh = chain.join(stored.select("decision_id"), "decision_id", "left_anti").select("decision_id", "supersedes_decision_id")
+    taken = materialize(open_.join(fresh, "decision_id"), "taken")
+    book = TL.asof_latest(taken.select("decision_id", "contract_id", "decided_at"), prices, ["contract_id"], "decided_at", "observed_at",
+                          ["observation_id", "observed_at", *SIDES], right_order=["observation_id"], bucket_seconds=bucket_seconds)
+    subject = ["entity_id", "event_id", "stat_type"]
+    known = ["projection_id", "distribution_kind", "params", "confidence", "computed_at", "information_cutoff"]
+    model = TL.asof_latest(taken.select("decision_id", *subject, "decided_at"), projections, subject, "decided_at", "computed_at", known,
+                           right_order=["projection_id"], bucket_seconds=bucket_seconds)
+    seen = taken.join(book.select("decision_id", "observation_id", "observed_at", *SIDES), "decision_id").join(model.select("decision_id", *known), "decision_id")
+    seen = seen.withColumn("model_probability", D.at_least(F.col("distribution_kind"), F.col("params"), F.col("threshold")))
+    frozen = seen.withColumns(M.edge(F.col("model_probability"), F.col("confidence"), F.col("yes_ask"), F.col("no_ask")))
+    frozen = frozen.select(*ids, "supersedes_decision_id", *FROZEN).withColumn("outcome", F.lit("recorded"))
+    others = judged.join(frozen.select("decision_id"), "decision_id", "left_anti").select(*ids, F.coalesce("refusal", F.lit("unchanged")).alias("outcome"))
+    return frozen.unionByName(others, allowMissingColumns=True)
+
+
 def live_candidates(contracts: DataFrame, events: DataFrame, now: Column) -> DataFrame:
     """Distinct (entity, event, stat) of resolved contracts on future events. No
     price column is read."""

@@ -238,9 +238,42 @@ def pipeline_start(log: DataFrame, requested: DataFrame) -> DataFrame:
     return first.join(log.select(*key), key, "left_anti").withColumn("status", F.lit("running"))
 
 
-def run_state(events: DataFrame) -> DataFrame:
-    """Current state of each run from its append-only log."""
-    return TL.latest_per_key(events, ["run_id"], ["logged_at", "status"])
+LOG_STARTED, LOG_FINISHED = "started", "finished"
+
+
+def fold_runs(log: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """The state of every logical run, folded from its append-only log in whatever order that came.
+
+    ``log``: run_id, category, invocation_id, kind (started or finished), status, error_message, at, seq.
+    The first start of an invocation is its run; later deliveries of the invocation are
+    counted and nothing they report is taken. The last terminal entry decides, so a report that
+    comes late replaces an earlier one. A run that has none ``hours`` after its start was abandoned:
+    that is read off the log and never written, so its own late report still counts.
+    Two partial aggregates, by run and by invocation; no run's entries are gathered.
+    """
+    began, ended = F.col("kind") == LOG_STARTED, F.col("kind") == LOG_FINISHED
+    per = log.groupBy("run_id").agg(
+        F.min(F.when(began, F.struct("at", "seq", "category", "invocation_id"))).alias("began"),
+        F.max(F.when(ended, F.struct("at", "seq", "status", "error_message"))).alias("ended"),
+        F.count_if(ended).alias("reports"),
+    ).where(F.col("began").isNotNull())
+    runs = per.groupBy(F.col("began.category").alias("category"), F.col("began.invocation_id").alias("invocation_id")).agg(
+        F.min(F.struct("began.at", "began.seq", "run_id", "ended", "reports")).alias("r"), F.count("*").alias("deliveries")
+    )
+    started, ended = F.col("r.at"), F.col("r.ended")
+    stale = ended.isNull() & (started < now - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    return runs.select(
+        F.col("r.run_id").alias("run_id"), "category", "invocation_id",
+        F.when(ended.isNotNull(), ended["status"]).when(stale, "interrupted").otherwise("running").alias("status"),
+        started.alias("started_at"), F.when(stale, now).otherwise(ended["at"]).alias("finished_at"),
+        F.when(stale, "abandoned: no report in time").otherwise(ended["error_message"]).alias("error_message"),
+        "deliveries", F.greatest(F.col("r.reports") - 1, F.lit(0)).alias("late_reports"),
+    )
+
+
+def ignored_reports(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """Terminal entries that no run of :func:`fold_runs` takes: of a repeated delivery, or of a run that never started."""
+    return log.where(F.col("kind") == LOG_FINISHED).join(runs.select("run_id"), "run_id", "left_anti")
 
 
 def event_outcomes(records: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cutline.functions import market as M
 from cutline.functions import numbers as N
 from cutline.operators import market as MK
+from cutline.operators import merges as MG
 from cutline.operators import runs as R
 from cutline.plans import live as LV
 from cutline.workload import sql as S
@@ -113,6 +114,71 @@ def decision_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MK.supersede(e, bucket_seconds=7 * 86400).drop("decided_at")
 
 
+_ASKED = f"""
+asked as (
+  select o.event_id * 4 + k as decision_id, case when o.event_id % 97 = 0 then -o.event_id - 1 else o.event_id end as contract_id,
+         case when ((o.event_id + k) // 2) % 2 = 0 then 'take' else 'pass' end as disposition,
+         o.valid_at - to_hours(((3 - k) * 12)::int) - interval '30 minutes' + case when o.event_id % 10 = 0 then interval '5 days' else interval '0 days' end as decided_at
+  from order_events o cross join (values (1), (2), (3)) v(k)),
+kept as (select -event_id - 1 as decision_id, event_id as contract_id, 'take' as disposition, valid_at - interval '30 days' as decided_at from order_events where event_id % 5 = 0),
+listed as (
+  select event_id as contract_id, entity_id, case when event_id % 31 <> 0 then event_id end as event_id, 24.5::double + 50 * (event_id % 9) as threshold,
+         case when event_id % 23 = 0 then 'delisted' else 'active' end as status, case when event_id % 62 = 0 then valid_at - interval '20 hours' end as close_time from order_events),
+judged as (
+  select a.*, l.entity_id, l.event_id, l.threshold,
+         case when l.contract_id is null then 'no_such_contract'
+              when e.event_id is not null and (e.valid_at <= a.decided_at or e.o_orderstatus = 'F') then 'event_closed'
+              when e.event_id is null and (l.status <> 'active' or coalesce(l.close_time <= a.decided_at, false)) then 'market_closed' end as refusal
+  from asked a left join listed l using (contract_id) left join order_events e on e.event_id = l.event_id),
+chain as (
+  select *, lag(decision_id) over (partition by contract_id order by decided_at, decision_id) as supersedes_decision_id from (
+    select *, lag(disposition) over w as before, row_number() over w as nth
+    from (select decision_id, contract_id, disposition, decided_at from judged where refusal is null union all select * from kept) window w as (partition by contract_id order by decided_at, decision_id))
+  where nth = 1 or before is distinct from disposition),
+taken as (select j.*, c.supersedes_decision_id from judged j join chain c using (decision_id)),
+books as (
+  select l_orderkey as contract_id, case when floor(l_quantity * 2 + 0.5) between 1 and 99 then floor(l_quantity * 2 + 0.5)::int end as yes_ask,
+         l_shipdate - interval '100 days' + to_hours(l_linenumber) as observed_at, (l_partkey * 10000 + l_suppkey) * 100 + l_quantity::bigint as observation_id from lineitem),
+book as (select t.decision_id, arg_max({{'id': b.observation_id, 'ask': b.yes_ask}}, (b.observed_at, b.observation_id)) as q
+         from taken t join books b on b.contract_id = t.contract_id and b.observed_at <= t.decided_at group by 1),
+models as (
+  select target_id as projection_id, entity_id, event_id, cutoff as computed_at, confidence, p_zero, mu, sigma, projected_value from outcomes where measure = 'price' and projected_value is not null
+  union all select 'old:' || target_id, entity_id, event_id, cutoff - interval '1 day', 'low', null, null, null, null from outcomes where measure = 'price' and projected_value is not null),
+model as (select t.decision_id, arg_max({{'id': m.projection_id, 'c': m.confidence, 'p_zero': m.p_zero, 'mu': m.mu, 'sigma': m.sigma, 'value': m.projected_value}}, (m.computed_at, m.projection_id)) as m
+          from taken t join models m on m.entity_id = t.entity_id and m.event_id = t.event_id and m.computed_at <= t.decided_at group by 1),
+flat as (
+  select t.*, b.q.id as observation_id, b.q.ask as yes_ask, case when b.q.ask - 2 between 1 and 99 then 100 - (b.q.ask - 2) end as no_ask, m.m.id as projection_id, m.m.c as confidence,
+         m.m.p_zero as p_zero, m.m.mu as mu, m.m.sigma as sigma, m.m.value as model_value
+  from taken t left join book b using (decision_id) left join model m using (decision_id)),
+priced as (select *, case when model_value is not null then {S.zil_at_least("threshold")} end as model_probability from flat),
+edged as (select *, case when confidence is not null then model_probability * 100 - yes_ask end as ye, case when confidence is not null then (1 - model_probability) * 100 - no_ask end as ne from priced),
+best as (select *, greatest(ye, ne) as b, case when ye is not null and (ne is null or ye >= ne) then 'yes' when ne is not null then 'no' end as side from edged)"""
+
+
+@query(S.with_(*RUN) + f""", {_ASKED}
+select j.decision_id, j.contract_id, j.disposition, j.decided_at, coalesce(j.refusal, case when b.decision_id is not null then 'recorded' else 'unchanged' end) as outcome,
+       b.supersedes_decision_id, b.projection_id, b.observation_id, {S.rnd('b.model_probability', 6)} as model_probability, b.side,
+       case b.side when 'yes' then b.yes_ask when 'no' then b.no_ask end as ask_cents, {S.rnd('floor(b.b * 100 + 0.5) / 100', 1)} as edge_points, b.confidence,
+       case when b.decision_id is not null then coalesce(floor(b.b * case b.confidence when 'high' then 1.0 when 'medium' then 0.7 else 0.4 end::double * 100 + 0.5) / 100 >= 5, false) end as is_recommended
+from judged j left join best b using (decision_id)""")
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three requests a contract beside stored decisions: recorded with their frozen inputs, unchanged, or refused."""
+    o = T.orders(spark, sf_dir)
+    key = F.col("event_id")
+    late = F.when(T.every("event_id", 10), T.days(5)).otherwise(T.days(0))
+    asked = o.select("event_id", "valid_at", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k")).select(
+        (key * 4 + F.col("k")).alias("decision_id"), F.when(T.every("event_id", 97), -key - 1).otherwise(key).alias("contract_id"),
+        F.when(F.floor((key + F.col("k")) / 2) % 2 == 0, "take").otherwise("pass").alias("disposition"),
+        (F.col("valid_at") - T.hours((3 - F.col("k")) * 12) - F.expr("INTERVAL 30 MINUTES") + late).alias("decided_at"))
+    kept = o.where(T.every("event_id", 5)).select((-key - 1).alias("decision_id"), key.alias("contract_id"), F.lit("take").alias("disposition"), (F.col("valid_at") - T.days(30)).alias("decided_at"))
+    listed = o.select(key.alias("contract_id"), "entity_id", F.when(~T.every("event_id", 31), key).alias("event_id"), F.lit("price").alias("stat_type"), (24.5 + 50 * (key % 9)).alias("threshold"),
+                      F.when(T.every("event_id", 23), "delisted").otherwise("active").alias("status"), F.when(T.every("event_id", 62), F.col("valid_at") - T.hours(20)).alias("close_time"))
+    books = quotes(spark, sf_dir).withColumn("observed_at", F.col("observed_at") - T.days(100))
+    out = MK.decision_log(asked, listed, games(spark, sf_dir), kept, projections(spark, sf_dir), books)
+    return out.select("decision_id", "contract_id", "disposition", "decided_at", "outcome", "supersedes_decision_id", "projection_id", "observation_id",
+                      rnd("model_probability", 6), "side", "ask_cents", rnd("edge_points", 1), "confidence", "is_recommended")
+
+
 _EDGE = """x as (
   select event_id, value / 500.0::double as p, (['high', 'medium', 'low', null])[(event_id % 4 + 1)::int] as confidence,
          case when event_id % 5 > 0 then (event_id % 90 + 5)::int end as yes_ask, case when event_id % 6 > 0 then (event_id % 80 + 10)::int end as no_ask from events),
@@ -263,8 +329,6 @@ def final_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 'C' || o_orderkey as ticker from orders where o_orderkey % 23 <> 0 and o_orderkey not in (select l_orderkey from lineitem)""")
 def delist_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active contracts a complete discovery no longer lists."""
-    from cutline.operators import merges as MG
-
     seen = T.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("C"), "l_orderkey").alias("ticker"))
     sync = seen.agg(F.lit(0).alias("failures"), F.count("*").alias("discovered"))
     return MG.delist(contracts(spark, sf_dir).withColumn("series", F.lit("S")), seen, sync, ("S",)).select("ticker")
@@ -312,6 +376,46 @@ def health_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("category", "last_attempt_outcome", "last_success_at", "state")
 
 
+_LOG = """
+log as (
+  select user_id || ':' || (event_id % 3) || ':' || ts::date as run_id, 'c' || (user_id % 5) as category, user_id || ':' || ts::date as invocation_id,
+         case when event_id % 4 <> 0 then 'started' else 'finished' end as kind, (['succeeded', 'failed', 'partial'])[((event_id // 4) % 3 + 1)::int] as status,
+         case when (event_id // 4) % 3 = 1 then 'e' || (event_id % 10) end as error_message, ts as "at", event_id as seq from events),
+per as (
+  select run_id, arg_min({'at': "at", 'seq': seq, 'category': category, 'invocation_id': invocation_id}, ("at", seq)) filter (kind = 'started') as s,
+         arg_max({'at': "at", 'status': status, 'error': error_message}, ("at", seq)) filter (kind = 'finished') as f, count(*) filter (kind = 'finished') as reports from log group by 1),
+runs as (
+  select s.category as category, s.invocation_id as invocation_id, arg_min({'at': s.at, 'run_id': run_id, 'f': f, 'reports': reports}, (s.at, s.seq)) as r, count(*) as deliveries
+  from per where s is not null group by 1, 2)"""
+
+
+@query("with " + _LOG + """
+select r.run_id as run_id, category, invocation_id, case when r.f is not null then r.f.status when r.at < timestamp '2024-01-25 00:00:00' - interval '24 hours' then 'interrupted' else 'running' end as status,
+       r.at as started_at, case when r.f is null and r.at < timestamp '2024-01-24 00:00:00' then timestamp '2024-01-25 00:00:00' else r.f.at end as finished_at,
+       case when r.f is null and r.at < timestamp '2024-01-24 00:00:00' then 'abandoned: no report in time' else r.f.error end as error_message,
+       deliveries, greatest(r.reports - 1, 0) as late_reports from runs""")
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs folded from a log whose entries repeat, come late, or never end."""
+    return MG.fold_runs(run_log(spark, sf_dir), F.lit("2024-01-25 00:00:00").cast("timestamp"))
+
+
+@query("with " + _LOG + """
+select l.run_id, l.seq, l.status from log l where kind = 'finished' and run_id not in (select r.run_id from runs)""")
+def ignored_run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terminal entries of repeated deliveries and of runs that never started."""
+    log = run_log(spark, sf_dir)
+    return MG.ignored_reports(log, MG.fold_runs(log, F.lit("2024-01-25 00:00:00").cast("timestamp"))).select("run_id", "seq", "status")
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.floor(F.col("event_id") / 4) % 3
+    day = F.col("ts").cast("date").cast("string")
+    return T.table(spark, sf_dir, "events").select(
+        F.concat_ws(":", "user_id", F.col("event_id") % 3, day).alias("run_id"), F.concat(F.lit("c"), F.col("user_id") % 5).alias("category"), F.concat_ws(":", "user_id", day).alias("invocation_id"),
+        F.when(F.col("event_id") % 4 != 0, MG.LOG_STARTED).otherwise(MG.LOG_FINISHED).alias("kind"), F.array(F.lit("succeeded"), F.lit("failed"), F.lit("partial"))[n.cast("int")].alias("status"),
+        F.when(n == 1, F.concat(F.lit("e"), F.col("event_id") % 10)).alias("error_message"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
 @query(f"""
 select min(year(o_orderdate))::int as season_from, max(year(o_orderdate))::int as season_to from orders
 where o_orderstatus <> 'F' and o_orderdate + to_hours((o_orderkey % 24)::int) > timestamp '{NOW}' and o_orderdate + to_hours((o_orderkey % 24)::int) <= timestamp '{NOW}' + interval '7 days'""")
