@@ -14,8 +14,10 @@ are equal. Three steps find all such places without ever sorting every suffix.
 3. *Interval tree.* The right contexts of the anchors of one hash are sorted: a
    suffix array sampled at the anchors. A stack scan over its common prefixes gives
    the intervals of the tree. For each interval the left contexts are scanned the
-   same way: a node whose members' left extensions differ is a maximal repeat, of
-   which all occurrences are reported. Every member but the earliest repeats it.
+   same way: a node whose members' left extensions differ is a maximal repeat. It is
+   held as a range of ranks in each of the two orders, which gives all its occurrences
+   without listing them once for each node they lie in. Every member but the earliest
+   repeats it; what is cut is one span a member, from the widest such nodes.
 
 A hash with over ``hot_rows`` anchors is taken out of step 3: each 100-byte string
 around such anchors becomes a row with its 128-bit hash, slices send the earliest
@@ -30,6 +32,9 @@ after the other, so that the first one stays; other columns are kept or not read
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -301,76 +306,160 @@ def intervals(texts: list[bytes]) -> list[tuple[int, int, int]]:
     return found
 
 
-def maximal_repeats(around: list[tuple[int, int, bytes, bytes]]) -> list[tuple[int, int, list[int]]]:
-    """(bytes left, bytes right, members) of the maximal repeats of at least the width through one anchor string.
+@dataclass(frozen=True)
+class Node:
+    """A maximal repeat through one anchor string: the members of ``rights`` in the order of right contexts that are also in ``lefts`` in that of left contexts."""
+
+    left: int
+    right: int
+    rights: tuple[int, int]
+    lefts: tuple[int, int]
+    members: list[int]
+
+
+def maximal_repeats(around: list[tuple[int, int, bytes, bytes]], ranges: bool = True) -> tuple[list[int], list[int], Iterator[Node]]:
+    """The orders by right and by left contexts, and the maximal repeats of at least the width through one anchor string.
 
     ``around`` holds (doc, place, left bytes, right bytes); members are places in it. Left
-    contexts are read backwards from the anchor.
+    contexts are read backwards from the anchor. A node's members are two ranges of ranks (left
+    out without ``ranges``), so that nested nodes needn't repeat them.
     """
     order = sorted(range(len(around)), key=lambda i: around[i][3])
-    backwards = {i: around[i][2][::-1] for i in order}
-    found = []
-    for begin, stop, right in intervals([around[i][3] for i in order]):
-        members = sorted(order[begin:stop], key=lambda i: backwards[i])
-        for low, high, left in intervals([backwards[i] for i in members]):
-            if left + right >= WIDTH:
+    backwards = [x[2][::-1] for x in around]
+    by_left = sorted(range(len(around)), key=lambda i: backwards[i])
+    lefts, longest = [backwards[i] for i in by_left], max((len(x) for x in backwards), default=0)
+
+    def nodes():
+        for begin, stop, right in intervals([around[i][3] for i in order]):
+            if right + longest < WIDTH:
+                continue
+            members = sorted(order[begin:stop], key=lambda i: backwards[i])
+            for low, high, left in intervals([backwards[i] for i in members]):
+                if left + right < WIDTH:
+                    continue
                 inner = members[low:high]
-                rights = sorted(around[i][3] for i in inner)
-                if _common(rights[0], rights[-1]) == right:  # else a deeper interval has it
-                    found.append((left, right, inner))
-    return found
+                rights = [around[i][3] for i in inner]
+                if _common(min(rights), max(rights)) == right:  # else a deeper interval has it
+                    cut = lambda x, n=left: x[:n]
+                    prefix = backwards[inner[0]][:left]
+                    span = (bisect_left(lefts, prefix, key=cut), bisect_right(lefts, prefix, key=cut)) if ranges else (0, 0)
+                    yield Node(left, right, (begin, stop), span, inner)
 
+    return order, by_left, nodes()
 
-_REPEAT = "repeat long, doc long, start long, size int, leads boolean"
 
+def widest(around: list[tuple[int, int, bytes, bytes]]) -> dict[int, tuple[int, int]]:
+    """For each member that repeats an earlier one: the most bytes left and right of its anchor that lie in such a repeat.
 
-def _compared(batches):
-    """Reads rows sorted by (group, other, doc, place); gives the occurrences of repeats."""
-    out: list[tuple[int, int, int, int, bool]] = []
-    held: list[tuple] = []
-    last, lead = None, None
+    All these repeats contain the anchor, so together they cover one span.
+    """
+    out: dict[int, tuple[int, int]] = {}
+    for node in maximal_repeats(around, ranges=False)[2]:
+        earliest = min(node.members, key=lambda i: around[i][:2])
+        for i in node.members:
+            if i != earliest:
+                left, right = out.get(i, (0, 0))
+                if node.left > left or node.right > right:
+                    out[i] = (max(left, node.left), max(right, node.right))
+    return out
+
+
+_CUT = "doc long, start long, size int"
+_TREE = "group long, repeat long, doc long, start long, size int, leads boolean, place long, rights_from int, rights_to int, lefts_from int, lefts_to int, kind byte"
+#: Rows of a group: an occurrence of a repeated string, a maximal repeat with its ranges, a member with its ranks.
+OCCURRENCE, NODE, MEMBER = 0, 1, 2
+
+
+def _cuts_of(group: int, held: list[tuple]) -> list[tuple]:
+    return [(held[i][0], held[i][1] - left, left + right) for i, (left, right) in widest(held).items()]
+
+
+def _tree_of(group: int, held: list[tuple]) -> list[tuple]:
+    order, by_left, nodes = maximal_repeats(held)
+    out = []
+    for node in nodes:
+        doc, place, left, right = held[min(node.members, key=lambda i: held[i][:2])]
+        name = xxhash.xxh3_64_intdigest(left[len(left) - node.left :] + right[: node.right]) - (1 << 63)
+        out.append((group, name, doc, place - node.left, node.left + node.right, True, place, *node.rights, *node.lefts, NODE))
+    if out:
+        rank = {i: n for n, i in enumerate(by_left)}
+        out += [(group, None, held[i][0], None, None, False, held[i][1], n, None, rank[i], None, MEMBER) for n, i in enumerate(order)]
+    return out
 
-    def close():
-        if len(held) > 1:
-            for left, right, members in maximal_repeats(held):
-                earliest = min(members, key=lambda i: held[i][:2])
-                name = xxhash.xxh3_64_intdigest(held[earliest][2][len(held[earliest][2]) - left :] + held[earliest][3][:right]) - (1 << 63)
-                out.extend((name, held[i][0], held[i][1] - left, left + right, i == earliest) for i in members)
 
-    def batch_of(rows):
-        return pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], names=["repeat", "doc", "start", "size", "leads"])
+def _compared(cuts_only: bool):
+    """Reads rows sorted by (group, other, doc, place); gives what is to be cut, one span a member at most, or the groups: one row a node and one a member."""
+    schema = _CUT if cuts_only else _TREE
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "byte": pa.int8()}[c.split()[1]] for c in schema.split(", ")]
 
-    for batch in batches:
-        columns = (batch.column(k).to_pylist() for k in ("group", "other", "doc", "place", "lefts", "rights", "state"))
-        for group, other, doc, place, left, right, state in zip(*columns):
-            if state == AGAIN:
-                out.append((other, doc, place, WIDTH, False))
-            elif state == STRING:
-                if lead is not None and lead[:2] == (group, other):
-                    if lead[2] is not None:
-                        out.append((other, *lead[2], WIDTH, True))
-                    out.append((other, doc, place, WIDTH, False))
-                    lead = (group, other, None)
+    def string(group, doc, place, leads):
+        if cuts_only:
+            return None if leads else (doc, place, WIDTH)
+        return group, group, doc, place, WIDTH, leads, None, None, None, None, None, OCCURRENCE
+
+    def run(batches):
+        out: list[tuple] = []
+        held: list[tuple] = []
+        last, lead = None, None
+
+        def close():
+            if len(held) > 1:
+                out.extend((_cuts_of if cuts_only else _tree_of)(last, held))
+
+        def batch_of(rows):
+            return pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=names)
+
+        def add(row):
+            if row is not None:
+                out.append(row)
+
+        for batch in batches:
+            columns = (batch.column(k).to_pylist() for k in ("group", "other", "doc", "place", "lefts", "rights", "state"))
+            for group, other, doc, place, left, right, state in zip(*columns):
+                if state == AGAIN:
+                    add(string(other, doc, place, False))
+                elif state == STRING:
+                    if lead is not None and lead[:2] == (group, other):
+                        if lead[2] is not None:
+                            add(string(other, *lead[2], True))
+                        add(string(other, doc, place, False))
+                        lead = (group, other, None)
+                    else:
+                        lead = (group, other, (doc, place))
                 else:
-                    lead = (group, other, (doc, place))
-            else:
-                if group != last:
-                    close()
-                    held, last = [], group
-                held.append((doc, place, left, right))
-        if len(out) > 20_000:
+                    if group != last:
+                        close()
+                        held, last = [], group
+                    held.append((doc, place, left, right))
+            if len(out) > 20_000:
+                yield batch_of(out)
+                out = []
+        close()
+        if out:
             yield batch_of(out)
-            out = []
-    close()
-    if out:
-        yield batch_of(out)
+
+    return run
+
+
+def occurrences(tree: DataFrame) -> DataFrame:
+    """(repeat, doc, start, size, leads) of every member of every node, written out."""
+    nodes = tree.where(F.col("kind") == NODE).select("group", "repeat", "size", (F.col("place") - F.col("start")).alias("left"), F.struct("doc", "place").alias("lead"),
+                                                     "rights_from", "rights_to", "lefts_from", "lefts_to")
+    members = tree.where(F.col("kind") == MEMBER).select("group", "doc", "place", F.col("rights_from").alias("r"), F.col("lefts_from").alias("l"))
+    inside = (F.col("r") >= F.col("rights_from")) & (F.col("r") < F.col("rights_to")) & (F.col("l") >= F.col("lefts_from")) & (F.col("l") < F.col("lefts_to"))
+    met = nodes.join(members, "group").where(inside)
+    told = met.select("repeat", "doc", (F.col("place") - F.col("left")).alias("start"), "size", (F.struct("doc", "place") == F.col("lead")).alias("leads"))
+    return told.unionByName(tree.where(F.col("kind") == OCCURRENCE).select("repeat", "doc", "start", "size", "leads"))
 
 
-def repeats(docs: DataFrame, hot_rows: int = 5_000) -> DataFrame:
+def repeats(docs: DataFrame, hot_rows: int = 5_000, cuts_only: bool = False) -> DataFrame:
     """(repeat, doc, start, size, leads): every occurrence of every repeat found; ``leads`` marks the earliest.
 
     ``docs`` has unique ids (see ``numbered``). Every 100-byte string that starts earlier
     elsewhere lies in an occurrence that does not lead, and such occurrences hold no others.
+    With ``cuts_only`` the result is (doc, start, size): those bytes, one span for each
+    anchor at most, so its rows don't grow with how repeats nest in one another.
     """
     texts = docs.select("doc_id", "text").where(F.octet_length("text") >= WIDTH)
     found = texts.mapInArrow(_anchor_rows, _ANCHOR)
@@ -382,13 +471,15 @@ def repeats(docs: DataFrame, hot_rows: int = 5_000) -> DataFrame:
     around = beside.mapInArrow(_around, _AROUND)
     around = around.withColumn("deal", F.when(F.col("state") == AGAIN, F.xxhash64("doc", "place")).otherwise(F.col("group")))
     around = around.repartition("deal").sortWithinPartitions("deal", "group", "other", "doc", "place").drop("deal")
-    compared = around.mapInArrow(_compared, _REPEAT)
-    return met.where("size > 0").select("repeat", "doc", "start", "size", "leads").unionByName(compared)
+    if cuts_only:
+        return met.where("size > 0 and not leads").select("doc", "start", "size").unionByName(around.mapInArrow(_compared(True), _CUT))
+    tree = materialize(around.mapInArrow(_compared(False), _TREE), "repeat-tree")
+    return met.where("size > 0").select("repeat", "doc", "start", "size", "leads").unionByName(occurrences(tree))
 
 
 def _removed(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with the list of removed byte spans, overlaps and all, as ``cuts``."""
-    cuts = found.where("not leads").groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
+    cuts = found.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("cuts"))
     return docs.join(cuts, docs.doc_id == cuts.doc, "left")
 
 
@@ -418,7 +509,7 @@ def digest(docs: DataFrame) -> DataFrame:
         return {"n_bytes": np.diff(at), "n_removed": removed, "n_spans": spans, "kept_sha256": digests}
 
     columns = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}
-    cut = _removed(base, repeats(base)).select(F.col("given").alias("doc_id"), "text", "cuts")
+    cut = _removed(base, repeats(base, cuts_only=True)).select(F.col("given").alias("doc_id"), "text", "cuts")
     return cut.mapInArrow(by_slice(columns, work), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -441,7 +532,7 @@ def cut_rows(docs: DataFrame) -> DataFrame:
                     out.append(None if missing else text.tobytes().decode())
                 yield from pa.table([pa.array(out, pa.string()), *(rows.column(c) for c in columns)], names=["text", *columns]).to_batches()
 
-    cut = _removed(base.select("doc_id", "text", "given", "row_"), repeats(base)).select("text", "cuts", "row_")
+    cut = _removed(base.select("doc_id", "text", "given", "row_"), repeats(base, cuts_only=True)).select("text", "cuts", "row_")
     cut = cut.select("text", "cuts", "row_.*").select("text", "cuts", *columns)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ["text", *columns])
     return cut.mapInArrow(run, fields)

@@ -48,7 +48,7 @@ def digest(docs):
 @pytest.mark.parametrize("hot", [5_000, 3])
 def test_digest(spark, monkeypatch, hot):
     plain = S.repeats
-    monkeypatch.setattr(S, "repeats", lambda docs: plain(docs, hot_rows=hot))
+    monkeypatch.setattr(S, "repeats", lambda docs, **options: plain(docs, hot_rows=hot, **options))
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows()], "doc_id long, text string, start string").repartition(5)
     assert digest(docs) == brute(rows())
 
@@ -98,3 +98,34 @@ def test_cut_keeps_whole_characters_and_columns(spark):
     found = {r.doc_id: (r.text, r.lang) for r in S.cut_rows(docs).collect()}
     assert found[1][0][0] == "é" and found[3] == (None, None) and found[2] == ("b", "l")
     assert S.cut_rows(docs.limit(0)).count() == 0 and S.digest(docs.limit(0)).count() == 0
+
+
+def test_a_crowd_of_near_copies_is_linear():
+    """5,000 near copies through one anchor: one span a member, nodes as ranges, and both say what brute force says."""
+    draw = random.Random(3)
+    base = bytes(draw.choices(range(97, 123), k=240))
+    around = []
+    for i in range(5_000):
+        text = bytearray(base)
+        for _ in range(draw.randint(1, 2)):
+            text[draw.choice([k for k in range(240) if not 110 <= k < 134])] = 65
+        around.append((i, 110, bytes(text[:110]), bytes(text[110:])))
+    rows = S._tree_of(1, around)
+    nodes, members = [r for r in rows if r[-1] == S.NODE], [r for r in rows if r[-1] == S.MEMBER]
+    assert len(members) == 5_000 and len(S._cuts_of(1, around)) <= 5_000
+    assert len({r[1] for r in nodes}) == len(nodes)
+    few = around[:60]
+    rows = S._tree_of(1, few)
+    members = [r for r in rows if r[-1] == S.MEMBER]
+    for r in (r for r in rows if r[-1] == S.NODE):
+        inside = {m[2] for m in members if r[7] <= m[7] < r[8] and r[9] <= m[9] < r[10]}
+        left, size = r[6] - r[3], r[4]
+        text = few[r[2]][2][110 - left :] + few[r[2]][3][: size - left]
+        assert inside == {d for d, _, a, b in few if (a[110 - left :] + b[: size - left]) == text} and len(inside) > 1 and min(inside) == r[2]
+    cut = {d: set(range(s, s + n)) for d, s, n in S._cuts_of(1, few)}
+    for d, _, a, b in few:
+        text, want = a + b, set()
+        for k in range(11, 111):  # the strings that hold the anchor
+            if k + 100 >= 134 and any((x + y)[k : k + 100] == text[k : k + 100] for e, _, x, y in few if e < d):
+                want |= set(range(k, k + 100))
+        assert cut.get(d, set()) >= want
