@@ -174,13 +174,70 @@ class Spans:
         return self.ids[ranges(begin, length)], length
 
 
+_UNIT_BASE = 0x9E3779B97F4A7C15
+
+
+def _unit_keys(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each text, the same wherever its bytes lie."""
+    n = len(raw)
+    with np.errstate(over="ignore"):
+        steps, back = np.full(n + 1, _UNIT_BASE, np.uint64), np.full(n + 1, pow(_UNIT_BASE, -1, 1 << 64), np.uint64)
+        steps[0] = back[0] = 1
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * np.multiply.accumulate(steps)[:-1], out=total[1:])
+        keys = (total[at[1:]] - total[at[:-1]]) * np.multiply.accumulate(back)[at[:-1]]
+        return (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Generation:
+    """Units by hash, with their bytes and ids in flat arrays: some fifty bytes each."""
+
+    def __init__(self, dtype):
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.texts, self.ids = Spans(np.uint8), Spans(dtype)
+
+    def find(self, keys: np.ndarray, raw: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The number of each unit in ``rows``, or -1; units of equal hash are told apart by their bytes."""
+        out = np.full(len(rows), -1, np.int64)
+        if not len(self.keys) or not len(rows):
+            return out
+        k = np.minimum(np.searchsorted(self.keys, keys[rows]), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[k] == keys[rows])
+        number, begin = self.place[k[hit]], at[rows[hit]]
+        own = at[rows[hit] + 1] - begin
+        length = self.texts.first[number + 1] - self.texts.first[number]
+        fit = own == length
+        hit, number, begin, own = hit[fit], number[fit], begin[fit], own[fit]
+        off = raw[ranges(begin, own)] != self.texts.gather(number)[0]
+        same = per_text(off, np.append(0, np.cumsum(own))) == 0
+        out[hit[same]] = number[same]
+        return out
+
+    def add(self, keys: np.ndarray, raw: np.ndarray, at: np.ndarray, rows: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Numbers of new units. One whose hash is taken gets a number as well, but isn't found by it again."""
+        numbers = np.arange(self.ids.count, self.ids.count + len(rows))
+        own = at[rows + 1] - at[rows]
+        self.texts.add(raw[ranges(at[rows], own)], own)
+        self.ids.add(ids, lengths)
+        new, first = np.unique(keys[rows], return_index=True)
+        k = np.searchsorted(self.keys, new)
+        free = np.append(self.keys, np.uint64(0))[k] != new if len(self.keys) else np.ones(len(new), bool)
+        free |= k == len(self.keys)
+        self.keys = np.insert(self.keys, k[free], new[free])
+        self.place = np.insert(self.place, k[free], numbers[first[free]])
+        return numbers
+
+
 class UnitCache:
-    """Ids by unit for one Python worker; emptied when it holds ``most`` units, which changes no result."""
+    """Ids by unit for one Python worker, in two generations of up to ``most`` units each.
+
+    A unit that is met moves to the young one. When that is full it becomes the old one, and
+    the units that were not met since the last change are dropped; no result depends on it.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 250_000, dtype=np.uint32):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, dtype=np.uint32):
         self.encode, self.most, self.dtype = encode, most, dtype
-        self.known: dict[bytes, int] = {}
-        self.spans = Spans(dtype)
+        self.young, self.old = _Generation(dtype), _Generation(dtype)
 
     def ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin."""
@@ -188,16 +245,19 @@ class UnitCache:
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(len(at), np.int64)
         codes, distinct = coded(pieces(raw, start, stop))
-        names = distinct.to_pylist()
-        if len(self.known) + len(names) > self.most:
-            self.known, self.spans = {}, Spans(self.dtype)
-        known = self.known
-        fresh = [x for x in names if x not in known]
-        if fresh:
-            self.spans.add(*self.encode(fresh))
-            known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-        where = np.fromiter((known[x] for x in names), np.int64, len(names))
-        ids, length = self.spans.gather(where[codes])
+        if self.young.ids.count + len(distinct) > self.most:
+            self.young, self.old = _Generation(self.dtype), self.young
+        text, begin = flat(distinct)
+        keys = _unit_keys(text, begin)
+        number = self.young.find(keys, text, begin, np.arange(len(keys)))
+        rows = np.flatnonzero(number < 0)
+        again = self.old.find(keys, text, begin, rows)
+        met, fresh = rows[again >= 0], rows[again < 0]
+        if len(met):
+            number[met] = self.young.add(keys, text, begin, met, *self.old.ids.gather(again[again >= 0]))
+        if len(fresh):
+            number[fresh] = self.young.add(keys, text, begin, fresh, *self.encode(distinct.take(pa.array(fresh)).to_pylist()))
+        ids, length = self.young.ids.gather(number[codes])
         ends = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=ends[1:])
         return ids, ends[first]

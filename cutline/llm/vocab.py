@@ -6,7 +6,7 @@ import os
 
 import numpy as np
 
-from cutline.llm.batches import UnitCache
+from cutline.llm.batches import UnitCache, ranges
 
 #: What may stand between two units without changing the ids of either: it is cut off as a piece of its own.
 BETWEEN = {"byte": "\n", "word": " | "}
@@ -45,21 +45,29 @@ class Library:
 
     def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each unit; units that hold the parting mark are encoded alone, the others joined by it."""
-        texts = [x.decode() for x in units]
-        out: list[np.ndarray] = [None] * len(texts)
-        alone = [k for k, x in enumerate(texts) if self.mark in x]
-        rest = [k for k, x in enumerate(texts) if self.mark not in x]
+        mark, between = self.mark.encode(), self.between.encode()
+        alone = [k for k, x in enumerate(units) if mark in x]
+        held = set(alone)
+        rest = [k for k in range(len(units)) if k not in held] if held else list(range(len(units)))
         groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        for group, ids in zip(groups, self._each([self.between.join(texts[k] for k in g) for g in groups])):
+        flat, length, order = [], [], []
+        for group, ids in zip(groups, self._each([between.join([units[k] for k in g]).decode() for g in groups])):
             cut = np.flatnonzero(ids == self.parting)
             if len(cut) != len(group) - 1:
                 alone += group
                 continue
-            for k, a, b in zip(group, np.append(-1, cut) + 1, np.append(cut, len(ids))):
-                out[k] = ids[a:b]
-        for k, ids in zip(alone, self._each([texts[k] for k in alone])):
-            out[k] = ids
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.fromiter(map(len, out), np.int64, len(out))
+            flat.append(np.delete(ids, cut))
+            length.append(np.diff(cut, prepend=-1, append=len(ids)) - 1)
+            order += group
+        for k, ids in zip(alone, self._each([units[k].decode() for k in alone])):
+            flat.append(ids)
+            length.append([len(ids)])
+            order.append(k)
+        if not flat:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, lengths = np.concatenate(flat), np.concatenate(length).astype(np.int64)
+        at = np.argsort(np.array(order), kind="stable")
+        return ids[ranges((np.cumsum(lengths) - lengths)[at], lengths[at])], lengths[at]
 
     def _whole(self, raw: np.ndarray, at: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``ids`` and ``first`` with the texts that hold an added token encoded whole: white space before one is cut otherwise there."""
