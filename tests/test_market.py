@@ -103,3 +103,26 @@ def test_bins_are_half_open_with_a_closed_last_one(spark):
     rows = [(k / 10, min(k, 9)) for k in range(11)] + [(0.099999, 0), (0.999999, 9)]
     df = spark.createDataFrame(rows, "p double, want int")
     assert all(r.got == r.want for r in df.withColumn("got", MT.bin_of(F.col("p"))).collect())
+
+
+def test_a_decision_freezes_what_its_instant_knew(spark):
+    hour = dt.timedelta(hours=1)
+    contracts = spark.createDataFrame(
+        [(1, 7, 70, "m", 50.0, "active", None), (2, 7, 71, "m", 50.0, "active", None), (3, 7, None, "m", 50.0, "delisted", None), (4, 7, None, "m", 50.0, "active", NOW), (5, None, None, None, None, "active", None)],
+        "contract_id long, entity_id long, event_id long, stat_type string, threshold double, status string, close_time timestamp")
+    events = spark.createDataFrame([(70, NOW + 9 * hour, "scheduled"), (71, NOW - hour, "scheduled")], "event_id long, kickoff_at timestamp, status string")
+    stored = spark.createDataFrame([(100, 1, "pass", NOW - 9 * hour)], "decision_id long, contract_id long, disposition string, decided_at timestamp")
+    asked = spark.createDataFrame(
+        [(1, 1, "take", NOW), (2, 1, "take", NOW + hour), (3, 1, "pass", NOW + 2 * hour), (4, 2, "take", NOW), (5, 3, "take", NOW), (6, 4, "take", NOW), (7, 4, "take", NOW - hour), (8, 9, "take", NOW), (9, 5, "take", NOW), (10, 1, "take", NOW + 10 * hour)],
+        "decision_id long, contract_id long, disposition string, decided_at timestamp")
+    zil = "zero_inflated_lognormal"
+    models = spark.createDataFrame(
+        [("p1", 7, 70, "m", zil, {"p_zero": 0.0, "mu": 5.0, "sigma": 0.5}, "high", NOW - hour, NOW - hour), ("p2", 7, 70, "m", zil, {"p_zero": 0.9, "mu": 1.0, "sigma": 0.5}, "low", NOW + hour, NOW + hour)],
+        "projection_id string, entity_id long, event_id long, stat_type string, distribution_kind string, params map<string,double>, confidence string, computed_at timestamp, information_cutoff timestamp")
+    kind = models.select("projection_id", "entity_id", "event_id", "stat_type", "distribution_kind", F.struct(*[F.col("params")[k].alias(k) for k in ("p_zero", "mu", "sigma")], F.lit(None).cast("double").alias("r"), F.lit(None).cast("double").alias("p")).alias("params"), "confidence", "computed_at", "information_cutoff")
+    book = spark.createDataFrame([(1, 11, NOW - hour, 40, 42, 57, 60), (1, 12, NOW + hour, 80, 82, 17, 20)], BOOK)
+    got = {r.decision_id: r for r in MK.decision_log(asked, contracts, events, stored, kind, book).collect()}
+    assert {k: r.outcome for k, r in got.items()} == {1: "recorded", 2: "unchanged", 3: "recorded", 4: "event_closed", 5: "market_closed", 6: "market_closed", 7: "recorded", 8: "no_such_contract", 9: "recorded", 10: "event_closed"}
+    assert (got[1].supersedes_decision_id, got[1].projection_id, got[1].observation_id, got[1].side) == (100, "p1", 11, "yes")
+    assert (got[3].supersedes_decision_id, got[3].projection_id, got[3].observation_id, got[3].side) == (1, "p2", 12, "no")
+    assert got[7].supersedes_decision_id is None and got[9].model_probability is None and got[2].projection_id is None

@@ -118,3 +118,21 @@ def test_weather_classes(spark):
 def test_stale_runs(spark):
     runs = spark.createDataFrame([("a", "running", NOW - dt.timedelta(hours=25), None, None), ("b", "running", NOW - dt.timedelta(hours=23), None, None)], "run_id string, status string, started_at timestamp, finished_at timestamp, error_message string")
     assert {r.run_id: r.status for r in MG.reap_stale_runs(runs, F.lit(NOW)).collect()} == {"a": "interrupted", "b": "running"}
+
+
+def test_runs_are_folded_in_any_order(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [
+        ("a", "ingest", "i1", "started", None, None, at(0), 1), ("a", "ingest", "i1", "finished", "failed", "x", at(1), 2), ("a", "ingest", "i1", "finished", "succeeded", None, at(2), 3),
+        ("b", "ingest", "i1", "started", None, None, at(3), 4), ("b", "ingest", "i1", "finished", "failed", "y", at(4), 5),
+        ("c", "ingest", "i2", "started", None, None, at(0), 6), ("d", "ingest", "i3", "started", None, None, at(40), 7), ("e", "ingest", "i4", "finished", "failed", None, at(1), 8),
+        ("f", "other", "i1", "started", None, None, at(0), 9), ("f", "other", "i1", "finished", "failed", "z", at(47), 10),
+    ]
+    schema = "run_id string, category string, invocation_id string, kind string, status string, error_message string, at timestamp, seq long"
+    want = {"a": ("succeeded", 2, 1), "c": ("interrupted", 1, 0), "d": ("running", 1, 0), "f": ("failed", 1, 0)}
+    for given in (rows, rows[::-1], rows[5:] + rows[:5]):
+        log = spark.createDataFrame(given, schema)
+        runs = MG.fold_runs(log, F.lit(at(48)))
+        assert {r.run_id: (r.status, r.deliveries, r.late_reports) for r in runs.collect()} == want
+        assert sorted(r.seq for r in MG.ignored_reports(log, runs).collect()) == [5, 8]
+    assert MG.fold_runs(spark.createDataFrame([], schema), F.lit(at(48))).count() == 0

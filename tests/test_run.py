@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cutline.operators import bitemporal as B
 from cutline.operators import digests as DG
 from cutline.operators import metrics as MT
 from cutline.plans import backtest as BT
@@ -140,3 +141,31 @@ def test_market_sync_end_to_end(spark):
     assert sync.observations.count() == 0 and sync.status.first().status == "complete"
     later = MS.market_sync(markets, fails, contracts, spark.createDataFrame([("a", NOW - dt.timedelta(minutes=15), 40, 42, 57, None)], book), games, players, none, F.lit(NOW))
     assert later.observations.count() == 1 and [r.external_name for r in later.mappings.collect()] == ["Josh Allen"]
+
+
+def test_a_run_finds_its_candidates(spark):
+    """Who was last seen with a team is a candidate, whether or not it played; a late cutoff is counted once for each measure."""
+    at = lambda d: dt.datetime(2020, 9, 1, 17) + dt.timedelta(days=d)
+    lines = [(e, 10 + w, m, 2020, "A" if e < 3 else "C", "WR", at(7 * w), at(7 * w + 1), float(v))
+             for e in (1, 2, 3) for w, v in enumerate((5, 8, 3)) for m in ("price", "lines")]
+    line = "entity_id long, event_id long, measure string, season int, team string, position string, valid_at timestamp, published_at timestamp, value double"
+    later = [(1, 20, "price", 2021, "A", "WR", at(365), at(366), 7.0), (1, 20, "lines", 2021, "A", "WR", at(365), at(366), 2.0)]
+    versions = B.value_versions(spark.createDataFrame(lines + later, line), None)
+    actuals = versions.select(*B.LINE, F.col("value").alias("actual"), F.lit(False).alias("correction_applied"))
+    event = "event_id long, season int, week int, season_type string, valid_at timestamp, home_team string, away_team string"
+    events = spark.createDataFrame([(20, 2021, 1, "REG", at(365), "A", "B"), (21, 2021, 1, "PRE", at(365), "A", "B"), (22, 2023, 1, "REG", at(1000), "A", "C")], event)
+    revisions = spark.createDataFrame([], "event_id long, kickoff_at timestamp, known_at timestamp, revision_seq int")
+    people = spark.createDataFrame([(1, "WR"), (2, "WR"), (3, "WR")], "entity_id long, position string")
+    weather = spark.createDataFrame([(20, "archived_forecast", at(364))], "event_id long, era string, known_at timestamp")
+    scope = BT.Scope(2021, 2023, ("price", "lines"))
+    run = BT.backtest_from_events(events, revisions, versions, actuals, people, weather, T.registry(spark), scope)
+    got = {(r.event_id, r.entity_id, r.measure): (r.outcome, r.reason, r.era, r.era_source) for r in run.candidates.collect()}
+    assert got == {
+        **{(20, 1, m): ("projected", None, "archived_forecast", "weather_row") for m in ("price", "lines")},
+        **{(20, 2, m): ("excluded", "no_actual_stat_line", "archived_forecast", "weather_row") for m in ("price", "lines")},
+    }  # event 21 is out of scope, in 22 every last line is of a season too long ago
+    late = events.where("event_id = 20").withColumn("cutoff", F.col("valid_at"))
+    targets = late.withColumns({"entity_id": F.lit(None).cast("long"), "position": F.lit(None).cast("string"), "measure": F.lit("price"), "target_id": F.lit("20::price"), "era": F.lit("x")})
+    graded, _ = BT.graded_candidates(targets, versions, actuals, T.registry(spark), with_drivers=False)
+    (row,) = BT.exclusion_rows(graded).collect()
+    assert (row.event_id, row.entity_id, row.measure, row.stage, row.reason, row.detail) == (20, None, "price", "harness", "cutoff_after_kickoff", "the cutoff is not before the start")
