@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -53,24 +55,82 @@ def nb_mean(r: Column, p: Column) -> Column:
     return r * (F.lit(1.0) - p) / F.when(p > 0, p)
 
 
-#: Beyond these a row's masses are laid out around its mode in logarithms.
-_LOG_ZERO, _FAR, _TERMS = -600.0, 5_000.0, 20_000_000
-
-
-def _around_mode(r: float, p: float) -> tuple[int, np.ndarray] | None:
-    """First count and masses of all counts that matter, from sums of logarithms.
-
-    Nothing underflows however large the mean. The masses are scaled to sum to one.
-    None where over ``_TERMS`` counts matter: such a row has no answer of its own.
-    """
-    mean, sd = r * (1 - p) / p, np.sqrt(r * (1 - p)) / p
-    low, high = max(0, int(mean - 12 * sd)), int(mean + 12 * sd + 40 / p) + 2
-    if not high - low < _TERMS:
-        return None
-    k = np.arange(low + 1, high + 1, dtype=float)
-    logs = np.append(0.0, np.cumsum(np.log((r + k - 1) / k) + np.log1p(-p)))
-    mass = np.exp(logs - logs.max())
-    return low, mass / mass.sum()
+#: Beyond these a row isn't walked count by count; nor is a threshold or quantile over ``_FAR``.
+_LOG_ZERO, _FAR = -600.0, 5_000.0
+_HALF_LOG_2PI = 0.5 * np.log(2 * np.pi)
+
+
+def _stirling_rest(z: np.ndarray) -> np.ndarray:
+    """What Stirling's formula lacks of the logarithm of the gamma function."""
+    out, large = np.empty(len(z)), z >= 10
+    x = 1 / z[large] ** 2
+    out[large] = (1 / 12 - x * (1 / 360 - x * (1 / 1260 - x * (1 / 1680 - x * (1 / 1188 - x * 691 / 360360))))) / z[large]
+    small = z[~large]
+    out[~large] = np.array([math.lgamma(v) for v in small]) - ((small - 0.5) * np.log(small) - small + _HALF_LOG_2PI)
+    return out
+
+
+def _fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, evaluated forwards."""
+    h, live = np.ones(len(a)), np.arange(len(a))
+    c, d = np.ones(len(a)), 1 / (1 - (a + b) * x / (a + 1))
+    h, m = d.copy(), 0
+    while len(live):
+        m += 1
+        u, v, w = a[live], b[live], x[live]
+        step = m * (v - m) * w / ((u + 2 * m - 1) * (u + 2 * m))
+        dd, cc = 1 / (1 + step * d[live]), 1 + step / c[live]
+        h[live] *= dd * cc
+        step = -(u + m) * (u + v + m) * w / ((u + 2 * m) * (u + 2 * m + 1))
+        dd, cc = 1 / (1 + step * dd), 1 + step / cc
+        d[live], c[live] = dd, cc
+        h[live] *= dd * cc
+        live = live[np.abs(dd * cc - 1) > 1e-15]
+    return h
+
+
+def nb_upper(r: np.ndarray, p: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """P(X >= k) for whole k by the regularised incomplete beta function: some square root of k steps, for parameters of any size."""
+    out = np.where(k <= 0, 1.0, 0.0)
+    rows = np.flatnonzero((k > 0) & (p < 1))
+    if not len(rows):
+        return out
+    a, b, y = k[rows].astype(float), r[rows], p[rows]
+    x = 1 - y
+    gap = b * x - a * y
+    front = np.exp(a * np.log1p(gap / a) + b * np.log1p(-gap / b) + 0.5 * np.log(a / (a + b) * b) - _HALF_LOG_2PI
+                   + _stirling_rest(a + b) - _stirling_rest(a) - _stirling_rest(b))
+    low = x < (a + 1) / (a + b + 2)
+    value = np.empty(len(rows))
+    value[low] = front[low] * _fraction(a[low], b[low], x[low]) / a[low]
+    value[~low] = 1 - front[~low] * _fraction(b[~low], a[~low], y[~low]) / b[~low]
+    out[rows] = np.clip(value, 0.0, 1.0)
+    return out
+
+
+def _searched(r: np.ndarray, p: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Quantiles (rows by grid) by bisection of :func:`nb_upper`."""
+    rr, pp, q = np.repeat(r, len(grid)), np.repeat(p, len(grid)), np.tile(grid, len(r))
+    below = lambda rows, k: 1 - nb_upper(rr[rows], pp[rows], k + 1)
+    high = np.maximum(1.0, np.ceil(rr * (1 - pp) / pp + 10 * np.sqrt(rr * (1 - pp)) / pp))
+    rows = np.arange(len(rr))
+    while len(rows):
+        rows = rows[below(rows, high[rows]) < q[rows] - 1e-15]
+        high[rows] *= 2
+    low = np.full(len(rr), -1.0)
+    rows = np.arange(len(rr))
+    while len(rows):
+        middle = np.floor((low[rows] + high[rows]) / 2)
+        reached = below(rows, middle) >= q[rows] - 1e-15
+        high[rows[reached]], low[rows[~reached]] = middle[reached], middle[~reached]
+        rows = rows[high[rows] - low[rows] > 1]
+    return high.reshape(len(r), len(grid))
+
+
+def _first_masses(r: float, p: float, cap: int) -> np.ndarray:
+    """P(X = 0..cap) from sums of logarithms."""
+    k = np.arange(1, cap + 1, dtype=float)
+    return np.exp(np.append(0.0, np.cumsum(np.log((r + k - 1) / k) + np.log1p(-p))) + r * np.log(p)) if p < 1 else np.append(1.0, np.zeros(cap))
 
 
 def _split(r: pd.Series, p: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +153,8 @@ def nb_table(r: pd.Series, p: pd.Series, cap: pd.Series) -> pd.DataFrame:
     """PMF 0..cap and grid quantiles of a batch of count distributions; NULL for a row that is no distribution.
 
     Small counts run the recurrence across all rows of like cap at once, and leave
-    it as they reach the last quantile; large ones are laid out one by one.
+    it as they reach the last quantile; for large ones quantiles are bisected and
+    masses come from logarithms.
     """
     rr, pp, near, far = _split(r, p)
     caps = cap.fillna(0).to_numpy("int64")
@@ -105,15 +166,8 @@ def nb_table(r: pd.Series, p: pd.Series, cap: pd.Series) -> pd.DataFrame:
         pmf, quantiles = _walked(rr[rows], pp[rows], int(width) + 1, grid)
         for i, row in enumerate(rows):
             out_pmf[row], out_q[row] = pmf[i], quantiles[i]
-    for row in far:
-        found = _around_mode(rr[row], pp[row])
-        if found is not None:
-            low, mass = found
-            pmf = np.zeros(caps[row] + 1)
-            inside = mass[: max(0, caps[row] + 1 - low)]
-            pmf[low : low + len(inside)] = inside
-            out_pmf[row] = pmf
-            out_q[row] = low + np.searchsorted(np.cumsum(mass), grid).astype(float)
+    for row, quantiles in zip(far, _searched(rr[far], pp[far], grid)):
+        out_pmf[row], out_q[row] = _first_masses(rr[row], pp[row], int(caps[row])), quantiles
     return pd.DataFrame({"pmf": pd.Series(out_pmf, dtype=object), "quantiles": pd.Series(out_q, dtype=object)})
 
 
@@ -132,23 +186,24 @@ def _walked(shape: np.ndarray, p: np.ndarray, width: int, grid: np.ndarray) -> t
         reached[live] += mass[live]
         quantiles[live] = np.where((reached[live][:, None] >= grid) & np.isnan(quantiles[live]), float(k), quantiles[live])
         live = live[np.isnan(quantiles[live][:, -1])]
-        if k > 4 * _FAR:  # rounding keeps a sum just under the last quantile
-            quantiles[live] = np.where(np.isnan(quantiles[live]), float(k), quantiles[live])
-            live = live[:0]
+        if k >= _FAR and len(live):  # a long tail
+            quantiles[live], live = _searched(shape[live], p[live], grid), live[:0]
     return pmf, quantiles
 
 
 @F.pandas_udf(T.DoubleType())
 def _nb_tail(r: pd.Series, p: pd.Series, threshold: pd.Series) -> pd.Series:
-    """P(X >= threshold) of a batch, each row by as many terms as its threshold asks for."""
+    """P(X >= threshold) of a batch: near thresholds by as many terms as they ask for, others by the incomplete beta function."""
     rr, pp, near, far = _split(r, p)
     k = np.ceil(threshold.to_numpy("float64", na_value=np.nan))
     out = np.full(len(rr), np.nan)
-    near, far = near[~np.isnan(k[near])], far[~np.isnan(k[far])]
+    near = near[~np.isnan(k[near])]
+    far = np.concatenate([far[~np.isnan(k[far])], near[k[near] > _FAR]])
+    near = near[k[near] <= _FAR]
     out[near] = 1.0
     order = near[np.argsort(-k[near], kind="stable")]
     order = order[k[order] > 0]
-    mass, shape, fail, last = pp[order] ** rr[order], rr[order], 1.0 - pp[order], np.minimum(k[order], 4 * _FAR)
+    mass, shape, fail, last = pp[order] ** rr[order], rr[order], 1.0 - pp[order], k[order]
     below, step, n = mass.copy(), 1, int((last > 1).sum())
     while n:  # the rows whose threshold lies beyond this count come first
         mass[:n] = mass[:n] * (shape[:n] + step - 1.0) / step * fail[:n]
@@ -156,11 +211,7 @@ def _nb_tail(r: pd.Series, p: pd.Series, threshold: pd.Series) -> pd.Series:
         step += 1
         n = int(np.searchsorted(-last, -step))
     out[order] = np.clip(1.0 - below, 0.0, 1.0)
-    for row in far:
-        found = _around_mode(rr[row], pp[row])
-        if found is not None:
-            low, masses = found
-            out[row] = 1.0 if k[row] <= low else float(masses[int(min(k[row] - low, len(masses))) :].sum())
+    out[far] = nb_upper(rr[far], pp[far], k[far])
     return pd.Series(out)
 
 

@@ -133,6 +133,17 @@ def nb_large_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", rnd(D.nb_at_least(fit["r"], fit["p"], F.col("m") + 3), 6, "prob"))
 
 
+@query("""
+with x as (select s_suppkey, 0.001::double * (1 + s_suppkey % 50) as r, 0.0004::double * (1 + s_suppkey % 7) as p, s_suppkey * 7919 % 1000000 + 1 as t from supplier),
+terms as (select *, unnest(range(t, t + (40 / p)::bigint)) as k from x)
+select s_suppkey, t, round(sum(exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(p) + k * ln(1 - p))) + 1e-13, 9) + 0.0 as prob from terms group by all""")
+def nb_far_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P(X >= t) for shapes far below one and thresholds of up to a million."""
+    x = T.table(spark, sf_dir, "supplier").select("s_suppkey", (0.001 * (1 + F.col("s_suppkey") % 50)).alias("r"), (0.0004 * (1 + F.col("s_suppkey") % 7)).alias("p"),
+                                                  (F.col("s_suppkey") * 7919 % 1000000 + 1).alias("t"))
+    return x.select("s_suppkey", "t", (F.round(D.nb_at_least(F.col("r"), F.col("p"), F.col("t")) + 1e-13, 9) + 0.0).alias("prob"))
+
+
 @query(S.with_(*RUN) + f"""
 select target_id, {S.rnd('p_zero', 6)} as p_zero, {S.rnd('mu', 6)} as mu, {S.rnd('sigma', 6)} as sigma, {S.rnd('p', 6)} as p from outcomes
 where reason is distinct from 'no_prior_evidence' and n_eff >= 1""")

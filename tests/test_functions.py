@@ -174,3 +174,33 @@ def test_large_and_bad_counts(spark):
         assert q50 == int(q50) and abs(q50 - r * (1 - p) / p) < 2 * math.sqrt(r * (1 - p)) / p + 1
     for i in (4, 5, 6):
         assert found[i].tail is None and found[i].nb.pmf is None
+
+
+def test_count_tails_have_no_limit():
+    """Against sums of exact rationals in logarithms: shapes from 0.001, thresholds of a million, means beyond a billion."""
+    import numpy as np
+    from math import exp, fsum, lgamma, log, log1p
+
+    from cutline.functions import distributions as D
+
+    def tail(r, p, k):
+        mass = exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * log(p) + k * log1p(-p))
+        out, j = [], k
+        while mass > 1e-18 * max(fsum(out[:1]), 1e-300) and j < k + int(60 / p):
+            out.append(mass)
+            mass *= (j + r) / (j + 1) * (1 - p)
+            j += 1
+        return fsum(out)
+
+    rows = [(0.001, 8e-5, 30_000), (0.01, 3e-4, 40_000), (0.001, 4e-5, 100_000), (3.0, 1e-4, 20_000), (5.0, 1e-4, 60_000), (0.5, 0.3, 3), (40.0, 0.01, 4_500), (2.0, 1.0, 1)]
+    r, p, k = (np.array(x, float) for x in zip(*rows))
+    got = D.nb_upper(r, p, k)
+    for (a, b, c), g in zip(rows, got):
+        want = tail(a, b, c) if b < 1 else 0.0
+        assert abs(g - want) < 1e-9 and (want < 1e-250 or abs(g - want) < 1e-6 * want), (a, b, c, g, want)
+    big = D.nb_upper(np.array([1e6, 1.0]), np.array([1e-4, 1e-9]), np.array([1e10, 1e9]))
+    assert abs(big[0] - 0.46) < 1e-3 and abs(big[1] - exp(1e9 * log1p(-1e-9))) < 1e-9  # a geometric tail in closed form
+    q = D._searched(np.array([1.0]), np.array([1e-7]), np.array([0.05, 0.5, 0.95]))[0]
+    for level, count in zip((0.05, 0.5, 0.95), q):
+        below = lambda n: -np.expm1((n + 1) * log1p(-1e-7))
+        assert below(count) >= level - 1e-12 and below(count - 1) < level
