@@ -128,12 +128,15 @@ def resolve_contracts(parsed: DataFrame, events: DataFrame, players: DataFrame,
     settled = usable.groupBy(F.col("external_name").alias("player_name")).agg(
         F.max_by(
             F.struct(F.col("entity_id").alias("mapped_id"), F.col("status").alias("mapped_status")),
-            F.struct((F.col("status") == "manual_override").alias("m"), "updated_at"),
+            F.struct((F.col("status") == "manual_override").alias("m"), "updated_at", "entity_id"),
         ).alias("m")
-    ).select("player_name", "m.*")
+    ).select(F.col("player_name").alias("__mapped_name"), "m.*")
     index = _counted(players.select("entity_id", TX.market_name(F.col("full_name")).alias("wanted")).where("wanted <> ''"), ["wanted"])
     dated = match_events(parsed, events)
-    staged = dated.join(settled, "player_name", "left").withColumn("wanted", TX.market_name(F.col("player_name"))).join(index, "wanted", "left")
+    # A listing without a name asks under one of its own, so that these don't meet in one task.
+    alone = F.concat(F.lit("\x00"), "ticker")
+    staged = dated.withColumns({"__asked": F.coalesce("player_name", alone), "wanted": F.coalesce(TX.market_name(F.col("player_name")), alone)})
+    staged = staged.join(settled, F.col("__asked") == F.col("__mapped_name"), "left").drop("__asked", "__mapped_name").join(index, "wanted", "left")
     n = F.coalesce("__n", F.lit(0))
     mapped, named = F.col("mapped_id").isNotNull(), F.col("player_name").isNotNull()
     entity = F.when(mapped, F.col("mapped_id")).when(named & (n == 1), F.col("__one"))
@@ -146,17 +149,17 @@ def resolve_contracts(parsed: DataFrame, events: DataFrame, players: DataFrame,
     )
     dateless = F.col("game_date").isNull() | F.col("away_code").isNull() | F.col("home_code").isNull()
     note = F.concat_ws(
-        " ",
-        F.when(F.col("stat_type").isNull(), F.format_string("Series %s maps to no stat type.", F.col("series"))),
-        F.when(F.col("threshold").isNull(), F.lit("No threshold could be parsed.")),
-        F.when(dateless, F.format_string('Game could not be parsed from event ticker "%s".', F.col("event_ticker"))).when(
+        "; ",
+        F.when(F.col("stat_type").isNull(), F.format_string("stat: series %s has none", F.col("series"))),
+        F.when(F.col("threshold").isNull(), F.lit("threshold: none given")),
+        F.when(dateless, F.format_string("event: no date and teams in %s", F.col("event_ticker"))).when(
             F.col("event_id").isNull(),
-            F.format_string("No scheduled game matches %s at %s around %s.", TX.canonical_team(F.col("away_code")),
+            F.format_string("event: none of %s at %s near %s", TX.canonical_team(F.col("away_code")),
                             TX.canonical_team(F.col("home_code")), F.col("game_date").cast("string")),
         ),
-        F.when(~named, F.lit("No player name could be parsed from the market title.")).when(
-            ~mapped & (n > 1), F.format_string('Market name "%s" matched %d players.', F.col("player_name"), n)
-        ).when(~mapped & (n == 0), F.format_string('Market name "%s" matched 0 players.', F.col("player_name"))),
+        F.when(~named, F.lit("player: none named")).when(
+            ~mapped & (n != 1), F.format_string("player: %d are called %s", n, F.col("player_name"))
+        ),
     )
     return staged.withColumns({"resolution_status": status, "resolution_note": F.nullif(note, F.lit(""))}).drop(
         "__person", "wanted", "__n", "__one", "__hash", "mapped_id", "mapped_status"
@@ -191,6 +194,6 @@ def overridden_contracts(contracts: DataFrame, overrides: DataFrame) -> DataFram
         "entity_id": F.coalesce("__e", "entity_id"),
         "resolution_status": F.when(touched & ready, "manual_override").when(touched, "unresolved").otherwise(F.col("resolution_status")),
         "resolution_note": F.when(touched & ready, F.lit(None)).when(
-            touched, "Player mapped manually; game, stat, or threshold still unparsed."
+            touched, "player: set by hand; event, stat or threshold: still missing"
         ).otherwise(F.col("resolution_note")),
     }).drop("__e")

@@ -138,11 +138,11 @@ def payload_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(S.with_(*RUN) + f"""
-select target_id, {S.rnd(S.tail_probability("77.7::double"), 5)} as probability from (select * from predictions where measure = 'price')""")
+select target_id, {S.rnd(S.tail_probability("5.5::double"), 5)} as probability from predictions""")
 def any_threshold_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A threshold outside the grid, scored from stored parameters with no refit."""
-    g = stored_run(spark, sf_dir)["graded"].where("outcome = 'projected' and measure = 'price'").withColumn("prediction_id", F.col("target_id"))
-    out = A.grid_probabilities(g.drop("thresholds"), T.registry(spark), at=77.7)
+    g = stored_run(spark, sf_dir)["graded"].where("outcome = 'projected'").withColumn("prediction_id", F.col("target_id"))
+    out = A.grid_probabilities(g.drop("thresholds"), T.registry(spark), at=5.5)
     return out.select(F.col("prediction_id").alias("target_id"), rnd("probability", 5))
 
 
@@ -155,13 +155,21 @@ def exclusion_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "entity_id", "measure", "examples_total")
 
 
-@query(S.with_(S.LINES, S.CLOCK, S.HISTORY, S.PRIORS, S.FIT) + """
-select target_id, 'Shrunk ' || round_even(400.0::double / (n_eff + 4), 0)::int || '% toward the ' || position || ' prior for ' || season || ', fitted on ' ||
-  fitted_from_seasons[1] || '–' || fitted_from_seasons[-1] || ' (' || format('{:,}', sample_games) || ' player-games).' as sentence from labelled""")
+@query(S.with_(S.LINES, S.CLOCK, S.HISTORY, S.PRIORS, S.FIT) + """,
+told as (
+  select target_id, unnest([1, 2, 3, 4, 5]) as place, unnest([
+    n_eff || ' eligible prior games; exponentially-weighted form ' || printf('%.1f', round_even(ew_mean, 1)) || ' ' || measure || '.',
+    'Shrunk ' || round_even(400.0::double / (n_eff + 4), 0)::int || '% toward the ' || position || ' prior for ' || season || ', fitted on ' ||
+      fitted_from_seasons[1] || '–' || fitted_from_seasons[-1] || ' (' || format('{:,}', sample_games) || ' player-games).',
+    case when zero_rate > 0 then 'Produced nothing in ' || round_even(zero_rate * 100, 0)::int || '% of eligible games in the form window.' end,
+    case when crosses_season then 'Form window crosses a season boundary.' end,
+    'Projected value ' || printf('%.1f', round_even(projected_value, 1)) || ', prior weight ' || printf('%.2f', round_even(4.0::double / (n_eff + 4), 2)) || '.']) as sentence
+  from labelled)
+select target_id, row_number() over (partition by target_id order by place) - 1 as rank, sentence from told where sentence is not null""")
 def driver_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prior sentence of every projection."""
+    """All sentences of every projection, in their order."""
     g = stored_run(spark, sf_dir)["graded"].where("projected_value is not null")
-    return g.select("target_id", F.try_element_at("drivers", F.lit(2)).alias("sentence"))
+    return g.select("target_id", F.posexplode("drivers").alias("rank", "sentence"))
 
 
 @query("""

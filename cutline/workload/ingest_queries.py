@@ -121,8 +121,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""
-with {_PEOPLE},
+_NAMED = _PEOPLE + """,
 asked as (select entity_id as asked_id, case when entity_id % 2 = 0 then upper(substr(full_name, 1, 1)) || '. ' || split_part(full_name, ' ', 2)
                                  else upper(full_name) || case when entity_id % 9 = 0 then ' III' else '' end end as name
           from people),
@@ -131,30 +130,35 @@ keyed as (select entity_id, list_filter(string_split_regex(trim(regexp_replace(n
 asked_n as (select asked_id, name, list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '''', '', 'g'), '[.,/-]', ' ', 'g'),
            '\\s(jr|sr|ii|iii|iv|v)\\s*$', '')), '\\s+'), lambda t: t <> '') as t from asked),
 hits as (select a.asked_id, a.name, k.entity_id from asked_n a left join keyed k on
-   case when len(a.t) >= 2 and len(a.t[1]) = 1 then substr(k.t[1], 1, 1) = a.t[1] and k.t[-1] = a.t[-1] else array_to_string(k.t, ' ') = array_to_string(a.t, ' ') end)
+   case when len(a.t) >= 2 and len(a.t[1]) = 1 then substr(k.t[1], 1, 1) = a.t[1] and k.t[-1] = a.t[-1] else array_to_string(k.t, ' ') = array_to_string(a.t, ' ') end)"""
+
+
+def asked_names(folk: DataFrame) -> DataFrame:
+    """Every person's name as some source writes it: initial and surname, or in capitals with a suffix."""
+    name = F.when(
+        T.every("entity_id", 2), F.concat(F.upper(F.substring("full_name", 1, 1)), F.lit(". "), F.split("full_name", " ")[1])
+    ).otherwise(F.concat(F.upper("full_name"), F.when(T.every("entity_id", 9), " III").otherwise("")))
+    return folk.select(F.col("entity_id").alias("asked_id"), name.alias("name"))
+
+
+@query(f"""
+with {_NAMED}
 select asked_id, name, case count(entity_id) when 0 then 'unresolved' when 1 then 'resolved' else 'ambiguous' end as status,
        case when count(entity_id) = 1 then max(entity_id) end as entity_id, count(entity_id) as candidate_count
 from hits group by 1, 2""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every person's full or initial-and-surname name against all people; ties stay ambiguous."""
     folk = people(spark, sf_dir)
-    name = F.when(
-        T.every("entity_id", 2), F.concat(F.upper(F.substring("full_name", 1, 1)), F.lit(". "), F.split("full_name", " ")[1])
-    ).otherwise(F.concat(F.upper("full_name"), F.when(T.every("entity_id", 9), " III").otherwise("")))
-    asked = folk.select(F.col("entity_id").alias("asked_id"), name.alias("name"))
-    return ID.resolve_names(asked, folk).select("asked_id", "name", "status", "entity_id", "candidate_count")
+    return ID.resolve_names(asked_names(folk), folk).select("asked_id", "name", "status", "entity_id", "candidate_count")
 
 
-@query("""
-with p as (select s_suppkey as entity_id, p_name as full_name from supplier join part on p_partkey = s_suppkey)
-select a.n_nationkey, p.entity_id from (select n_nationkey, p_name as name from nation join part on p_partkey = n_nationkey) a
-join p on p.full_name = a.name where (select count(*) from p q where q.full_name = a.name) > 1""")
+@query(f"""
+with {_NAMED}
+select distinct name, entity_id from hits where asked_id in (select asked_id from hits group by 1 having count(entity_id) > 1)""")
 def name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate of each ambiguous name, one per row."""
-    part = T.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    folk = T.table(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("entity_id"), F.col("p_name").alias("full_name"))
-    asked = T.table(spark, sf_dir, "nation").join(part, F.col("p_partkey") == F.col("n_nationkey")).select("n_nationkey", F.col("p_name").alias("name"))
-    return ID.ambiguous_candidates(asked, folk).select("n_nationkey", "entity_id")
+    """Every candidate of each ambiguous name that any person goes by, each name once."""
+    folk = people(spark, sf_dir)
+    return ID.ambiguous_candidates(asked_names(folk).select("name").distinct(), folk).select("name", "entity_id")
 
 
 @query("""
@@ -221,29 +225,50 @@ def market_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {_PARSED},
-folk as (select s_suppkey as entity_id, p_name as full_name from supplier join part on p_partkey = s_suppkey),
-counts as (select full_name, count(*) as n, min(entity_id) as one from folk group by 1),
-games as (select n_nationkey as event_id, timestamp '2007-01-01 01:00:00' + to_days(n_nationkey::int * 90) as kickoff_at,
-          (['SEA','LA','KC','NYJ','LA','LAC'])[(n_nationkey % 6 + 1)::int] as away_team, (['NE','LAC','DET','NYG','SF','LV'])[(n_nationkey % 6 + 1)::int] as home_team from nation),
+folk as (select c_custkey as entity_id, case when c_custkey % 50 <> 0 then split_part(p_name, ' ', 1) || case when c_custkey % 5 = 0 then '''' else '' end || ' ' || split_part(p_name, ' ', 2)
+                || case when c_custkey % 6 = 0 then ' Jr.' else '' end end as full_name from customer join part on p_partkey = c_custkey % (2 * (select count(*) from part) // 3)),
+counts as (select replace(replace(full_name, '''', ''), ' Jr.', '') as full_name, count(*) as n, min(entity_id) as one from folk where full_name is not null group by 1),
+mapped as (
+  select p_name as external_name, arg_max({{'id': id, 'status': status}}, (status = 'manual_override', noted)) as m from (
+    select p_name, p_partkey + 5000000 as id, case when p_partkey % 3 = 0 then 'manual_override' when p_partkey % 11 = 0 then 'ambiguous' else 'resolved' end as status, p_partkey as noted from part where p_partkey % 7 = 0
+    union all select p_name, null, 'resolved', p_partkey + 1000000 from part where p_partkey % 14 = 0)
+  where status in ('resolved', 'manual_override') and id is not null group by 1),
 canon as (select *, case away_code when 'LAR' then 'LA' else away_code end as a, home_code as h from parsed),
+games as (select min(substr(ticker, 2)::bigint) as event_id, game_date + interval '20 hours' as kickoff_at, a as away_team, h as home_team from canon
+          where substr(ticker, 2)::bigint % 3 <> 0 and game_date is not null and a is not null and h is not null group by game_date, a, h),
 dated as (select c.*, (select arg_min(g.event_id, (g.kickoff_at, g.event_id)) from games g where g.away_team = c.a and g.home_team = c.h
           and g.kickoff_at >= c.game_date and g.kickoff_at < c.game_date + interval '2 days') as event_id from canon c),
-judged as (select d.ticker, d.event_id, d.stat_type, d.threshold, d.player_name, case when k.n = 1 then k.one end as entity_id, coalesce(k.n, 0) as n from dated d left join counts k on k.full_name = d.player_name)
+judged as (
+  select d.*, coalesce(k.n, 0) as n, m.m.id as mapped_id, coalesce(m.m.id, case when k.n = 1 then k.one end) as entity_id,
+         coalesce(m.m.status, case when k.n = 1 then 'resolved' when k.n > 1 then 'ambiguous' else 'unresolved' end) as person
+  from dated d left join counts k on k.full_name = d.player_name left join mapped m on m.external_name = d.player_name)
 select ticker, entity_id, event_id,
-  case when entity_id is not null and event_id is not null and stat_type is not null and threshold is not null then 'resolved' when player_name is not null and n > 1 then 'ambiguous' else 'unresolved' end as resolution_status
+  case when entity_id is not null and event_id is not null and stat_type is not null and threshold is not null then case when person = 'manual_override' then 'manual_override' else 'resolved' end
+       when person = 'ambiguous' then 'ambiguous' else 'unresolved' end as resolution_status,
+  nullif(concat_ws('; ', case when stat_type is null then 'stat: series ' || series || ' has none' end, case when threshold is null then 'threshold: none given' end,
+         case when game_date is null or away_code is null or home_code is null then 'event: no date and teams in ' || event_ticker
+              when event_id is null then 'event: none of ' || a || ' at ' || h || ' near ' || game_date::varchar end,
+         case when player_name is null then 'player: none named' when mapped_id is null and n <> 1 then 'player: ' || n || ' are called ' || player_name end), '') as resolution_note
 from judged""")
 def contract_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings to entity and event; what fails is named, never guessed."""
-    folk = T.table(spark, sf_dir, "supplier").join(T.table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("s_suppkey")).select(
-        F.col("s_suppkey").alias("entity_id"), F.col("p_name").alias("full_name")
-    )
-    pick = lambda values: F.array(*[F.lit(v) for v in values])[F.col("n_nationkey") % 6]
-    games = T.table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("event_id"), (F.lit("2007-01-01 01:00:00").cast("timestamp") + F.make_dt_interval(F.col("n_nationkey") * 90)).alias("kickoff_at"),
-        pick(["SEA", "LA", "KC", "NYJ", "LA", "LAC"]).alias("away_team"), pick(["NE", "LAC", "DET", "NYG", "SF", "LV"]).alias("home_team"),
-    )
-    none = spark.createDataFrame([], "external_name string, entity_id long, status string, updated_at timestamp")
-    return ID.resolve_contracts(ID.parse_markets(markets(spark, sf_dir)), games, folk, none).select("ticker", "entity_id", "event_id", "resolution_status")
+    """Listings to entity and event, by stored mappings first, then by name among all people; what fails is named, never guessed."""
+    parts = T.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    n = parts.count()
+    words, key = F.split("p_name", " "), F.col("c_custkey")
+    folk = T.table(spark, sf_dir, "customer").select("c_custkey", (key % (2 * n // 3)).alias("p_partkey")).join(parts, "p_partkey").select(
+        key.alias("entity_id"),
+        F.when(~T.every("c_custkey", 50), F.concat(words[0], F.when(T.every("c_custkey", 5), "'").otherwise(""), F.lit(" "), words[1],
+                                                   F.when(T.every("c_custkey", 6), " Jr.").otherwise(""))).alias("full_name"))
+    parsed = ID.parse_markets(markets(spark, sf_dir))
+    dated = parsed.select(F.substring("ticker", 2, 20).cast("long").alias("k"), "game_date", TX.canonical_team(F.col("away_code")).alias("away_team"), TX.canonical_team(F.col("home_code")).alias("home_team"))
+    games = dated.dropna().where(~T.every("k", 3)).groupBy("game_date", "away_team", "home_team").agg(F.min("k").alias("event_id")).select(
+        "event_id", (F.col("game_date").cast("timestamp") + T.hours(20)).alias("kickoff_at"), "away_team", "home_team")
+    status = F.when(T.every("p_partkey", 3), "manual_override").when(T.every("p_partkey", 11), "ambiguous").otherwise("resolved")
+    at = lambda c: F.timestamp_seconds(c)
+    mappings = parts.where(T.every("p_partkey", 7)).select(F.col("p_name").alias("external_name"), (F.col("p_partkey") + 5000000).alias("entity_id"), status.alias("status"), at(F.col("p_partkey")).alias("updated_at"))
+    empty = parts.where(T.every("p_partkey", 14)).select(F.col("p_name").alias("external_name"), F.lit(None).cast("long").alias("entity_id"), F.lit("resolved").alias("status"), at(F.col("p_partkey") + 1000000).alias("updated_at"))
+    out = ID.resolve_contracts(parsed, games, folk, mappings.unionByName(empty))
+    return out.select("ticker", "entity_id", "event_id", "resolution_status", "resolution_note")
 
 
 _MERGE = """incoming as (select c_custkey as k, c_name as name, case when c_custkey % 10 = 0 then null when c_custkey % 4 = 0 then 'MOVED' else c_mktsegment end as segment

@@ -72,8 +72,8 @@ def test_contract_resolution_prefers_mappings_and_says_what_failed(spark):
     none = spark.createDataFrame([], "external_name string, entity_id string, status string, updated_at timestamp")
     rows = {r.ticker: r for r in ID.resolve_contracts(ID.parse_markets(markets), games, players, none).collect()}
     assert rows["t1"].resolution_status == "ambiguous" and rows["t1"].event_id == "g"
-    assert rows["t2"].resolution_status == "unresolved" and "maps to no stat type" in rows["t2"].resolution_note and "matched 0 players" in rows["t2"].resolution_note
-    assert 'event ticker "KX-BAD"' in rows["t3"].resolution_note
+    assert rows["t2"].resolution_status == "unresolved" and "stat: series" in rows["t2"].resolution_note and "player: 0 are called" in rows["t2"].resolution_note
+    assert "teams in KX-BAD" in rows["t3"].resolution_note
     over = ID.apply_overrides(none, spark.createDataFrame([("Josh Allen", "2", NOW)], "external_name string, entity_id string, updated_at timestamp"))
     again = {r.ticker: r for r in ID.resolve_contracts(ID.parse_markets(markets), games, players, over).collect()}
     assert again["t1"].resolution_status == "manual_override" and again["t1"].entity_id == "2" and again["t1"].resolution_note is None
