@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from cutline.operators import context as CX
 from cutline.operators import identity as ID
 from cutline.operators import merges as MG
 from cutline.operators import quality as Q
+from cutline.session import checkpoint_dir
 from cutline.sources import readers as SR
 from cutline.workload import sql as S
 from cutline.workload import tables as T
@@ -223,13 +226,31 @@ def market_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ID.parse_markets(markets(spark, sf_dir)).select("ticker", "player_name", "stat_type", "threshold", "game_date", "away_code", "home_code")
 
 
-@query(f"""
-with {_PARSED},
-folk as (select c_custkey as entity_id, case when c_custkey % 50 <> 0 then split_part(p_name, ' ', 1) || case when c_custkey % 5 = 0 then '''' else '' end || ' ' || split_part(p_name, ' ', 2)
+def listing_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Parsed listings, the events and people they may name, and stored mappings."""
+    parts = T.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    n = parts.count()
+    words, key = F.split("p_name", " "), F.col("c_custkey")
+    folk = T.table(spark, sf_dir, "customer").select("c_custkey", (key % (2 * n // 3)).alias("p_partkey")).join(parts, "p_partkey").select(
+        key.alias("entity_id"),
+        F.when(~T.every("c_custkey", 50), F.concat(words[0], F.when(T.every("c_custkey", 5), "'").otherwise(""), F.lit(" "), words[1],
+                                                   F.when(T.every("c_custkey", 6), " Jr.").otherwise(""))).alias("full_name"))
+    parsed = ID.parse_markets(markets(spark, sf_dir))
+    dated = parsed.select(F.substring("ticker", 2, 20).cast("long").alias("k"), "game_date", TX.canonical_team(F.col("away_code")).alias("away_team"), TX.canonical_team(F.col("home_code")).alias("home_team"))
+    games = dated.dropna().where(~T.every("k", 3)).groupBy("game_date", "away_team", "home_team").agg(F.min("k").alias("event_id")).select(
+        "event_id", (F.col("game_date").cast("timestamp") + T.hours(20)).alias("kickoff_at"), "away_team", "home_team")
+    status = F.when(T.every("p_partkey", 3), "manual_override").when(T.every("p_partkey", 11), "ambiguous").otherwise("resolved")
+    at = lambda c: F.timestamp_seconds(c)
+    mappings = parts.where(T.every("p_partkey", 7)).select(F.col("p_name").alias("external_name"), (F.col("p_partkey") + 5000000).alias("entity_id"), status.alias("status"), at(F.col("p_partkey")).alias("updated_at"))
+    empty = parts.where(T.every("p_partkey", 14)).select(F.col("p_name").alias("external_name"), F.lit(None).cast("long").alias("entity_id"), F.lit("resolved").alias("status"), at(F.col("p_partkey") + 1000000).alias("updated_at"))
+    return parsed, games, folk, mappings.unionByName(empty)
+
+
+_LISTED = """folk as (select c_custkey as entity_id, case when c_custkey % 50 <> 0 then split_part(p_name, ' ', 1) || case when c_custkey % 5 = 0 then '''' else '' end || ' ' || split_part(p_name, ' ', 2)
                 || case when c_custkey % 6 = 0 then ' Jr.' else '' end end as full_name from customer join part on p_partkey = c_custkey % (2 * (select count(*) from part) // 3)),
 counts as (select replace(replace(full_name, '''', ''), ' Jr.', '') as full_name, count(*) as n, min(entity_id) as one from folk where full_name is not null group by 1),
 mapped as (
-  select p_name as external_name, arg_max({{'id': id, 'status': status}}, (status = 'manual_override', noted)) as m from (
+  select p_name as external_name, arg_max({'id': id, 'status': status}, (status = 'manual_override', noted)) as m from (
     select p_name, p_partkey + 5000000 as id, case when p_partkey % 3 = 0 then 'manual_override' when p_partkey % 11 = 0 then 'ambiguous' else 'resolved' end as status, p_partkey as noted from part where p_partkey % 7 = 0
     union all select p_name, null, 'resolved', p_partkey + 1000000 from part where p_partkey % 14 = 0)
   where status in ('resolved', 'manual_override') and id is not null group by 1),
@@ -241,36 +262,86 @@ dated as (select c.*, (select arg_min(g.event_id, (g.kickoff_at, g.event_id)) fr
 judged as (
   select d.*, coalesce(k.n, 0) as n, m.m.id as mapped_id, coalesce(m.m.id, case when k.n = 1 then k.one end) as entity_id,
          coalesce(m.m.status, case when k.n = 1 then 'resolved' when k.n > 1 then 'ambiguous' else 'unresolved' end) as person
-  from dated d left join counts k on k.full_name = d.player_name left join mapped m on m.external_name = d.player_name)
-select ticker, entity_id, event_id,
+  from dated d left join counts k on k.full_name = d.player_name left join mapped m on m.external_name = d.player_name)"""
+_JUDGED = """
+select ticker, series, stat_type, threshold, entity_id, event_id,
   case when entity_id is not null and event_id is not null and stat_type is not null and threshold is not null then case when person = 'manual_override' then 'manual_override' else 'resolved' end
        when person = 'ambiguous' then 'ambiguous' else 'unresolved' end as resolution_status,
   nullif(concat_ws('; ', case when stat_type is null then 'stat: series ' || series || ' has none' end, case when threshold is null then 'threshold: none given' end,
          case when game_date is null or away_code is null or home_code is null then 'event: no date and teams in ' || event_ticker
               when event_id is null then 'event: none of ' || a || ' at ' || h || ' near ' || game_date::varchar end,
          case when player_name is null then 'player: none named' when mapped_id is null and n <> 1 then 'player: ' || n || ' are called ' || player_name end), '') as resolution_note
-from judged""")
+from judged"""
+
+
+@query(f"with {_PARSED}, {_LISTED} select ticker, entity_id, event_id, resolution_status, resolution_note from ({_JUDGED})")
 def contract_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings to entity and event, by stored mappings first, then by name among all people; what fails is named, never guessed."""
-    parts = T.table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    n = parts.count()
-    words, key = F.split("p_name", " "), F.col("c_custkey")
-    folk = T.table(spark, sf_dir, "customer").select("c_custkey", (key % (2 * n // 3)).alias("p_partkey")).join(parts, "p_partkey").select(
-        key.alias("entity_id"),
-        F.when(~T.every("c_custkey", 50), F.concat(words[0], F.when(T.every("c_custkey", 5), "'").otherwise(""), F.lit(" "), words[1],
-                                                   F.when(T.every("c_custkey", 6), " Jr.").otherwise(""))).alias("full_name"))
-    parsed = ID.parse_markets(markets(spark, sf_dir))
-    dated = parsed.select(F.substring("ticker", 2, 20).cast("long").alias("k"), "game_date", TX.canonical_team(F.col("away_code")).alias("away_team"), TX.canonical_team(F.col("home_code")).alias("home_team"))
-    games = dated.dropna().where(~T.every("k", 3)).groupBy("game_date", "away_team", "home_team").agg(F.min("k").alias("event_id")).select(
-        "event_id", (F.col("game_date").cast("timestamp") + T.hours(20)).alias("kickoff_at"), "away_team", "home_team")
-    status = F.when(T.every("p_partkey", 3), "manual_override").when(T.every("p_partkey", 11), "ambiguous").otherwise("resolved")
-    at = lambda c: F.timestamp_seconds(c)
-    mappings = parts.where(T.every("p_partkey", 7)).select(F.col("p_name").alias("external_name"), (F.col("p_partkey") + 5000000).alias("entity_id"), status.alias("status"), at(F.col("p_partkey")).alias("updated_at"))
-    empty = parts.where(T.every("p_partkey", 14)).select(F.col("p_name").alias("external_name"), F.lit(None).cast("long").alias("entity_id"), F.lit("resolved").alias("status"), at(F.col("p_partkey") + 1000000).alias("updated_at"))
-    out = ID.resolve_contracts(parsed, games, folk, mappings.unionByName(empty))
+    out = ID.resolve_contracts(*listing_sides(spark, sf_dir))
     return out.select("ticker", "entity_id", "event_id", "resolution_status", "resolution_note")
 
 
+_SEEN = """
+ticks as (select unnest([0, 1, 2]) as tick), 
+seen as (select p_partkey as k, tick, timestamp '2007-03-01 12:00:00' + to_minutes((tick * 5)::int) as at_,
+                p_size * 2 - 1 + case when tick > 0 and p_partkey % 4 = 1 then 1 when tick > 1 and p_partkey % 4 = 2 then 2 else 0 end as ask
+         from part cross join ticks where p_partkey % 5 <> (case tick when 0 then 0 when 1 then 1 else 2 end)),
+priced as (select *, case when ask between 1 and 99 then ask end as yes_ask, case when ask - 2 between 1 and 99 then ask - 2 end as yes_bid from seen),
+books as (select *, lag(struct_pack(a := yes_ask, b := yes_bid)) over (partition by k order by tick) as before, row_number() over (partition by k order by tick) as nth from priced)"""
+
+
+def market_store(spark: SparkSession, sf_dir: str):
+    """Three ticks over all listings: each leaves out a fifth, the second also failed in part; it is written twice, first without its marker."""
+    from cutline.plans import market_sync as MS
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _STORES:
+        return _STORES[key]
+    store = MS.MarketStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/market-{uuid.uuid4().hex}")
+    parsed, games, folk, mappings = listing_sides(spark, sf_dir)
+    size = T.table(spark, sf_dir, "part").select(F.concat(F.lit("T"), "p_partkey").alias("ticker"), "p_partkey", "p_size")
+    listed = markets(spark, sf_dir).join(size, "ticker")
+    for n, left_out in enumerate((0, 1, 2)):
+        moved = F.when((F.col("p_partkey") % 4 == 1) & F.lit(n > 0), 1).when((F.col("p_partkey") % 4 == 2) & F.lit(n > 1), 2).otherwise(0)
+        ask = (F.col("p_size") * 2 - 1 + moved).cast("double")
+        found = listed.where(F.col("p_partkey") % 5 != left_out).select("*", (ask - 2).alias("yes_bid"), ask.alias("yes_ask"), (100 - ask).alias("no_bid"), (102 - ask).alias("no_ask"),
+                                                                        F.lit(None).cast("string").alias("close_time")).drop("p_partkey", "p_size")
+        failures = spark.range(1 if n == 1 else 0).select(F.lit("series").alias("what"))
+        at = F.lit("2007-03-01 12:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(5 * n))
+        if n == 1:  # a tick that stopped before its marker
+            found.select(F.lit("X").alias("ticker"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in MS.OBSERVATION.split(", ")[1:]]).write.mode("overwrite").parquet(f"{store.root}/observations/tick=1")
+        store.tick(n, found, failures, games, folk, at, mappings)
+    _STORES[key] = store
+    return store
+
+
+_STORES: dict = {}
+
+
+@query(f"""
+with {_PARSED}, {_LISTED}, {_SEEN},
+spans as (select k, min(at_) as first_seen_at, max(at_) as last_seen_at, max(tick) as last_tick from seen group by 1)
+select j.ticker, j.series, j.entity_id, j.event_id, j.stat_type, j.threshold, j.resolution_status, j.resolution_note, case when s.last_tick < 2 then 'delisted' else 'active' end as status, s.first_seen_at, s.last_seen_at
+from ({_JUDGED}) j join spans s on 'T' || s.k = j.ticker""")
+def market_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole contract rows after three ticks, one of them partial: only the complete one delists."""
+    return market_store(spark, sf_dir).contracts().drop("close_time")
+
+
+@query(f"""
+with {_SEEN[1:]}
+select 'T' || k as ticker, tick, at_ as observed_at, yes_bid, yes_ask from books where nth = 1 or before.a is distinct from yes_ask or before.b is distinct from yes_bid""")
+def market_tick_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books that three ticks recorded: new ones and changed ones."""
+    return market_store(spark, sf_dir).rows("observations").select("ticker", "tick", "observed_at", "yes_bid", "yes_ask")
+
+
+@query("select tick, (tick = 1)::bigint as failures, (select count(*) from part where p_partkey % 5 <> (case tick when 0 then 0 when 1 then 1 else 2 end)) as discovered, case tick when 1 then 'partial' else 'complete' end as status from (select unnest([0, 1, 2]) as tick)")
+def market_tick_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each tick went."""
+    return market_store(spark, sf_dir).rows("syncs").select("tick", "failures", "discovered", "status")
+
+
 _MERGE = """incoming as (select c_custkey as k, c_name as name, case when c_custkey % 10 = 0 then null when c_custkey % 4 = 0 then 'MOVED' else c_mktsegment end as segment
   from customer where c_custkey % 9 <> 0 union all select s_suppkey + 10000000, s_name, 'NEW' from supplier),
 current_ as (select c_custkey as k, c_name as name, case when c_custkey % 20 = 0 then null else c_mktsegment end as segment from customer)"""
