@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutline import constants as K
-from cutline.functions.normal import SQRT2, erfc, normal_ppf
+from cutline.functions.normal import SQRT2, erfc, erfc_array, normal_ppf, ppf_array
 
 
 # --- zero-inflated log-normal ------------------------------------------------
@@ -156,8 +156,13 @@ def nb_table(r: pd.Series, p: pd.Series, cap: pd.Series) -> pd.DataFrame:
     it as they reach the last quantile; for large ones quantiles are bisected and
     masses come from logarithms.
     """
+    pmf, quantiles = _tables(r, p, cap.fillna(0).to_numpy("int64"))
+    return pd.DataFrame({"pmf": pd.Series(pmf, dtype=object), "quantiles": pd.Series(quantiles, dtype=object)})
+
+
+def _tables(r: pd.Series, p: pd.Series, caps: np.ndarray) -> tuple[list, list]:
+    """PMFs and grid quantiles of a batch, None for a row that is no distribution."""
     rr, pp, near, far = _split(r, p)
-    caps = cap.fillna(0).to_numpy("int64")
     grid = np.array(K.QUANTILE_GRID)
     out_pmf: list = [None] * len(rr)
     out_q: list = [None] * len(rr)
@@ -168,7 +173,7 @@ def nb_table(r: pd.Series, p: pd.Series, cap: pd.Series) -> pd.DataFrame:
             out_pmf[row], out_q[row] = pmf[i], quantiles[i]
     for row, quantiles in zip(far, _searched(rr[far], pp[far], grid)):
         out_pmf[row], out_q[row] = _first_masses(rr[row], pp[row], int(caps[row])), quantiles
-    return pd.DataFrame({"pmf": pd.Series(out_pmf, dtype=object), "quantiles": pd.Series(out_q, dtype=object)})
+    return out_pmf, out_q
 
 
 def _walked(shape: np.ndarray, p: np.ndarray, width: int, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +199,12 @@ def _walked(shape: np.ndarray, p: np.ndarray, width: int, grid: np.ndarray) -> t
 @F.pandas_udf(T.DoubleType())
 def _nb_tail(r: pd.Series, p: pd.Series, threshold: pd.Series) -> pd.Series:
     """P(X >= threshold) of a batch: near thresholds by as many terms as they ask for, others by the incomplete beta function."""
+    return pd.Series(_tails(r, p, threshold.to_numpy("float64", na_value=np.nan)))
+
+
+def _tails(r: pd.Series, p: pd.Series, threshold: np.ndarray) -> np.ndarray:
     rr, pp, near, far = _split(r, p)
-    k = np.ceil(threshold.to_numpy("float64", na_value=np.nan))
+    k = np.ceil(threshold)
     out = np.full(len(rr), np.nan)
     near = near[~np.isnan(k[near])]
     far = np.concatenate([far[~np.isnan(k[far])], near[k[near] > _FAR]])
@@ -212,7 +221,43 @@ def _nb_tail(r: pd.Series, p: pd.Series, threshold: pd.Series) -> pd.Series:
         n = int(np.searchsorted(-last, -step))
     out[order] = np.clip(1.0 - below, 0.0, 1.0)
     out[far] = nb_upper(rr[far], pp[far], k[far])
-    return pd.Series(out)
+    return out
+
+
+_SCORE_SCHEMA = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("pmf", "quantiles", "probabilities")])
+
+
+@F.pandas_udf(_SCORE_SCHEMA)
+def score_table(
+    family: pd.Series, p_zero: pd.Series, mu: pd.Series, sigma: pd.Series, r: pd.Series, p: pd.Series, cap: pd.Series, thresholds: pd.Series
+) -> pd.DataFrame:
+    """All that is read off a batch of distributions in one pass: PMF (counts only), grid quantiles, P(X >= t) of each threshold.
+
+    NULL for a row of no family or with parameters that are no distribution.
+    """
+    n, grid = len(family), np.array(K.QUANTILE_GRID)
+    pmf, quantiles = _tables(r, p, cap.fillna(0).to_numpy("int64"))
+    sizes = np.fromiter((0 if t is None else len(t) for t in thresholds), np.int64, n)
+    flat = np.concatenate([np.asarray(t, float) for t in thresholds if t is not None]) if sizes.any() else np.zeros(0)
+    owner = np.repeat(np.arange(n), sizes)
+    tails = _tails(r.iloc[owner], p.iloc[owner], flat)
+    z, m, s = (x.to_numpy("float64", na_value=np.nan) for x in (p_zero, mu, sigma))
+    with np.errstate(all="ignore"):
+        smooth = (family == K.CONTINUOUS).to_numpy() & (s > 0) & (z >= 0) & (z <= 1) & ~np.isnan(m)
+        rows = smooth[owner]
+        own, t = owner[rows], flat[rows]
+        score = (np.log(np.where(t > 0, t, np.nan)) - m[own]) / s[own]
+        tails[rows] = np.where(t <= 0, 1.0, (1 - z[own]) * 0.5 * erfc_array(score / SQRT2))
+        which = np.flatnonzero(smooth)
+        inner = (grid[None, :] - z[which, None]) / np.where(z[which] < 1, 1 - z[which], np.nan)[:, None]
+        levels = np.where(z[which, None] >= grid, 0.0, np.exp(m[which, None] + s[which, None] * ppf_array(inner.ravel()).reshape(inner.shape)))
+    ends = np.append(0, np.cumsum(sizes))
+    counted = np.array([q is not None for q in quantiles], bool)
+    for row, level in zip(which, levels):
+        quantiles[row], pmf[row] = level, None
+    known = counted | smooth
+    probabilities = [tails[ends[i] : ends[i + 1]] if known[i] else None for i in range(n)]
+    return pd.DataFrame({"pmf": pd.Series(pmf, dtype=object), "quantiles": pd.Series(quantiles, dtype=object), "probabilities": pd.Series(probabilities, dtype=object)})
 
 
 def nb_pmf(r: Column, p: Column, cap: Column) -> Column:

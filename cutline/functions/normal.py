@@ -7,6 +7,7 @@ are good to about 1e-15, stay inside code generation, and need no Python.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,3 +112,43 @@ def _ppf_of(p: Column) -> Column:
 def normal_ppf(p: Column) -> Column:
     """Inverse of :func:`normal_cdf` on (0, 1); NULL outside it."""
     return let(p, _ppf_of)
+
+
+# --- the same over arrays, for what is scored in Arrow batches ---------------
+
+
+def _ratio(x: np.ndarray, above: tuple[float, ...], below: tuple[float, ...]) -> np.ndarray:
+    return np.polynomial.polynomial.polyval(x, above) / np.polynomial.polynomial.polyval(x, below)
+
+
+def erfc_array(x: np.ndarray) -> np.ndarray:
+    y = np.abs(x)
+    out = np.zeros(len(x))
+    small, middle, far = y <= 0.46875, (y > 0.46875) & (y <= 4), (y > 4) & (y <= 27)
+    out[small] = 1 - x[small] * _ratio(x[small] ** 2, ERF_NUM, ERF_DEN)
+    v = y[middle]
+    out[middle] = np.exp(-v * v) * _ratio(v, ERFC_NUM, ERFC_DEN)
+    v = y[far]
+    inverse = 1 / (v * v)
+    out[far] = np.exp(-v * v) * (INV_SQRT_PI - inverse * _ratio(inverse, TAIL_NUM, TAIL_DEN)) / v
+    turned = ~small & (x < 0)
+    out[turned] = 2 - out[turned]
+    out[np.isnan(x)] = np.nan
+    return out
+
+
+def ppf_array(p: np.ndarray) -> np.ndarray:
+    """Inverse of the normal CDF on (0, 1); NaN outside it."""
+    out = np.full(len(p), np.nan)
+    q = p - 0.5
+    inside = (p > 0) & (p < 1)
+    central = inside & (np.abs(q) <= 0.425)
+    v = q[central]
+    out[central] = v * _ratio(0.180625 - v * v, PPND_A, PPND_B)
+    outer = np.flatnonzero(inside & ~central)
+    r = np.sqrt(-np.log(np.minimum(p[outer], 1 - p[outer])))
+    near = r <= 5
+    size = np.empty(len(r))
+    size[near], size[~near] = _ratio(r[near] - 1.6, PPND_C, PPND_D), _ratio(r[~near] - 5.0, PPND_E, PPND_F)
+    out[outer] = np.where(q[outer] < 0, -size, size)
+    return out

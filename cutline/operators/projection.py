@@ -43,22 +43,21 @@ def fit(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame) -> DataFrame:
-    """Kind, quantiles, interval, PMF, confidence and cohorts from parameters."""
+    """Kind, quantiles, interval, PMF, threshold probabilities, confidence and cohorts from parameters."""
     cont, count = F.col("family") == K.CONTINUOUS, F.col("family") == K.COUNT
     zil = (F.col("p_zero"), F.col("mu"), F.col("sigma"))
     cap = F.coalesce(F.col("pmf_cap"), F.lit(K.DEFAULT_PMF_CAP))
     named = F.lit(list(K.QUANTILE_NAMES))
-    counted = df.withColumn("__nb", D.nb_table(F.col("r"), F.col("p"), F.when(count, cap)))
-    staged = counted.withColumns({
+    scored = df.withColumn("__s", D.score_table("family", "p_zero", "mu", "sigma", "r", "p", F.when(count, cap), "thresholds"))
+    staged = scored.withColumns({
         "distribution_kind": F.when(cont, K.KIND_ZIL).when(count, K.KIND_NB),
         "params": F.struct(*PARAMS),
         "projected_value": F.when(cont, D.zil_mean(*zil)).when(count, D.nb_mean(F.col("r"), F.col("p"))),
-        "quantiles": F.map_from_arrays(
-            named, F.when(cont, D.zil_quantiles(*zil)).when(count, F.col("__nb")["quantiles"])
-        ),
-        "pmf": F.when(count, F.col("__nb")["pmf"]),
+        "quantiles": F.map_from_arrays(named, F.when(cont | count, F.col("__s")["quantiles"])),
+        "pmf": F.when(count, F.col("__s")["pmf"]),
+        "probabilities": F.when(cont | count, F.col("__s")["probabilities"]),
         "mass_below_zero": F.lit(0.0),
-    }).drop("__nb")
+    }).drop("__s")
     q = F.col("quantiles")
     staged = staged.withColumns({
         "projected_median": q["q50"],
@@ -125,14 +124,11 @@ def project(candidates: DataFrame, priors: DataFrame, registry: DataFrame, *, wi
 
 
 def threshold_rows(predictions: DataFrame) -> DataFrame:
-    """(prediction, threshold): probability from parameters and the outcome."""
+    """(prediction, threshold): the probability that was scored with the projection, and the outcome."""
     exploded = predictions.select(
-        "prediction_id", "measure", "season", "era", "distribution_kind", "params", "actual", "contract_like",
-        F.explode("thresholds").alias("threshold"),
+        "prediction_id", "measure", "season", "era", "actual", "contract_like", F.explode(F.arrays_zip("thresholds", "probabilities")).alias("t"),
     )
     return exploded.select(
-        "prediction_id", F.col("measure").alias("stat_type"), "season", "era", "threshold",
-        N.half_even(D.at_least(F.col("distribution_kind"), F.col("params"), F.col("threshold")), 6).alias("probability"),
-        (F.col("actual") >= F.col("threshold")).alias("outcome"),
-        "contract_like",
+        "prediction_id", F.col("measure").alias("stat_type"), "season", "era", F.col("t.thresholds").alias("threshold"),
+        N.half_even(F.col("t.probabilities"), 6).alias("probability"), (F.col("actual") >= F.col("t.thresholds")).alias("outcome"), "contract_like",
     )

@@ -16,7 +16,7 @@ from cutline.operators import context as CX
 from cutline.operators import identity as ID
 from cutline.operators import merges as MG
 from cutline.operators import quality as Q
-from cutline.session import checkpoint_dir
+from cutline.session import checkpoint_dir, materialize
 from cutline.sources import readers as SR
 from cutline.workload import sql as S
 from cutline.workload import tables as T
@@ -235,7 +235,7 @@ def listing_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         key.alias("entity_id"),
         F.when(~T.every("c_custkey", 50), F.concat(words[0], F.when(T.every("c_custkey", 5), "'").otherwise(""), F.lit(" "), words[1],
                                                    F.when(T.every("c_custkey", 6), " Jr.").otherwise(""))).alias("full_name"))
-    parsed = ID.parse_markets(markets(spark, sf_dir))
+    parsed = materialize(ID.parse_markets(markets(spark, sf_dir)), "parsed")
     dated = parsed.select(F.substring("ticker", 2, 20).cast("long").alias("k"), "game_date", TX.canonical_team(F.col("away_code")).alias("away_team"), TX.canonical_team(F.col("home_code")).alias("home_team"))
     games = dated.dropna().where(~T.every("k", 3)).groupBy("game_date", "away_team", "home_team").agg(F.min("k").alias("event_id")).select(
         "event_id", (F.col("game_date").cast("timestamp") + T.hours(20)).alias("kickoff_at"), "away_team", "home_team")
