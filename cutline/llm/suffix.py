@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -483,12 +484,19 @@ def _removed(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(cuts, docs.doc_id == cuts.doc, "left")
 
 
-def _kept(size: int, cuts) -> np.ndarray:
+def _spans(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's cuts begin among all (one more than rows), their starts and their sizes."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    first = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
+    flat = lists.flatten()
+    return first, flat.field("start").to_numpy(zero_copy_only=False), flat.field("size").to_numpy(zero_copy_only=False)
+
+
+def _kept(size: int, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Which bytes stay."""
-    if not cuts:
+    if not len(start):
         return np.ones(size, bool)
-    start = np.array([x["start"] for x in cuts], np.int64)
-    stop = np.minimum(start + np.array([x["size"] for x in cuts], np.int64), size)
+    stop = np.minimum(start + sizes, size)
     cover = np.bincount(start, minlength=size + 1) - np.bincount(stop, minlength=size + 1)
     return np.cumsum(cover[:size]) == 0
 
@@ -500,8 +508,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
     def work(raw, at, rows):
         removed, spans, digests = [], [], []
-        for a, b, cuts in zip(at, at[1:], rows.column("cuts").to_pylist()):
-            kept = _kept(b - a, cuts)
+        first, start, size = _spans(rows.column("cuts"))
+        for a, b, i, j in zip(at, at[1:], first, first[1:]):
+            kept = _kept(b - a, start[i:j], size[i:j])
             gone = np.append(False, ~kept)
             removed.append(int(gone.sum()))
             spans.append(int((gone[1:] & ~gone[:-1]).sum()))
@@ -523,8 +532,9 @@ def cut_rows(docs: DataFrame) -> DataFrame:
             table = pa.Table.from_batches([batch])
             for row, stop, raw, at in slices(table.column("text")):
                 rows, out = table.slice(row, stop - row), []
-                for a, b, cuts, missing in zip(at, at[1:], rows.column("cuts").to_pylist(), rows.column("text").is_null().to_pylist()):
-                    text, kept = raw[a:b], _kept(b - a, cuts)
+                first, start, size = _spans(rows.column("cuts"))
+                for a, b, i, j, missing in zip(at, at[1:], first, first[1:], rows.column("text").is_null().to_pylist()):
+                    text, kept = raw[a:b], _kept(b - a, start[i:j], size[i:j])
                     if not kept.all():
                         lead = np.flatnonzero((text & 0xC0) != 0x80)
                         whole = np.maximum.reduceat(kept, lead)
