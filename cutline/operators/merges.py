@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cutline import constants as K
 from cutline.functions import times
 from cutline.operators import timeline as TL
 
@@ -241,7 +242,7 @@ def pipeline_start(log: DataFrame, requested: DataFrame) -> DataFrame:
 LOG_STARTED, LOG_FINISHED = "started", "finished"
 
 
-def fold_runs(log: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+def fold_runs(log: DataFrame, now: Column, hours: int = K.STALE_RUN_HOURS) -> DataFrame:
     """The state of every logical run, folded from its append-only log in whatever order that came.
 
     ``log``: run_id, category, invocation_id, kind (started or finished), status, error_message, at, seq.
@@ -281,7 +282,7 @@ def event_outcomes(records: DataFrame) -> DataFrame:
     return TL.latest_per_key(records, ["run_id", "event_id"], ["finished_at", "status"])
 
 
-def reap_stale_runs(runs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+def reap_stale_runs(runs: DataFrame, now: Column, hours: int = K.STALE_RUN_HOURS) -> DataFrame:
     stale = (F.col("status") == "running") & (F.col("started_at") < now - F.make_dt_interval(F.lit(0), F.lit(hours)))
     return runs.withColumns({
         "error_message": F.when(stale, F.coalesce("error_message", F.lit("reaped: abandoned run"))).otherwise(F.col("error_message")),

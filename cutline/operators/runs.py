@@ -106,3 +106,30 @@ def detail_cycle(runs: DataFrame, now: Column) -> DataFrame:
     last = TL.latest_per_key(runs, ["category"], ["started_at", "run_id"])
     fresh = (F.col("status") == "running") & ((F.unix_millis(now) - F.unix_millis("started_at")) / 60000.0 <= K.RUN_TIMEOUT_MINUTES)
     return last.where(~fresh)
+
+
+def health_rollup(attempts: DataFrame, source_runs: DataFrame, outcomes: DataFrame, events: DataFrame, now: Column) -> DataFrame:
+    """Each signal with its state, and what its latest settled cycle left wrong: the worst source and the events it left behind.
+
+    ``attempts`` as for :func:`health_signals`; ``source_runs``: cycle_id, dataset, status;
+    ``outcomes``: cycle_id, event_id, status. Required sources are worse than others, failed ones
+    worse than degraded ones. Each log is summed by cycle in one pass, by conditional maxima; nothing is ranked or gathered.
+    """
+    cycle = detail_cycle(attempts, now).select("category", F.col("run_id").alias("cycle_id"))
+    state = F.when(F.col("status") == "success", "ok").when(F.col("status") == "failed", "failed").otherwise("degraded")
+    runs = source_runs.select("cycle_id", F.col("dataset").alias("source"), F.col("dataset").isin(*K.REQUIRED_SOURCES).alias("required"), state.alias("state"))
+    bad = F.col("state") != "ok"
+    sources = runs.groupBy("cycle_id").agg(
+        F.count("*").alias("source_count"), F.count_if(bad).alias("source_bad"),
+        F.max_by(F.struct("source", "state", "required"), F.when(bad, F.struct("required", F.col("state") == "failed", "source"))).alias("worst"),
+    )
+    behind = F.col("status") != "succeeded"
+    left = outcomes.join(events.select("event_id", "kickoff_at"), "event_id").groupBy("cycle_id").agg(
+        F.count("*").alias("event_count"), F.count_if(behind).alias("event_behind"),
+        F.min_by("event_id", F.when(behind, F.struct("kickoff_at", "event_id"))).alias("first_behind"),
+    )
+    told = cycle.join(sources, "cycle_id", "left").join(left, "cycle_id", "left")
+    told = told.select("category", "cycle_id", "source_count", "source_bad", "worst.*", "event_count", "event_behind", "first_behind").withColumnsRenamed(
+        {"source": "worst_source", "state": "worst_state", "required": "worst_required"}
+    )
+    return health_signals(attempts, events, now).join(told, "category", "left")

@@ -85,10 +85,19 @@ def read_source(spark: SparkSession, path: str, dataset: str, first: int | None
     return df.where(F.col("season").between(seasons[0], seasons[-1]))
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Name samples: a JSON list of strings or objects, or an object wrapping one."""
-    raw = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    items = F.coalesce(F.try_variant_get("v", "$.players", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
+def read_samples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Name samples: JSON strings or objects, alone or in a list, or an object wrapping such a list.
+
+    A file is one JSON value, or, with ``lines``, each of its lines is one; then a file is split
+    among tasks and no value but a line is held whole. A line that is no JSON has no name and id.
+    """
+    return sample_rows(spark.read.text(path, wholetext=not lines))
+
+
+def sample_rows(values: DataFrame) -> DataFrame:
+    """(name, id) of every sample in the JSON texts ``value``; the id is an object's id, ticker or name."""
+    raw = values.select(F.try_parse_json("value").alias("v"))
+    items = F.coalesce(F.try_variant_get("v", "$.players", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
     rows = raw.select(F.explode(items).alias("i"))
     field = lambda f: F.try_variant_get("i", f"$.{f}", "string")
     is_text = F.schema_of_variant("i") == "STRING"

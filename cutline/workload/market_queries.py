@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cutline import constants as K
 from cutline.functions import market as M
 from cutline.functions import numbers as N
 from cutline.operators import market as MK
@@ -416,6 +417,52 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n == 1, F.concat(F.lit("e"), F.col("event_id") % 10)).alias("error_message"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
 
 
+HEALTH_NOWS = ("2001-07-04 09:00:00", "2001-07-10 20:00:00", "2001-07-20 06:00:00", "2001-07-31 20:00:00", "2001-12-01 00:00:00")
+DATASETS = ("schedule", "pbp", "stats", "context", "weather")
+
+
+@query(f"""
+with nows as (select unnest([{', '.join(f"timestamp '{n}'" for n in HEALTH_NOWS)}]) as now),
+base as (select event_id as run_id, (['ingest', 'recompute', 'price_refresh'])[(user_id % 3 + 1)::int] as category,
+                case event_type when 'click' then 'succeeded' when 'view' then 'succeeded' when 'error' then 'failed' else 'running' end as status, ts - interval '8217 days' as started_at from events),
+a as (select n.now, b.* from nows n join base b on b.started_at <= n.now),
+l as (select now, category, arg_max({{'s': status, 't': started_at, 'id': run_id}}, (started_at, run_id)) as a, max(case when status = 'succeeded' then started_at + interval '10 minutes' end) as ok from a group by 1, 2),
+x as (select now, (select count(*) > 0 from orders where o_orderstatus <> 'F' and o_orderdate + to_hours((o_orderkey % 24)::int) between now and now + interval '7 days') as expected,
+             (select count(*) > 0 from orders where o_orderstatus <> 'F' and o_orderdate + to_hours((o_orderkey % 24)::int) between now and now + interval '6 hours') as gameday from nows),
+cycles as (select now, category, a.id as cycle_id from l where not (a.s = 'running' and epoch(now - a.t) / 60.0 <= 120)),
+sources as (select run_id as cycle_id, d as source, d in ('{"', '".join(sorted(K.REQUIRED_SOURCES))}') as required, case (run_id + i) % 4 when 0 then 'failed' when 1 then 'degraded' else 'ok' end as state
+            from base cross join (select unnest(range(0, {len(DATASETS)})) as i, unnest([{', '.join(f"'{d}'" for d in DATASETS)}]) as d) where category = 'ingest'),
+worst as (select cycle_id, count(*) as source_count, count(*) filter (state <> 'ok') as source_bad, arg_max({{'source': source, 'state': state, 'required': required}}, (required, state = 'failed', source)) filter (state <> 'ok') as w from sources group by 1),
+outcomes_ as (select run_id as cycle_id, (run_id * 5 + i) % (select count(*) from orders) as k, (run_id + i) % 3 <> 0 as good from base cross join (select unnest(range(0, 5)) as i) where category = 'recompute'),
+left_ as (select cycle_id, count(*) as event_count, count(*) filter (not good) as event_behind, arg_min(o_orderkey, (o_orderdate + to_hours((o_orderkey % 24)::int), o_orderkey)) filter (not good) as first_behind
+          from outcomes_ join orders on o_orderkey = k join customer on c_custkey = o_custkey group by 1)
+select l.now, l.category, case when not expected then 'not_expected' when l.a.s = 'running' and epoch(l.now - l.a.t) / 60.0 > 120 then 'failed' when l.a.s = 'running' then 'running'
+       when l.a.s = 'failed' then 'failed' when l.ok is null then 'never_run' when epoch(l.now - l.ok) / 60.0 > case when l.category <> 'price_refresh' then 1560 when gameday then 30 else 120 end then 'late' else 'ok' end as state,
+       c.cycle_id, w.source_count, w.source_bad, w.w.source as worst_source, w.w.state as worst_state, w.w.required as worst_required, e.event_count, e.event_behind, e.first_behind
+from l join x using (now) left join cycles c on c.now = l.now and c.category = l.category left join worst w on w.cycle_id = c.cycle_id left join left_ e on e.cycle_id = c.cycle_id""")
+def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three signals at five instants, each with its worst source and the events its last cycle left behind."""
+    e = T.table(spark, sf_dir, "events")
+    category = F.array(F.lit("ingest"), F.lit("recompute"), F.lit("price_refresh"))[(F.col("user_id") % 3).cast("int")]
+    status = F.when(F.col("event_type").isin("click", "view"), "succeeded").when(F.col("event_type") == "error", "failed").otherwise("running")
+    started = F.col("ts") - T.days(8217)
+    attempts = e.select(F.col("event_id").alias("run_id"), category.alias("category"), status.alias("status"), started.alias("started_at"),
+                        F.when(status != "running", started + F.expr("INTERVAL 10 MINUTES")).alias("finished_at"))
+    at = F.posexplode(F.array(*[F.lit(d) for d in DATASETS])).alias("i", "dataset")
+    n = (F.col("cycle_id") + F.col("i")) % 4
+    sources = attempts.where("category = 'ingest'").select(F.col("run_id").alias("cycle_id"), at).select("cycle_id", "dataset", F.when(n == 0, "failed").when(n == 1, "partial").otherwise("success").alias("status"))
+    orders = T.table(spark, sf_dir, "orders").count()
+    five = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")
+    outcomes = attempts.where("category = 'recompute'").select(F.col("run_id").alias("cycle_id"), five).select(
+        "cycle_id", ((F.col("cycle_id") * 5 + F.col("i")) % orders).alias("event_id"), F.when((F.col("cycle_id") + F.col("i")) % 3 != 0, "succeeded").otherwise("failed").alias("status"))
+    out = None
+    for text in HEALTH_NOWS:
+        now = F.lit(text).cast("timestamp")
+        part = R.health_rollup(attempts.where(F.col("started_at") <= now), sources, outcomes, games(spark, sf_dir), now).withColumn("now", now)
+        out = part if out is None else out.unionByName(part)
+    return out.where("last_attempt_at is not null").select("now", "category", "state", "cycle_id", "source_count", "source_bad", "worst_source", "worst_state", "worst_required", "event_count", "event_behind", "first_behind")
+
+
 @query(f"""
 select min(year(o_orderdate))::int as season_from, max(year(o_orderdate))::int as season_to from orders
 where o_orderstatus <> 'F' and o_orderdate + to_hours((o_orderkey % 24)::int) > timestamp '{NOW}' and o_orderdate + to_hours((o_orderkey % 24)::int) <= timestamp '{NOW}' + interval '7 days'""")

@@ -22,6 +22,29 @@ def new_root(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
 
 
+@query("""
+select c_name as name, case c_custkey % 5 when 1 then c_custkey::varchar when 2 then 'T' || c_custkey when 3 then 'P' || c_custkey else c_name end as id from customer
+union all select c_name || ' II', c_name || ' II' from customer where c_custkey % 5 in (3, 4)
+union all select null, null from customer where c_custkey % 100 = 0""")
+def polymorphic_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples landed as lines: strings, objects by id or ticker, wrapped lists, bare lists, and lines that are no JSON."""
+    root, c = new_root(spark), T.table(spark, sf_dir, "customer")
+    key, name = F.col("c_custkey"), F.col("c_name")
+    text = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    pair = lambda k, v: F.concat(F.lit(f'"{k}": "'), v, F.lit('"'))
+    later = text(F.concat(name, F.lit(" II")))
+    line = (
+        F.when(key % 5 == 0, text(name))
+        .when(key % 5 == 1, F.concat(F.lit("{"), pair("name", name), F.lit(', "id": '), key.cast("string"), F.lit(', "ticker": "x"}')))
+        .when(key % 5 == 2, F.concat(F.lit("{"), pair("ticker", F.concat(F.lit("T"), key)), F.lit(", "), pair("name", name), F.lit("}")))
+        .when(key % 5 == 3, F.concat(F.lit('{"players": [{'), pair("id", F.concat(F.lit("P"), key)), F.lit(", "), pair("name", name), F.lit("}, "), later, F.lit("]}")))
+        .otherwise(F.concat(F.lit("["), text(name), F.lit(", "), later, F.lit("]")))
+    )
+    broken = c.where(T.every("c_custkey", 100)).select(F.lit("{not json").alias("value"))
+    c.select(line.alias("value")).unionByName(broken).write.text(f"{root}/samples")
+    return SR.read_samples(spark, f"{root}/samples", lines=True).select("name", "id")
+
+
 @query("""
 select o_orderkey::varchar as gsis_id, year(o_orderdate)::bigint as season, month(o_orderdate)::bigint as week, o_orderpriority as team, o_orderstatus as report_status
 from orders where year(o_orderdate) between (select min(year(o_orderdate)) + 1 from orders) and (select max(year(o_orderdate)) - 1 from orders)""")

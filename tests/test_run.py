@@ -43,6 +43,9 @@ def test_samples_and_market_pages(spark, tmp_path):
     assert sorted(map(tuple, R.read_samples(spark, str(tmp_path / "a.json")).collect())) == [("Al", "9"), ("Jo", "T"), ("Josh Allen", "Josh Allen")]
     with pytest.raises(R.SchemaDrift):
         R.require_named(R.read_samples(spark, str(tmp_path / "b.json")))
+    (tmp_path / "l.txt").write_text('"Solo"\n{"name": "Jo", "id": 7}\n[{"ticker": "T"}, "Al"]\n{"players": ["Em"]}\n{broken\n')
+    found = R.read_samples(spark, str(tmp_path / "l.txt"), lines=True).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([("Solo", "Solo"), ("Jo", "7"), (None, "T"), ("Al", "Al"), ("Em", "Em"), (None, None)], key=str)
     (tmp_path / "p.json").write_text(json.dumps({"series": "S", "markets": [{"ticker": "A", "yes_bid": 3, "extra": 1}, {"ticker": "B", "floor_strike": 74.5}]}))
     rows = R.read_market_pages(spark, str(tmp_path / "p.json")).orderBy("ticker").collect()
     assert [(r.series, r.ticker, r.yes_bid, r.floor_strike) for r in rows] == [("S", "A", 3.0, None), ("S", "B", None, 74.5)]
