@@ -226,12 +226,12 @@ def contract_like_sensitivity(predictions: DataFrame, registry: DataFrame, multi
 
 #: A stored number of a run's summary, by name: NULLs in the key are part of it.
 CELL_KEY = ["section", "population", "axis", "axis_key", "block", "series", "bin_index", "metric"]
-_CELL_SCALE = "decimal(38,6)"
+_CELL_SCALE = "decimal(28,12)"
 
 
 def _cells(df: DataFrame, section: str, keys: dict[str, Column], values: dict[str, Column]) -> DataFrame:
     """One row for each value of each row of ``df``, under the cell key; absent values have no row."""
-    items = F.array(*[F.struct(F.lit(n).alias("metric"), F.bround(v.cast("decimal(38,12)"), 6).cast(_CELL_SCALE).alias("value")) for n, v in values.items()])
+    items = F.array(*[F.struct(F.lit(n).alias("metric"), v.cast(_CELL_SCALE).alias("value")) for n, v in values.items()])
     none = lambda c: F.lit(None).cast("int" if c == "bin_index" else "string")
     named = [keys.get(c, none(c)).alias(c) for c in CELL_KEY[1:-1]]
     return df.select(F.lit(section).alias("section"), *named, F.explode(items).alias("i")).select(*CELL_KEY[:-1], "i.*").where(F.col("value").isNotNull())

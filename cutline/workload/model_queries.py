@@ -438,10 +438,10 @@ def recomputation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cells of a stored summary, one edited, one bin gone and one made up, against the same made from the rows on disk."""
     root, row = completed_run(spark, sf_dir)
     aggregates, bins = SU.stored_cells(spark, root)
-    value = F.when((F.col("metric") == "brier") & (F.col("population") == "contract_like"), F.col("value") + F.lit("0.01").cast("decimal(38,6)")).otherwise(F.col("value"))
+    value = F.when((F.col("metric") == "brier") & (F.col("population") == "contract_like"), F.col("value") + F.lit("0.01").cast("decimal(28,12)")).otherwise(F.col("value"))
     gone = (F.col("section") == "bin") & (F.col("axis") == "all") & (F.col("population") == "all") & (F.col("bin_index") == 0)
-    extra = bins.where(gone & (F.col("metric") == "projection_count")).limit(1).withColumns({"bin_index": F.lit(99), "value": F.lit("1").cast("decimal(38,6)")})
-    stored = aggregates.withColumn("value", value.cast("decimal(38,6)")).unionByName(bins.where(~gone)).unionByName(extra)
+    extra = bins.where(gone & (F.col("metric") == "projection_count")).limit(1).withColumns({"bin_index": F.lit(99), "value": F.lit("1").cast("decimal(28,12)")})
+    stored = aggregates.withColumn("value", value.cast("decimal(28,12)")).unionByName(bins.where(~gone)).unionByName(extra)
     again = SU.recomputed(spark, root, row)
     out = MT.cell_diff(stored, again.aggregates.unionByName(again.bins))
     return out.withColumns({"stored": shown(F.col("stored")), "recomputed": shown(F.col("recomputed"))})
