@@ -82,7 +82,7 @@ def test_whole_run_verifies_and_tampering_is_found(spark, tmp_path):
     assert {k.check for k in SU.verify_run(spark, root, edited).collect() if not k.ok} == {"predictions_digest_holds"}
     aggregates, bins = (materialize(x, "cells") for x in SU.stored_cells(spark, root))
     brier = (F.col("metric") == "brier") & (F.col("population") == "contract_like")
-    aggregates.withColumn("value", F.when(brier, F.col("value") + 0.01).otherwise(F.col("value")).cast("decimal(28,12)")).write.mode("overwrite").parquet(f"{root}/aggregates")
+    aggregates.withColumn("value", F.when(brier, F.col("value") + F.lit("0.01").cast("decimal(10,2)")).otherwise(F.col("value")).cast("decimal(28,12)")).write.mode("overwrite").parquet(f"{root}/aggregates")
     bins.where("not (bin_index = 0 and axis = 'all' and metric = 'observed_rate')").write.mode("overwrite").parquet(f"{root}/bins")
     off = {k.check: k.detail for k in SU.verify_run(spark, root, row).collect() if not k.ok}
     assert set(off) == {"aggregate_digest_holds", "calibration_digest_holds", "aggregates_recompute", "bins_recompute"}
