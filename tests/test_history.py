@@ -125,3 +125,20 @@ def test_snapshot_without_the_key_keeps_the_line_value(spark):
     df = spark.createDataFrame([(1, {"a": 5.0})], "id int, prior_values map<string,double>")
     got = {r.measure: (r.has_prior, r.prior_value) for r in B.corrections_to_long(df, ["id"], ["a", "b"]).collect()}
     assert got == {"a": (True, 5.0), "b": (False, None)}
+
+
+@pytest.mark.parametrize("seed,n", [(1, 160), (7, 700)])
+def test_whole_streams_match_brute_force(spark, seed, n):
+    """One shuffle by stream gives the windows, totals and facts of the bucketed reads, on streams of many blocks too."""
+    lines, corr = corpus(seed, n)
+    rows, targets = targets_of(spark, lines)
+    targets = targets.withColumn("event_id", F.expr("try_cast(substring(target_id, 2) as bigint)"))
+    facts = spark.createDataFrame([(l[0], l[1], "m", float(l[1])) for l in lines if l[1] % 2], "entity_id long, event_id long, measure string, actual double")
+    got = {r.target_id: r for r in H.with_history(targets, frames(spark, lines, corr), facts).collect()}
+    assert len(got) == len(rows)
+    for t in rows:
+        window, size, avg, team = brute(t[:5], lines, corr, t[5])
+        r = got[t[0]]
+        assert [(x.event_id, x.value) for x in r.window] == window and (r.n_eff, r.last_team) == (size, team)
+        assert (r.season_average is None) == (avg is None) and (avg is None or abs(r.season_average - avg) < 1e-6)
+        assert r.actual == (float(t[0][1:]) if t[0] != "nobody" and int(t[0][1:]) % 2 else None)

@@ -172,3 +172,30 @@ def test_a_run_finds_its_candidates(spark):
     graded, _ = BT.graded_candidates(targets, versions, actuals, T.registry(spark), with_drivers=False)
     (row,) = BT.exclusion_rows(graded).collect()
     assert (row.event_id, row.entity_id, row.measure, row.stage, row.reason, row.detail) == (20, None, "price", "harness", "cutoff_after_kickoff", "the cutoff is not before the start")
+
+
+def test_a_stored_run_writes_its_fitted_rows_only(spark):
+    """What follows from a row alone is graded as it is read, so no dataset of the run is written beside the fitted rows."""
+    import os
+
+    from cutline.session import checkpoint_dir
+    from cutline.workload import model_queries as MQ
+
+    T.corpus(spark, SF)
+    MQ._RUNS.clear()
+    before = set(os.listdir(checkpoint_dir(spark)))
+    run = MQ.stored_run(spark, SF)
+    made = {n.rsplit("-", 1)[0] for n in set(os.listdir(checkpoint_dir(spark))) - before}
+    assert made == {"fitted", "priors", "prior-requests"}
+    assert run["graded"].where("drivers is not null").count() == run["graded"].where("projected_value is not null").count() > 0
+
+
+def test_marked_thresholds_count_predictions_as_a_distinct_does(spark):
+    from cutline.operators import metrics as MT
+    from cutline.workload import model_queries as MQ
+
+    marked = materialize(MQ.stored_run(spark, SF)["thresholds"], "thresholds")
+    plain = marked.drop("leads", "leads_bin")
+    for measured in (MT.threshold_scores, MT.calibration_bins):
+        assert sorted(map(str, measured(marked).collect())) == sorted(map(str, measured(plain).collect()))
+        assert "hashpartitioning(prediction_id" not in measured(marked)._jdf.queryExecution().executedPlan().toString()
