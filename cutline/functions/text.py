@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +25,11 @@ def _decomposed_letters() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _decomposed_letters()
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_accents(text: Column) -> Column:
     """Drop combining marks and map precomposed letters to their base."""
     lowered = F.lower(text)
@@ -49,14 +55,12 @@ def market_name(name: Column) -> Column:
 
 
 def _looks_like_a_person(raw: Column) -> Column:
-    name = F.trim(raw)
-    ok = (name != "") & ~name.rlike(r"\d") & (F.size(F.split(name, r"\s+")) >= 2)
-    return F.when(ok, name)
+    person = lambda name: (name != "") & ~name.rlike(r"\d") & (F.size(F.split(name, r"\s+")) >= 2)
+    return _let(F.trim(raw), lambda name: F.when(person(name), name))
 
 
 def _first_group(text: Column, pattern: str) -> Column:
-    found = F.regexp_extract(text, pattern, 1)
-    return F.when(found != "", found)
+    return _let(F.regexp_extract(text, pattern, 1), lambda found: F.when(found != "", found))
 
 
 def market_player_name(sub_title: Column, title: Column) -> Column:
@@ -84,26 +88,32 @@ def event_ticker_parts(ticker: Column, codes: tuple[str, ...] | None = None) ->
     answer stands only if exactly one leaves two known codes.
     """
     known = list(codes) if codes is not None else [*K.TEAM_CODES, *K.TEAM_ALIASES]
-    tail = F.coalesce(F.try_element_at(F.split(ticker, "-"), F.lit(2)), F.lit(""))
     shape = r"^(\d{2})([A-Z]{3})(\d{2})([A-Z]+)$"
-    fits = tail.rlike(shape)
-    year, month, day, teams = (F.regexp_extract(tail, shape, i) for i in (1, 2, 3, 4))
-    month_no = F.array_position(F.array(*[F.lit(m) for m in K.MONTH_CODES]), month).cast("int")
-    stamp = F.concat_ws("-", F.concat(F.lit("20"), year), F.lpad(month_no.cast("string"), 2, "0"), day)
-    game_date = F.when(fits & (month_no > 0), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd")).cast("date"))
-    length = F.length(teams)
-    splits = []
-    for cut in (2, 3):
-        away, home = F.substring(teams, 1, cut), F.substring(teams, cut + 1, 64)
-        ok = fits & (length >= cut + 2) & away.isin(*known) & home.isin(*known)
-        splits.append(F.when(ok, F.struct(away.alias("away"), home.alias("home"))))
-    found = F.array_compact(F.array(*splits))
-    only = F.when(F.size(found) == 1, found[0])
-    return F.struct(
-        game_date.alias("game_date"),
-        only["away"].alias("away_code"),
-        only["home"].alias("home_code"),
-    )
+    months = F.array(*[F.lit(m) for m in K.MONTH_CODES])
+
+    def groups(tail: Column) -> Column:
+        year, month, day, teams = (F.regexp_extract(tail, shape, i) for i in (1, 2, 3, 4))
+        return F.struct(year.alias("year"), F.array_position(months, month).cast("int").alias("month_no"), day.alias("day"), teams.alias("teams"))
+
+    def only_cut(teams: Column) -> Column:
+        two, three = (
+            (F.length(teams) >= cut + 2) & F.substring(teams, 1, cut).isin(*known) & F.substring(teams, cut + 1, 64).isin(*known) for cut in (2, 3)
+        )
+        return F.when(two & ~three, 2).when(three & ~two, 3)
+
+    def parts(g: Column) -> Column:
+        stamp = F.concat_ws("-", F.concat(F.lit("20"), g["year"]), F.lpad(g["month_no"].cast("string"), 2, "0"), g["day"])
+        game_date = F.when(g["month_no"] > 0, F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd")).cast("date"))
+        teams = g["teams"]
+        return _let(only_cut(teams), lambda cut: F.struct(
+            game_date.alias("game_date"),
+            F.when(cut.isNotNull(), F.substr(teams, F.lit(1), cut)).alias("away_code"),
+            F.when(cut.isNotNull(), F.substr(teams, cut + 1)).alias("home_code"),
+        ))
+
+    # A tail of another shape has empty groups: no month and no cut.
+    tail = F.coalesce(F.try_element_at(F.split(ticker, "-"), F.lit(2)), F.lit(""))
+    return _let(tail, lambda t: _let(groups(t), parts))
 
 
 def canonical_team(code: Column) -> Column:

@@ -117,12 +117,17 @@ def match_events(parsed: DataFrame, events: DataFrame) -> DataFrame:
     return parsed.join(first, "ticker", "left")
 
 
-def resolve_contracts(parsed: DataFrame, events: DataFrame, players: DataFrame, mappings: DataFrame) -> DataFrame:
+def player_index(players: DataFrame) -> DataFrame:
+    """Each name form that markets use, with how many players bear it: what :func:`resolve_contracts` and :func:`new_mappings` look names up in."""
+    return _counted(players.select("entity_id", TX.market_name(F.col("full_name")).alias("wanted")).where("wanted <> ''"), ["wanted"])
+
+
+def resolve_contracts(parsed: DataFrame, events: DataFrame, players: DataFrame, mappings: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Contracts with entity, event, status and the note saying what failed.
 
     ``mappings``: external_name, entity_id, status, updated_at; an existing
     mapping wins outright, manual overrides first. Otherwise only exact equality
-    of normalised full names matches.
+    of normalised full names matches. ``index``: the players' :func:`player_index`, if it is at hand.
     """
     usable = mappings.where(F.col("status").isin("resolved", "manual_override") & F.col("entity_id").isNotNull())
     settled = usable.groupBy(F.col("external_name").alias("player_name")).agg(
@@ -131,7 +136,7 @@ def resolve_contracts(parsed: DataFrame, events: DataFrame, players: DataFrame,
             F.struct((F.col("status") == "manual_override").alias("m"), "updated_at", "entity_id"),
         ).alias("m")
     ).select(F.col("player_name").alias("__mapped_name"), "m.*")
-    index = _counted(players.select("entity_id", TX.market_name(F.col("full_name")).alias("wanted")).where("wanted <> ''"), ["wanted"])
+    index = player_index(players) if index is None else index
     dated = match_events(parsed, events)
     # A listing without a name asks under one of its own, so that these don't meet in one task.
     alone = F.concat(F.lit("\x00"), "ticker")
@@ -166,10 +171,10 @@ def resolve_contracts(parsed: DataFrame, events: DataFrame, players: DataFrame,
     )
 
 
-def new_mappings(resolved: DataFrame, players: DataFrame, source: str = "market") -> DataFrame:
+def new_mappings(resolved: DataFrame, players: DataFrame, source: str = "market", index: DataFrame | None = None) -> DataFrame:
     """Identity rows to record for the names a resolution pass looked up."""
     names = resolved.where(F.col("player_name").isNotNull()).select("player_name").distinct()
-    index = _counted(players.select("entity_id", TX.market_name(F.col("full_name")).alias("wanted")).where("wanted <> ''"), ["wanted"])
+    index = player_index(players) if index is None else index
     out = names.withColumn("wanted", TX.market_name(F.col("player_name"))).join(index, "wanted", "left")
     return _status(out.drop("wanted")).select(
         F.lit(source).alias("source"), F.col("player_name").alias("external_id"), F.col("player_name").alias("external_name"),

@@ -42,8 +42,14 @@ def due_observations(incoming: DataFrame, latest: DataFrame, heartbeat_minutes:
 
 def market_sync(markets: DataFrame, failures: DataFrame, contracts: DataFrame, latest_books: DataFrame, events: DataFrame,
                 players: DataFrame, mappings: DataFrame, observed_at: Column) -> MarketSync:
-    """``failures``: one row per failed series or market; empty when all came in."""
-    resolved = ID.resolve_contracts(ID.parse_markets(markets), events, players, mappings)
+    """``failures``: one row per failed series or market; empty when all came in.
+
+    Listings and people come in small files, but each of their texts is taken apart: they are dealt
+    to all tasks first, and what is read off them is stored for the outputs that need it.
+    """
+    markets = materialize(ID.parse_markets(markets.repartition("ticker")), "parsed")
+    index = materialize(ID.player_index(players.repartition("entity_id")), "player-names")
+    resolved = ID.resolve_contracts(markets, events, players, mappings, index)
     incoming = resolved.select(
         "ticker", "series", "entity_id", "event_id", "stat_type", "threshold", "resolution_status", "resolution_note",
         F.try_to_timestamp("close_time").alias("close_time"),
@@ -55,7 +61,7 @@ def market_sync(markets: DataFrame, failures: DataFrame, contracts: DataFrame, l
         "status", F.when(F.col("__gone"), "delisted").otherwise(F.col("status"))
     ).drop("__gone")
     status = counted.select("*", RW.sync_status(F.col("failures"), F.col("discovered"), F.col("discovered")).alias("status"))
-    return MarketSync(final, due_observations(books(markets, observed_at), latest_books), ID.new_mappings(resolved, players), status)
+    return MarketSync(final, due_observations(books(markets, observed_at), latest_books), ID.new_mappings(markets, players, index=index), status)
 
 
 def price_refresh(sync: MarketSync, events: DataFrame, stored_snapshots: DataFrame, projections: DataFrame, prices: DataFrame, now: Column) -> DataFrame:

@@ -235,7 +235,7 @@ def listing_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         key.alias("entity_id"),
         F.when(~T.every("c_custkey", 50), F.concat(words[0], F.when(T.every("c_custkey", 5), "'").otherwise(""), F.lit(" "), words[1],
                                                    F.when(T.every("c_custkey", 6), " Jr.").otherwise(""))).alias("full_name"))
-    parsed = materialize(ID.parse_markets(markets(spark, sf_dir)), "parsed")
+    parsed = materialize(ID.parse_markets(markets(spark, sf_dir).repartition("ticker")), "parsed")
     dated = parsed.select(F.substring("ticker", 2, 20).cast("long").alias("k"), "game_date", TX.canonical_team(F.col("away_code")).alias("away_team"), TX.canonical_team(F.col("home_code")).alias("home_team"))
     games = dated.dropna().where(~T.every("k", 3)).groupBy("game_date", "away_team", "home_team").agg(F.min("k").alias("event_id")).select(
         "event_id", (F.col("game_date").cast("timestamp") + T.hours(20)).alias("kickoff_at"), "away_team", "home_team")
@@ -298,9 +298,10 @@ def market_store(spark: SparkSession, sf_dir: str):
     if key in _STORES:
         return _STORES[key]
     store = MS.MarketStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/market-{uuid.uuid4().hex}")
-    parsed, games, folk, mappings = listing_sides(spark, sf_dir)
+    _, *sides = listing_sides(spark, sf_dir)
+    games, folk, mappings = (materialize(side, name) for side, name in zip(sides, ("games", "people", "mappings")))  # what every tick reads
     size = T.table(spark, sf_dir, "part").select(F.concat(F.lit("T"), "p_partkey").alias("ticker"), "p_partkey", "p_size")
-    listed = markets(spark, sf_dir).join(size, "ticker")
+    listed = materialize(markets(spark, sf_dir).join(size, "ticker"), "listed")
     for n, left_out in enumerate((0, 1, 2)):
         moved = F.when((F.col("p_partkey") % 4 == 1) & F.lit(n > 0), 1).when((F.col("p_partkey") % 4 == 2) & F.lit(n > 1), 2).otherwise(0)
         ask = (F.col("p_size") * 2 - 1 + moved).cast("double")
