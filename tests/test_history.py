@@ -1,11 +1,13 @@
 """As-of reads against brute force, leakage, and partitioning invariance."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from cutline import constants as K
 from cutline.operators import bitemporal as B
 from cutline.operators import history as H
 from cutline.operators import priors as P
@@ -142,3 +144,34 @@ def test_whole_streams_match_brute_force(spark, seed, n):
         assert [(x.event_id, x.value) for x in r.window] == window and (r.n_eff, r.last_team) == (size, team)
         assert (r.season_average is None) == (avg is None) and (avg is None or abs(r.season_average - avg) < 1e-6)
         assert r.actual == (float(t[0][1:]) if t[0] != "nobody" and int(t[0][1:]) % 2 else None)
+
+
+def test_form_features_are_those_of_each_window_alone(spark):
+    """One Arrow pass over a batch gives each window's own sums, oldest first; nothing is interpreted element by element."""
+    rnd, nan = random.Random(5), float("nan")
+    windows = [[], [0.0], [7.0], [-2.0, 0.0], [nan, 3.0], *[[rnd.choice([0.0, -2.0, rnd.random() * 90]) for _ in range(rnd.randrange(12))] for _ in range(300)]]
+    at = lambda i: T0 + dt.timedelta(days=i * 100)
+    rows = [(i, [(at(j), j, at(j).year, "T", v, at(j), None) for j, v in enumerate(w)]) for i, w in enumerate(windows)]
+    df = spark.createDataFrame(rows, "i int, window array<struct<valid_at timestamp, event_id int, season int, team string, value double, visible_from timestamp, visible_to timestamp>>")
+    form = H.form_features(df)
+    assert "lambdafunction" not in form._jdf.queryExecution().optimizedPlan().toString()
+    for r in form.collect():
+        w, n = windows[r.i], len(windows[r.i])
+        assert r.window_n == n and r.crosses_season == (len({at(j).year for j in range(n)}) > 1)
+        if not n:
+            assert (r.ew_mean, r.ew_zero, r.zero_rate, r.ew_log_mean, r.log_sigma, r.window_variance, r.trailing_five, r.last_team) == (None,) * 8
+            continue
+        if any(map(math.isnan, w)):
+            assert math.isnan(r.ew_mean) and math.isnan(r.trailing_five) and r.ew_zero == 0.0
+            continue
+        weight = [0.5 ** ((n - 1 - j) / 4.0) for j in range(n)]
+        logs = [(math.log(v), x) for v, x in zip(w, weight) if v > 0]
+        mean = sum(w) / n
+        log_mean = sum(l for l, _ in logs) / len(logs) if logs else None
+        want = {
+            "ew_mean": sum(x * v for v, x in zip(w, weight)) / sum(weight), "ew_zero": sum(x for v, x in zip(w, weight) if v <= 0) / sum(weight),
+            "zero_rate": w.count(0.0) / n, "ew_log_mean": sum(l * x for l, x in logs) / sum(x for _, x in logs) if logs else 0.0,
+            "log_sigma": max(math.sqrt(sum((l - log_mean) ** 2 for l, _ in logs) / (len(logs) - 1)), K.SIGMA_FLOOR) if len(logs) > 1 else K.SIGMA_FLOOR,
+            "window_variance": sum((v - mean) ** 2 for v in w) / (n - 1) if n > 1 else mean * K.COUNT_MIN_DISPERSION, "trailing_five": sum(w[-5:]) / len(w[-5:]),
+        }
+        assert {c: r[c] for c in want} == pytest.approx(want, rel=1e-12, abs=1e-12), w
