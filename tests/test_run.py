@@ -216,3 +216,21 @@ def test_marked_thresholds_count_predictions_as_a_distinct_does(spark):
     for measured in (MT.threshold_scores, MT.calibration_bins):
         assert sorted(map(str, measured(marked).collect())) == sorted(map(str, measured(plain).collect()))
         assert "hashpartitioning(prediction_id" not in measured(marked)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_registry_is_never_met_by_a_shuffle(spark):
+    """It has one row a measure: a shuffle by measure would put all predictions into as many tasks."""
+    from cutline.operators import audit as A
+    from cutline.operators import metrics as MT
+
+    params = "struct<p_zero:double,mu:double,sigma:double,r:double,p:double>"
+    rows = spark.createDataFrame([("p", "price", "projected", True, 60.0, "zil", (0.1, 4.0, 0.5, None, None))],
+                                 f"prediction_id string, measure string, outcome string, in_comparison_population boolean, projected_value double, distribution_kind string, params {params}")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for read in (MT.contract_like_sensitivity(rows, T.registry(spark)), MT.population_totals(rows, T.registry(spark)), A.grid_probabilities(rows, T.registry(spark), at=5.5)):
+            plan = read._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
