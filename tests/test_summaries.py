@@ -9,6 +9,8 @@ from cutline import constants as K
 from cutline.functions import distributions as D
 from cutline.functions import numbers as N
 from cutline.operators import metrics as MT
+from cutline.session import materialize
+from cutline.sources import writers as W
 
 
 def plan_of(df):
@@ -63,3 +65,12 @@ def test_a_scored_batch_equals_its_parts(spark):
     assert got[6].quantiles == [0.0] * len(K.QUANTILE_GRID) and got[6].probabilities == []
     tails = {(r.i, r.x): r.y for r in df.where("family = 'count'").select("i", "r", "p", F.explode("t").alias("x")).select("i", "x", D.nb_at_least(F.col("r"), F.col("p"), F.col("x")).alias("y")).collect()}
     assert [got[1].probabilities, got[2].probabilities, got[5].probabilities] == [[tails[1, 1.5], tails[1, 0.5]], [tails[2, 1.5]], [tails[5, 99_000.5]]]
+
+
+def test_stages_and_datasets_are_stored_small(spark, tmp_path):
+    df = spark.range(1000).select(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 32).alias("prediction_id"), (F.col("id") % 2).alias("season"))
+    W.write_dataset(df, str(tmp_path), "predictions")
+    stored = materialize(df, "ids")
+    assert stored.exceptAll(df).isEmpty() and stored.exceptAll(spark.read.parquet(str(tmp_path / "predictions")).select(*df.columns)).isEmpty()
+    for files in (stored.inputFiles(), spark.read.parquet(str(tmp_path / "predictions")).inputFiles()):
+        assert files and all(f.endswith(".zstd.parquet") for f in files)
